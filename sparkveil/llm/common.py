@@ -64,3 +64,15 @@ def word_blocks(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
         at = stop
         if words:
             yield words
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, changed where ``df`` has such columns (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

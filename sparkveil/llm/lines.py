@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import fresh, stage
 
 #: Share of a host's pages that may contain a line before it is boilerplate.
 RATIO = 0.02
@@ -49,18 +49,19 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str =
     line without a word is never counted or dropped. A page counts once for a
     line however often it has it. Null text stays null with no lines; a text of
     which all lines go is empty. A null host is a host. Ties at exactly the
-    ratio are kept. No row is dropped.
+    ratio are kept. No row is dropped. All columns are kept; n_lines and n_dropped
+    replace columns of these names. An empty table gives no rows.
     """
+    host, drop, rest = fresh(docs, "_host", "_drop", "_kept")
     found = boilerplate(docs, F.col(host_col), F.col(text_col), ratio, least_pages)
-    found = found.select(F.col("host").alias("_host"), F.col("drop").alias("_drop"))
-    both = docs.join(found, F.col(host_col).eqNullSafe(F.col("_host")), "left")
+    found = found.select(F.col("host").alias(host), F.col("drop").alias(drop))
+    both = docs.join(found, F.col(host_col).eqNullSafe(F.col(host)), "left")
     lines = F.split(F.col(text_col), "\n")
-    kept = F.when(F.col("_drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~(has_word(x) & F.array_contains(F.col("_drop"), line_key(x)))))
-    both = both.withColumn("_kept", kept)
-    n_lines = F.coalesce(F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)), F.lit(0)).cast("bigint")
-    n_kept = F.coalesce(F.when(F.col(text_col).isNull(), 0).otherwise(F.size("_kept")), F.lit(0)).cast("bigint")
-    out = [F.array_join("_kept", "\n").alias(text_col) if c == text_col else F.col(c) for c in docs.columns]
-    return both.select(*out, n_lines.alias("n_lines"), (n_lines - n_kept).alias("n_dropped"))
+    kept = F.when(F.col(drop).isNull(), lines).otherwise(F.filter(lines, lambda x: ~(has_word(x) & F.array_contains(F.col(drop), line_key(x)))))
+    both = both.withColumn(rest, kept)
+    count = lambda x: F.when(F.col(text_col).isNull(), 0).otherwise(F.size(x)).cast("bigint")
+    own = [F.array_join(rest, "\n").alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return both.select(*own, count(lines).alias("n_lines"), (count(lines) - count(F.col(rest))).alias("n_dropped"))
 
 
 ORACLE = r"""

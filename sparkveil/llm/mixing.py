@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, stage
+from .common import fresh, stage
 
 #: Bits of the hash that each histogram resolves, and how many are nested.
 BITS, LEVELS = 12, 4
@@ -56,19 +56,12 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return ranked.select("source", "source_size", F.coalesce(F.least("cap", level * F.col("w")), F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every row of ``docs``.
+def _measured(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return stage(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), place(F.col(id_col)).alias("at")), "sizes")
 
-    taken is the document's size times its repeats in the mix. Each source is
-    taken whole floor(target / source_size) times; documents below the source's
-    threshold come once more, as long as the sum of their sizes stays within
-    the rest. Rows with equal ids have one place and come together. Null text
-    has size 0, null sources are one source (the last), a source of size 0 has
-    target 0. The result depends on ids, sizes and sources only, not on the
-    order or partition of rows. Other columns are ignored.
-    """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), place(F.col(id_col)).alias("at"))
-    rows = stage(rows, "sizes")
+
+def limits(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """(source, source_size, target, passes, threshold) for each source of ``rows`` (source, size, at): how often it is taken whole, and the place below which documents come once more."""
     goal = stage(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
     rest = F.when(F.col("source_size") > 0, F.greatest(F.lit(0.0), F.col("target") - F.floor(F.col("target") / F.col("source_size")) * F.col("source_size"))).otherwise(0.0)
     found = goal.select(F.col("source").alias("s"), rest.alias("rest"), F.lit(0).cast("bigint").alias("prefix"))
@@ -90,20 +83,40 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         known = stage(known.join(found.select(F.col("s").alias("t"), F.col("rest").alias("r2"), F.col("prefix").alias("p2")), F.col("s").eqNullSafe(F.col("t")), "left").select("s", F.coalesce("r2", "rest").alias("rest"), F.coalesce(F.col("p2"), F.shiftleft("prefix", BITS)).alias("prefix")), f"known{k}")
         found = known
     limit = goal.join(known.select("s", F.col("prefix").alias("threshold")), F.col("source").eqNullSafe(F.col("s")), "left")
-    limit = stage(limit.select(F.col("source").alias("s"), "source_size", "target", F.coalesce("threshold", F.lit(0)).alias("threshold")), "limits")
-    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    taken = F.col("size") * (passes + F.when((F.col("at") < F.col("threshold")) & (passes < most), 1).otherwise(0))
+    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
+    return stage(limit.select("source", "source_size", "target", passes.alias("passes"), F.when(passes < most, F.coalesce("threshold", F.lit(0))).otherwise(0).alias("threshold")), "limits")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) for every row of ``docs``.
+
+    taken is the document's size times its repeats in the mix. Each source is
+    taken whole floor(target / source_size) times; documents below the source's
+    threshold come once more, as long as the sum of their sizes stays within
+    the rest. Rows with equal ids have one place and come together. Null text
+    has size 0, null sources are one source (the last), a source of size 0 has
+    target 0. The result depends on ids, sizes and sources only, not on the
+    order or partition of rows. Other columns are ignored; an empty table gives
+    no rows.
+    """
+    rows = _measured(docs, id_col, text_col, source_col)
+    limit = limits(rows, weights, share, most).withColumnRenamed("source", "s")
+    taken = F.col("size") * (F.col("passes") + (F.col("at") < F.col("threshold")).cast("int"))
     out = rows.join(limit, F.col("source").eqNullSafe(F.col("s")))
     return out.select("doc_id", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """``docs`` as the mix has them: each row as often as it is taken, with its own columns. A row of size 0 adds nothing to the mix and goes."""
-    keyed = docs.withColumns({"_h": F.xxhash64(F.col(id_col), F.col(source_col)), "_n": words(F.col(text_col))})
-    m = mix(docs, id_col, text_col, source_col, weights, share, most)
-    repeats = stage(m.where("taken > 0").select(F.col("doc_id").alias("_d"), F.col("size").alias("_z"), (F.col("taken") / F.col("size")).cast("int").alias("_r"), "source_size").distinct(), "repeats")
-    joined = keyed.join(repeats, keyed[id_col].eqNullSafe(F.col("_d")) & (F.col("_n") == F.col("_z")))
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_r")).alias("_k")).select(*docs.columns)
+    """``docs`` as the mix has them: each row as often as it is taken, with its own columns.
+
+    Texts are read where they are: only the table of limits, one row per source, is joined to them.
+    """
+    found = limits(_measured(docs, id_col, text_col, source_col), weights, share, most)
+    s, p, t, k = fresh(docs, "_source", "_passes", "_threshold", "_k")
+    found = found.select(F.col("source").alias(s), F.col("passes").alias(p), F.col("threshold").alias(t))
+    times = F.col(p) + (place(F.col(id_col)) < F.col(t)).cast("int")
+    joined = docs.join(found, F.col(source_col).eqNullSafe(F.col(s))).where(times > 0)
+    return joined.withColumn(k, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
 
 
 ORACLE = r"""

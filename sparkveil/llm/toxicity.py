@@ -17,14 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .features import BLANK, LOWER, gram_codes, logistic, pieces
+from .features import BLANK, LOWER, calibrate, gram_codes, logistic, pieces
 
-#: Most labelled documents of either label that the model is fitted on, and the longest text among them in characters: together they bound what the driver gathers.
+#: Most toxic and (twice as many) clean documents that the model is fitted on, and the longest text among them in characters: together they bound what the driver gathers.
 SAMPLE = 1500
 SAMPLE_CHARS = 1 << 16
 GRAMS = (4, 6)
 BITS = 18
 EPOCHS = 12
+#: Most that a toxic document counts against a clean one, where there are fewer.
+MOST_WEIGHT = 3.0
 START_BIAS = -6.0
 _END = np.zeros(256, bool)
 _END[list(b".!?\n")] = True
@@ -34,6 +36,8 @@ _END[list(b".!?\n")] = True
 class Model:
     weights: np.ndarray  # GRAMS x 2^BITS
     bias: float
+    slope: float = 1.0
+    shift: float = 0.0
 
 
 def sentence_cuts(data: np.ndarray) -> np.ndarray:
@@ -43,87 +47,120 @@ def sentence_cuts(data: np.ndarray) -> np.ndarray:
     return np.r_[0, starts] if len(data) else starts
 
 
-def _codes(data: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The lower-cased bytes between two blanks, and per n-gram length a code for each start."""
+def _codes(data: np.ndarray) -> list[np.ndarray]:
+    """Per n-gram length the code at each start, of the lower-cased bytes with a blank at either end."""
     padded = np.empty(len(data) + max(GRAMS), np.uint8)
     padded[0] = 32
     padded[1 : len(data) + 1] = np.where(BLANK[data], np.uint8(32), LOWER[data])
     padded[len(data) + 1 :] = 32
-    return padded, [gram_codes(padded, n, BITS)[: len(data)] for n in GRAMS]
+    return [gram_codes(padded, n, BITS)[: len(data)] for n in GRAMS]
+
+
+def _pairs(cuts: np.ndarray, at: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The (sentence, code) pairs of the n-grams that start at ``at``, each once."""
+    sentence = np.searchsorted(cuts, at, "right") - 1
+    pairs = np.unique((sentence << BITS) + codes)
+    return pairs >> BITS, pairs & ((1 << BITS) - 1)
+
+
+def sentence_features(data: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Starts of the sentences of a byte array, and per n-gram length the (sentence, code) pairs that occur."""
+    cuts, at = sentence_cuts(data), np.arange(len(data))
+    return cuts, [_pairs(cuts, at, c) for c in _codes(data)]
 
 
 def sentence_logits(data: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
     cuts = sentence_cuts(data)
-    z = np.zeros(len(data), np.float32)
-    for k, codes in enumerate(_codes(data)[1]):
-        z += model.weights[k][codes]
-    return cuts, np.add.reduceat(z, cuts) + model.bias
+    z = np.full(len(cuts), model.bias)
+    for w, codes in zip(model.weights, _codes(data)):
+        at = np.flatnonzero(w[codes])  # few n-grams are evidence
+        sentence, code = _pairs(cuts, at, codes[at])
+        z += np.bincount(sentence, w[code], len(cuts))
+    return cuts, z
 
 
-def document_score(text: bytes | None, model: Model) -> float:
-    """1 - prod(1 - p) over the sentences' probabilities p; null or empty text: 0."""
+def document_logit(text: bytes | None, model: Model) -> float:
+    """The log odds of 1 - prod(1 - p) over the sentences' probabilities p."""
     total = 0.0
     for data in pieces(text or b""):
         total += np.logaddexp(0, sentence_logits(data, model)[1]).sum()
-    return float(-np.expm1(-total))
+    return float(total + np.log(max(-np.expm1(-total), 1e-30)))
+
 
+def document_score(text: bytes | None, model: Model) -> float:
+    """The calibrated probability that a sentence is toxic; null or empty text: 0."""
+    return float(logistic(model.slope * document_logit(text, model) + model.shift)) if text else 0.0
+
+
+def train_calibrated(texts: list[bytes], y: np.ndarray, odds: float | None = None, **options) -> Model:
+    """A model trained on three quarters of the documents and calibrated on the rest; ``odds`` are those of label 1 in the whole table, where the documents are a stratified sample."""
+    held = np.arange(len(y)) % 4 == 3
+    if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
+        return train(texts, y, **options)
+    m = train([t for t, h in zip(texts, held) if not h], y[~held], **options)
+    slope, shift = calibrate(np.array([document_logit(t, m) for t, h in zip(texts, held) if h]), y[held])
+    if odds:
+        shift += np.log(odds / ((y == 1).sum() / (y == 0).sum()))
+    return Model(m.weights, m.bias, slope, float(shift))
 
-def train(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.3, ridge: float = 2e-6, batch: int = 48) -> Model:
-    """Weights by Adagrad on the likelihood of the documents' labels under the noisy-or."""
+
+def train(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.3, ridge: float = 2e-6, batch: int = 48, sparse: float = 2e-5) -> Model:
+    """Weights by Adagrad on the likelihood of the documents' labels under the noisy-or.
+
+    Weights are kept at zero or more, with a lasso penalty: an n-gram is evidence
+    or it is nothing, so a long sentence can't outweigh the word that matters.
+    """
     rng = np.random.default_rng(0)
     dim = 1 << BITS
     w, b = np.zeros((len(GRAMS), dim)), START_BIAS
     gw, gb = np.full((len(GRAMS), dim), 1e-3), 1e-1
-    bags = []
-    for t in texts:
-        data = np.frombuffer(t, np.uint8)
-        bags.append((sentence_cuts(data), _codes(data)[1]) if len(data) else None)
+    weight = np.where(y > 0, min(MOST_WEIGHT, (y == 0).sum() / max(1, (y > 0).sum())), 1.0)
+    bags = [sentence_features(np.frombuffer(t, np.uint8)) if t else None for t in texts]
     for _ in range(epochs):
         order = rng.permutation(len(bags))
         for i in range(0, len(order), batch):
             own = [k for k in order[i : i + batch] if bags[k] is not None]
             if not own:
                 continue
-            sizes = [len(bags[k][1][0]) for k in own]
-            base = np.cumsum([0, *sizes])
-            cuts = np.concatenate([bags[k][0] + o for k, o in zip(own, base)])
-            codes = [np.concatenate([bags[k][1][g] for k in own]) for g in range(len(GRAMS))]
-            z = np.zeros(base[-1])
-            for g, c in enumerate(codes):
-                z += w[g][c]
-            z = np.add.reduceat(z, cuts) + b
+            base = np.cumsum([0, *(len(bags[k][0]) for k in own)])
+            pairs = [tuple(np.concatenate([bags[k][1][g][x] + (o if x == 0 else 0) for k, o in zip(own, base)]) for x in (0, 1)) for g in range(len(GRAMS))]
+            z = np.full(base[-1], b)
+            for g, (sentence, code) in enumerate(pairs):
+                z += np.bincount(sentence, w[g][code], base[-1])
             doc = np.repeat(np.arange(len(own)), [len(bags[k][0]) for k in own])
             none = np.exp(-np.bincount(doc, np.logaddexp(0, z), len(own)))  # probability that no sentence is toxic
             some = np.maximum(1 - none, 1e-9)
             pull = np.where(y[own] > 0, -none / some, 1.0)  # of the loss with respect to the sum of log(1 + e^z)
-            d = logistic(z) * pull[doc] / len(own)
-            each = np.repeat(d, np.diff(np.r_[cuts, base[-1]]))
-            for g, c in enumerate(codes):
-                grad = np.bincount(c, each, dim) + ridge * w[g]
+            d = logistic(z) * (pull * weight[own])[doc] / len(own)
+            for g, (sentence, code) in enumerate(pairs):
+                grad = np.bincount(code, d[sentence], dim) + ridge * w[g]
                 gw[g] += grad * grad
-                w[g] -= rate * grad / np.sqrt(gw[g])
+                w[g] = np.maximum(0, w[g] - rate * (grad + sparse) / np.sqrt(gw[g]))
             gb += d.sum() ** 2
             b -= rate * d.sum() / np.sqrt(gb)
     return Model(w.astype(np.float32), float(b))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", learn=None, sample: int = SAMPLE) -> Model:
-    """A model from ``sample`` documents of each label at most, those whose ids hash lowest; ``learn`` (a condition on ``_id``) says which labels may be seen. Without labels of both kinds, every score is near 0."""
+    """A model from ``sample`` toxic and twice as many clean documents at most, those whose ids hash lowest; ``learn`` (a condition on ``_id``) says which labels may be seen. Without labels of both kinds, every score is near 0."""
     rows = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_y in (0, 1) and _id is not null")
     if learn is not None:
         rows = rows.where(learn)
     rows = rows.dropDuplicates(["_id"])
-    # up to four times the sample by id, as some have no fitting text
-    chosen = [rows.where(F.col("_y") == k).orderBy(F.xxhash64("_id"), "_id").limit(2 * sample) for k in (0, 1)]
+    # twice as many by id, as some have no fitting text
+    chosen = [rows.where(F.col("_y") == k).orderBy(F.xxhash64("_id"), "_id").limit((4 - 2 * k) * sample) for k in (0, 1)]
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.length("_text") <= SAMPLE_CHARS)
     found = texts.join(F.broadcast(chosen[0].union(chosen[1])), "_id")
     got = found.withColumn("_h", F.xxhash64("_id")).select("_y", "_text", "_h", "_id")
-    parts = [got.where(F.col("_y") == k).orderBy("_h", "_id", "_text").limit(sample) for k in (0, 1)]
+    parts = [got.where(F.col("_y") == k).orderBy("_h", "_id", "_text").limit((2 - k) * sample) for k in (0, 1)]
     table = parts[0].union(parts[1]).select("_y", "_text").toArrow()
     y = table["_y"].to_numpy().astype(float)
     if len(set(y)) < 2:
         return Model(np.zeros((len(GRAMS), 1 << BITS), np.float32), -20.0)
-    return train(table["_text"].cast(pa.binary()).to_pylist(), y)
+    shuffled = np.random.default_rng(0).permutation(len(y))
+    texts = table["_text"].cast(pa.binary()).to_pylist()
+    count = dict(rows.groupBy("_y").count().collect())
+    return train_calibrated([texts[k] for k in shuffled], y[shuffled], count[1] / count[0])
 
 
 def held_out(id_col) -> F.Column:
