@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import fresh, stage
 
 #: Share of a host's pages that may contain a line before it is boilerplate.
-RATIO = 0.02
+RATIO = 0.05
 #: A line on fewer pages is never boilerplate, whatever the host's size.
 LEAST_PAGES = 5
 BLANKS = "\t\n\x0b\x0c\r "
@@ -69,7 +69,7 @@ WITH l AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS l
 k AS (SELECT *, trim(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    '), ' ') AS t FROM l),
 n AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
 b AS (SELECT k.source, k.t FROM k JOIN n ON k.source IS NOT DISTINCT FROM n.source WHERE k.t <> ''
-      GROUP BY k.source, k.t, n.pages HAVING count(DISTINCT doc_id) >= 5 AND count(DISTINCT doc_id) > n.pages * 0.02::DOUBLE),
+      GROUP BY k.source, k.t, n.pages HAVING count(DISTINCT doc_id) >= 5 AND count(DISTINCT doc_id) > n.pages * 0.05::DOUBLE),
 m AS (SELECT k.doc_id, k.i, k.line, b.t IS NOT NULL AS gone FROM k LEFT JOIN b ON k.source IS NOT DISTINCT FROM b.source AND k.t = b.t)
 SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_dropped
 FROM m GROUP BY doc_id
