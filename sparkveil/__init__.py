@@ -7,6 +7,7 @@ _NAMES = {
     "engine": ("Engine", "documents"),
     "errors": ("VeilError",),
     "functions.crypto": ("KeyProvider",),
+    "operators.media": ("Reader",),
     "operators.recognizers": ("Dictionary", "Pattern", "Recognizer"),
     "plans.decide": ("Override",),
     "plans.policy": ("AnalyzerParams", "Attribution", "Label", "LabelEntry", "ModalityRedactions", "Policy", "Predicate", "RasterMode", "Redaction", "Rule", "Scope", "ScopeParams", "TemplateOrigin"),

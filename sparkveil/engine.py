@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from .errors import configuration
 from .functions.crypto import KeyProvider
-from .operators import detect, redact
+from .operators import detect, media, redact
+from .operators.media import Reader
 from .operators.recognizers import Dictionary, Recognizer, check_dictionaries, check_recognizers
 from .plans import validate
 from .plans.catalog import compile_catalog
@@ -28,8 +29,8 @@ class Engine:
 
     ner: tuple[Recognizer, ...] = ()
     llm: tuple[Recognizer, ...] = ()
-    ocr: tuple[Recognizer, ...] = ()
-    stt: tuple[Recognizer, ...] = ()
+    ocr: tuple[Reader, ...] = ()
+    stt: tuple[Reader, ...] = ()
     dictionaries: tuple[Dictionary, ...] = ()
     key_provider: KeyProvider | None = None
     detection: detect.Detection = field(default_factory=detect.Detection)
@@ -40,10 +41,10 @@ class Engine:
     def with_llm(self, *r: Recognizer) -> Engine:
         return replace(self, llm=r)
 
-    def with_ocr(self, *r: Recognizer) -> Engine:
+    def with_ocr(self, *r: Reader) -> Engine:
         return replace(self, ocr=r)
 
-    def with_stt(self, *r: Recognizer) -> Engine:
+    def with_stt(self, *r: Reader) -> Engine:
         return replace(self, stt=r)
 
     def with_dictionaries(self, *d: Dictionary) -> Engine:
@@ -114,6 +115,16 @@ class Engine:
         secret = run_secret or (self.key_provider.key("pseudonym") if self.key_provider else hashlib.sha256(uuid.uuid4().bytes).digest())
         return redact.redact_text(audit, policies, catalog, overrides, self.key_provider, secret, id_col, text_col, out, strict, vault_scope)
 
+    def redact_pictures(self, pictures: DataFrame, policies: Sequence[Policy], params: AnalyzerParams = AnalyzerParams(), **options) -> DataFrame:
+        """PNG contents under the policies' image operators, read by the configured OCR."""
+        d, reader = self._detection(policies, params), validate.at_most_one("OCR", self.ocr)
+        return media.redact_pictures(pictures, policies, reader or Reader("none"), detection=d, params=params, **options)
+
+    def redact_sounds(self, clips: DataFrame, policies: Sequence[Policy], params: AnalyzerParams = AnalyzerParams(), **options) -> DataFrame:
+        """WAV contents under the policies' audio operators, read by the configured speech recognizer."""
+        d, reader = self._detection(policies, params), validate.at_most_one("STT", self.stt)
+        return media.redact_sounds(clips, policies, reader or Reader("none"), detection=d, params=params, **options)
+
     def run(self, documents: DataFrame, policies: Sequence[Policy], params: AnalyzerParams = AnalyzerParams(), **options) -> DataFrame:
         """Both steps in one plan."""
         names = {k: options[k] for k in ("id_col", "text_col") if k in options}

@@ -11,7 +11,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sparkveil import AnalyzerParams, Dictionary, Engine, KeyProvider, LabelEntry, ModalityRedactions, Override, Policy, Predicate, Recognizer, Rule, Scope, ScopeParams, VeilError
+from sparkveil import AnalyzerParams, Dictionary, Engine, KeyProvider, LabelEntry, ModalityRedactions, Override, Policy, Predicate, Reader, Recognizer, Rule, Scope, ScopeParams, VeilError
 from sparkveil.functions import spans as S
 from sparkveil.functions import crypto
 from sparkveil.functions.text import Match, build
@@ -104,13 +104,13 @@ def test_models_and_dictionaries(docs):
 
 
 def test_registered_and_formats(spark):
-    engine = Engine().with_ner(Recognizer("a", "p", description="d")).with_ocr(Recognizer("o"))
+    engine = Engine().with_ner(Recognizer("a", "p", description="d")).with_ocr(Reader("o"))
     assert {tuple(r) for r in engine.registered(spark).collect()} == {("ner", "a", "d", "p"), ("ocr", "o", None, "mock")}
     assert "docx" in engine.formats
     with pytest.raises(VeilError, match="modality"):
         Engine().with_llm(Recognizer("l", modalities=())).analyze(spark.createDataFrame([(1, "x")], "doc_id bigint, text string"))
     with pytest.raises(VeilError, match="at most one"):
-        Engine().with_ocr(Recognizer("a"), Recognizer("b")).analyze(spark.createDataFrame([(1, "x")], "doc_id bigint, text string"))
+        Engine().with_ocr(Reader("a"), Reader("b")).analyze(spark.createDataFrame([(1, "x")], "doc_id bigint, text string"))
 
 
 def test_prompts(tmp_path):

@@ -164,3 +164,25 @@ def test_read_files(spark, tmp_path):
     (tmp_path / "t" / "x.csv").write_text("a,b\n1,c@d.org\n")
     assert files.read_csv(spark, str(tmp_path / "t")).first().b == "c@d.org"
     assert files.read_text(spark, str(tmp_path / "a.txt")).first().text == "Contact a@b.com"
+
+
+def test_pictures_and_sounds_under_policies(spark):
+    from sparkveil import Engine, ModalityRedactions, Policy, Reader, Scope
+
+    ocr = Reader("ocr", lambda contents: [[("mail", 0, 0, 2, 2), ("a@b.com", 4, 4, 3, 2)] if c else [] for c in contents])
+    stt = Reader("stt", lambda contents: [[("call", 0.0, 0.25), ("+1-415-555-0142", 0.25, 0.5), ("or", 0.5, 0.6), ("a@b.com", 0.75, 1.0)] for _ in contents])
+    scope = (Scope("s", ("email_address", "phone_number")),)
+    engine = Engine().with_ocr(ocr).with_stt(stt)
+    black = Policy("p", "p", scope, fallback=ModalityRedactions.for_image("blackbox"))
+    rows = spark.createDataFrame([(1, bytearray(files.png_bytes(picture()))), (2, None)], "doc_id bigint, content binary")
+    got = {r.doc_id: r for r in engine.redact_pictures(rows, [black]).collect()}
+    pixels = files.png_pixels(bytes(got[1].content))
+    assert (pixels[4:6, 4:7] == 0).all() and (pixels[:4] == picture()[:4]).all() and got[2].content is None
+    assert [(e.modality, e.value) for e in got[1].entities] == [("image", "a@b.com")]
+    untouched = Policy("p", "p", scope, fallback=ModalityRedactions.for_text("erase"))
+    assert bytes(engine.redact_pictures(rows, [untouched]).where("doc_id = 1").first().content) == files.png_bytes(picture())
+    cut = Policy("p", "p", scope, fallback=ModalityRedactions.for_audio("erase"))
+    rows = spark.createDataFrame([(1, bytearray(clip()))], "doc_id bigint, content binary")
+    after = samples(bytes(engine.redact_sounds(rows, [cut]).first().content))
+    assert (after == np.delete(samples(clip()), [*range(2000, 4000), *range(6000, 8000)], axis=0)).all()
+    assert bytes(Engine().redact_sounds(rows, [cut]).first().content) == clip()
