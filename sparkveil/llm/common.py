@@ -30,6 +30,16 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/sparkveil/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all staged tables of this application, once their results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -37,7 +47,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     optimizer knows the table's true size afterwards.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sparkveil/{name}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 LONGEST = 2048
 END_ID = 1
+TOKENIZER = "byte_bpe_50k.json"
 #: The same vocabulary as byte ranks, for the faster encoder; tests hold the two equal.
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -27,14 +28,28 @@ _loaded: dict[str, object] = {}
 
 
 def tokenizer(path: str):
-    """One tokenizer for a file and process; strings of special tokens in a text are ordinary text."""
+    """A function from a text to its ids, one for a file and process; strings of special tokens in a text are ordinary text.
+
+    With byte ranks, a text that the faster encoder's pattern matcher gives up
+    on (a very long run of blanks overflows its stack) goes to the tokenizer.
+    """
     if path not in _loaded:
         if path.endswith(".tiktoken"):
             import tiktoken
 
             with open(path, "rb") as lines:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            _loaded[path] = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            fast = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+            def encode(text: str) -> list[int]:
+                try:
+                    return fast(text)
+                except BaseException as e:
+                    if type(e).__name__ != "PanicException":
+                        raise
+                    return tokenizer(public_tokenizers.path(TOKENIZER))(text)
+
+            _loaded[path] = encode
         else:
             from tokenizers import Tokenizer
 

@@ -204,7 +204,7 @@ def test_quality_learns(spark):
 
 def test_packing_round_trip(spark):
     rng = random.Random(8)
-    texts = [None, "", "a", "<|endoftext|> x", "tab\t\n\n  end ", "ñ😀" * 50, "a" * 3000, " " * 5000] + [prose(rng, rng.randint(1, 1500)) for _ in range(12)]
+    texts = [None, "", "a", "<|endoftext|> x", "tab\t\n\n  end ", "ñ😀" * 50, "a" * 3000, " " * 5000, "\n" * 700_000] + [prose(rng, rng.randint(1, 1500)) for _ in range(12)]
     docs = table(spark, texts)
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     tokenizer.encode_special_tokens = True
