@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What a recognizer finds.
-SPAN = "struct<start:int,end:int,value:string,label:string,confidence:float,source:string,pattern:string>"
+#: What a recognizer finds; merged counts the spans that became this one, beaten those it won against.
+SPAN = "struct<start:int,end:int,value:string,label:string,confidence:float,source:string,pattern:string,merged:int,beaten:int>"
 SPANS = f"array<{SPAN}>"
 
 
@@ -25,7 +25,7 @@ def empty_spans() -> Column:
     return F.array().cast(SPANS)
 
 
-def span(start: Column, end: Column, value: Column, label: Column, confidence: Column, source: Column, pattern: Column) -> Column:
+def span(start: Column, end: Column, value: Column, label: Column, confidence: Column, source: Column, pattern: Column, merged: Column | None = None, beaten: Column | None = None) -> Column:
     return F.struct(
         start.cast("int").alias("start"),
         end.cast("int").alias("end"),
@@ -34,6 +34,8 @@ def span(start: Column, end: Column, value: Column, label: Column, confidence: C
         confidence.cast("float").alias("confidence"),
         source.alias("source"),
         pattern.alias("pattern"),
+        (F.lit(1) if merged is None else F.coalesce(merged, F.lit(1))).cast("int").alias("merged"),
+        (F.lit(0) if beaten is None else F.coalesce(beaten, F.lit(0))).cast("int").alias("beaten"),
     )
 
 
@@ -93,7 +95,7 @@ def merge_same_label(text: Column, spans: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
         end = F.greatest(last["end"], x["end"])
         strong = F.when(x["confidence"] > last["confidence"], x).otherwise(last)
-        joined = span(last["start"], end, F.substring(text, last["start"] + 1, end - last["start"]), x["label"], strong["confidence"], strong["source"], strong["pattern"])
+        joined = span(last["start"], end, F.substring(text, last["start"] + 1, end - last["start"]), x["label"], strong["confidence"], strong["source"], strong["pattern"], last["merged"] + x["merged"])
         meets = (F.size(acc) > 0) & (last["label"] == x["label"]) & (x["start"] < last["end"])
         return F.when(meets, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(x)))
 
@@ -109,8 +111,15 @@ def resolve_overlaps(text: Column, spans: Column, policy: str = "winner") -> Col
     """
     if policy == "winner":
 
+        def meets(x: Column, y: Column) -> Column:
+            return (x["start"] < y["end"]) & (y["start"] < x["end"])
+
+        def won(y: Column, x: Column) -> Column:
+            more = y["beaten"] + F.when(meets(x, y), 1).otherwise(0)
+            return span(y["start"], y["end"], y["value"], y["label"], y["confidence"], y["source"], y["pattern"], y["merged"], more)
+
         def keep(acc: Column, x: Column) -> Column:
-            return F.when(F.exists(acc, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])), acc).otherwise(F.concat(acc, F.array(x)))
+            return F.when(F.exists(acc, lambda y: meets(x, y)), F.transform(acc, lambda y: won(y, x))).otherwise(F.concat(acc, F.array(x)))
 
         chosen = F.aggregate(F.array_sort(spans, by_strength), empty_spans(), keep)
     else:
@@ -119,7 +128,7 @@ def resolve_overlaps(text: Column, spans: Column, policy: str = "winner") -> Col
             last = F.try_element_at(acc, F.lit(-1))
             best = F.when(by_strength(x, last) < 0, x).otherwise(last)
             end = F.greatest(last["end"], x["end"])
-            joined = span(last["start"], end, F.substring(text, last["start"] + 1, end - last["start"]), best["label"], best["confidence"], best["source"], best["pattern"])
+            joined = span(last["start"], end, F.substring(text, last["start"] + 1, end - last["start"]), best["label"], best["confidence"], best["source"], best["pattern"], best["merged"], last["beaten"] + x["beaten"] + 1)
             return F.when((F.size(acc) > 0) & (x["start"] < last["end"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(x)))
 
         chosen = F.aggregate(F.array_sort(spans, by_position), empty_spans(), chain)

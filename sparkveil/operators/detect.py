@@ -54,7 +54,10 @@ def entity_id(*parts: Column) -> Column:
 
 
 def as_entities(found: Column, doc: Column, part: Column, modality: str, lang: Column) -> Column:
-    """Spans with identity, coreference (same label and value: same entity) and their first event."""
+    """Spans with identity, coreference (same label and value: same entity) and their events so far."""
+
+    def more(happened: Column, kind: str, how: str, x: Column) -> Column:
+        return F.when(happened, F.array(event(F.lit(kind), F.lit("reconcile"), x["confidence"], F.lit(how)))).otherwise(F.array().cast(f"array<{EVENT}>"))
 
     def one(x: Column, known: Column) -> Column:
         kind = F.when(x["source"] == "model", "model").otherwise("pattern")
@@ -70,7 +73,7 @@ def as_entities(found: Column, doc: Column, part: Column, modality: str, lang: C
             F.concat(F.lit("c"), F.substring(F.md5(F.concat_ws("|", x["label"], F.lower(x["value"])).cast("binary")), 1, 12)).alias("coref"),
             known.alias("language"),
             x["pattern"].alias("pattern"),
-            F.array(event(kind, x["source"], x["confidence"], x["pattern"])).alias("events"),
+            F.concat(F.array(event(kind, x["source"], x["confidence"], x["pattern"])), more(x["merged"] > 1, "deduplication", "overlap", x), more(x["beaten"] > 0, "conflict", "confidence", x)).alias("events"),
         )
 
     return S.let(lang, lambda known: F.transform(found, lambda x: one(x, known)))

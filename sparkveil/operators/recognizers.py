@@ -151,7 +151,7 @@ def with_automaton(df: DataFrame, text_col: str, out_col: str, dictionaries: Seq
                     for label, name, confidence, size in rest:
                         start = end - size + 1
                         if not (word(start - 1) and word(start)) and not (word(end) and word(end + 1)):
-                            rows.append({"start": start, "end": end + 1, "value": text[start : end + 1], "label": label, "confidence": confidence, "source": "dictionary", "pattern": name})
+                            rows.append({"start": start, "end": end + 1, "value": text[start : end + 1], "label": label, "confidence": confidence, "source": "dictionary", "pattern": name, "merged": 1, "beaten": 0})
             yield rows
 
     return with_model_spans(df, text_col, out_col, lambda texts: list(find(texts)))
@@ -159,7 +159,7 @@ def with_automaton(df: DataFrame, text_col: str, out_col: str, dictionaries: Seq
 
 def with_model_spans(df: DataFrame, text_col: str, out_col: str, find: Callable[[list[str | None]], list[list[dict]]]) -> DataFrame:
     """``df`` with an array of spans from a function over batches of texts; the way in for models and services."""
-    kind = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("label", pa.string()), ("confidence", pa.float32()), ("source", pa.string()), ("pattern", pa.string())])
+    kind = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("label", pa.string()), ("confidence", pa.float32()), ("source", pa.string()), ("pattern", pa.string()), ("merged", pa.int32()), ("beaten", pa.int32())])
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +186,7 @@ class Recognizer:
         if self.find is None:
             return [[] for _ in texts]
         found = self.find([t or "" for t in texts])
-        return [[{"start": s, "end": e, "value": (t or "")[s:e], "label": label, "confidence": c, "source": "model", "pattern": self.name} for s, e, label, c in f] for t, f in zip(texts, found)]
+        return [[{"start": s, "end": e, "value": (t or "")[s:e], "label": label, "confidence": c, "source": "model", "pattern": self.name, "merged": 1, "beaten": 0} for s, e, label, c in f] for t, f in zip(texts, found)]
 
 
 def check_recognizers(kind: str, recognizers: Sequence[Recognizer]) -> None:

@@ -501,9 +501,20 @@ def audit_entities_export(spark, sf_dir):
     return sinks.entities(_audit(spark, sf_dir))
 
 
-@query(f"WITH {O.winners(AUDITED)} SELECT {_UUID} AS entity_id, 0::BIGINT AS event_index, 'pattern' AS kind, 'pattern' AS source, printf('%.3f', conf::DOUBLE) AS confidence, pattern AS payload_id FROM w UNION ALL SELECT {_UUID}, 1, 'redaction', 'anonymizer', NULL, NULL FROM w WHERE label <> 'ip_address'")
+AUDITED_MORE = (*AUDITED, OTHER_DIGITS, Pattern("phone-tail", "phone_number", r"[0-9]{3}-[0-9]{4}", 0.4))
+_EVENTS = f"""WITH {O.winners(AUDITED_MORE)}, u AS (SELECT *, {_UUID} AS id, printf('%.3f', conf::DOUBLE) AS c FROM w)
+SELECT id AS entity_id, 0::BIGINT AS event_index, 'pattern' AS kind, 'pattern' AS source, c AS confidence, pattern AS payload_id FROM u
+UNION ALL SELECT id, 1, 'deduplication', 'reconcile', c, 'overlap' FROM u WHERE merged > 1
+UNION ALL SELECT id, 1 + (merged > 1)::INT, 'conflict', 'reconcile', c, 'confidence' FROM u WHERE beaten > 0
+UNION ALL SELECT id, 1 + (merged > 1)::INT + (beaten > 0)::INT, 'redaction', 'anonymizer', NULL, NULL FROM u WHERE label IN ('email_address', 'phone_number')"""
+
+
+@query(_EVENTS)
 def audit_provenance_export(spark, sf_dir):
-    return _longs(sinks.provenance(_audit(spark, sf_dir)).select("entity_id", "event_index", "kind", "source", "confidence", "payload_id"))
+    wide = _policy("wide", ["email_address", "phone_number", "ip_address", "internal_id"])
+    engine = Engine(detection=detect.Detection(patterns=AUDITED_MORE))
+    audit = engine.run(table(spark, sf_dir, "documents"), [P_COARSE, P_TABLE, wide])
+    return _longs(sinks.provenance(audit).select("entity_id", "event_index", "kind", "source", "confidence", "payload_id"))
 
 
 @query(f"WITH {O.winners(AUDITED)} SELECT {_UUID} AS entity_id, 'text' AS modality, 'mask' AS operator FROM w WHERE label = 'phone_number'")

@@ -283,7 +283,7 @@ def spans_frame(spark, sets):
 
 
 def random_spans(rng, n):
-    return [(a, a + rng.randint(1, 12), "", rng.choice("ab"), rng.choice([0.25, 0.5, 0.75]), "p", "q") for a in (rng.randint(0, 40) for _ in range(rng.randint(0, n)))]
+    return [(a, a + rng.randint(1, 12), "", rng.choice("ab"), rng.choice([0.25, 0.5, 0.75]), "p", "q", 1, 0) for a in (rng.randint(0, 40) for _ in range(rng.randint(0, n)))]
 
 
 def naive_merge(spans):
@@ -321,6 +321,7 @@ def test_merging_and_winners_equal_plain_versions(spark):
         covered = {p for a, z, *_ in expected for p in range(a, z)}
         assert {p for x in r.u for p in range(x.start, x.end)} == covered
         assert all(a.end <= b.start for a, b in zip(r.u, r.u[1:]))
+    assert all(sum(x.merged for x in r.m) == len(sets[r.i]) and sum(x.beaten > 0 for x in r.w) <= len(r.m) for r in got)
     again = df.select("i", S.merge_same_label(F.col("t"), merged).alias("m"), merged.alias("o")).collect()
     assert all(r.m == r.o for r in again)
     rows = df.select("i", F.explode("s").alias("x")).select("i", "x.label", "x.start", "x.end", "x.confidence")
