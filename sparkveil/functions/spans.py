@@ -6,9 +6,9 @@ length() and substring() do.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What a recognizer finds; merged counts the spans that became this one, beaten those it won against.
@@ -21,6 +21,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def unnest(df: DataFrame, columns: Sequence[str], array: Column | str, name: str) -> DataFrame:
+    """``columns`` with one row per element of ``array``.
+
+    The outer explode keeps Catalyst from inferring a filter on the array's
+    size, which it would push down by computing the whole array once more.
+    """
+    return df.select(*columns, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
 def empty_spans() -> Column:
     return F.array().cast(SPANS)
 

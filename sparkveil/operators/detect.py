@@ -76,7 +76,9 @@ def as_entities(found: Column, doc: Column, part: Column, modality: str, lang: C
             F.concat(F.array(event(kind, x["source"], x["confidence"], x["pattern"])), more(x["merged"] > 1, "deduplication", "overlap", x), more(x["beaten"] > 0, "conflict", "confidence", x)).alias("events"),
         )
 
-    return S.let(lang, lambda known: F.transform(found, lambda x: one(x, known)))
+    # a text without spans is never asked for its language
+    named = S.let(lang, lambda known: F.transform(found, lambda x: one(x, known)))
+    return F.when(F.size(found) > 0, named).otherwise(F.array().cast(ENTITIES))
 
 
 def reconcile(text: Column, found: Column, baseline: float = BASELINE, policy: str = "winner", excluded: Column | None = None) -> Column:
@@ -94,10 +96,13 @@ def included(spans: Column, text: Column) -> Column:
     )
 
 
-def with_candidates(df: DataFrame, text_col: str, detection: Detection, params: AnalyzerParams, lang_col: str | None, out: str = "_found", modality: str = "text") -> DataFrame:
+def with_candidates(df: DataFrame, text_col: str, detection: Detection, params: AnalyzerParams, lang: Column | None, out: str = "_found", modality: str = "text") -> DataFrame:
     """``df`` with all candidate spans of ``text_col``; regular expressions come first, each in its own array, and are concatenated once."""
     text = F.col(text_col)
-    arrays = [pattern_spans(text, p, F.col(lang_col) if lang_col else None) for p in detection.patterns]
+    if any(p.digits for p in detection.patterns):
+        df = df.withColumn("_digit", text.rlike("[0-9]"))
+    digit = F.col("_digit") if "_digit" in df.columns else None
+    arrays = [pattern_spans(text, p, lang if p.languages else None, digit) for p in detection.patterns]
     large = [d for d in detection.dictionaries if len(d.terms) > ALTERNATION_TERMS]
     arrays += [F.coalesce(dictionary_spans(text, d), S.empty_spans()) for d in detection.dictionaries if d not in large]
     if params.inclusions:
@@ -110,16 +115,16 @@ def with_candidates(df: DataFrame, text_col: str, detection: Detection, params:
         df = with_model_spans(df, text_col, f"{out}_model{k}", r.spans)
         extra.append(f"{out}_model{k}")
     arrays += [F.coalesce(F.col(c), S.empty_spans()) for c in extra]
-    return df.withColumn(out, F.concat(*arrays) if arrays else S.empty_spans()).drop(*extra)
+    return df.withColumn(out, F.concat(*arrays) if arrays else S.empty_spans()).drop(*extra, "_digit")
 
 
 def with_entities(df: DataFrame, detection: Detection, params: AnalyzerParams, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = None, out: str = "entities") -> DataFrame:
     """``df`` with an array of entities of its text, in source order and without overlaps."""
     asserted = params.scope.languages[0] if params.scope.languages else None
-    df = df.withColumn("_lang", language.asserted_or_detected(asserted, F.col(lang_col) if lang_col else None, F.col(text_col)))
-    df = with_candidates(df, text_col, detection, params, "_lang")
+    lang = language.asserted_or_detected(asserted, F.col(lang_col) if lang_col else None, F.col(text_col))
+    df = with_candidates(df, text_col, detection, params, lang)
     text = F.col(text_col)
     kept = reconcile(text, F.col("_found"), detection.baseline, detection.span_policy, F.col(params.exclusions) if params.exclusions else None)
     df = df.withColumn("_found", kept)
-    entities = as_entities(F.col("_found"), F.col(id_col), F.lit(None).cast("string"), "text", F.col("_lang"))
-    return df.withColumn(out, F.coalesce(entities, F.array().cast(ENTITIES))).drop("_found", "_lang")
+    entities = as_entities(F.col("_found"), F.col(id_col), F.lit(None).cast("string"), "text", lang)
+    return df.withColumn(out, F.coalesce(entities, F.array().cast(ENTITIES))).drop("_found")

@@ -18,12 +18,12 @@ FUNCTION_WORDS: dict[str, tuple[str, ...]] = {
 
 def scores(text: Column) -> Column:
     """map of language to the number of its function words in a text."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
+    words = F.split(F.lower(text), r"[^\p{L}]+")
 
-    def count(known: tuple[str, ...]) -> Column:
-        return F.size(F.filter(words, lambda w: w.isin(*known)))
+    def count(w: Column, known: tuple[str, ...]) -> Column:
+        return F.size(F.filter(w, lambda x: x.isin(*known)))
 
-    return F.struct(*[count(known).alias(lang) for lang, known in FUNCTION_WORDS.items()])
+    return let(words, lambda w: F.struct(*[count(w, known).alias(lang) for lang, known in FUNCTION_WORDS.items()]))
 
 
 def detect(text: Column) -> Column:

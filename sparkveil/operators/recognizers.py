@@ -30,7 +30,7 @@ ALTERNATION_TERMS = 200
 
 @dataclass(frozen=True)
 class Pattern:
-    """A pattern for one label. ``needs`` is a substring that any match has, a cheap test before the pattern; ``inner`` narrows a match to its part; ``check`` names a checksum."""
+    """A pattern for one label. ``needs`` is a substring that any match has and ``digits`` says that any match has a digit: cheap tests before the pattern. ``inner`` narrows a match to its part; ``check`` names a checksum."""
 
     name: str
     label: str
@@ -42,26 +42,27 @@ class Pattern:
     countries: tuple[str, ...] = ()
     languages: tuple[str, ...] = ()
     context: tuple[str, ...] = ()
+    digits: bool = False
 
 
 #: Our patterns; confidences are our choice too.
 PATTERNS: tuple[Pattern, ...] = (
     Pattern("email", "email_address", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 0.95, "@"),
-    Pattern("ipv4", "ip_address", r"\b(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\b", 0.85, "."),
-    Pattern("phone-international", "phone_number", r"\+[0-9]{1,3}[ -]?\(?[0-9]{3}\)?[ -][0-9]{3}-[0-9]{4}\b", 0.85, "+"),
-    Pattern("card-16", "payment_card", r"\b(?:[0-9]{4}[ -]?){3}[0-9]{4}\b", 0.6, None, check="luhn", context=("card", "visa", "mastercard", "pan")),
-    Pattern("us-ssn", "government_id", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 0.75, "-", countries=("US",), context=("ssn", "social security")),
-    Pattern("iban", "iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", 0.7, None, check="mod97", context=("iban", "account")),
+    Pattern("ipv4", "ip_address", r"\b(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\b", 0.85, ".", digits=True),
+    Pattern("phone-international", "phone_number", r"\+[0-9]{1,3}[ -]?\(?[0-9]{3}\)?[ -][0-9]{3}-[0-9]{4}\b", 0.85, "+", digits=True),
+    Pattern("card-16", "payment_card", r"\b(?:[0-9]{4}[ -]?){3}[0-9]{4}\b", 0.6, None, check="luhn", context=("card", "visa", "mastercard", "pan"), digits=True),
+    Pattern("us-ssn", "government_id", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 0.75, "-", countries=("US",), context=("ssn", "social security"), digits=True),
+    Pattern("iban", "iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", 0.7, None, check="mod97", context=("iban", "account"), digits=True),
     Pattern("url", "url", r"\bhttps?://[^\s<>\"]+", 0.9, "://"),
     Pattern("mac", "mac_address", r"\b(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}\b", 0.85, ":"),
     Pattern("secret-assignment", "password", r"\b(?:password|passwd|token|secret|api_key) ?[=:] ?\"?[A-Za-z0-9_./+-]{8,}\"?", 0.8, None, inner=r"[A-Za-z0-9_./+-]{8,}\"?$"),
-    Pattern("iso-date", "individual_date", r"\b(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}\b", 0.5, "-"),
-    Pattern("birth-date", "date_of_birth", r"\b(?:born|birth|DOB)(?: on|:)? (?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}\b", 0.85, None, inner=r"[0-9]{4}-[0-9]{2}-[0-9]{2}$"),
-    Pattern("age-years", "age", r"\b(?:aged?|Aged?)[ :]{1,2}[0-9]{1,3}\b", 0.7, None, inner=r"[0-9]+$"),
-    Pattern("cvv", "card_security_code", r"\b(?:CVV2?|CVC2?)[ :]{1,2}[0-9]{3,4}\b", 0.8, "CV", inner=r"[0-9]+$"),
-    Pattern("coordinates", "coordinates", r"-?[0-9]{1,2}\.[0-9]{4,}, ?-?[0-9]{1,3}\.[0-9]{4,}", 0.6, ","),
+    Pattern("iso-date", "individual_date", r"\b(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}\b", 0.5, "-", digits=True),
+    Pattern("birth-date", "date_of_birth", r"\b(?:born|birth|DOB)(?: on|:)? (?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}\b", 0.85, None, inner=r"[0-9]{4}-[0-9]{2}-[0-9]{2}$", digits=True),
+    Pattern("age-years", "age", r"\b(?:aged?|Aged?)[ :]{1,2}[0-9]{1,3}\b", 0.7, None, inner=r"[0-9]+$", digits=True),
+    Pattern("cvv", "card_security_code", r"\b(?:CVV2?|CVC2?)[ :]{1,2}[0-9]{3,4}\b", 0.8, "CV", inner=r"[0-9]+$", digits=True),
+    Pattern("coordinates", "coordinates", r"-?[0-9]{1,2}\.[0-9]{4,}, ?-?[0-9]{1,3}\.[0-9]{4,}", 0.6, ",", digits=True),
     Pattern("bitcoin", "crypto_address", r"\b(?:bc1[a-z0-9]{25,59}|[13][a-km-zA-HJ-NP-Z1-9]{25,34})\b", 0.55, None, context=("bitcoin", "btc", "wallet")),
-    Pattern("us-zip", "postal_code", r"\b[A-Z]{2} [0-9]{5}(?:-[0-9]{4})?\b", 0.5, None, inner=r"[0-9-]+$", countries=("US",)),
+    Pattern("us-zip", "postal_code", r"\b[A-Z]{2} [0-9]{5}(?:-[0-9]{4})?\b", 0.5, None, inner=r"[0-9-]+$", countries=("US",), digits=True),
 )
 
 
@@ -71,8 +72,8 @@ def relevant(patterns: Iterable[Pattern], catalog: Catalog | None, countries: Se
     return [p for p in patterns if (wanted is None or p.label in wanted) and (not countries or not p.countries or set(p.countries) & set(countries))]
 
 
-def pattern_spans(text: Column, p: Pattern, language: Column | None = None) -> Column:
-    """The pattern's spans, with checksum and context words applied."""
+def pattern_spans(text: Column, p: Pattern, language: Column | None = None, has_digit: Column | None = None) -> Column:
+    """The pattern's spans, with checksum and context words applied. ``has_digit`` says whether the text has a digit, where that is known."""
     reach = CONTEXT_REACH
 
     def narrowed(m: Column) -> Column:
@@ -90,11 +91,13 @@ def pattern_spans(text: Column, p: Pattern, language: Column | None = None) -> C
     if p.check:
         found = F.filter(found, lambda x: S.luhn(x["value"]) if p.check == "luhn" else S.mod97(x["value"]))
     may = F.lit(True)
+    if p.digits and has_digit is not None:
+        may = may & has_digit
     if p.needs:
         may = may & F.contains(text, F.lit(p.needs))
     if p.languages and language is not None:
         may = may & F.coalesce(F.lower(F.split(language, "[-_]")[0]).isin([x.lower() for x in p.languages]), F.lit(True))
-    return F.when(may & text.isNotNull(), found).otherwise(S.empty_spans()) if p.needs or p.languages else F.coalesce(found, S.empty_spans())
+    return F.when(may & text.isNotNull(), found).otherwise(S.empty_spans())
 
 
 @dataclass(frozen=True)

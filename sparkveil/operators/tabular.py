@@ -79,4 +79,4 @@ def cell_entities(df: DataFrame, row_id: str, columns: Sequence[str], detection:
         return F.transform(f"_cell_{c}", lambda e: F.struct(F.lit(c).alias("column"), e.alias("e")))
 
     parts = F.concat(*[named(c) for c in columns])
-    return found.select(row_id, F.explode(parts).alias("x")).select(row_id, "x.column", "x.e.label", "x.e.start", "x.e.end", "x.e.value", "x.e.confidence")
+    return S.unnest(found, [row_id], parts, "x").select(row_id, "x.column", "x.e.label", "x.e.start", "x.e.end", "x.e.value", "x.e.confidence")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import PROCESSING, VeilError
+from ..functions.spans import unnest
 
 #: What the payload of an event of each kind names.
 PAYLOAD_KINDS = ("pattern", "model", "deduplication", "conflict", "contested")
@@ -20,7 +21,7 @@ def _confidence(x: Column) -> Column:
 
 def entities(audit: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row per entity: part_id, modality, entity_id, label, confidence with three decimals, coref."""
-    e = audit.select(F.col(id_col), F.explode("entities").alias("e"))
+    e = unnest(audit, [id_col], "entities", "e")
     return e.select(id_col, "e.part_id", "e.modality", "e.entity_id", "e.label", _confidence(F.col("e.confidence")).alias("confidence"), "e.coref")
 
 
@@ -28,13 +29,13 @@ def provenance(audit: DataFrame, id_col: str = "doc_id", at: datetime.datetime |
     """One row per event: entity_id, event_index, kind, source, confidence, timestamp, payload_id, and a hash chained to the event before."""
     stamp = F.lit(at.isoformat() if at else None).cast("string")
     known = F.when(F.col("x.kind").isin(*PAYLOAD_KINDS, *SILENT_KINDS), F.col("x.kind")).otherwise("unknown")
-    e = audit.select(F.col(id_col), F.explode("entities").alias("e"))
+    e = unnest(audit, [id_col], "entities", "e")
     chained = F.aggregate(
         F.col("e.events"),
         F.array().cast("array<string>"),
         lambda acc, x: F.concat(acc, F.array(F.sha2(F.concat_ws("|", F.coalesce(F.try_element_at(acc, F.lit(-1)), F.col("e.entity_id")), x["kind"], F.coalesce(x["source"], F.lit("")), F.coalesce(x["payload_id"], F.lit("")), F.coalesce(x["operator"], F.lit(""))), 256))),
     )
-    rows = e.select(id_col, F.col("e.entity_id").alias("entity_id"), chained.alias("chain"), F.posexplode("e.events").alias("event_index", "x"))
+    rows = e.select(id_col, F.col("e.entity_id").alias("entity_id"), chained.alias("chain"), F.posexplode_outer("e.events").alias("event_index", "x")).where("x is not null")
     return rows.select(
         id_col,
         "entity_id",
@@ -58,7 +59,7 @@ def operator_kind(action: Column, modality: Column) -> Column:
 
 def reviews(audit: DataFrame, overrides: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """entity_id, modality and operator of each entity whose review has an operator for its own modality."""
-    e = audit.select(F.explode("entities").alias("e")).select("e.entity_id", "e.modality")
+    e = unnest(audit, [], "entities", "e").select("e.entity_id", "e.modality")
     rows = e.join(overrides.select("entity_id", "action"), "entity_id")
     return rows.select("entity_id", "modality", operator_kind(F.col("action"), F.col("modality")).alias("operator")).where("operator is not null")
 

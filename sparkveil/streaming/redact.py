@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..engine import Engine
+from ..functions.spans import unnest
 from ..plans.policy import AnalyzerParams, Policy
 
 
@@ -28,7 +29,7 @@ def redact_stream(stream: DataFrame, policies: Sequence[Policy], engine: Engine
 
 def window_counts(entities: DataFrame, time_col: str = "ts", late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """(window_start, label, n): entities by label in tumbling windows, closed by a watermark."""
-    rows = entities.withWatermark(time_col, late).select(time_col, F.explode("entities").alias("e"))
+    rows = unnest(entities.withWatermark(time_col, late), [time_col], "entities", "e")
     counts = rows.groupBy(F.window(time_col, width), F.col("e.label").alias("label")).agg(F.count("*").alias("n"))
     return counts.select(F.col("window.start").alias("window_start"), "label", "n")
 

@@ -49,7 +49,7 @@ def _longs(df: DataFrame) -> DataFrame:
 
 
 def _found(docs: DataFrame, spans) -> DataFrame:
-    x = docs.select("doc_id", F.explode(spans).alias("x"))
+    x = S.unnest(docs, ["doc_id"], spans, "x")
     return _longs(x.select("doc_id", "x.start", "x.end", "x.value"))
 
 
@@ -106,7 +106,7 @@ NEAR_THE = Pattern("ipv4-context", "ip_address", BY_NAME["ipv4"].regex, 0.5, con
 
 @query(f"SELECT doc_id, start::BIGINT AS start, value, printf('%.3f', conf::DOUBLE) AS confidence FROM {O.matches(NEAR_THE)}")
 def detect_context_boost(spark, sf_dir):
-    x = table(spark, sf_dir, "documents").select("doc_id", F.explode(pattern_spans(F.col("text"), NEAR_THE)).alias("x"))
+    x = S.unnest(table(spark, sf_dir, "documents"), ["doc_id"], pattern_spans(F.col("text"), NEAR_THE), "x")
     return x.select("doc_id", F.col("x.start").cast("bigint").alias("start"), "x.value", F.format_string("%.3f", F.col("x.confidence").cast("double")).alias("confidence"))
 
 
@@ -137,7 +137,7 @@ def detect_html_pages(spark, sf_dir):
 
 
 def _counts(df: DataFrame) -> DataFrame:
-    return df.select(F.explode("entities").alias("e")).groupBy(F.col("e.label").alias("label")).agg(F.count("*").alias("n"))
+    return S.unnest(df, [], "entities", "e").groupBy(F.col("e.label").alias("label")).agg(F.count("*").alias("n"))
 
 
 def _policy(name: str, labels, rules=(), fallback=None, **more) -> Policy:
@@ -176,14 +176,14 @@ def _spans_of(df: DataFrame, patterns, merge: bool = True) -> DataFrame:
 
 @query(f'WITH {O.winners([DIGITS, CARD_SHAPE])} SELECT doc_id, start::BIGINT AS start, "end"::BIGINT AS "end", label, printf(\'%.3f\', conf::DOUBLE) AS confidence FROM m2')
 def spans_merge_same_label(spark, sf_dir):
-    x = _spans_of(table(spark, sf_dir, "documents"), [DIGITS, CARD_SHAPE]).select("doc_id", F.explode("found").alias("x"))
+    x = S.unnest(_spans_of(table(spark, sf_dir, "documents"), [DIGITS, CARD_SHAPE]), ["doc_id"], "found", "x")
     return _longs(x.select("doc_id", "x.start", "x.end", "x.label", F.format_string("%.3f", F.col("x.confidence").cast("double")).alias("confidence")))
 
 
 @query(f'WITH {O.winners([CARD_SHAPE, OTHER_DIGITS, BY_NAME["phone-international"]])} SELECT doc_id, start::BIGINT AS start, "end"::BIGINT AS "end", value, label FROM w')
 def spans_resolve_cross_label(spark, sf_dir):
     docs = _spans_of(table(spark, sf_dir, "documents"), [CARD_SHAPE, OTHER_DIGITS, BY_NAME["phone-international"]], merge=False)
-    x = docs.select("doc_id", F.explode(detect.reconcile(F.col("text"), F.col("found"))).alias("x"))
+    x = S.unnest(docs, ["doc_id"], detect.reconcile(F.col("text"), F.col("found")), "x")
     return _longs(x.select("doc_id", "x.start", "x.end", "x.value", "x.label"))
 
 
@@ -197,7 +197,7 @@ def spans_exclusion_antijoin(spark, sf_dir):
 def coref_groups(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = F.concat(pattern_spans(F.col("text"), OTHER_DIGITS), pattern_spans(F.col("text"), BY_NAME["email"]))
-    x = docs.select("doc_id", F.explode(found).alias("x")).select("doc_id", F.col("x.start").cast("bigint").alias("start"), "x.label", "x.value")
+    x = S.unnest(docs, ["doc_id"], found, "x").select("doc_id", F.col("x.start").cast("bigint").alias("start"), "x.label", "x.value")
     return reconcile.coreference(x, ["doc_id"], F.col("value")).select("doc_id", "start", "label", F.col("coref").cast("bigint").alias("coref"))
 
 
@@ -395,7 +395,7 @@ def policy_override_first(spark, sf_dir):
     """Reviewers keep the addresses that start at an even place; the policy erases the rest."""
     engine, policies = Engine(), [P_COARSE]
     audit = engine.analyze(table(spark, sf_dir, "documents"), policies)
-    e = audit.select("doc_id", F.explode("entities").alias("e")).where("e.label = 'email_address' and e.start % 2 = 0")
+    e = S.unnest(audit, ["doc_id"], "entities", "e").where("e.label = 'email_address' and e.start % 2 = 0")
     overrides = e.select("doc_id", "e.entity_id", F.lit(P_COARSE.id).alias("policy_id"), F.lit(json.dumps(ModalityRedactions.for_text("keep").to_json())).alias("action"))
     out = engine.anonymize(audit, policies, overrides)
     return out.select("doc_id", "redacted", F.size("entities").cast("bigint").alias("n_entities"))
@@ -404,7 +404,7 @@ def policy_override_first(spark, sf_dir):
 @query(f"WITH {O.winners(relevant(PATTERNS, compile_catalog([P_TABLE, P_COARSE])))} SELECT CASE WHEN label IN ('email_address', 'phone_number') THEN 'table' END AS name, CASE WHEN label IN ('email_address', 'phone_number') THEN {O.quote(P_TABLE.rules[0].id)} END AS source_id, CASE label WHEN 'email_address' THEN 'erase' WHEN 'phone_number' THEN 'replace' END AS operator, count(*) AS n FROM w WHERE label IN ('email_address', 'phone_number') GROUP BY ALL")
 def policy_attribution_counts(spark, sf_dir):
     out = Engine().run(table(spark, sf_dir, "documents"), [P_TABLE, P_COARSE])
-    x = out.select(F.explode("entities").alias("e")).select(F.explode("e.events").alias("x")).where("x.kind = 'redaction'")
+    x = S.unnest(S.unnest(out, [], "entities", "e"), [], "e.events", "x").where("x.kind = 'redaction'")
     return x.groupBy(F.col("x.attribution.name").alias("name"), F.col("x.attribution.source_id").alias("source_id"), F.col("x.operator").alias("operator")).agg(F.count("*").alias("n"))
 
 
@@ -520,7 +520,7 @@ def audit_provenance_export(spark, sf_dir):
 @query(f"WITH {O.winners(AUDITED)} SELECT {_UUID} AS entity_id, 'text' AS modality, 'mask' AS operator FROM w WHERE label = 'phone_number'")
 def audit_reviews_export(spark, sf_dir):
     audit = _audit(spark, sf_dir)
-    e = audit.select(F.explode("entities").alias("e"))
+    e = S.unnest(audit, [], "entities", "e")
     action = F.when(F.col("e.label") == "phone_number", json.dumps(ModalityRedactions.for_text("mask").to_json())).otherwise(json.dumps(ModalityRedactions.for_image("blur").to_json()))
     return sinks.reviews(audit, e.select("e.entity_id", action.alias("action")))
 
@@ -528,7 +528,7 @@ def audit_reviews_export(spark, sf_dir):
 @query(f"WITH {O.winners(AUDITED)} SELECT label, source, count(*) AS n FROM w JOIN documents USING (doc_id) GROUP BY ROLLUP (label, source)")
 def audit_rollup_label_source(spark, sf_dir):
     audit = Engine().analyze(table(spark, sf_dir, "documents"), [P_COARSE, P_TABLE])
-    e = audit.select("source", F.explode("entities").alias("e")).select("source", F.col("e.label").alias("label"))
+    e = S.unnest(audit, ["source"], "entities", "e").select("source", F.col("e.label").alias("label"))
     return e.rollup("label", "source").agg(F.count("*").alias("n"))
 
 
