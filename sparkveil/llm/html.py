@@ -36,31 +36,41 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*
 _RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "audio", "video", "canvas", "title", "xmp", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _DROP = {"nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "head", "fieldset", "label", "datalist"}
-_INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements that start and end a block; all others run on in the line.
+_BLOCK = set("""address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption
+figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre
+section summary table tbody td tfoot th thead title tr ul""".split())
 #: Words of a class, id or role that mark boilerplate.
 _WORDS = set("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead footer sidebar aside complementary contentinfo cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments disqus replies respond form search skip pagination pager toolbar widget".split())
+#: Of these, words that a page's frame may have too ("with-sidebar"): an article inside is read all the same.
+_LAYOUT = set("nav navbar navigation menu menubar header masthead footer sidebar ad ads cookie cookies modal overlay search".split())
+#: In an article, words that a heading's element may have.
+_HEADING = {"header", "masthead", "banner"}
 #: Start tags that end an open element of the same kind.
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
-def _boilerplate(name: str, attributes: str, in_article: bool) -> bool:
+def _boilerplate(name: str, attributes: str, in_article: bool) -> int:
+    """0: no boilerplate; 1: boilerplate; 2: boilerplate, unless an article is inside."""
     if name in _DROP or (name == "header" and not in_article):
-        return True
-    if not attributes or name in ("body", "html", "article", "main"):
-        return False
+        return 1
+    if not attributes or name in ("body", "html", "main"):
+        return 0
+    found: set[str] = set()
     for m in _ATTRIBUTE.finditer(attributes):
         kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if kind == "hidden" or kind == "aria-hidden" and value.lower() == "true":
-            return True
+            return 1
         if kind == "style":
             if "display:none" in re.sub(r"\s", "", value.lower()):
-                return True
+                return 1
         elif kind in ("class", "id", "role"):
             words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
-            if _WORDS.intersection(words):
-                return True
-    return False
+            found |= _WORDS.intersection(words)
+    if in_article or name == "article":
+        found -= _HEADING
+    return 0 if not found else 2 if found <= _LAYOUT else 1
 
 
 def blocks(page: str | None) -> list[tuple[int, str]]:
@@ -68,8 +78,8 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
     out: list[tuple[int, str]] = []
     if not page:
         return out
-    stack: list[tuple[str, bool, bool]] = []  # name, starts boilerplate, starts an article
-    dropped = articles = 0
+    stack: list[tuple[str, int, int, bool]] = []  # name; hard and soft boilerplate around it; whether it starts an article
+    hard = soft = articles = 0
     held: list[str] = []
 
     def close_block() -> None:
@@ -77,12 +87,12 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
             text = " ".join(html.unescape("".join(held)).split())
             held.clear()
             if text:
-                out.append((MARKED if dropped else ARTICLE if articles else OPEN, text))
+                out.append((MARKED if hard or soft else ARTICLE if articles else OPEN, text))
 
     def pop() -> None:
-        nonlocal dropped, articles
-        _, d, a = stack.pop()
-        dropped, articles = dropped - d, articles - a
+        nonlocal hard, soft, articles
+        _, hard, soft, a = stack.pop()
+        articles -= a
 
     at, end = 0, len(page)
     while at < end:
@@ -96,7 +106,7 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
         if not m[2]:
             continue
         name, closing = m[2].lower(), bool(m[1])
-        if name not in _INLINE:
+        if name in _BLOCK:
             close_block()
         if closing:
             if any(x[0] == name for x in stack):
@@ -118,9 +128,9 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
             while stack and stack[-1][0] == "head":
                 pop()
         d = _boilerplate(name, m[3], articles > 0)
-        a = not d and not dropped and (name in ("article", "main") or 'role="main"' in m[3])
-        stack.append((name, d, a))
-        dropped, articles = dropped + d, articles + a
+        a = not d and not hard and (name in ("article", "main") or 'role="main"' in m[3])
+        stack.append((name, hard, soft, a))
+        hard, soft, articles = hard + (d == 1), 0 if a else soft + (d == 2), articles + a
     close_block()
     return out
 

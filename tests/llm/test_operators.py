@@ -402,6 +402,8 @@ def test_blocks():
     <section id="comments"><p>Nice!</p></section></article><aside>Side</aside></main><footer>&copy;</footer><form><p>mail</p></form></body></html>"""
     kept = " ".join(t for k, t in html.blocks(page) if k == html.ARTICLE)
     assert kept == "Head & tail One bold word next Two é<p> Three"
+    framed = '<div class="page with-sidebar"><div id="menu">M</div><article class="post"><div class="entry-header"><h1>T</h1></div>a<img src=x>b<x-y>c</x-y><script>no</script>d<br>e</article><div class="comments"><article>first!</article></div></div>'
+    assert [t for k, t in html.blocks(framed) if k == html.ARTICLE] == ["T", "abcd", "e"]
     assert html.blocks(None) == html.blocks("") == []
     assert html.blocks("just text") == [(html.OPEN, "just text")]
 
