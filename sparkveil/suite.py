@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import tempfile
 from collections.abc import Callable
@@ -14,13 +15,13 @@ from .engine import Engine
 from .functions import crypto
 from .functions import spans as S
 from .functions.text import Match, build
-from .operators import detect, language, reconcile, tabular
-from .operators.recognizers import PATTERNS, Dictionary, Pattern, dictionary_spans, pattern_spans, relevant
+from .operators import audio, detect, image, language, reconcile, tabular
+from .operators.recognizers import PATTERNS, Dictionary, Pattern, dictionary_spans, pattern_spans, relevant, with_automaton
 from .plans import templates
 from .plans.catalog import Catalog, builtin, compile_catalog
 from .plans.decide import Override
-from .plans.policy import AnalyzerParams, LabelEntry, ModalityRedactions, Policy, Predicate, Rule, Scope, ScopeParams, text_op
-from .sources import sinks
+from .plans.policy import AnalyzerParams, LabelEntry, ModalityRedactions, Policy, Predicate, Redaction, Rule, Scope, ScopeParams, text_op
+from .sources import files, sinks
 from .streaming import redact as streaming
 
 BY_NAME = {p.name: p for p in PATTERNS}
@@ -201,6 +202,37 @@ def coref_groups(spark, sf_dir):
     return reconcile.coreference(x, ["doc_id"], F.col("value")).select("doc_id", "start", "label", F.col("coref").cast("bigint").alias("coref"))
 
 
+MANY_TERMS = Dictionary("licenses", "certificate_number", (*LICENSES.terms, *(f"term number {i}" for i in range(400))))
+
+
+@query(SQL["detect_dictionary_license"])
+def detect_dictionary_automaton(spark, sf_dir):
+    found = with_automaton(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "found", [MANY_TERMS])
+    return _longs(S.unnest(found, ["doc_id"], "found", "x").select("doc_id", "x.start", "x.end", "x.value"))
+
+
+@query("SELECT doc_id, 'person_name' AS label, substr(text, 3, 6) AS value, '1.000' AS confidence FROM documents WHERE len(text) >= 8")
+def detect_inclusions(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("length(text) >= 8").withColumn("given", F.array(F.struct(F.lit(2).alias("start"), F.lit(8).alias("end"), F.lit("person_name").alias("label"))))
+    engine = Engine(detection=detect.Detection(patterns=()))
+    audit = engine.analyze(docs, params=AnalyzerParams(inclusions="given"))
+    return sinks.entities(audit).select("doc_id", "label", "confidence").join(S.unnest(audit, ["doc_id"], "entities", "e").select("doc_id", "e.value"), "doc_id")
+
+
+@query(f"WITH {O.winners([CARD_SHAPE, OTHER_DIGITS, BY_NAME['phone-international']])} SELECT doc_id, min(start)::BIGINT AS start, max(\"end\")::BIGINT AS \"end\", arg_min(label, r) AS label FROM c2 GROUP BY doc_id, island")
+def spans_union_policy(spark, sf_dir):
+    docs = _spans_of(table(spark, sf_dir, "documents"), [CARD_SHAPE, OTHER_DIGITS, BY_NAME["phone-international"]], merge=False)
+    x = S.unnest(docs, ["doc_id"], detect.reconcile(F.col("text"), F.col("found"), policy="union"), "x")
+    return _longs(x.select("doc_id", "x.start", "x.end", "x.label"))
+
+
+@query(f"WITH {O.winners([CARD_SHAPE, OTHER_DIGITS])} SELECT doc_id, label, start::BIGINT AS start, first_value(label) OVER (PARTITION BY doc_id, island ORDER BY r) AS winner, r = 1 AS wins FROM c2")
+def spans_cluster_winners(spark, sf_dir):
+    docs = _spans_of(table(spark, sf_dir, "documents"), [CARD_SHAPE, OTHER_DIGITS])
+    x = S.unnest(docs, ["doc_id"], "found", "x").select("doc_id", "x.start", "x.end", "x.label", "x.confidence")
+    return reconcile.cluster_winners(x, ["doc_id"]).select("doc_id", "label", F.col("start").cast("bigint").alias("start"), "winner", "wins")
+
+
 # -- text operators over documents --------------------------------------------
 
 COMMON = ["email_address", "phone_number", "ip_address", "payment_card", "password"]
@@ -448,6 +480,37 @@ def template_label_catalog(spark, sf_dir):
     return _longs(templates.frame(spark).drop("name")).withColumn("effective_date", F.col("effective_date").cast("string"))
 
 
+def _rest_of_the_templates() -> None:
+    """The configurations without a query of their own."""
+    pseudonym = lambda t: _pseudonym_sql(t.policy.id, "doc_id::VARCHAR", "label", _COREF)
+    for scope in templates.GDPR_SCOPES[1:]:
+        _template(f"template_gdpr_erase_{scope}", templates.gdpr("erase", scope), "''")
+    for scope in templates.GDPR_SCOPES:
+        t = templates.gdpr("pseudonymize", scope)
+        _template(f"template_gdpr_pseudonymize_{scope}", t, pseudonym(t))
+    _template("template_pci_last_four", templates.pci_pan("truncate_last_four"), "CASE WHEN len(value) > 4 THEN right(value, 4) ELSE '' END")
+    _template("template_hipaa_safe_harbor_extended", templates.hipaa("safe_harbor", "extended"), _AGES.format(rest="''"))
+    _template("template_hipaa_lds_extended", templates.hipaa("limited_data_set", "extended"), "''")
+    t = templates.hipaa("expert_determination", "extended")
+    _template("template_hipaa_expert_extended", t, _AGES.format(rest=pseudonym(t)))
+    _template("template_pci_hmac512", templates.pci_pan("hmac_sha512"), "''", engine=KEYED)
+    del SQL["template_pci_hmac512"]  # DuckDB has no SHA-512
+
+
+_rest_of_the_templates()
+
+
+def _catalog_sql() -> str:
+    rows = ", ".join(f"({O.quote(k)}, {O.quote(v.category)}, {len(v.tags)}::BIGINT, {str('pii' in v.tags).lower()})" for k, v in builtin().labels.items())
+    return f"SELECT * FROM (VALUES {rows}) v(label, category, n_tags, is_pii)"
+
+
+@query(_catalog_sql())
+def catalog_labels(spark, sf_dir):
+    c = builtin().frame(spark)
+    return c.select("label", "category", F.size("tags").cast("bigint").alias("n_tags"), F.array_contains("tags", "pii").alias("is_pii"))
+
+
 # -- tables -------------------------------------------------------------------
 
 NAMED = Pattern("customer-name", "person_name", r"Customer#[0-9]+", 0.9)
@@ -547,6 +610,101 @@ def audit_join_labels(spark, sf_dir):
     return e.join(labels, "doc_id").groupBy(F.col("toxic").cast("bigint").alias("toxic"), F.col("quality").cast("bigint").alias("quality"), "label").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {O.winners(AUDITED)} SELECT doc_id::VARCHAR AS id, count(w.label) AS n_entities, 'auto' AS raster_mode FROM documents LEFT JOIN w USING (doc_id) GROUP BY doc_id")
+def audit_json_roundtrip(spark, sf_dir):
+    audit = Engine().analyze(table(spark, sf_dir, "documents"), [P_COARSE, P_TABLE])
+    back = sinks.from_json(sinks.to_json(audit), audit)
+    return back.select("id", F.size("entities").cast("bigint").alias("n_entities"), F.col("context.raster_mode").alias("raster_mode"))
+
+
+# -- pictures, sounds and containers ------------------------------------------
+
+
+def _made(spark, sf_dir, make: Callable[[int, str], bytes]) -> DataFrame:
+    """The nations, each with a file made from its key and name."""
+
+    @F.pandas_udf("binary")
+    def content(k, name):
+        return k.combine(name, lambda a, b: make(int(a), b))
+
+    return table(spark, sf_dir, "nation").select("n_nationkey", "n_name", content("n_nationkey", "n_name").alias("content"))
+
+
+def _pixel_sum(df: DataFrame) -> DataFrame:
+    @F.pandas_udf("bigint")
+    def total(c):
+        return c.map(lambda data: int(files.png_pixels(bytes(data)).sum()))
+
+    return df.select("n_nationkey", total("content").alias("total"))
+
+
+_FLAT = "8 * 8 * 3 * 10 * n_nationkey"
+
+
+@query(f"SELECT n_nationkey, o.name AS operator, CASE o.name WHEN 'erase' THEN 58 * 3 * 10 * n_nationkey + 6 * 3 * 255 WHEN 'blackbox' THEN 58 * 3 * 10 * n_nationkey ELSE {_FLAT} END::BIGINT AS total FROM nation CROSS JOIN (VALUES ('erase'), ('keep'), ('blur'), ('pixelate'), ('blackbox')) o(name)")
+def image_operators(spark, sf_dir):
+    import numpy as np
+
+    pictures = _made(spark, sf_dir, lambda k, _: files.png_bytes(np.full((8, 8, 3), 10 * k, np.uint8)))
+    pictures = pictures.withColumn("regions", F.array(F.struct(*[F.lit(v).alias(n) for n, v in (("x", 1), ("y", 2), ("w", 2), ("h", 3))])))
+    parts = [_pixel_sum(image.redact_images(pictures, Redaction.of("image", kind))).withColumn("operator", F.lit(kind)) for kind in ("erase", "keep", "blur", "pixelate", "blackbox")]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+@query("SELECT n_nationkey, o.name AS operator, CASE o.name WHEN 'erase' THEN 600 ELSE 800 END::BIGINT AS frames, CASE o.name WHEN 'erase' THEN 600 * n_nationkey WHEN 'silence' THEN 600 * n_nationkey WHEN 'keep' THEN 800 * n_nationkey END::BIGINT AS total FROM nation CROSS JOIN (VALUES ('erase'), ('keep'), ('silence'), ('beep')) o(name)")
+def audio_operators(spark, sf_dir):
+    import io
+    import wave
+
+    import numpy as np
+
+    def clip(k: int, _: str) -> bytes:
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setnchannels(1)
+            w.setsampwidth(2)
+            w.setframerate(800)
+            w.writeframes(np.full(800, k, np.int16).tobytes())
+        return out.getvalue()
+
+    @F.pandas_udf("frames bigint, total bigint")
+    def measured(c):
+        import pandas as pd
+
+        def one(data):
+            with wave.open(io.BytesIO(bytes(data))) as w:
+                x = np.frombuffer(w.readframes(w.getnframes()), np.int16)
+            return len(x), int(x.sum(dtype=np.int64))
+
+        return pd.DataFrame([one(d) for d in c], columns=["frames", "total"])
+
+    clips = _made(spark, sf_dir, clip).withColumn("intervals", F.array(F.struct(F.lit(0.25).alias("t_start"), F.lit(0.5).alias("t_end"))))
+    parts = []
+    for kind in ("erase", "keep", "silence", "beep"):
+        m = audio.redact_audio(clips, Redaction.of("audio", kind)).select("n_nationkey", measured("content").alias("m"))
+        parts.append(m.select("n_nationkey", F.lit(kind).alias("operator"), "m.frames", (F.lit(None) if kind == "beep" else F.col("m.total")).cast("bigint").alias("total")))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+@query("SELECT n_nationkey, NULL::VARCHAR AS part_id, 'text' AS modality, 'About ' || n_name || chr(10) || 'second' AS text FROM nation UNION ALL SELECT n_nationkey, 'word/media/image1.png', 'image', NULL FROM nation")
+def source_docx_parts(spark, sf_dir):
+    import io
+    import zipfile
+
+    def docx(_: int, name: str) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:p><w:t>About {name}</w:t></w:p><w:p><w:t>second</w:t></w:p></w:document>')
+            z.writestr("word/media/image1.png", b"picture")
+        return out.getvalue()
+
+    @F.pandas_udf("array<struct<part_id:string,modality:string,text:string>>")
+    def parts(c):
+        return c.map(lambda data: [{"part_id": p, "modality": m, "text": t} for p, m, t, _ in files.decode(bytes(data), "docx")])
+
+    return S.unnest(_made(spark, sf_dir, docx), ["n_nationkey"], parts("content"), "p").select("n_nationkey", "p.*")
+
+
 # -- streams ------------------------------------------------------------------
 
 EVENT_KEY = Pattern("event-key", "internal_id", r"\"k\": ?[0-9]+", 0.9, inner=r"[0-9]+$")
