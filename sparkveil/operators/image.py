@@ -1,4 +1,4 @@
-"""Image regions: operators on pixel arrays, applied to PNG bytes in Arrow batches."""
+"""Image regions: operators on pixel arrays, applied to PNG and TIFF bytes in Arrow batches."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from ..errors import REDACTION, VeilError
 from ..plans.policy import Redaction
-from ..sources.files import png_bytes, png_pixels
+from ..sources.files import picture_bytes, picture_pages
 
 
 def _color(text: str) -> tuple[int, int, int]:
@@ -60,7 +60,7 @@ def apply(pixels: np.ndarray, box: tuple[int, int, int, int], r: Redaction) -> n
 
 
 def redact_images(df: DataFrame, r: Redaction, content_col: str = "content", regions_col: str = "regions") -> DataFrame:
-    """``df`` with operator ``r`` on each of a picture's regions (array<struct<x,y,w,h>>); without regions the bytes stay as they are."""
+    """``df`` with operator ``r`` on each of a picture's regions (array<struct<x,y,w,h>>, with page for TIFF pages after the first); without regions the bytes stay as they are."""
     at, boxes = df.columns.index(content_col), df.columns.index(regions_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,10 +68,12 @@ def redact_images(df: DataFrame, r: Redaction, content_col: str = "content", reg
             out = []
             for data, regions in zip(b.column(at).to_pylist(), b.column(boxes).to_pylist()):
                 if data is not None and regions and r.kind != "keep":
-                    pixels = png_pixels(data)
+                    pages = picture_pages(data)
                     for g in regions:
-                        pixels = apply(pixels, (g["x"], g["y"], g["w"], g["h"]), r)
-                    data = png_bytes(pixels)
+                        k = g.get("page") or 0
+                        if k < len(pages):
+                            pages[k] = apply(pages[k], (g["x"], g["y"], g["w"], g["h"]), r)
+                    data = picture_bytes(pages, data)
                 out.append(data)
             columns = list(b.columns)
             columns[at] = pa.array(out, pa.binary())

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from ..errors import CAPABILITY_UNAVAILABLE, MALFORMED_INPUT, VeilError
 
 #: Extension to body modality. Formats that only a codec library could decode are refused by name.
-FORMATS = {"txt": "text", "json": "text", "html": "text", "htm": "text", "xml": "text", "rtf": "text", "docx": "text", "pdf": "text", "csv": "tabular", "xlsx": "tabular", "png": "image", "wav": "audio"}
-REFUSED = {"jpeg": "image", "jpg": "image", "tiff": "image", "tif": "image", "mp3": "audio"}
+FORMATS = {"txt": "text", "json": "text", "html": "text", "htm": "text", "xml": "text", "rtf": "text", "docx": "text", "pdf": "text", "csv": "tabular", "xlsx": "tabular", "png": "image", "tiff": "image", "tif": "image", "wav": "audio"}
+REFUSED = {"jpeg": "image", "jpg": "image", "mp3": "audio"}
 #: Whether pages can be rendered as images.
 RENDERABLE = False
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -189,6 +189,63 @@ def png_bytes(pixels) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
 
 
+def tiff_pages(data: bytes) -> list:
+    """Height x width x channels of each page of a TIFF with 8-bit gray or RGB strips, plain or deflated."""
+    import numpy as np
+
+    order = {b"II*\0": "<", b"MM\0*": ">"}.get(data[:4])
+    if order is None:
+        raise ValueError("no TIFF header")
+    sizes = {1: "B", 2: "B", 3: "H", 4: "I"}
+    pages, at = [], struct.unpack(order + "I", data[4:8])[0]
+    while at:
+        tags, (n,) = {}, struct.unpack(order + "H", data[at : at + 2])
+        for k in range(n):
+            entry = data[at + 2 + 12 * k : at + 14 + 12 * k]
+            tag, kind, count = struct.unpack(order + "HHI", entry[:8])
+            if kind in sizes:
+                width = struct.calcsize(sizes[kind]) * count
+                raw = entry[8 : 8 + width] if width <= 4 else data[(o := struct.unpack(order + "I", entry[8:])[0]) : o + width]
+                tags[tag] = struct.unpack(f"{order}{count}{sizes[kind]}", raw)
+        one = lambda tag, default: tags.get(tag, (default,))[0]
+        channels, packed = one(277, 1), one(259, 1)
+        if set(tags.get(258, (1,))) != {8} or channels not in (1, 3, 4) or packed not in (1, 8, 32946) or one(317, 1) != 1 or one(284, 1) != 1:
+            raise VeilError(CAPABILITY_UNAVAILABLE, "TIFF: only 8-bit gray and color, plain or deflated")
+        strips = [data[o : o + c] for o, c in zip(tags[273], tags[279])]
+        body = b"".join(s if packed == 1 else zlib.decompress(s) for s in strips)
+        pages.append(np.frombuffer(body, np.uint8).reshape(one(257, 0), one(256, 0), channels).copy())
+        at = struct.unpack(order + "I", data[at + 2 + 12 * n : at + 6 + 12 * n])[0]
+    return pages
+
+
+def tiff_bytes(pages: list) -> bytes:
+    """A TIFF of 8-bit pages with one deflated strip each."""
+    import numpy as np
+
+    out, link = bytearray(b"II*\0\0\0\0\0"), 4
+    for p in pages:
+        h, w, channels = p.shape
+        body, strip = zlib.compress(np.ascontiguousarray(p, np.uint8).tobytes()), len(out)
+        out += body + b"\0" * (len(body) % 2)
+        depths = len(out)
+        out += struct.pack(f"<{channels}H", *[8] * channels) + b"\0" * (channels * 2 % 4)
+        tags = [(256, 4, 1, w), (257, 4, 1, h), (258, 3, channels, 8 if channels == 1 else depths), (259, 3, 1, 8), (262, 3, 1, 1 if channels == 1 else 2), (273, 4, 1, strip), (277, 3, 1, channels), (278, 4, 1, h), (279, 4, 1, len(body))]
+        out[link : link + 4] = struct.pack("<I", len(out))
+        out += struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags) + b"\0\0\0\0"
+        link = len(out) - 4
+    return bytes(out)
+
+
+def picture_pages(data: bytes) -> list:
+    """The pages of a PNG (one) or TIFF."""
+    return tiff_pages(data) if data[:2] in (b"II", b"MM") else [png_pixels(data)]
+
+
+def picture_bytes(pages: list, like: bytes) -> bytes:
+    """Pages in the format of ``like``."""
+    return tiff_bytes(pages) if like[:2] in (b"II", b"MM") else png_bytes(pages[0])
+
+
 def html_text(html: str) -> str:
     """Visible text of markup: without scripts, styles and tags, references decoded."""
     import html as h
@@ -208,8 +265,8 @@ def decode(data: bytes, extension: str | None) -> list[tuple[str | None, str, st
             return [(None, kind, rtf_text(data), None)]
         if e == "pdf":
             return [(None, kind, pdf_text(data), None)]
-        if e == "png":
-            png_pixels(data)
+        if e in ("png", "tiff", "tif"):
+            picture_pages(data)
             return [(None, kind, None, data)]
         if e == "wav":
             import wave
