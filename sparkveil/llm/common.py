@@ -49,17 +49,32 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
 
 
 def unstage(df: DataFrame) -> None:
-    """Delete the files of a staged table that nothing reads any more."""
+    """Delete a staged table that nothing reads any more."""
     spark = df.sparkSession
-    roots = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for root in roots:
-        if "/sparkveil/" in root:
-            path = spark._jvm.org.apache.hadoop.fs.Path(root)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._staged)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Scratch:
+    """Staged tables that go together, once a later staged table holds what they led to."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(stage(df, name))
+        return self.tables[-1]
+
+    def clear(self) -> None:
+        for t in self.tables:
+            unstage(t)
+        self.tables.clear()
 
 
 def word_blocks(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:

@@ -28,7 +28,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of ``edges`` (u, v: bigint); root is the component's smallest node.
 
     Nodes without an edge don't appear. Null ends, loops and repeated edges are
-    ignored. An empty input gives an empty result.
+    ignored. An empty input gives an empty result. What comes back reads one
+    staged table; all others are deleted.
     """
     e = edges.where("u is not null and v is not null and u <> v")
     e = stage(e.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")

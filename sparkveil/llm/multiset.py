@@ -25,8 +25,8 @@ from .common import word_blocks
 
 LANES = 128
 SHINGLE = 3
-#: Rows that one range of ids holds, about; the number of ranges grows with the table.
-RANGE_ROWS = 4096
+#: Rows that one range of ids holds, about, and the most ranges, whose starts every task gets (under 1 MB).
+RANGE_ROWS, MOST_RANGES = 4096, 100_000
 _FIRST = -(1 << 63)
 
 
@@ -98,7 +98,7 @@ def _starts(docs: DataFrame, order: F.Column, range_rows: int) -> list[int]:
     n = keys.count()
     if not n:
         return []
-    parts = keys.repartitionByRange(max(1, n // range_rows), "k")
+    parts = keys.repartitionByRange(min(MOST_RANGES, max(1, n // range_rows)), "k")
     return sorted({r[0] for r in parts.groupBy(F.spark_partition_id()).agg(F.min("k")).select("min(k)").collect()})
 
 

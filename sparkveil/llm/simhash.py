@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, stage, word_blocks
+from .common import Scratch, fresh, stage, word_blocks
 from .components import connected_components
 
 DISTANCE = 3
@@ -235,13 +235,13 @@ def _block_links(distance: int):
     return run
 
 
-def near_links(fps: DataFrame, distance: int = DISTANCE, parts: int = PARTS, block: int = BLOCK) -> DataFrame:
+def near_links(fps: DataFrame, distance: int = DISTANCE, parts: int = PARTS, block: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
     """Links (u, v) between distinct fingerprints ``fps`` (fp) that connect exactly those a chain of steps of at most ``distance`` bits connects.
 
     In a block of over 32 members, links are thinned to a spanning forest of
     the block's own links, so the output never grows with the square of a group.
     """
-    masks = plan(fps, distance, parts)
+    masks, scratch = plan(fps, distance, parts), scratch or Scratch()
 
     def keyed(rows: DataFrame, mask_lists: dict[int, list[int]] | None) -> DataFrame:
         if mask_lists is None:
@@ -252,7 +252,7 @@ def near_links(fps: DataFrame, distance: int = DISTANCE, parts: int = PARTS, blo
 
     rows, out, level = keyed(fps, None), None, masks
     while True:
-        large = stage(rows.groupBy("mask", "val").agg(F.count("*").alias("c")).where(F.col("c") > block).select("mask", "val"), "large-blocks")
+        large = scratch.stage(rows.groupBy("mask", "val").agg(F.count("*").alias("c")).where(F.col("c") > block).select("mask", "val"), "large-blocks")
         open_masks = [r[0] for r in large.select("mask").distinct().collect()]
         ready = rows.join(large, ["mask", "val"], "left_anti") if open_masks else rows
         pairs = ready.repartition("mask", "val").sortWithinPartitions("mask", "val").select("mask", "val", "fp").mapInArrow(_block_links(distance), "u bigint, v bigint")
@@ -270,7 +270,7 @@ def near_links(fps: DataFrame, distance: int = DISTANCE, parts: int = PARTS, blo
         if not split:
             return out
         level = sorted({k for s in split.values() for k in s})
-        rows = stage(keyed(hot, split).distinct(), "split-blocks")
+        rows = scratch.stage(keyed(hot, split).distinct(), "split-blocks")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
@@ -282,12 +282,14 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``docs`` are ignored, whatever their names.
     """
     each = stage(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = stage(each.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    links = near_links(distinct.select("fp"), distance)
-    member = stage(connected_components(links), "members").select(F.col("node").alias("fp"), "root")
+    scratch = Scratch()
+    distinct = scratch.stage(each.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    links = near_links(distinct.select("fp"), distance, scratch=scratch)
+    member = scratch.stage(connected_components(links), "members").select(F.col("node").alias("fp"), "root")
     rooted = distinct.join(member, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    group = stage(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "groups")
+    group = scratch.stage(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "groups")
     known = stage(rooted.select("fp", "root").join(group, "root").select("fp", "root", "component_id"), "known")
+    scratch.clear()
     return each.join(known, "fp").select("id", "text_hash", "fp", "root", "component_id")
 
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import Scratch, stage
 from .features import _BYTE, _MIX, _power
 from .suffixes import common_prefixes, suffix_array
 
@@ -155,8 +155,9 @@ def _runs(distances: list[int], last: int, length: int) -> list[tuple[int, int]]
     return out
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, strip: int = STRIP, group: int = GROUP) -> DataFrame:
-    """(i, h, s, e): stretches [s, e) of the text with key (i, h) that repeated windows cover; they may overlap. ``docs`` has i, h and text."""
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, strip: int = STRIP, group: int = GROUP, scratch: Scratch | None = None) -> DataFrame:
+    """(i, h, s, e): stretches [s, e) of the text with key (i, h) that repeated windows cover; they may overlap. ``docs`` has i, h and text; tables on the way are ``scratch``'s."""
+    scratch = scratch or Scratch()
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "context", "i", "h", "low", "high", "at"]
@@ -176,14 +177,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, stri
         if held:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
-    found = stage(docs.mapInArrow(lambda it: joined(find(it)), "key bigint, context bigint, i bigint, h bigint, low bigint, high bigint, at bigint"), "anchors")
-    often = stage(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "anchor-keys")
-    found = stage(found.join(often, "key", "left_semi"), "repeated-anchors")
-    contexts = stage(found.groupBy("key", "context").agg(F.count("*").alias("n"), F.min(F.struct("i", "h", "low", "high", "at")).alias("one")), "contexts")
+    found = scratch.stage(docs.mapInArrow(lambda it: joined(find(it)), "key bigint, context bigint, i bigint, h bigint, low bigint, high bigint, at bigint"), "anchors")
+    often = scratch.stage(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "anchor-keys")
+    found = scratch.stage(found.join(often, "key", "left_semi"), "repeated-anchors")
+    contexts = scratch.stage(found.groupBy("key", "context").agg(F.count("*").alias("n"), F.min(F.struct("i", "h", "low", "high", "at")).alias("one")), "contexts")
     whole = found.join(contexts.where("n > 1").select("key", "context"), ["key", "context"], "left_semi").select("i", "h", F.col("low").alias("s"), (F.col("high") + length).alias("e"))
-    rims = stage(contexts.where("n = 1").select("key").distinct(), "rim-keys")
+    rims = scratch.stage(contexts.where("n = 1").select("key").distinct(), "rim-keys")
     open_ = contexts.where("n = 1").unionByName(contexts.where("n > 1").join(rims, "key", "left_semi")).select("one.*")
-    open_ = stage(open_.groupBy("i", "h").agg(F.collect_list(F.struct("low", "high", "at")).alias("found")), "open-contexts")
+    open_ = scratch.stage(open_.groupBy("i", "h").agg(F.collect_list(F.struct("low", "high", "at")).alias("found")), "open-contexts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -195,9 +196,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, stri
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))], ["core", "l", "r", "i", "h", "last"])
 
     parts = docs.join(open_, ["i", "h"])
-    parts = stage(parts.select("i", "h", "text", "found").mapInArrow(cut, "core bigint, l binary, r binary, i bigint, h bigint, last bigint"), "strips")
-    size = stage(parts.groupBy("core").agg(F.count("*").alias("n")).where("n > 1"), "core-sizes")
-    few, many = size.where(F.col("n") <= group).select("core"), stage(size.where(F.col("n") > group).select("core"), "large-cores")
+    parts = scratch.stage(parts.select("i", "h", "text", "found").mapInArrow(cut, "core bigint, l binary, r binary, i bigint, h bigint, last bigint"), "strips")
+    size = scratch.stage(parts.groupBy("core").agg(F.count("*").alias("n")).where("n > 1"), "core-sizes")
+    few, many = size.where(F.col("n") <= group).select("core"), scratch.stage(size.where(F.col("n") > group).select("core"), "large-cores")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple] = []  # groups to be sorted together: strips, repeated, owners
@@ -257,8 +258,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, stri
         windows = parts.join(many, "core", "left_semi").withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(strip - 1)))).where((before >= d) & (after >= strip - 1 - d))
         inside = [F.expr("substring(l, length(l) - d + 1, d)"), F.expr(f"substring(r, 1, {strip - 1} - d)")]
         windows = windows.select("i", "h", (F.col("last") - d).alias("s"), F.xxhash64("core", "d", *inside).alias("a"), F.xxhash64(*inside, "d", "core").alias("b"))
-        windows = stage(windows.distinct(), "windows")
-        twice = stage(windows.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b"), "repeated-windows")
+        windows = scratch.stage(windows.distinct(), "windows")
+        twice = scratch.stage(windows.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b"), "repeated-windows")
         spans = spans.unionByName(windows.join(twice, ["a", "b"], "left_semi").select("i", "h", "s", (F.col("s") + length).alias("e")))
     return spans
 
@@ -273,8 +274,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     id_ = F.col(id_col).cast("bigint")
     keyed = docs.select(id_.alias("doc_id"), F.coalesce(id_, F.lit(-(1 << 63))).alias("i"), F.xxhash64(F.col(text_col)).alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    spans = repeated_spans(keyed.select("i", "h", "text"), length)
+    scratch = Scratch()
+    spans = repeated_spans(keyed.select("i", "h", "text"), length, scratch=scratch)
     spans = stage(spans.groupBy("i", "h").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans")), "spans")
+    scratch.clear()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text

@@ -267,7 +267,7 @@ def test_removal_matches_brute_force(spark, monkeypatch, group):
         texts += [b, b[:k] + "#" + b[k:], b[: len(b) // 2] + passage[a : a + rng.randint(395, 500)] + b[len(b) // 2 :] + passage[: rng.randint(399, 402)]]
     texts += [None, "a" * 1200, "ab" * 700, texts[0], "short"]
     spans = substrings.repeated_spans
-    monkeypatch.setattr(substrings, "repeated_spans", lambda docs, length: spans(docs, length, group=group))
+    monkeypatch.setattr(substrings, "repeated_spans", lambda docs, length, scratch: spans(docs, length, group=group, scratch=scratch))
     got = {r[0]: tuple(r)[1:5] for r in substrings.remove_repeats(table(spark, texts), with_text=True).collect()}
     assert [got[i] for i in range(len(texts))] == brute_removal(texts, 400)
 
