@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime
 import hashlib
 import uuid
 from collections.abc import Sequence
@@ -136,7 +135,3 @@ def documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", ext
     name = F.md5(F.concat(F.lit("correlation|"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
     correlation = F.concat_ws("-", *[F.substring(name, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
     return df.withColumns({"doc_id": F.col(id_col), "text": F.col(text_col), "extension": F.lit(extension), "correlation_id": correlation})
-
-
-def now() -> datetime.datetime:
-    return datetime.datetime.now(datetime.timezone.utc)

@@ -19,7 +19,6 @@ from .operators import audio, detect, image, language, reconcile, tabular
 from .operators.recognizers import PATTERNS, Dictionary, Pattern, dictionary_spans, pattern_spans, relevant, with_automaton
 from .plans import templates
 from .plans.catalog import Catalog, builtin, compile_catalog
-from .plans.decide import Override
 from .plans.policy import AnalyzerParams, LabelEntry, ModalityRedactions, Policy, Predicate, Redaction, Rule, Scope, ScopeParams, text_op
 from .sources import files, sinks
 from .streaming import redact as streaming
