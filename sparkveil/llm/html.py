@@ -6,7 +6,7 @@ names, an article by its element. What is in neither is decided by the host:
 the token streams of its pages are concatenated, long token strings that many
 distinct pages repeat are found with a suffix array, what they cover is
 boilerplate, and the other runs stay. Pages of one host are dealt to groups of
-about ``GROUP`` pages by a hash of their id, so a host of any size is worked on
+about ``GROUP`` pages by a hash of their row, so a host of any size is worked on
 in parallel and a group fits in memory; a group is a random share of its host,
 so what its host repeats, it repeats.
 """
@@ -174,10 +174,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     url = F.col(url_col)
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), url.alias("url"), F.col(html_col).alias("html"), host.alias("host"))
+    rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), url.alias("url"), F.col(html_col).alias("html"), host.alias("host"), F.monotonically_increasing_id().alias("row"))
     sizes = stage(rows.groupBy("host").agg(F.count("*").alias("n")), "host-sizes")
     rows = rows.join(sizes, "host")
-    deal = F.pmod(F.xxhash64("page_id", "url"), F.ceil(F.col("n") / group)).cast("int")
+    deal = F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / group)).cast("int")  # by row, so that copies spread too
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -102,3 +102,18 @@ def test_pipeline_on_empty_documents(spark, sf_dir, tmp_path):
         docs.write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
     assert docs.count() == 0
+
+
+def test_staged_tables_can_be_cleared(spark):
+    from sparkveil.llm.common import Scratch, clear, stage
+
+    scratch = Scratch()
+    a, b = scratch.stage(spark.range(3), "a"), stage(spark.range(4), "b")
+    assert a.count() == 3
+    scratch.clear()
+    with pytest.raises(Exception):
+        spark.read.parquet(a._staged).count()
+    assert b.count() == 4
+    clear(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(b._staged).count()
