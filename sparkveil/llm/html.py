@@ -1,11 +1,11 @@
 """Main text of web pages, with a suffix array per host.
 
-A page is read as a stream of blocks. Marked-up boilerplate (menus, footers,
-adverts, forms, comments and the like) is known by its elements and class
-names, an article by its element. What is in neither is decided by the host:
-the token streams of its pages are concatenated, long token strings that many
-distinct pages repeat are found with a suffix array, what they cover is
-boilerplate, and the other runs stay. Pages of one host are dealt to groups of
+A page is read as a stream of blocks. The host decides about all of them, in an
+article element or not: the token streams of its pages are concatenated, long
+token strings that many distinct pages repeat are found with a suffix array,
+what they cover is boilerplate, and the other runs stay. Marked-up boilerplate
+(menus, footers, adverts, forms, comments and the like) is known by its
+elements and class names and goes besides. Pages of one host are dealt to groups of
 about ``GROUP`` pages by a hash of their row, so a host of any size is worked on
 in parallel and a group fits in memory; a group is a random share of its host,
 so what its host repeats, it repeats.
@@ -140,35 +140,70 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def repeated_tokens(streams: list[list[str]], tokens: int = TOKENS, pages: int = PAGES, share: float = SHARE) -> list[np.ndarray]:
-    """For each page's token stream which tokens a string of ``tokens`` tokens covers that distinct pages repeat often enough."""
+def repeated_strings(streams: list[list[str]], tokens: int, least: float) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each string of ``tokens`` tokens that at least ``least`` distinct streams have, the places where it starts; places count through the streams, each with one more for its end. And the stream of each place.
+
+    Tokens that only strings of too few places cover are left out before the
+    suffix array sorts the rest, a mark of its own in place of each such run.
+    Strings are told apart by a hash there, so what is left out is certain.
+    """
     ids: dict[str, int] = {}
-    symbols: list[int] = []
-    owner: list[int] = []
+    flat: list[int] = []
     for k, stream in enumerate(streams):
-        symbols.extend(ids.setdefault(t, len(ids)) + len(streams) for t in stream)
-        symbols.append(k)  # ends the page; each once
-        owner.extend([k] * (len(stream) + 1))
-    flat = np.zeros(len(symbols) + 1, np.int64)
-    if len(symbols) > len(streams):
-        order = np.array(suffix_array(symbols))
-        starts = np.flatnonzero(np.r_[True, common_prefixes(symbols, order.tolist())[1:] < tokens])
-        own = np.array(owner)[order]
-        for s, e in zip(starts.tolist(), np.r_[starts[1:], len(order)].tolist()):
-            if e - s >= pages and len(np.unique(own[s:e])) >= max(pages, share * len(streams)):
-                np.add.at(flat, order[s:e], 1)
-                np.add.at(flat, order[s:e] + tokens, -1)
-    covered = np.cumsum(flat)[:-1] > 0
+        flat.extend(ids.setdefault(t, len(ids)) for t in stream)
+        flat.append(-1 - k)  # ends the page; each once
+    places = np.array(flat, np.int64)
+    owner = np.repeat(np.arange(len(streams)), [len(s) + 1 for s in streams])
+    if len(flat) < tokens:
+        return [], owner
+    _, back, counts = np.unique(window_keys(places.view(np.uint64), tokens), return_inverse=True, return_counts=True)
+    left = np.flatnonzero(_covered(np.flatnonzero(counts[back] >= least), len(flat), tokens))
+    if not len(left):
+        return [], owner
+    gap = np.flatnonzero(np.diff(left) > 1) + 1
+    symbols = np.insert(places[left], gap, -1 - len(streams) - np.arange(len(gap)))
+    symbols = np.append(symbols, -1 - len(streams) - len(gap)).tolist()
+    at = np.append(np.insert(left, gap, -1), -1)
+    order = np.array(suffix_array(symbols))
+    starts = np.flatnonzero(np.r_[True, common_prefixes(symbols, order.tolist())[1:] < tokens])
+    own = at[order]
+    found = []
+    for s, e in zip(starts.tolist(), np.r_[starts[1:], len(order)].tolist()):
+        if e - s >= least and own[s] >= 0 and len(np.unique(owner[own[s:e]])) >= least and (places[own[s] : own[s] + tokens] >= 0).all():
+            found.append(own[s:e])
+    return found, owner
+
+
+def window_keys(tokens: np.ndarray, width: int) -> np.ndarray:
+    """64 bits for each string of ``width`` of the 64-bit ``tokens``, by the place where it starts."""
+    n = max(len(tokens) - width + 1, 0)
+    key = np.zeros(n, np.uint64)
+    for k in range(width):
+        key = (key ^ key >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) + tokens[k : k + n]
+    return key
+
+
+def _covered(starts: np.ndarray, n: int, width: int) -> np.ndarray:
+    """Which of ``n`` places a string of ``width`` that starts at one of ``starts`` covers."""
+    edges = np.zeros(n + width + 1, np.int64)
+    np.add.at(edges, starts, 1)
+    np.add.at(edges, starts + width, -1)
+    return np.cumsum(edges)[:n] > 0
+
+
+def repeated_tokens(streams: list[list[str]], tokens: int = TOKENS, pages: int = PAGES, share: float = SHARE) -> list[np.ndarray]:
+    """For each page's token stream which tokens a string of ``tokens`` tokens covers that distinct pages repeat often enough."""
+    found, owner = repeated_strings(streams, tokens, max(pages, share * len(streams)))
+    covered = _covered(np.concatenate(found) if found else np.zeros(0, np.int64), len(owner), tokens)
     cuts = np.cumsum([0, *(len(s) + 1 for s in streams)])
     return [covered[a : b - 1] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", group: int = GROUP) -> DataFrame:
-    """(page_id, url, text, n_chars, n_repeated) for every row of ``pages``: the main text, its code points, and how many tokens outside the article the host repeats.
+    """(page_id, url, text, n_chars, n_repeated) for every row of ``pages``: the main text, its code points, and how many tokens of all blocks the host repeats.
 
-    Null or empty html has empty text. A page with an article element keeps what
-    is in it, without boilerplate elements inside; another page keeps what is in
-    no boilerplate element and the host doesn't repeat. Pages whose url is null
+    Null or empty html has empty text. A page keeps what is in no boilerplate
+    element and the host doesn't repeat, in an article element or not. Pages whose url is null
     or has no host are one host. Repeated rows stay repeated; an empty table
     gives no rows; other columns are ignored.
     """
@@ -186,18 +221,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(rows: list[tuple]) -> pa.RecordBatch:
-            streams = [[t for k, text in zip(kinds, texts) if k != ARTICLE for t in text.split(" ")] for _, _, kinds, texts in rows]
+            streams = [[t for text in texts for t in text.split(" ")] for _, _, _, texts in rows]
             out = []
             for (page, url_, kinds, texts), covered in zip(rows, repeated_tokens(streams)):
-                article, kept, at = ARTICLE in kinds, [], 0
+                kept, at = [], 0
                 for k, text in zip(kinds, texts):
-                    if k == ARTICLE:
-                        kept.append(text)
-                        continue
                     words = text.split(" ")
                     own = covered[at : at + len(words)]
                     at += len(words)
-                    if k == OPEN and not article:
+                    if k != MARKED:
                         kept.append(" ".join(w for w, c in zip(words, own) if not c))
                 text = " ".join(t for t in kept if t)
                 out.append((page, url_, text, len(text), int(covered.sum())))

@@ -421,6 +421,15 @@ def test_host_decides_about_unmarked_blocks(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+def test_host_decides_about_articles_and_what_is_beside_them(spark):
+    rng = random.Random(17)
+    own = [(prose(rng, 30), prose(rng, 8)) for _ in range(40)]
+    rows = [(i, f"https://h.example/{i}", f"<body><div>{b}</div><div>Welcome to the big site</div><article><p>{a}</p><p>Call us under 555 today or tomorrow</p></article></body>") for i, (a, b) in enumerate(own)]
+    got = {r.page_id: r for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert [got[i].text for i in range(40)] == [f"{b} {a}" for a, b in own]
+    assert {got[i].n_repeated for i in range(40)} == {12}
+
+
 def test_repeated_tokens_match_counting():
     rng = random.Random(16)
     streams = [[rng.choice("abc") for _ in range(rng.randint(0, 12))] for _ in range(12)]
