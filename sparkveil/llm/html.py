@@ -5,10 +5,15 @@ article element or not: the token streams of its pages are concatenated, long
 token strings that many distinct pages repeat are found with a suffix array,
 what they cover is boilerplate, and the other runs stay. Marked-up boilerplate
 (menus, footers, adverts, forms, comments and the like) is known by its
-elements and class names and goes besides. Pages of one host are dealt to groups of
-about ``GROUP`` pages by a hash of their row, so a host of any size is worked on
-in parallel and a group fits in memory; a group is a random share of its host,
-so what its host repeats, it repeats.
+elements and class names and goes besides.
+
+Distinct pages of one host are dealt to groups of about ``GROUP`` pages by a hash
+of their content, so a host of any size is worked on in parallel and a group
+fits in memory. What reaches a share of a host's pages reaches it in one of its
+groups at least, so the groups' suffix arrays together find all there is; these
+strings are then counted over all pages of the host, and that count decides. A
+string on fewer than ``PAGES`` pages or a lower ``SHARE`` of them is kept: a host
+of two pages repeats nothing. Beyond its group a string goes by 64 bits.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +32,7 @@ from .common import stage
 from .suffixes import common_prefixes, suffix_array
 
 GROUP = 256
-#: Tokens of a repeated string, and the pages of a group that must have it: this many, and this share.
+#: Tokens of a repeated string, and the distinct pages of a host that must have it: this many, and this share.
 TOKENS, PAGES, SHARE = 4, 3, 0.1
 ARTICLE, OPEN, MARKED = 0, 1, 2
 
@@ -199,54 +205,115 @@ def repeated_tokens(streams: list[list[str]], tokens: int = TOKENS, pages: int =
     return [covered[a : b - 1] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
+class TokenHashes(dict):
+    """64 bits of each token that was asked for."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 1 << 20:
+            self.clear()
+        self[token] = out = xxhash.xxh64_intdigest(token)
+        return out
+
+    def of(self, stream: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, stream), np.uint64, len(stream))
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", group: int = GROUP) -> DataFrame:
     """(page_id, url, text, n_chars, n_repeated) for every row of ``pages``: the main text, its code points, and how many tokens of all blocks the host repeats.
 
     Null or empty html has empty text. A page keeps what is in no boilerplate
-    element and the host doesn't repeat, in an article element or not. Pages whose url is null
-    or has no host are one host. Repeated rows stay repeated; an empty table
-    gives no rows; other columns are ignored.
+    element and the host doesn't repeat, in an article element or not. Rows of a
+    host with equal html count as one page. Pages whose url is null or has no
+    host are one host. Repeated rows stay repeated; an empty table gives no
+    rows; other columns are ignored.
     """
     url = F.col(url_col)
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), url.alias("url"), F.col(html_col).alias("html"), host.alias("host"), F.monotonically_increasing_id().alias("row"))
-    sizes = stage(rows.groupBy("host").agg(F.count("*").alias("n")), "host-sizes")
-    rows = rows.join(sizes, "host")
-    deal = F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / group)).cast("int")  # by row, so that copies spread too
+    rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), url.alias("url"), F.col(html_col).alias("html"), host.alias("host"), F.xxhash64(html_col).alias("content"))
+    sizes = stage(rows.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("n")), "host-sizes")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
         for b in batches:
-            found = [blocks(h) for h in b.column(4).to_pylist()]
-            yield pa.record_batch([*b.columns[:4], pa.array([[k for k, _ in f] for f in found], pa.list_(pa.int32())), pa.array([[t for _, t in f] for f in found], pa.list_(pa.string()))], ["host", "share", "page_id", "url", "kinds", "texts"])
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(rows: list[tuple]) -> pa.RecordBatch:
-            streams = [[t for text in texts for t in text.split(" ")] for _, _, _, texts in rows]
-            out = []
-            for (page, url_, kinds, texts), covered in zip(rows, repeated_tokens(streams)):
-                kept, at = [], 0
-                for k, text in zip(kinds, texts):
-                    words = text.split(" ")
-                    own = covered[at : at + len(words)]
-                    at += len(words)
-                    if k != MARKED:
-                        kept.append(" ".join(w for w, c in zip(words, own) if not c))
-                text = " ".join(t for t in kept if t)
-                out.append((page, url_, text, len(text), int(covered.sum())))
-            kinds_ = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
-            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds_)], ["page_id", "url", "text", "n_chars", "n_repeated"])
-
-        key, held = None, []
+            new = []
+            for i, key in enumerate(zip(b.column(0).to_pylist(), b.column(3).to_pylist())):
+                if key not in seen:
+                    seen.add(key)
+                    new.append(i)
+            b = b.take(pa.array(new, pa.int64()))
+            yield pa.record_batch([*b.columns[:4], pa.array([[t for _, t in blocks(h)] for h in b.column(4).to_pylist()], pa.list_(pa.string()))], ["host", "share", "n", "content", "texts"])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = TokenHashes()
+
+        def done(host: str, n: int, held: list[list[str]]) -> pa.RecordBatch:
+            streams = [[t for text in texts for t in text.split(" ")] for texts in held]
+            whole = n <= group
+            # what enough of a host's pages have, enough of the pages of one of its groups have
+            found, owner = repeated_strings(streams, TOKENS, max(PAGES, SHARE * n) if whole else SHARE * len(streams) - 1e-9)
+            begins = np.cumsum([0, *(len(s) + 1 for s in streams)])
+            keys = np.zeros(len(found), np.uint64)
+            for i, f in enumerate(found):
+                at = f[0] - begins[k := owner[f[0]]]
+                keys[i] = window_keys(known.of(streams[k][at : at + TOKENS]), TOKENS)[0]
+            return pa.record_batch([pa.array([host] * len(keys), pa.string()), pa.array([whole] * len(keys), pa.bool_()), pa.array(keys.view(np.int64))], ["host", "whole", "key"])
+
+        key, size, last, held = None, 0, None, []
         for b in batches:
-            for h, s, *row in zip(*(b.column(i).to_pylist() for i in range(6))):
+            for h, s, n, content, texts in zip(*(b.column(i).to_pylist() for i in range(5))):
                 if (h, s) != key:
                     if held:
-                        yield done(held)
-                    key, held = (h, s), []
-                held.append(tuple(row))
+                        yield done(key[0], size, held)
+                    key, size, last, held = (h, s), n, None, []
+                if content != last:
+                    held.append(texts)
+                last = content
         if held:
-            yield done(held)
+            yield done(key[0], size, held)
+
+    def matched(page: str | None, keys: pa.Scalar, known: TokenHashes) -> tuple[list[tuple[int, str]], list[str], np.ndarray, np.ndarray]:
+        """Blocks and tokens of a page, the keys of its strings, and which of them are among ``keys`` (ascending)."""
+        found = blocks(page)
+        stream = [t for _, text in found for t in text.split(" ")]
+        if not keys.is_valid:
+            return found, stream, np.zeros(0, np.int64), np.zeros(0, bool)
+        own, wanted = window_keys(known.of(stream), TOKENS).view(np.int64), keys.values.to_numpy()
+        return found, stream, own, wanted[np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)] == own
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = TokenHashes()
+        for b in batches:
+            hits = []
+            for page, keys in zip(b.column(2).to_pylist(), b.column(3)):
+                _, _, own, hit = matched(page, keys, known)
+                hits.append(np.unique(own[hit]))
+            yield pa.record_batch([*b.columns[:2], pa.array(hits, pa.list_(pa.int64()))], ["host", "content", "keys"])
 
-    dealt = rows.select("host", deal.alias("share"), "page_id", "url", "html").mapInArrow(read, "host string, share int, page_id bigint, url string, kinds array<int>, texts array<string>")
-    grouped = dealt.repartition("host", "share").sortWithinPartitions("host", "share", "page_id")
-    return grouped.mapInArrow(decide, "page_id bigint, url string, text string, n_chars bigint, n_repeated bigint")
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = TokenHashes()
+        for b in batches:
+            texts, repeated = [], []
+            for page, keys in zip(b.column(2).to_pylist(), b.column(3)):
+                found, stream, _, hit = matched(page, keys, known)
+                covered = _covered(np.flatnonzero(hit), len(stream), TOKENS)
+                kept, at = [], 0
+                for k, text in found:
+                    n = text.count(" ") + 1
+                    if k != MARKED:
+                        own = covered[at : at + n]
+                        kept.append(" ".join(w for w, c in zip(stream[at : at + n], own.tolist()) if not c) if own.any() else text)
+                    at += n
+                texts.append(" ".join(t for t in kept if t))
+                repeated.append(int(covered.sum()))
+            yield pa.record_batch([*b.columns[:2], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(repeated, pa.int64())], ["page_id", "url", "text", "n_chars", "n_repeated"])
+
+    share = F.pmod("content", F.ceil(F.col("n") / group)).cast("int")  # copies meet, one from each task
+    dealt = rows.join(sizes, "host").select("host", share.alias("share"), "n", "content", "html").mapInArrow(read, "host string, share int, n bigint, content bigint, texts array<string>")
+    grouped = dealt.repartition("host", "share").sortWithinPartitions("host", "share", "content")
+    often = stage(grouped.mapInArrow(find, "host string, whole boolean, key bigint"), "repeats")
+    asked = stage(often.where("not whole").groupBy("host").agg(F.sort_array(F.collect_set("key")).alias("keys")), "repeats-asked")
+    hits = rows.join(asked, "host").select("host", "content", "html", "keys").mapInArrow(count, "host string, content bigint, keys array<bigint>")
+    counts = hits.groupBy("host", "content").agg(F.first("keys").alias("keys")).select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("c"))
+    sure = counts.join(sizes, "host").where((F.col("c") >= PAGES) & (F.col("c") >= F.col("n") * F.lit(SHARE))).select("host", "key")
+    found = stage(often.where("whole").select("host", "key").union(sure).groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("keys")), "repeats-found")
+    return rows.join(found, "host", "left").select("page_id", "url", "html", "keys").mapInArrow(decide, "page_id bigint, url string, text string, n_chars bigint, n_repeated bigint")

@@ -430,6 +430,20 @@ def test_host_decides_about_articles_and_what_is_beside_them(spark):
     assert {got[i].n_repeated for i in range(40)} == {12}
 
 
+def test_repeats_are_counted_over_the_whole_host(spark):
+    rng = random.Random(18)
+    own = [" ".join(f"w{i}x{rng.randint(0, 9)}y{k}" for k in range(20)) for i in range(300)]
+    often, seldom = set(rng.sample(range(300), 30)), set(rng.sample(range(300), 29))  # 10 % and just under
+    rows = [(i, "https://h.example/", f"<p>{t}</p>" + "<p>Seen on a tenth of it</p>" * (i in often) + "<p>Found on somewhat fewer pages</p>" * (i in seldom)) for i, t in enumerate(own)]
+    expected = {i: t + " Found on somewhat fewer pages" * (i in seldom) for i, t in enumerate(own)}
+    copied = min(seldom - often)
+    rows += [(1000 + k, "https://h.example/", rows[copied][2]) for k in range(40)]  # copies are one page
+    expected |= {1000 + k: expected[copied] for k in range(40)}
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for parts, group in ((1, 20), (5, 20), (3, 1000)):
+        assert {r.page_id: r.text for r in html.extract(pages.repartition(parts), group=group).collect()} == expected
+
+
 def test_repeated_tokens_match_counting():
     rng = random.Random(16)
     streams = [[rng.choice("abc") for _ in range(rng.randint(0, 12))] for _ in range(12)]
