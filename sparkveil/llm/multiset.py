@@ -3,7 +3,7 @@
 Every paragraph (what stands between line feeds) is hashed to a wide vector:
 the sum, over its word shingles, of pseudorandom vectors of +1 and -1. A
 document's fingerprint is the sum of its paragraphs' vectors, each lane modulo
-2^16. It doesn't depend on the order of paragraphs, and adding or subtracting a
+2^32, more than the shingles of any text that fits a row, so no sum wraps. It doesn't depend on the order of paragraphs, and adding or subtracting a
 paragraph's vector is all that an insertion or deletion needs. As lanes are
 signed sums, the cosine of two fingerprints estimates how much of the
 documents' shingles they share.
@@ -31,7 +31,7 @@ _FIRST = -(1 << 63)
 
 
 def paragraph_vector(paragraph: str) -> np.ndarray:
-    """The vector of one paragraph, modulo 2^16; one without a word has the zero vector, one of under three words is one shingle."""
+    """The vector of one paragraph, modulo 2^32; one without a word has the zero vector, one of under three words is one shingle."""
     total = np.zeros(LANES, np.int64)
     hashed, carry, any_ = xxhash.xxh3_128_digest, [], False
     for words in word_blocks(paragraph.encode("utf-8", "surrogatepass")):
@@ -51,12 +51,12 @@ def paragraph_vector(paragraph: str) -> np.ndarray:
         carry = words
     if carry and not any_:
         total += 2 * np.unpackbits(np.frombuffer(hashed(b" ".join(carry)), np.uint8)).astype(np.int64) - 1
-    return total.astype(np.uint16)
+    return total.astype(np.uint32)
 
 
 def text_vector(text: str, known: dict[str, np.ndarray] | None = None) -> np.ndarray:
     """The sum of the vectors of a text's paragraphs; ``known`` holds those already hashed."""
-    total = np.zeros(LANES, np.uint16)
+    total = np.zeros(LANES, np.uint32)
     known = {} if known is None else known
     for p in text.split("\n"):
         if p:
@@ -75,14 +75,14 @@ def delete(vector: np.ndarray, paragraph: str) -> np.ndarray:
 
 
 def to_text(vector: np.ndarray) -> str:
-    return vector.astype(">u2").tobytes().hex()
+    return vector.astype(">u4").tobytes().hex()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """1 for equal fingerprints, else the cosine of the signed lanes, 0 where it is negative."""
     if (a == b).all():
         return 1.0
-    x, y = a.view(np.int16).astype(np.float64), b.view(np.int16).astype(np.float64)
+    x, y = a.view(np.int32).astype(np.float64), b.view(np.int32).astype(np.float64)
     norm = np.sqrt((x @ x) * (y @ y))
     return float(min(1.0, max(0.0, x @ y / norm))) if norm else 0.0
 

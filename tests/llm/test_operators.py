@@ -386,6 +386,13 @@ def test_fingerprints_and_edits(spark):
     assert np.mean([got[i].near_edited for i in long]) > 0.4 > 0.2 > np.mean([got[i].near_next for i in long[:-1]])
 
 
+def test_lanes_of_long_repetitive_texts_do_not_wrap():
+    passage = prose(random.Random(19), 100)
+    for text in ("\n".join([passage] * 3000), "\n".join([passage] * 6000), "word " * 80_000):
+        whole, half = multiset.text_vector(text), multiset.text_vector(text[: len(text) // 2])
+        assert multiset.likeness(whole, half) > 0.99
+
+
 def test_one_document_is_its_own_next(spark):
     r = multiset.compare_neighbours(table(spark, ["abcd ef"])).collect()
     assert len(r) == 1 and r[0].near_next == 1.0
