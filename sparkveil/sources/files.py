@@ -7,6 +7,7 @@ set aside.
 from __future__ import annotations
 
 import io
+import posixpath
 import re
 import struct
 import zipfile
@@ -26,6 +27,7 @@ REFUSED = {"jpeg": "image", "jpg": "image", "mp3": "audio"}
 #: Whether pages can be rendered as images.
 RENDERABLE = False
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+_R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
@@ -66,20 +68,31 @@ def docx_with_text(data: bytes, old: str, new: str) -> bytes:
     return out.getvalue()
 
 
-def xlsx_cells(data: bytes) -> list[tuple[int, str, str]]:
-    """(row from 1, column letters, value) of the first sheet's cells that have a value."""
+def xlsx_cells(data: bytes) -> list[tuple[str | None, int, str, str]]:
+    """(sheet, row from 1, column letters, value) of all sheets' cells that have a value, sheets in the workbook's order.
+
+    Sheets that the workbook doesn't name follow, under their part's name; a sheet alone without a workbook part has none.
+    """
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
+        names, shared = set(z.namelist()), []
+        if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in si.iter(f"{_S}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_S}si")]
-        sheets = sorted(n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))
+        sheets: dict[str, str | None] = {}
+        if {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= names:
+            targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+            for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_S}sheet"):
+                sheets[posixpath.normpath(posixpath.join("/xl", targets[sheet.get(f"{_R}id")]))[1:]] = sheet.get("name")
+        parts = [n for n in names if re.fullmatch(r"xl/worksheets/[^/]+\.xml", n) and n not in sheets]
+        for n in sorted(parts, key=lambda n: (int((re.findall(r"\d+", n) or [0])[-1]), n)):
+            sheets[n] = posixpath.basename(n)[:-4] if len(parts) + len(sheets) > 1 else None
         out = []
-        for c in ElementTree.fromstring(z.read(sheets[0])).iter(f"{_S}c"):
-            v, inline = c.find(f"{_S}v"), c.find(f"{_S}is")
-            text = "".join(t.text or "" for t in inline.iter(f"{_S}t")) if inline is not None else v.text if v is not None else None
-            if text is not None:
-                column, row = re.fullmatch(r"([A-Z]+)(\d+)", c.get("r")).groups()
-                out.append((int(row), column, shared[int(text)] if c.get("t") == "s" else text))
+        for part, sheet in sheets.items():
+            for c in ElementTree.fromstring(z.read(part)).iter(f"{_S}c"):
+                v, inline = c.find(f"{_S}v"), c.find(f"{_S}is")
+                text = "".join(t.text or "" for t in inline.iter(f"{_S}t")) if inline is not None else v.text if v is not None else None
+                if text is not None:
+                    column, row = re.fullmatch(r"([A-Z]+)(\d+)", c.get("r")).groups()
+                    out.append((sheet, int(row), column, shared[int(text)] if c.get("t") == "s" else text))
         return out
 
 
@@ -274,7 +287,7 @@ def decode(data: bytes, extension: str | None) -> list[tuple[str | None, str, st
             with wave.open(io.BytesIO(data)):
                 return [(None, kind, None, data)]
         if e == "xlsx":
-            return [(f"{c}{r}", kind, v, None) for r, c, v in xlsx_cells(data)]
+            return [(f"{c}{r}" if sheet is None else f"{sheet}!{c}{r}", kind, v, None) for sheet, r, c, v in xlsx_cells(data)]
         return [(None, kind, data.decode("utf-8"), None)]
     except VeilError:
         raise

@@ -159,6 +159,21 @@ def test_decoders():
         assert e.value.kind == CAPABILITY_UNAVAILABLE
 
 
+def test_every_sheet_is_read():
+    cell = lambda v: f'<worksheet xmlns="{SHEET}"><sheetData><row r="1"><c r="A1" t="inlineStr"><is><t>{v}</t></is></c></row></sheetData></worksheet>'
+    relations = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    for named in (True, False):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for k in (10, 2):
+                z.writestr(f"xl/worksheets/sheet{k}.xml", cell(f"{k}@b.com"))
+            if named:
+                z.writestr("xl/workbook.xml", f'<workbook xmlns="{SHEET}" xmlns:r="{relations}"><sheets><sheet name="Staff" r:id="a"/><sheet name="Q 1" r:id="b"/></sheets></workbook>')
+                z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="b" Target="worksheets/sheet2.xml"/><Relationship Id="a" Target="/xl/worksheets/sheet10.xml"/></Relationships>')
+        expected = [("Staff!A1", "10@b.com"), ("Q 1!A1", "2@b.com")] if named else [("sheet2!A1", "2@b.com"), ("sheet10!A1", "10@b.com")]
+        assert [(p, t) for p, _, t, _ in files.decode(out.getvalue(), "xlsx")] == expected
+
+
 def test_docx_keeps_other_parts():
     out = files.docx_with_text(docx(), "Mail a@b.com now\nSecond", "Mail  now\nSecond")
     parts = files.docx_parts(out)
