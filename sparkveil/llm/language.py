@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stage
+
 #: Width of the vectors, letters per n-gram, letter classes (class 0: anything but a letter).
 WIDTH, GRAM, CLASSES = 1024, 3, 256
-#: Most documents that prototypes are made from.
-SAMPLE = 12_000
+#: Documents that prototypes are made from, over all languages, and about how many at least (or all there are) of each.
+SAMPLE, LEAST = 12_000, 1_000
 UNKNOWN = "und"
 #: Characters that are counted at a time: bounds the memory of a batch.
 AT_ONCE = 1 << 20
@@ -97,12 +99,15 @@ def held_out(id_) -> F.Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """Prototypes from the ``sample`` documents with a language, not held out, whose ids hash lowest. What reaches the driver is a vector for each language and task."""
+    """Prototypes from the ``sample`` documents with a language, not held out, whose ids hash lowest, and of each language those in the lowest share of hashes that has ``LEAST`` of them. What reaches the driver is a vector for each language and task."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     last = rows.select(F.xxhash64(F.col(id_col)).alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     if last is None:
         return Model([], np.zeros((0, WIDTH), np.float32))
-    chosen = rows.where(F.xxhash64(F.col(id_col)) <= last).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    up_to = F.when(F.col("n") <= LEAST, F.lit((1 << 63) - 1)).otherwise((F.lit(-(2.0**63)) + F.lit(2.0**64) * LEAST / F.col("n")).cast("bigint"))
+    limits = stage(rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).select("lang", F.greatest(up_to, F.lit(last)).alias("up_to")), "language-limits")
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("h"))
+    chosen = rows.join(limits, "lang").where(F.col("h") <= F.col("up_to")).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

@@ -150,6 +150,16 @@ def test_language_held_out_accuracy(spark):
     assert {r.lang_pred for r in language.predict(d.limit(5), empty).collect()} == {"und"}
 
 
+def test_rare_languages_have_a_prototype(spark, monkeypatch):
+    monkeypatch.setattr(language, "LEAST", 40)
+    texts = ["the quick brown fox and the lazy dog"] * 2000 + ["żółć gęś jaźń łódź świętość"] * 100 + ["ωμέγα και άλφα"] * 3
+    langs = ["en"] * 2000 + ["pl"] * 100 + ["el"] * 3
+    docs = table(spark, texts, langs=langs)
+    model = language.fit(docs, sample=3)
+    assert model.languages == ["el", "en", "pl"]
+    assert {(r.doc_id < 2000, r.doc_id < 2100, r.lang_pred) for r in language.predict(docs, model).collect()} == {(True, True, "en"), (False, True, "pl"), (False, False, "el")}
+
+
 def test_language_vectors_do_not_depend_on_pieces(monkeypatch):
     rng = random.Random(4)
     texts = [prose(rng, 80), None, "", "ÄÖÜ ß", "𐐷𐐷𐐷 abc"]
