@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The six ASCII blanks; ``bytes.split()`` without arguments cuts at exactly these.
 BLANK = re.compile(rb"[\x09-\x0d\x20]")
@@ -18,12 +19,12 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset in local mode."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, in local mode only, a temporary one where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        raise RuntimeError("spark.checkpoint.dir is unset: name a folder there that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="sparkveil-")
@@ -101,3 +102,9 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def agreed(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """(_id, _y) for each id that is labelled 0 or 1, and not both."""
+    rows = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_y in (0, 1) and _id is not null")
+    return rows.groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_z")).where("_y = _z").select("_id", "_y")

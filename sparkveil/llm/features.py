@@ -14,6 +14,8 @@ BLANK[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: Bytes of a text that are worked on at a time: bounds memory, no result depends on it.
+PIECE = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: A random 64-bit value per byte, and an odd multiplier with its inverse, for hashes of words from prefix sums.
 _BYTE = np.random.default_rng(1).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -40,17 +42,40 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(change == 1), np.flatnonzero(change == -1)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A mixed 64-bit hash of each word."""
+def raw_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The sum of byte values times powers of a fixed step, modulo 2^64, of each word: that of two words in a row is the first's plus the second's times the step to the first's length."""
     up, down = _power(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up, out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts]
-    h ^= h >> np.uint64(29)
-    h *= _MIX
+    return (sums[ends] - sums[starts]) * down[starts]
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * _MIX
     return h ^ (h >> np.uint64(32))
 
 
+def word_hashes(text: bytes, size: int = PIECE) -> Iterator[np.ndarray]:
+    """The mixed hashes of the words of ``text`` in order, worked out on pieces of ``size`` bytes; a word that pieces cut has the hash that it has whole."""
+    data = np.frombuffer(text, np.uint8)
+    held, length = 0, 0  # the word that the piece before ended in
+    for at in range(0, len(data), size):
+        part = data[at : at + size]
+        starts, ends = word_spans(part)
+        h, n = raw_hashes(part, starts, ends), ends - starts
+        if length:
+            if len(starts) and starts[0] == 0:
+                h[0] = (held + pow(_STEP, length, 1 << 64) * int(h[0])) % (1 << 64)
+                n[0] += length
+            else:
+                h, n, ends = np.r_[np.uint64(held), h], np.r_[length, n], np.r_[0, ends]
+            held = length = 0
+        if len(h) and ends[-1] == len(part) and at + size < len(data):
+            held, length, h = int(h[-1]), int(n[-1]), h[:-1]
+        if len(h):
+            yield mixed(h)
+
+
 def gram_codes(data: np.ndarray, n: int, bits: int) -> np.ndarray:
     """A code of ``bits`` bits for each run of ``n`` bytes, by start."""
     size = len(data) - n + 1
@@ -65,22 +90,6 @@ def gram_codes(data: np.ndarray, n: int, bits: int) -> np.ndarray:
     return h >> np.uint32(32 - bits)
 
 
-def pieces(text: bytes, size: int = 1 << 20) -> Iterator[np.ndarray]:
-    """``text`` as byte arrays of about ``size``, cut after a line feed or blank; a longer run without blanks is one piece."""
-    at, end = 0, len(text)
-    data = np.frombuffer(text, np.uint8)
-    while at < end:
-        stop = min(at + size, end)
-        if stop < end:
-            step = np.flatnonzero(BLANK[data[stop : stop + size]])
-            while not len(step) and stop < end:
-                stop = min(stop + size, end)
-                step = np.flatnonzero(BLANK[data[stop : stop + size]])
-            stop = min(end, stop + int(step[0]) + 1) if len(step) else end
-        yield data[at:stop]
-        at = stop
-
-
 def logistic(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * z))
 

@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .features import BLANK, calibrate, fit_logistic, gram_codes, logistic, pieces, word_hashes, word_spans
+from .common import agreed
+from .features import BLANK, PIECE, calibrate, fit_logistic, gram_codes, logistic, word_hashes
 
 #: Most labelled rows that the classifier is fitted on.
 SAMPLE = 4000
@@ -42,22 +43,22 @@ class Model:
     shift: float
 
 
-def measure(text: bytes | None) -> tuple[tuple[int, int, int, int, int], np.ndarray]:
-    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) and the counts of hashed features of a whole text."""
+def measure(text: bytes | None, size: int = PIECE) -> tuple[tuple[int, int, int, int, int], np.ndarray]:
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) and the counts of hashed features of a whole text, whatever ``size`` bytes are worked on at a time."""
     counts = np.zeros(DIM)
     if not text:
         return (0, 0, 0, 0, 0), counts
     chars = symbols = 0
-    hashes = []
-    for data in pieces(text):
-        starts, ends = word_spans(data)
+    whole = np.frombuffer(text, np.uint8)
+    for at in range(0, len(whole), size):
+        data = whole[at : at + size]
         chars += int(((data & 0xC0) != 0x80).sum() - BLANK[data].sum())
         symbols += int(SYMBOL[data].sum())
-        if len(starts):
-            h = word_hashes(data, starts, ends)
-            hashes.append(h)
-            counts[: 1 << BITS] += np.bincount((h >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
-        counts[1 << BITS :] += np.bincount(gram_codes(data, GRAM, BITS), minlength=1 << BITS)
+        counts[1 << BITS :] += np.bincount(gram_codes(whole[at : at + size + GRAM - 1], GRAM, BITS), minlength=1 << BITS)
+    hashes = []
+    for h in word_hashes(text, size):
+        hashes.append(h)
+        counts[: 1 << BITS] += np.bincount((h >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
     h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
     n, repeated = len(h), 0
     if n > _WINDOW:
@@ -86,19 +87,20 @@ def _unit(counts: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
-    """A model from the ``sample`` labelled documents (label 0 or 1) whose ids hash lowest; without labels of both kinds, one that keeps every text."""
-    rows = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_y in (0, 1) and _id is not null").dropDuplicates(["_id"])
-    chosen = rows.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "_y", "_text")
+    """A model from the ``sample`` labelled documents (label 0 or 1) whose ids hash lowest; without labels of both kinds, one that keeps every text. An id that is labelled both ways is left out; documents that share an id are learned from in the order of their texts' hashes, equal ones once."""
+    chosen = agreed(labels, id_col, label_col).orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "_y", "_text", F.xxhash64("_text").alias("_c"))
 
     def run(batches):
         for b in batches:
             found = [measure(t)[1] for t in b.column(2).cast(pa.binary()).to_pylist()]
             at = [np.flatnonzero(c) for c in found]
             unit = [_unit(c)[k].astype(np.float32) for c, k in zip(found, at)]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([k.astype(np.int32) for k in at], pa.list_(pa.int32())), pa.array(unit, pa.list_(pa.float32()))], ["id", "y", "at", "v"])
+            yield pa.record_batch([b.column(0), b.column(3), b.column(1), pa.array([k.astype(np.int32) for k in at], pa.list_(pa.int32())), pa.array(unit, pa.list_(pa.float32()))], ["id", "c", "y", "at", "v"])
 
-    got = texts.mapInArrow(run, "id bigint, y int, at array<int>, v array<float>").toArrow().sort_by("id")
+    got = texts.mapInArrow(run, "id bigint, c bigint, y int, at array<int>, v array<float>").toArrow().sort_by([("id", "ascending"), ("c", "ascending")])
+    key = np.stack([got[k].to_numpy() for k in ("id", "c")])
+    got = got.filter(pa.array(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)][: got.num_rows]))
     y = got["y"].to_numpy().astype(float)
     if len(set(y)) < 2:
         return Model(np.zeros(DIM), 10.0, 1.0, 0.0)
