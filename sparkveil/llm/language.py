@@ -26,29 +26,52 @@ SAMPLE, LEAST = 12_000, 1_000
 UNKNOWN = "und"
 #: Characters that are counted at a time: bounds the memory of a batch.
 AT_ONCE = 1 << 20
+#: A document's vector is rounded to this part of its length, so that sums of them are exact in any order; tasks that add up the sums.
+UNIT, ADDERS = 1 << 20, 16
 
 _LETTERS = np.random.default_rng(3).choice(np.array([-1, 1], np.int8), (CLASSES, WIDTH))
 _KEYS = np.int64(CLASSES**GRAM)
 _plane: list[np.ndarray] = []
 
 
+def _class(point: int) -> int:
+    """Letter class of a code point: 0 for what isn't a letter, else a hash of its lower case in 1 to CLASSES - 1."""
+    c = chr(point)
+    return ord(c.lower()[0]) % (CLASSES - 1) + 1 if c.isalpha() else 0
+
+
 def _class_of(points: np.ndarray) -> np.ndarray:
-    """Letter class of each code point: 0 for what isn't a letter, else a hash in 1 to CLASSES - 1."""
     if not _plane:
-        letters = np.fromiter((chr(c).isalpha() for c in range(1 << 16)), bool, 1 << 16)
-        _plane.append(np.where(letters, np.arange(1 << 16) % (CLASSES - 1) + 1, 0).astype(np.int64))
+        _plane.append(np.fromiter(map(_class, range(1 << 16)), np.int64, 1 << 16))
     high = points >= 1 << 16
     out = _plane[0][np.where(high, 0, points)]
     if high.any():
         values, back = np.unique(points[high], return_inverse=True)
-        out[high] = np.array([c % (CLASSES - 1) + 1 if chr(c).isalpha() else 0 for c in values.tolist()], np.int64)[back]
+        out[high] = np.fromiter(map(_class, values.tolist()), np.int64, len(values))[back]
     return out
 
 
-def vectors(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The vector of each text, and whether it has a letter. Runs of other characters count as one blank, as do both ends."""
+def _grams(text: str, at_once: int) -> Iterator[np.ndarray]:
+    """The n-grams of a text's letter classes in order, some at a time; runs of other characters are one blank, as are both ends. Empty if there is no letter."""
+    kept, end = np.zeros(1, np.int64), len(text)  # the last of the classes so far
+    for at in range(0, end, at_once):
+        c = _class_of(np.frombuffer(text[at : at + at_once].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64))
+        c = np.r_[c, 0] if at + at_once >= end else c
+        c = c[(c != 0) | (np.r_[kept[-1], c[:-1]] != 0)]
+        c = np.r_[kept, c]
+        n = len(c) - GRAM + 1
+        if n > 0:
+            g = c[:n].copy()
+            for k in range(1, GRAM):
+                g = g * CLASSES + c[k : n + k]
+            yield g
+        kept = c[-(GRAM - 1) :]
+
+
+def vectors(texts: list[str | None], at_once: int = AT_ONCE) -> tuple[np.ndarray, np.ndarray]:
+    """The vector of each text, and whether it has a letter. ``at_once`` characters are worked on at a time; the sums are exact, so that it doesn't matter how many."""
     n = len(texts)
-    total, lettered = np.zeros((n, WIDTH), np.float32), np.zeros(n, bool)
+    total, lettered = np.zeros((n, WIDTH)), np.zeros(n, bool)
     held: list[np.ndarray] = []
     size = 0
 
@@ -68,18 +91,11 @@ def vectors(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
             total[own] += table @ bound.astype(np.float32)
 
     for i, text in enumerate(texts):
-        for at in range(0, len(text or ""), AT_ONCE):
-            c = _class_of(np.frombuffer(text[max(0, at - GRAM) : at + AT_ONCE].lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64))
-            lettered[i] |= bool(c.any())
-            c = np.r_[0, c, 0]
-            c = c[np.r_[True, (c[1:] != 0) | (c[:-1] != 0)]]
-            if len(c) >= GRAM:
-                g = c[: len(c) - GRAM + 1].copy()
-                for k in range(1, GRAM):
-                    g = g * CLASSES + c[k : len(c) - GRAM + 1 + k]
-                held.append(i * _KEYS + g)
-                size += len(g)
-            if size >= AT_ONCE:
+        for g in _grams(text or "", at_once):
+            lettered[i] = True  # every n-gram has a letter
+            held.append(i * _KEYS + g)
+            size += len(g)
+            if size >= at_once:
                 flush()
                 held, size = [], 0
     if held:
@@ -99,7 +115,7 @@ def held_out(id_) -> F.Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """Prototypes from the ``sample`` documents with a language, not held out, whose ids hash lowest, and of each language those in the lowest share of hashes that has ``LEAST`` of them. What reaches the driver is a vector for each language and task."""
+    """Prototypes from the ``sample`` documents with a language, not held out, whose ids hash lowest, and of each language those in the lowest share of hashes that has ``LEAST`` of them. What reaches the driver is a vector for each language from each of ``ADDERS`` tasks."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     last = rows.select(F.xxhash64(F.col(id_col)).alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     if last is None:
@@ -109,22 +125,34 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("h"))
     chosen = rows.join(limits, "lang").where(F.col("h") <= F.col("up_to")).select("lang", "text")
 
+    def bundle(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if sums:
+            yield pa.record_batch([pa.array(list(sums), pa.string()), pa.array([*sums.values()], pa.list_(pa.int64()))], ["lang", "v"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             v, lettered = vectors(b.column(1).to_pylist())
-            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+            v = np.rint(v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9) * UNIT).astype(np.int64)
             for lang in set(langs := b.column(0).to_pylist()):
                 own = np.fromiter((x == lang for x in langs), bool, len(langs)) & lettered
-                sums[lang] = sums.get(lang, 0) + v[own].sum(0, dtype=np.float64)
-        if sums:
-            yield pa.record_batch([pa.array(list(sums)), pa.array([*sums.values()], pa.list_(pa.float64()))], ["lang", "v"])
+                sums[lang] = sums.get(lang, 0) + v[own].sum(0)
+        yield from bundle(sums)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for b in batches:
+            for lang, v in zip(b.column(0).to_pylist(), b.column(1)):
+                sums[lang] = sums.get(lang, 0) + v.values.to_numpy()
+        yield from bundle(sums)
 
+    kind = "lang string, v array<bigint>"
+    # a task of the scan gives a vector for each language it met; a few tasks add these up for the driver
     made: dict[str, np.ndarray] = {}
-    for lang, v in chosen.coalesce(64).mapInArrow(run, "lang string, v array<double>").collect():
-        made[lang] = made.get(lang, 0) + np.array(v)
-    names = sorted(made)
-    p = np.array([np.round(made[k], 6) for k in names])
+    for lang, v in chosen.mapInArrow(run, kind).repartition(ADDERS).mapInArrow(add, kind).collect():
+        made[lang] = made.get(lang, 0) + np.array(v, np.int64)
+    names = sorted(k for k, v in made.items() if v.any())
+    p = np.array([made[k] / UNIT for k in names]).reshape(-1, WIDTH)
     return Model(names, (p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)).astype(np.float32))
 
 
