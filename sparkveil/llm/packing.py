@@ -9,6 +9,7 @@ and no sequence crosses documents. The plan is one pass without a shuffle.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -28,10 +29,12 @@ _loaded: dict[str, object] = {}
 
 
 def tokenizer(path: str):
-    """A function from a text to its ids, one for a file and process; strings of special tokens in a text are ordinary text.
+    """A function from a text to its ids, one for a file and process.
 
-    With byte ranks, a text that the faster encoder's pattern matcher gives up
-    on (a very long run of blanks overflows its stack) goes to the tokenizer.
+    With byte ranks, two kinds of text go to the tokenizer of the JSON file
+    instead: those that contain one of its added tokens, whose id they get, and
+    those that the faster encoder's pattern matcher gives up on (a very long run
+    of blanks overflows its stack).
     """
     if path not in _loaded:
         if path.endswith(".tiktoken"):
@@ -41,20 +44,23 @@ def tokenizer(path: str):
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             fast = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
+            with open(public_tokenizers.path(TOKENIZER), encoding="utf-8") as f:
+                added = [x["content"] for x in json.load(f).get("added_tokens", ())]
+
             def encode(text: str) -> list[int]:
-                try:
-                    return fast(text)
-                except BaseException as e:
-                    if type(e).__name__ != "PanicException":
-                        raise
-                    return tokenizer(public_tokenizers.path(TOKENIZER))(text)
+                if not any(x in text for x in added):
+                    try:
+                        return fast(text)
+                    except BaseException as e:
+                        if type(e).__name__ != "PanicException":
+                            raise
+                return tokenizer(public_tokenizers.path(TOKENIZER))(text)
 
             _loaded[path] = encode
         else:
             from tokenizers import Tokenizer
 
             t = Tokenizer.from_file(path)
-            t.encode_special_tokens = True
             _loaded[path] = lambda text: t.encode(text, add_special_tokens=False).ids
     return _loaded[path]
 
@@ -108,3 +114,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", longes
     out = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
     out = out.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("bigint")})
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket", *["ids"] * with_ids)
+
+
+def write_buckets(packed: DataFrame, path: str) -> None:
+    """Packed sequences with their ids as Parquet, a folder for each length (bucket=log2 of it), so that a reader takes batches of equal length as they are."""
+    packed.write.partitionBy("bucket").parquet(path)
