@@ -21,12 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import word_blocks
+from .common import stage, unstage, word_blocks
 
 LANES = 128
 SHINGLE = 3
-#: Rows that one range of ids holds, about, and the most ranges, whose starts every task gets (under 1 MB).
-RANGE_ROWS, MOST_RANGES = 4096, 100_000
+#: Rows that one range of ids holds, about, and the most ranges, whose starts every task gets (16 bytes each).
+RANGE_ROWS, MOST_RANGES = 2048, 100_000
 _FIRST = -(1 << 63)
 
 
@@ -92,59 +92,91 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _starts(docs: DataFrame, order: F.Column, range_rows: int) -> list[int]:
-    """The least order key of each of about rows / ``range_rows`` ranges of equal size, ascending; only these reach the driver."""
-    keys = docs.select(order.alias("k"))
+def _starts(keys: DataFrame, range_rows: int) -> list[tuple[int, int]]:
+    """The least key (k, h) of each of about rows / ``range_rows`` ranges of equal size, ascending; only these reach the driver."""
     n = keys.count()
     if not n:
         return []
-    parts = keys.repartitionByRange(min(MOST_RANGES, max(1, n // range_rows)), "k")
-    return sorted({r[0] for r in parts.groupBy(F.spark_partition_id()).agg(F.min("k")).select("min(k)").collect()})
+    parts = keys.repartitionByRange(min(MOST_RANGES, max(1, n // range_rows)), "k", "h")
+    return sorted({(r.m.k, r.m.h) for r in parts.groupBy(F.spark_partition_id()).agg(F.min(F.struct("k", "h")).alias("m")).collect()})
 
 
 def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_rows: int = RANGE_ROWS) -> DataFrame:
     """For every row of ``docs``: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    The next row is that with the next id (null ids first, equal ids by text);
-    the last row's is the first. Rows are dealt by ranges of ids, and the first
-    row of each range goes to the range before as well, so that every row meets
-    the next in one shuffle. A null text is empty and has the zero fingerprint;
-    an empty table gives no rows; other columns are ignored.
+    The next row is that with the next id (null ids first, equal ids by a hash
+    of their texts); the last row's is the first. Ranges of this order are dealt
+    to tasks, and the first row of each range goes to the range before as well,
+    so that every row meets the next in one shuffle. An id that many rows share
+    is split by text; rows that repeat id and text travel once for each task
+    that has them, with their number, and stay repeated in the result. A null
+    text is empty and has the zero fingerprint; an empty table gives no rows;
+    other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    order = F.coalesce("doc_id", F.lit(_FIRST))
-    starts = _starts(rows, order, range_rows)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    keys = stage(rows.select(F.coalesce("doc_id", F.lit(_FIRST)).alias("k"), "h"), "neighbour-keys")
+    starts = _starts(keys, range_rows)
+    unstage(keys)
     last = len(starts) - 1
+    names = ["part", "ahead", "doc_id", "h", "copies", "text"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, int] = {}  # copies of each row beyond the first
+        range_of = lambda doc, h: bisect.bisect_right(starts, (_FIRST if doc is None else doc, h)) - 1
+
+        def made(parts, ahead, docs_, hs, copies, texts) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(parts, pa.int32()), pa.array([ahead] * len(parts), pa.bool_()), docs_, hs, pa.array(copies, pa.int64()), texts], names)
+
         for b in batches:
-            keys = [_FIRST if k is None else k for k in b.column(0).to_pylist()]
-            ranges = [bisect.bisect_right(starts, k) - 1 for k in keys]
-            yield pa.record_batch([pa.array(ranges, pa.int64()), pa.array(np.zeros(len(keys), bool)), b.column(0), b.column(1)], ["part", "ahead", "doc_id", "text"])
-            first = [i for i, (k, r) in enumerate(zip(keys, ranges)) if starts[r] == k]
+            own = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+            new = []
+            for i, key in enumerate(own):
+                if key in known:
+                    known[key] += 1
+                else:
+                    known[key] = 0
+                    new.append(i)
+            parts = [range_of(*own[i]) for i in new]
+            b = b.take(pa.array(new, pa.int64()))
+            yield made(parts, False, b.column(0), b.column(1), [1] * len(new), b.column(2))
+            first = [j for j, (i, r) in enumerate(zip(new, parts)) if starts[r] == (_FIRST if own[i][0] is None else own[i][0], own[i][1])]
             if first:
                 f = b.take(pa.array(first))
-                before = [ranges[i] - 1 if ranges[i] else last for i in first]
-                yield pa.record_batch([pa.array(before, pa.int64()), pa.array(np.ones(len(first), bool)), f.column(0), f.column(1)], ["part", "ahead", "doc_id", "text"])
+                yield made([parts[j] - 1 if parts[j] else last for j in first], True, f.column(0), f.column(1), [1] * len(first), f.column(2))
+        more = [(key, n) for key, n in known.items() if n]
+        if more:
+            yield made([range_of(*key) for key, _ in more], False, pa.array([k[0] for k, _ in more], pa.int64()), pa.array([k[1] for k, _ in more], pa.int64()), [n for _, n in more], pa.nulls(len(more), pa.string()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the row that waits for its next: part, id, text, known paragraphs, vector
+        held = None  # what waits for its next: id, hash, text, known paragraphs, vector, copies
         out: list[tuple] = []
 
-        def row(h, text, vector, known) -> tuple:
-            e = edited(h[2], text)
-            ev = text_vector(e, {**h[3], **known})
-            return (h[1], len(h[2]), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), to_text(h[4]), to_text(ev), likeness(h[4], ev), likeness(h[4], vector))
+        def row(following: str, vector: np.ndarray, known: dict) -> tuple:
+            doc, _, own, paragraphs, v, _ = held
+            e = edited(own, following)
+            ev = text_vector(e, {**paragraphs, **known})
+            return (doc, len(own), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), to_text(v), to_text(ev), likeness(v, ev), likeness(v, vector))
 
         for b in batches:
-            for part, ahead, doc, text in zip(*(b.column(i).to_pylist() for i in range(4))):
+            for ahead, doc, h, copies, text in zip(*(b.column(i).to_pylist() for i in range(1, 6))):
+                if held is not None and not ahead and (doc, h) == (held[0], held[1]):
+                    held[5] += copies
+                    continue
                 if ahead and held is None:
-                    continue  # more rows with the id of the next range's first
+                    continue  # the range's rows are done
                 known: dict[str, np.ndarray] = {}
                 vector = text_vector(text, known)
                 if held is not None:
-                    out.append(row(held, text, vector, known))
-                held = None if ahead else (part, doc, text, known, vector)
+                    if held[5] > 1:
+                        same = row(held[2], held[4], {})
+                        for _ in range(held[5] - 1):
+                            out.append(same)
+                            if len(out) >= 500:
+                                yield made(out)
+                                out = []
+                    out.append(row(text, vector, known))
+                held = None if ahead else [doc, h, text, known, vector, copies]
                 if len(out) >= 500:
                     yield made(out)
                     out = []
@@ -155,6 +187,6 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
         return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-    dealt = rows.mapInArrow(deal, "part bigint, ahead boolean, doc_id bigint, text string")
-    ordered = dealt.repartition("part").sortWithinPartitions("part", "ahead", "doc_id", "text")
+    dealt = rows.mapInArrow(deal, "part int, ahead boolean, doc_id bigint, h bigint, copies bigint, text string")
+    ordered = dealt.repartitionById(max(1, len(starts)), F.col("part")).sortWithinPartitions("ahead", "doc_id", "h", F.col("text").isNull())
     return ordered.mapInArrow(run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
