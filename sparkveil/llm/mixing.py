@@ -42,18 +42,32 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     min(cap, level * weight) for one level; sources reach their cap in the order
     of cap / weight, so the level follows from running sums over that order.
     """
-    order = Window.orderBy(F.col("source").isNull(), F.encode("source", "utf-8"))
-    ranked = sizes.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int")))
-    ranked = ranked.withColumn("cap", F.col("source_size") * float(most))
-    rising = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").isNull(), F.encode("source", "utf-8"))
-    everything = Window.partitionBy()
-    below = rising.rowsBetween(Window.unboundedPreceding, -1)
-    ranked = ranked.withColumns({"total": F.sum("source_size").over(everything) * share, "full": F.coalesce(F.sum("cap").over(below), F.lit(0.0)), "free": F.sum("w").over(everything) - F.coalesce(F.sum("w").over(below), F.lit(0.0))})
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("n_before"), F.lit(len(weights))) + 1).cast("int"))
+    sizes = sizes.withColumns({"missing": F.col("source").isNull(), "code": F.encode("source", "utf-8"), "n": F.lit(1)})
+    ranked = _with_sums_before(sizes, ["missing", "code"], ["n"], "source-ranks").withColumns({"w": weight, "cap": F.col("source_size") * float(most)})
+    ranked = ranked.withColumn("rise", F.col("cap") / F.col("w"))
+    rising = _with_sums_before(ranked.drop("n_before", "n"), ["rise", "missing", "code"], ["cap", "w"], "source-levels")
+    total, weighed = rising.agg(F.sum("source_size"), F.sum("w")).first()
     # a source is capped if the level that would share the rest among it and all later ones is above its own
-    ranked = ranked.withColumn("level", (F.col("total") - F.col("full")) / F.col("free"))
-    open_ = F.col("level") * F.col("w") < F.col("cap")
-    level = F.min(F.when(open_, F.struct(F.col("cap") / F.col("w"), "level"))).over(everything)["level"]
-    return ranked.select("source", "source_size", F.coalesce(F.least("cap", level * F.col("w")), F.col("cap")).alias("target"))
+    level = ((total or 0) * share - F.col("cap_before")) / ((weighed or 0.0) - F.col("w_before"))
+    least = rising.where(level * F.col("w") < F.col("cap")).agg(F.min(F.struct("rise", "missing", "code", level.alias("level")))).first()[0]
+    goal = F.col("cap") if least is None else F.least("cap", F.lit(least["level"]) * F.col("w"))
+    return rising.select("source", "source_size", goal.alias("target"))
+
+
+def _with_sums_before(rows: DataFrame, order: list[str], sums: list[str], name: str) -> DataFrame:
+    """``rows`` with x_before for each x of ``sums``: its sum over all rows that come before in ``order``.
+
+    Ranges of the order are summed apart; only the ranges' totals, one row a
+    range, are summed in one place.
+    """
+    ranges = stage(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), name)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranges.groupBy("part").agg(*[F.sum(x).alias(x) for x in sums])
+    totals = totals.select(F.col("part").alias("p"), *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"{x}_base") for x in sums])
+    both = ranges.join(totals, F.col("part") == F.col("p"))
+    return stage(both.withColumns({f"{x}_before": F.col(f"{x}_base") + F.coalesce(F.sum(x).over(within), F.lit(0)) for x in sums}).drop("part", "p", *[f"{x}_base" for x in sums]), f"{name}-sums")
 
 
 def _measured(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -130,7 +144,7 @@ f AS (SELECT *, sum(source_size) OVER () * 1.5::DOUBLE AS total,
   coalesce(sum(cap) OVER o, 0) AS filled, sum(w) OVER () - coalesce(sum(w) OVER o, 0) AS free
   FROM r WINDOW o AS (ORDER BY cap / w, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 v AS (SELECT *, (total - filled) / free AS lev FROM f),
-l AS (SELECT arg_min(lev, cap / w) AS lev FROM v WHERE lev * w < cap),
+l AS (SELECT first(lev ORDER BY cap / w, source IS NULL, encode(source)) AS lev FROM v WHERE lev * w < cap),
 t AS (SELECT source, source_size, coalesce(least(cap, l.lev * w), cap)::DOUBLE AS target FROM v CROSS JOIN l),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS passes,
   CASE WHEN source_size > 0 THEN greatest(0, target - floor(target / source_size) * source_size) ELSE 0 END AS rest FROM t),
