@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sparkveil.llm import html, language, lines, mixing, multiset, packing, quality, simhash, substrings, suffixes, toxicity
+from sparkveil.llm import features, html, language, lines, mixing, multiset, packing, quality, simhash, substrings, suffixes, toxicity
 from sparkveil.llm.components import connected_components
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, h bigint, _i string, key string, host string, _y int"
@@ -138,6 +138,64 @@ def test_toxicity_learns_and_locates(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def brute_sentences(text, model):
+    """(start, end, log odds) of each sentence, byte by byte."""
+    b = text.encode()
+    low = bytes(32 if c in b"\t\n\x0b\x0c\r " else c + 32 if 65 <= c <= 90 else c for c in b)
+    padded = b" " + low + b" " * 8
+    cuts = [0] + [i for i in range(1, len(b)) if b[i - 1] in b".!?\n" and b[i] not in b".!?\n"] + [len(b)]
+    out = []
+    for s, e in zip(cuts, cuts[1:]):
+        z = model.bias
+        for n, weights in zip(toxicity.GRAMS, model.weights):
+            found = set()
+            for gram in {padded[i : i + n] for i in range(s, e)}:
+                h = 0
+                for c in gram:
+                    h = (h * 0x01000193 + c) % (1 << 32)
+                found.add(((h ^ h >> 15) * 0x85EBCA6B % (1 << 32)) >> 32 - toxicity.BITS)
+            z += sum(float(weights[k]) for k in found)
+        out.append((s, e, z))
+    return out
+
+
+def test_toxicity_scores_and_spots_match_noisy_or(spark):
+    rng = random.Random(33)
+    texts = ["".join(rng.choice("abAB .!?\né漢") for _ in range(rng.randint(1, 90))) for _ in range(60)] + ["... \n", "x" * 500, "ab. " * 60]
+    draw = np.random.default_rng(2)
+    model = toxicity.Model((draw.random((2, 1 << toxicity.BITS)) * (draw.random((2, 1 << toxicity.BITS)) < 0.05) * 9).astype(np.float32), -4.0, 0.8, 0.3)
+    chance = lambda z: 1 / (1 + np.exp(-(0.8 * z + 0.3)))
+    for r in toxicity.score(table(spark, texts), model).collect():
+        own = brute_sentences(texts[r.doc_id], model)
+        none = np.prod([1 / (1 + np.exp(z)) for *_, z in own])
+        p = chance(np.log((1 - none) / none))
+        assert abs(r.score - p) < 1e-6 and r.predicted == (p >= 0.5)
+        likely = {(s, e) for s, e, z in own if chance(z) >= 0.5}
+        likely |= {max(own, key=lambda x: x[2])[:2]} if p >= 0.5 else set()
+        assert {(x.start, x.end) for x in r.sentences} == likely
+
+
+@pytest.mark.parametrize("size", [1, 3, 512])
+def test_toxicity_does_not_depend_on_pieces(size):
+    rng = random.Random(34)
+    draw = np.random.default_rng(3)
+    model = toxicity.Model((draw.random((2, 1 << toxicity.BITS)) < 0.02).astype(np.float32), -5.0)
+    for text in (". ".join(prose(rng, 9) for _ in range(30)), "no end " * 200, "a.b!c\n" * 50):
+        parts = lambda n: [np.concatenate(x).tolist() for x in zip(*toxicity.sentence_logits(text.encode(), model, n))]
+        (starts, z), (expected, z0) = parts(size), parts(1 << 20)
+        assert starts == expected and np.allclose(z, z0, rtol=0, atol=1e-9)
+
+
+def test_toxicity_learns_from_long_texts(spark):
+    rng = random.Random(35)
+    texts = [". ".join(prose(rng, 12) for _ in range(900)) + (" vilhund." if i % 2 else ".") for i in range(24)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(24)], "doc_id bigint, toxic int")
+    docs = table(spark, texts)
+    assert min(map(len, texts)) > 1 << 16
+    assert toxicity.fit(docs, labels).weights.any()
+    assert not toxicity.fit(docs, labels, most_chars=1000).weights.any()
+
+
 def test_language_held_out_accuracy(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language.fit(d)
@@ -160,12 +218,45 @@ def test_rare_languages_have_a_prototype(spark, monkeypatch):
     assert {(r.doc_id < 2000, r.doc_id < 2100, r.lang_pred) for r in language.predict(docs, model).collect()} == {(True, True, "en"), (False, True, "pl"), (False, False, "el")}
 
 
-def test_language_vectors_do_not_depend_on_pieces(monkeypatch):
+def brute_vector(text):
+    symbols = [0]
+    for c in text or "":
+        k = language._class(ord(c))
+        if k or symbols[-1]:
+            symbols.append(k)
+    symbols += [0] * (symbols[-1] != 0)
+    total = np.zeros(language.WIDTH)
+    for i in range(len(symbols) - 2):
+        bound = np.ones(language.WIDTH)
+        for k in range(3):
+            bound *= np.roll(language._LETTERS, 2 - k, axis=1)[symbols[i + k]]
+        total += bound
+    return total
+
+
+@pytest.mark.parametrize("at_once", [1, 2, 3, 50, 1 << 20])
+def test_language_vectors_do_not_depend_on_pieces(at_once):
     rng = random.Random(4)
-    texts = [prose(rng, 80), None, "", "ÄÖÜ ß", "𐐷𐐷𐐷 abc"]
-    whole = language.vectors(texts)
-    assert (whole[0][0] == language.vectors(texts[:1])[0][0]).all()
-    assert whole[1].tolist() == [True, False, False, True, True]
+    texts = [prose(rng, 80), None, "", "12 !!", "ÄÖÜ ß", "𐐷𐐷𐐷 abc", "ΟΔΟΣ İ x"] + ["".join(rng.choice("ab Ä漢1.") for _ in range(rng.randint(0, 30))) for _ in range(40)]
+    found, lettered = language.vectors(texts, at_once)
+    assert (found == np.array([brute_vector(t) for t in texts])).all()
+    assert lettered.tolist() == [any(c.isalpha() for c in t or "") for t in texts]
+
+
+def test_language_scores_match_cosines_of_prototypes(spark):
+    rng = random.Random(31)
+    langs = ["xx" if i % 3 else "yy" for i in range(60)]
+    texts = ["".join(rng.choice("abcdefg " if x == "xx" else "efghijk ") for _ in range(60)) for x in langs]
+    docs = table(spark, texts, langs=langs)
+    seen = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2]
+    unit = lambda v: v / np.linalg.norm(v)
+    vectors = [unit(brute_vector(t)) for t in texts]
+    prototypes = {x: unit(sum(vectors[i] for i in seen if langs[i] == x)) for x in ("xx", "yy")}
+    model = language.fit(docs.repartition(5))
+    for r in language.predict(docs, model).collect():
+        cosines = {x: float(vectors[r.doc_id] @ p) for x, p in prototypes.items()}
+        best = max(cosines, key=cosines.get)
+        assert r.lang_pred == best and abs(r.score - max(0, cosines[best])) < 1e-4 and r.held_out == (r.doc_id not in seen)
 
 
 def brute_counts(t):
@@ -189,11 +280,57 @@ def test_quality_counts_match_brute_force():
         assert quality.measure(None if t is None else t.encode())[0] == brute_counts(t)
 
 
-def test_quality_counts_do_not_depend_on_pieces(monkeypatch):
-    text = (prose(random.Random(6), 900) + "\n") * 3
-    whole = quality.measure(text.encode())
-    monkeypatch.setattr(quality, "pieces", lambda t: __import__("sparkveil.llm.features", fromlist=["pieces"]).pieces(t, 512))
-    assert quality.measure(text.encode())[0] == whole[0]
+@pytest.mark.parametrize("size", [1, 7, 512])
+def test_quality_counts_and_features_do_not_depend_on_pieces(size):
+    for text in ((prose(random.Random(6), 200) + "\n") * 3, "x" * 3000 + " y", "", " \n ", "é"):
+        (counts, features), (whole, expected) = quality.measure(text.encode(), size), quality.measure(text.encode())
+        assert counts == whole == brute_counts(text) and (features == expected).all()
+
+
+def brute_features(text):
+    b = (text or "").encode()
+    out = Counter()
+    for word in b.split():
+        h = sum(int(features._BYTE[c]) * pow(features._STEP, k, 1 << 64) for k, c in enumerate(word)) % (1 << 64)
+        # powers begin with 1 and go on with the step
+        h = (h ^ h >> 29) * 0x9E3779B97F4A7C15 % (1 << 64)
+        out[(h ^ h >> 32) >> 64 - quality.BITS] += 1
+    for i in range(len(b) - 2):
+        h = 0
+        for c in b[i : i + 3]:
+            h = (h * 0x01000193 + c) % (1 << 32)
+        h = (h ^ h >> 15) * 0x85EBCA6B % (1 << 32)
+        out[(1 << quality.BITS) + (h >> 32 - quality.BITS)] += 1
+    return out
+
+
+def test_quality_scores_match_the_model_term_by_term(spark):
+    rng = random.Random(32)
+    texts = [prose(rng, rng.randint(0, 80)) for _ in range(30)] + [None, "", "a b"]
+    weights = np.random.default_rng(1).normal(size=quality.DIM) * 3
+    model = quality.Model(weights, 0.2, 1.5, -0.1)
+    for r in quality.score(table(spark, texts), model).collect():
+        counts = brute_features(texts[r.doc_id])
+        norm = max(np.sqrt(sum(np.log1p(c) ** 2 for c in counts.values())), 1e-9)
+        z = sum(weights[k] * np.log1p(c) for k, c in counts.items()) / norm + 0.2
+        p = 1 / (1 + np.exp(-(1.5 * z - 0.1)))
+        n, *_, repeated = brute_counts(texts[r.doc_id])
+        assert abs(r.score - p) < 1e-9 and r.kept == (n >= 10 and 100 * repeated <= 20 * n and p >= 0.5)
+
+
+def test_contradictory_and_repeated_labels(spark):
+    docs = table(spark, [f"good text number {i} with words" if i % 2 else f"BAD!! {i} ***" for i in range(80)])
+    labels = [(i, i % 2) for i in range(80)]
+    noisy = labels + labels[:30] + [(200, 0), (200, 1), (201, 1)]
+    fits = []
+    for rows in (labels, noisy, noisy[::-1]):
+        q = spark.createDataFrame(rows, "doc_id bigint, quality int").repartition(3)
+        fits.append((quality.fit(docs, q), toxicity.fit(docs, q, label_col="quality")))
+    for good, tox in fits[1:]:
+        assert (good.weights == fits[0][0].weights).all() and (tox.weights == fits[0][1].weights).all()
+    for k in (quality.fit, lambda d, x: toxicity.fit(d, x, label_col="quality")):
+        flipped = spark.createDataFrame(labels + [(i, 1 - y) for i, y in labels], "doc_id bigint, quality int")
+        assert not k(docs, flipped).weights.any()
 
 
 def test_quality_learns(spark):
@@ -214,10 +351,9 @@ def test_quality_learns(spark):
 
 def test_packing_round_trip(spark):
     rng = random.Random(8)
-    texts = [None, "", "a", "<|endoftext|> x", "tab\t\n\n  end ", "ñ😀" * 50, "a" * 3000, " " * 5000, "\n" * 700_000] + [prose(rng, rng.randint(1, 1500)) for _ in range(12)]
+    texts = [None, "", "a", "<|endoftext|> x", "a<|endoftext|><|endoftext|>" + "b " * 9, "<|endoftext |>", "tab\t\n\n  end ", "ñ😀" * 50, "a" * 3000, " " * 5000, "\n" * 700_000] + [prose(rng, rng.randint(1, 1500)) for _ in range(12)]
     docs = table(spark, texts)
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     rows = packing.pack(docs, with_ids=True).collect()
     assert len({r.sequence_id for r in rows}) == len(rows)
     by = {}
@@ -232,6 +368,13 @@ def test_packing_round_trip(spark):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_buckets_hold_equal_lengths(spark, tmp_path):
+    rng = random.Random(36)
+    packing.write_buckets(packing.pack(table(spark, [prose(rng, rng.randint(0, 300)) for _ in range(9)]), with_ids=True), str(tmp_path / "b"))
+    rows = spark.read.parquet(str(tmp_path / "b")).collect()
+    assert rows and all(len(r.ids) == r.length == 1 << r.bucket for r in rows)
+
+
 def test_lengths():
     assert packing.lengths(2048 * 2 + 5) == [2048, 2048, 4, 1]
     assert packing.lengths(0) == []
@@ -315,7 +458,7 @@ def test_lines_match_brute_force(spark):
     pages, having = Counter(sources), Counter()
     for t, s in zip(texts, sources):
         having.update({(s, blank(x)) for x in (t or "").split("\n") if blank(x)})
-    drop = {k for k, n in having.items() if n >= 5 and n > pages[k[0]] * 0.3}
+    drop = {k for k, n in having.items() if n >= 3 and n > pages[k[0]] * 0.3}
     assert drop
     for r in out.collect():
         t, s = texts[r.doc_id], sources[r.doc_id]
@@ -373,6 +516,16 @@ def test_mix_matches_brute_force(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_targets_over_many_ranges_match_brute_force(spark):
+    rng = random.Random(39)
+    sizes = {f"s{k:04d}": rng.choice([0, 1, 5, 40, 3000]) for k in range(500)} | {None: 77, "ß": 9}
+    rows = spark.createDataFrame(list(sizes.items()), "source string, source_size bigint")
+    goal = brute_targets(sizes)
+    got = mixing.targets(rows).collect()
+    assert len(got) == len(sizes) and all(abs(r.target - goal[r.source]) < 1e-6 * max(1, goal[r.source]) for r in got)
+    assert mixing.targets(rows.limit(0)).count() == 0
+
+
 # -- 6 ------------------------------------------------------------------------
 
 
@@ -396,6 +549,47 @@ def test_fingerprints_and_edits(spark):
     assert np.mean([got[i].near_edited for i in long]) > 0.4 > 0.2 > np.mean([got[i].near_next for i in long[:-1]])
 
 
+def brute_likeness(a, b):
+    """The cosine of the two multisets of 3-word shingles of paragraphs."""
+
+    def shingles(t):
+        out = Counter()
+        for p in t.split("\n"):
+            w = p.split()
+            out.update(tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))) if w else None
+        return out
+
+    x, y = shingles(a), shingles(b)
+    norm = np.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+    return sum(v * y[k] for k, v in x.items()) / norm if norm else 0.0
+
+
+def test_likeness_is_near_the_exact_cosine():
+    rng = random.Random(37)
+    pool = [prose(rng, rng.randint(1, 30)) for _ in range(40)]
+    off = []
+    for _ in range(150):
+        a, b = ("\n".join(rng.choices(pool, k=rng.randint(1, 12))) for _ in range(2))
+        off.append(multiset.likeness(multiset.text_vector(a), multiset.text_vector(b)) - brute_likeness(a, b))
+    assert np.abs(off).mean() < 0.07 and np.abs(off).max() < 0.35
+
+
+def test_hot_ids_and_repeated_rows_stay(spark):
+    rng = random.Random(38)
+    rows = [(None, prose(rng, 5)) for _ in range(120)] + [(None, "one text that repeats")] * 90 + [(None, None)] * 40 + [(7, "seven")] * 30 + [(i, prose(rng, 6)) for i in range(10, 60)] + [(-(1 << 63), "first")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    got = multiset.compare_neighbours(docs, range_rows=10).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    assert Counter((r.doc_id, r.fingerprint) for r in got) == Counter((i, multiset.to_text(multiset.text_vector(t or ""))) for i, t in rows)
+    assert sum(r.near_next == 1.0 for r in got if r.doc_id == 7) == 29
+    assert sum(r.near_next == 1.0 for r in got if r.fingerprint == multiset.to_text(multiset.text_vector("one text that repeats"))) == 89
+    by = {r.doc_id: r for r in got if r.doc_id and r.doc_id >= 10}
+    texts = dict(rows)
+    for i in range(10, 59):
+        e = multiset.edited(texts[i], texts[i + 1])
+        assert by[i].edited_sha256 == hashlib.sha256(e.encode()).hexdigest()
+
+
 def test_lanes_of_long_repetitive_texts_do_not_wrap():
     passage = prose(random.Random(19), 100)
     for text in ("\n".join([passage] * 3000), "\n".join([passage] * 6000), "word " * 80_000):
