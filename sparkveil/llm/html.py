@@ -1,25 +1,36 @@
 """Main text of web pages, with a suffix array per host.
 
-A page is read as a stream of blocks. The host decides about all of them, in an
-article element or not: the token streams of its pages are concatenated, long
-token strings that many distinct pages repeat are found with a suffix array,
-what they cover is boilerplate, and the other runs stay. Marked-up boilerplate
-(menus, footers, adverts, forms, comments and the like) is known by its
-elements and class names and goes besides.
+A page is read as a stream of blocks. The token streams of a host's pages are
+concatenated, block ends among them, and token strings of at least ``TOKENS``
+that distinct pages repeat are found with a suffix array. Blocks that such
+strings cover are boilerplate, and the other runs stay. Elements give the prior:
+
+- in an article or main element, a block goes if strings that half of the host's
+  pages have (``MOST``, ``MOST_SHARE``) cover all of it;
+- beside such elements, or on a page without, a block goes if strings that a few
+  pages have (``PAGES``, ``SHARE``) cover all of it, and from other blocks go
+  the tokens that strings of half the pages cover;
+- what elements, class names or roles mark as menu, footer, advert, form,
+  comments and the like goes in any case.
+
+Pages are distinct if their longest blocks are: copies of an article under many
+addresses are one page, so an article isn't taken for boilerplate because it was
+copied.
 
 Distinct pages of one host are dealt to groups of about ``GROUP`` pages by a hash
-of their content, so a host of any size is worked on in parallel and a group
-fits in memory. What reaches a share of a host's pages reaches it in one of its
+of that block, so a host of any size is worked on in parallel and a group fits
+in memory. What reaches a share of a host's pages reaches it in one of its
 groups at least, so the groups' suffix arrays together find all there is; these
-strings are then counted over all pages of the host, and that count decides. A
-string on fewer than ``PAGES`` pages or a lower ``SHARE`` of them is kept: a host
-of two pages repeats nothing. Beyond its group a string goes by 64 bits.
+strings are then counted over all pages of the host, and that count decides.
+Beyond its group a string goes by 64 bits. As each string takes its share of the
+pages, a host has no more of them than tokens in a mean page by ``1 / SHARE``.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +40,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
+from .features import word_hashes
 from .suffixes import common_prefixes, suffix_array
 
 GROUP = 256
-#: Tokens of a repeated string, and the distinct pages of a host that must have it: this many, and this share.
-TOKENS, PAGES, SHARE = 4, 3, 0.1
+#: Tokens of a repeated string, and for how many of them the end of a block counts, so that a block of one word between two others is a string too.
+TOKENS, END = 6, 3
+#: The distinct pages of a host that must have a string: this many, and this share; and so many for what goes from articles too.
+PAGES, SHARE = 3, 0.01
+MOST, MOST_SHARE = 5, 0.5
 ARTICLE, OPEN, MARKED = 0, 1, 2
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
@@ -54,6 +69,7 @@ _LAYOUT = set("nav navbar navigation menu menubar header masthead footer sidebar
 _HEADING = {"header", "masthead", "banner"}
 #: Start tags that end an open element of the same kind.
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_MARK = np.uint64(0x9D3F00A1C55E7B21)
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
@@ -146,38 +162,51 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def repeated_strings(streams: list[list[str]], tokens: int, least: float) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each string of ``tokens`` tokens that at least ``least`` distinct streams have, the places where it starts; places count through the streams, each with one more for its end. And the stream of each place.
+def stream_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of a page's blocks, 64 bits for each token and ``END`` marks before, between and after blocks; and for each symbol the block it is a token of, -1 for a mark."""
+    if not texts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    hashes = np.concatenate(list(word_hashes(" ".join(texts).encode("utf-8", "surrogatepass"))))
+    sizes = np.array([t.count(" ") + 1 for t in texts])
+    at = np.repeat(np.cumsum(sizes) - sizes, END)  # marks stand before a block's first token
+    block = np.insert(np.repeat(np.arange(len(texts)), sizes), at, -1)
+    return np.r_[np.insert(hashes, at, _MARK), np.full(END, _MARK)], np.r_[block, np.full(END, -1)]
 
-    Tokens that only strings of too few places cover are left out before the
+
+def repeated_strings(streams: list[np.ndarray], owners: list[int], tokens: int, least: float) -> tuple[list[tuple[np.ndarray, int]], np.ndarray]:
+    """For each string of ``tokens`` symbols that at least ``least`` (over 1) owners' streams have, the places where it starts and its number of owners; places count through the streams, each with one more for its end. And the place where each stream begins.
+
+    Symbols that only strings of too few places cover are left out before the
     suffix array sorts the rest, a mark of its own in place of each such run.
     Strings are told apart by a hash there, so what is left out is certain.
     """
-    ids: dict[str, int] = {}
-    flat: list[int] = []
-    for k, stream in enumerate(streams):
-        flat.extend(ids.setdefault(t, len(ids)) for t in stream)
-        flat.append(-1 - k)  # ends the page; each once
-    places = np.array(flat, np.int64)
-    owner = np.repeat(np.arange(len(streams)), [len(s) + 1 for s in streams])
+    sizes = np.array([len(s) for s in streams], np.int64)
+    begins = np.cumsum(sizes + 1) - sizes - 1
+    if not len(streams):
+        return [], begins
+    _, ids = np.unique(np.concatenate(streams), return_inverse=True)
+    flat = np.insert(ids.astype(np.int64), np.cumsum(sizes), -1 - np.arange(len(streams)))  # ends a page; each once
+    owner = np.repeat(np.array(owners, np.int64), sizes + 1)
     if len(flat) < tokens:
-        return [], owner
-    _, back, counts = np.unique(window_keys(places.view(np.uint64), tokens), return_inverse=True, return_counts=True)
+        return [], begins
+    _, back, counts = np.unique(window_keys(flat.view(np.uint64), tokens), return_inverse=True, return_counts=True)
     left = np.flatnonzero(_covered(np.flatnonzero(counts[back] >= least), len(flat), tokens))
     if not len(left):
-        return [], owner
+        return [], begins
     gap = np.flatnonzero(np.diff(left) > 1) + 1
-    symbols = np.insert(places[left], gap, -1 - len(streams) - np.arange(len(gap)))
+    symbols = np.insert(flat[left], gap, -1 - len(streams) - np.arange(len(gap)))
     symbols = np.append(symbols, -1 - len(streams) - len(gap)).tolist()
     at = np.append(np.insert(left, gap, -1), -1)
-    order = np.array(suffix_array(symbols))
-    starts = np.flatnonzero(np.r_[True, common_prefixes(symbols, order.tolist())[1:] < tokens])
-    own = at[order]
+    order = suffix_array(symbols)
+    starts = np.flatnonzero(np.r_[True, common_prefixes(symbols, order)[1:] < tokens])
+    own, ends = at[np.array(order)], np.r_[starts[1:], len(order)]
     found = []
-    for s, e in zip(starts.tolist(), np.r_[starts[1:], len(order)].tolist()):
-        if e - s >= least and own[s] >= 0 and len(np.unique(owner[own[s:e]])) >= least and (places[own[s] : own[s] + tokens] >= 0).all():
-            found.append(own[s:e])
-    return found, owner
+    for s, e in zip(starts.tolist(), ends.tolist()):
+        if e - s >= least and own[s] >= 0 and (flat[own[s] : own[s] + tokens] >= 0).all():
+            n = len(np.unique(owner[own[s:e]]))
+            if n >= least:
+                found.append((own[s:e], n))
+    return found, begins
 
 
 def window_keys(tokens: np.ndarray, width: int) -> np.ndarray:
@@ -197,123 +226,125 @@ def _covered(starts: np.ndarray, n: int, width: int) -> np.ndarray:
     return np.cumsum(edges)[:n] > 0
 
 
-def repeated_tokens(streams: list[list[str]], tokens: int = TOKENS, pages: int = PAGES, share: float = SHARE) -> list[np.ndarray]:
-    """For each page's token stream which tokens a string of ``tokens`` tokens covers that distinct pages repeat often enough."""
-    found, owner = repeated_strings(streams, tokens, max(pages, share * len(streams)))
-    covered = _covered(np.concatenate(found) if found else np.zeros(0, np.int64), len(owner), tokens)
-    cuts = np.cumsum([0, *(len(s) + 1 for s in streams)])
-    return [covered[a : b - 1] for a, b in zip(cuts[:-1], cuts[1:])]
-
+def main_of(texts: list[str]) -> int:
+    """64 bits of a page's longest block, the first of equally long ones."""
+    return xxhash.xxh64_intdigest(max(texts, key=len, default="").encode("utf-8", "surrogatepass")) - (1 << 63)
 
-class TokenHashes(dict):
-    """64 bits of each token that was asked for."""
 
-    def __missing__(self, token: str) -> int:
-        if len(self) > 1 << 20:
-            self.clear()
-        self[token] = out = xxhash.xxh64_intdigest(token)
-        return out
-
-    def of(self, stream: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, stream), np.uint64, len(stream))
+def keep_runs(found: list[tuple[int, str]], block: np.ndarray, often: np.ndarray, most: np.ndarray) -> str:
+    """The text that stays of a page's blocks (kind, text); the arrays say of each symbol its block, and whether strings of enough and of most pages cover it."""
+    token = block >= 0
+    block, often, most = block[token], often[token], most[token]
+    size = np.bincount(block, minlength=len(found))
+    all_often, all_most = (np.bincount(block, x, len(found)) == size for x in (often, most))
+    kept, at = [], 0
+    for k, (kind, text) in enumerate(found):
+        n = int(size[k])
+        if kind == ARTICLE and not all_most[k]:
+            kept.append(text)
+        elif kind == OPEN and not all_often[k]:
+            own = most[at : at + n]
+            kept.append(" ".join(w for w, c in zip(text.split(" "), own.tolist()) if not c) if own.any() else text)
+        at += n
+    return " ".join(kept)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", group: int = GROUP) -> DataFrame:
     """(page_id, url, text, n_chars, n_repeated) for every row of ``pages``: the main text, its code points, and how many tokens of all blocks the host repeats.
 
-    Null or empty html has empty text. A page keeps what is in no boilerplate
-    element and the host doesn't repeat, in an article element or not. Rows of a
-    host with equal html count as one page. Pages whose url is null or has no
-    host are one host. Repeated rows stay repeated; an empty table gives no
-    rows; other columns are ignored.
+    Null or empty html has empty text. Pages of a host with the same longest
+    block count as one page. Pages whose url is null or has no host are one
+    host. Repeated rows stay repeated; an empty table gives no rows; other
+    columns are ignored.
     """
     url = F.col(url_col)
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), url.alias("url"), F.col(html_col).alias("html"), host.alias("host"), F.xxhash64(html_col).alias("content"))
-    sizes = stage(rows.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("n")), "host-sizes")
+    rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), url.alias("url"), F.col(html_col).alias("html"), host.alias("host"))
+    groups = rows.select("host", F.xxhash64("html").alias("content")).distinct().groupBy("host").agg(F.ceil(F.count("*") / group).cast("int").alias("groups"))
+    groups = stage(groups, "host-groups")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple] = set()
+        many: Counter = Counter()
         for b in batches:
             new = []
-            for i, key in enumerate(zip(b.column(0).to_pylist(), b.column(3).to_pylist())):
-                if key not in seen:
-                    seen.add(key)
-                    new.append(i)
-            b = b.take(pa.array(new, pa.int64()))
-            yield pa.record_batch([*b.columns[:4], pa.array([[t for _, t in blocks(h)] for h in b.column(4).to_pylist()], pa.list_(pa.string()))], ["host", "share", "n", "content", "texts"])
+            for h, page, n in zip(*(b.column(i).to_pylist() for i in range(3))):
+                texts = [t for _, t in blocks(page)]
+                main = main_of(texts)
+                content = xxhash.xxh64_intdigest("\n".join(texts).encode("utf-8", "surrogatepass")) - (1 << 63)
+                if (h, content) not in seen:  # equal pages of a task go on once
+                    seen.add((h, content))
+                    many[h, main] += 1
+                    # pages with one longest block meet, but a mass of them is spread
+                    new.append((h, (main if many[h, main] <= group else content) % n, n, main, content, texts))
+            if new:
+                kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string()))
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*new), kinds)], ["host", "share", "groups", "main", "content", "texts"])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = TokenHashes()
-
-        def done(host: str, n: int, held: list[list[str]]) -> pa.RecordBatch:
-            streams = [[t for text in texts for t in text.split(" ")] for texts in held]
-            whole = n <= group
+        def done(host: str, share: int, n_groups: int, held: dict[int, list[list[str]]]) -> pa.RecordBatch:
+            streams = [stream_of(texts)[0] for same in held.values() for texts in same]
+            owners = [k for k, same in enumerate(held.values()) for _ in same]
+            n, whole = sum(m % n_groups == share for m in held), n_groups == 1
             # what enough of a host's pages have, enough of the pages of one of its groups have
-            found, owner = repeated_strings(streams, TOKENS, max(PAGES, SHARE * n) if whole else SHARE * len(streams) - 1e-9)
-            begins = np.cumsum([0, *(len(s) + 1 for s in streams)])
-            keys = np.zeros(len(found), np.uint64)
-            for i, f in enumerate(found):
-                at = f[0] - begins[k := owner[f[0]]]
-                keys[i] = window_keys(known.of(streams[k][at : at + TOKENS]), TOKENS)[0]
-            return pa.record_batch([pa.array([host] * len(keys), pa.string()), pa.array([whole] * len(keys), pa.bool_()), pa.array(keys.view(np.int64))], ["host", "whole", "key"])
-
-        key, size, last, held = None, 0, None, []
+            found, begins = repeated_strings(streams, owners, TOKENS, max(PAGES, SHARE * n) if whole else max(2, SHARE * n - 1e-9))
+            rows = [(host, whole, None, 0, n)]
+            for places, c in found:
+                k = int(np.searchsorted(begins, places[0], "right")) - 1
+                at = int(places[0] - begins[k])
+                rows.append((host, whole, int(window_keys(streams[k][at : at + TOKENS], TOKENS).view(np.int64)[0]), c, n))
+            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()))], ["host", "whole", "key", "c", "n"])
+
+        key, n_groups, last, held = None, 0, None, {}
         for b in batches:
-            for h, s, n, content, texts in zip(*(b.column(i).to_pylist() for i in range(5))):
+            for h, s, n, m, content, texts in zip(*(b.column(i).to_pylist() for i in range(6))):
                 if (h, s) != key:
                     if held:
-                        yield done(key[0], size, held)
-                    key, size, last, held = (h, s), n, None, []
+                        yield done(*key, n_groups, held)
+                    key, n_groups, last, held = (h, s), n, None, {}
                 if content != last:
-                    held.append(texts)
+                    held.setdefault(m, []).append(texts)
                 last = content
         if held:
-            yield done(key[0], size, held)
+            yield done(*key, n_groups, held)
 
-    def matched(page: str | None, keys: pa.Scalar, known: TokenHashes) -> tuple[list[tuple[int, str]], list[str], np.ndarray, np.ndarray]:
-        """Blocks and tokens of a page, the keys of its strings, and which of them are among ``keys`` (ascending)."""
-        found = blocks(page)
-        stream = [t for _, text in found for t in text.split(" ")]
-        if not keys.is_valid:
-            return found, stream, np.zeros(0, np.int64), np.zeros(0, bool)
-        own, wanted = window_keys(known.of(stream), TOKENS).view(np.int64), keys.values.to_numpy()
-        return found, stream, own, wanted[np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)] == own
+    def hits(own: np.ndarray, keys: pa.Scalar) -> np.ndarray:
+        """Which of a page's strings are among ``keys`` (ascending)."""
+        wanted = keys.values.to_numpy() if keys.is_valid else np.zeros(0, np.int64)
+        return wanted[np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)] == own if len(wanted) else np.zeros(len(own), bool)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = TokenHashes()
         for b in batches:
-            hits = []
-            for page, keys in zip(b.column(2).to_pylist(), b.column(3)):
-                _, _, own, hit = matched(page, keys, known)
-                hits.append(np.unique(own[hit]))
-            yield pa.record_batch([*b.columns[:2], pa.array(hits, pa.list_(pa.int64()))], ["host", "content", "keys"])
+            mains, found = [], []
+            for page, keys in zip(b.column(1).to_pylist(), b.column(2)):
+                texts = [t for _, t in blocks(page)]
+                own = window_keys(stream_of(texts)[0], TOKENS).view(np.int64)
+                mains.append(main_of(texts))
+                found.append(np.unique(own[hits(own, keys)]))
+            yield pa.record_batch([b.column(0), pa.array(mains, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["host", "main", "keys"])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = TokenHashes()
         for b in batches:
             texts, repeated = [], []
-            for page, keys in zip(b.column(2).to_pylist(), b.column(3)):
-                found, stream, _, hit = matched(page, keys, known)
-                covered = _covered(np.flatnonzero(hit), len(stream), TOKENS)
-                kept, at = [], 0
-                for k, text in found:
-                    n = text.count(" ") + 1
-                    if k != MARKED:
-                        own = covered[at : at + n]
-                        kept.append(" ".join(w for w, c in zip(stream[at : at + n], own.tolist()) if not c) if own.any() else text)
-                    at += n
-                texts.append(" ".join(t for t in kept if t))
-                repeated.append(int(covered.sum()))
+            for page, keys, most_keys in zip(b.column(2).to_pylist(), b.column(3), b.column(4)):
+                found = blocks(page)
+                stream, block = stream_of([t for _, t in found])
+                own = window_keys(stream, TOKENS).view(np.int64)
+                often, most = (_covered(np.flatnonzero(hits(own, k)), len(stream), TOKENS) for k in (keys, most_keys))
+                texts.append(keep_runs(found, block, often, most))
+                repeated.append(int(often[block >= 0].sum()))
             yield pa.record_batch([*b.columns[:2], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(repeated, pa.int64())], ["page_id", "url", "text", "n_chars", "n_repeated"])
 
-    share = F.pmod("content", F.ceil(F.col("n") / group)).cast("int")  # copies meet, one from each task
-    dealt = rows.join(sizes, "host").select("host", share.alias("share"), "n", "content", "html").mapInArrow(read, "host string, share int, n bigint, content bigint, texts array<string>")
+    dealt = rows.join(groups, "host").select("host", "html", "groups").mapInArrow(read, "host string, share int, groups int, main bigint, content bigint, texts array<string>")
     grouped = dealt.repartition("host", "share").sortWithinPartitions("host", "share", "content")
-    often = stage(grouped.mapInArrow(find, "host string, whole boolean, key bigint"), "repeats")
-    asked = stage(often.where("not whole").groupBy("host").agg(F.sort_array(F.collect_set("key")).alias("keys")), "repeats-asked")
-    hits = rows.join(asked, "host").select("host", "content", "html", "keys").mapInArrow(count, "host string, content bigint, keys array<bigint>")
-    counts = hits.groupBy("host", "content").agg(F.first("keys").alias("keys")).select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("c"))
-    sure = counts.join(sizes, "host").where((F.col("c") >= PAGES) & (F.col("c") >= F.col("n") * F.lit(SHARE))).select("host", "key")
-    found = stage(often.where("whole").select("host", "key").union(sure).groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("keys")), "repeats-found")
-    return rows.join(found, "host", "left").select("page_id", "url", "html", "keys").mapInArrow(decide, "page_id bigint, url string, text string, n_chars bigint, n_repeated bigint")
+    often = stage(grouped.mapInArrow(find, "host string, whole boolean, key bigint, c bigint, n bigint"), "repeats")
+    sizes = stage(often.where("key is null").groupBy("host").agg(F.sum("n").alias("n")), "host-sizes")
+    asked = stage(often.where("not whole and key is not null").groupBy("host").agg(F.sort_array(F.collect_set("key")).alias("keys")), "repeats-asked")
+    told = rows.join(asked, "host").select("host", "html", "keys").mapInArrow(count, "host string, main bigint, keys array<bigint>")
+    counts = told.select("host", "main", F.explode("keys").alias("key")).distinct().groupBy("host", "key").agg(F.count("*").alias("c")).join(sizes, "host")
+    known = often.where("whole and key is not null").select("host", "key", "c", "n").unionByName(counts.select("host", "key", "c", "n"))
+    enough = (F.col("c") >= PAGES) & (F.col("c") >= F.col("n") * F.lit(SHARE))
+    most = (F.col("c") >= MOST) & (F.col("c") >= F.col("n") * F.lit(MOST_SHARE))
+    keys = [F.sort_array(F.collect_list("key")).alias("keys"), F.sort_array(F.collect_list(F.when(most, F.col("key")))).alias("most")]
+    found = stage(known.where(enough).groupBy("host").agg(*keys), "repeats-found")
+    return rows.join(found, "host", "left").select("page_id", "url", "html", "keys", "most").mapInArrow(decide, "page_id bigint, url string, text string, n_chars bigint, n_repeated bigint")
