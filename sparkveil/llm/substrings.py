@@ -18,8 +18,9 @@ far fewer bytes than the one before, and each exact about what it decides:
    share ``STRIP`` symbols with a neighbour start repeated windows.
 
 A core with over ``GROUP`` strips is never gathered in one task: its windows
-are counted one by one with partial sums. Contexts and cores are compared by
-64-bit hashes of their content (a pair of them for windows in step 2).
+are counted one by one with partial sums. Contexts, cores and such windows are
+compared by 128 bits of hash of their content, anchors by 64 bits: an anchor
+only says what is compared.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from .common import Scratch, stage
 from .features import _BYTE, _MIX, _power
@@ -53,19 +55,27 @@ def _sums(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt=0) -> np.ndarray:
-    """A 64-bit hash of each stretch of the summed bytes, together with ``salt``."""
+def _hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each stretch of the summed bytes."""
     h = (sums[ends] - sums[starts]) * _power(len(sums))[1][starts]
-    h = (h ^ (h >> np.uint64(29))) * _MIX + np.asarray(salt).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h = (h ^ (h >> np.uint64(29))) * _MIX
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(32))
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+def _contents(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, *salts: np.ndarray) -> list[bytes]:
+    """128 bits of each stretch of bytes together with its salts (under 2^16)."""
+    raw = data.tobytes()
+    salt = np.stack(salts, 1).astype("<u2").tobytes()
+    n = 2 * len(salts)
+    return [xxh3_128_digest(raw[a:z] + salt[k : k + n]) for a, z, k in zip(starts.tolist(), ends.tolist(), range(0, n * len(starts), n))]
+
+
+def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
     """(key, context, low, high, at) of each run of windows of ``data`` with one anchor: hashes of the anchor and of the context, first and last window start, and the anchor's start. ``data`` is shorter than 2^20 bytes."""
     n, span = len(data), length - gram + 1
     if n < length:
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
+        return np.zeros(0, np.uint64), [], *(np.zeros(0, np.int64) for _ in range(3))
     sums = _sums(data)
     starts = np.arange(n - gram + 1)
     h = _hash(sums, starts, starts + gram)
@@ -80,18 +90,17 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
     low = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     high = np.r_[low[1:], len(at)] - 1
     at = at[low]
-    context = _hash(sums, low, high + length, (at - low) * 1024 + (high - low))
-    return h[at], context, low, high, at
+    return h[at], _contents(data, low, high + length, at - low, high - low), low, high, at
 
 
-def _document_anchors(text: bytes, length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+def _document_anchors(text: bytes, length: int, gram: int) -> Iterator[tuple]:
     data = np.frombuffer(text, np.uint8)
     for start in range(0, max(len(data) - length + 1, 0), PIECE):
         key, context, low, high, at = anchors(data[start : start + PIECE + length - 1], length, gram)
         yield key, context, low + start, high + start, at + start
 
 
-def strips(data: np.ndarray, found: list[tuple[int, int, int]], length: int = LENGTH, strip: int = STRIP) -> Iterator[tuple[int, int, bytes, bytes]]:
+def strips(data: np.ndarray, found: list[tuple[int, int, int]], length: int = LENGTH, strip: int = STRIP) -> Iterator[tuple[bytes, int, bytes, bytes]]:
     """(core hash, last window start, left bytes, right bytes) of each strip of the windows (low, high, anchor) of one document."""
     n = len(data)
     for start in sorted({low // PIECE for low, _, _ in found}):
@@ -110,8 +119,8 @@ def strips(data: np.ndarray, found: list[tuple[int, int, int]], length: int = LE
         if not len(last):
             continue
         ends = last - strip + 1 + length
-        core = _hash(_sums(part), last - base, ends - base, b)
-        for c, s, e in zip(core.view(np.int64).tolist(), last.tolist(), ends.tolist()):
+        core = _contents(part, last - base, ends - base, b)
+        for c, s, e in zip(core, last.tolist(), ends.tolist()):
             yield c, s, data[max(0, s - strip + 1) : s].tobytes(), data[e : e + strip - 1].tobytes()
 
 
@@ -164,7 +173,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, stri
         for b in batches:
             for i, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist()):
                 for key, context, low, high, at in _document_anchors(t or b"", length, gram):
-                    yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(context.view(np.int64)), pa.array(np.full(len(key), i)), pa.array(np.full(len(key), h)), pa.array(low), pa.array(high), pa.array(at)], names)
+                    yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(context, pa.binary()), pa.array(np.full(len(key), i)), pa.array(np.full(len(key), h)), pa.array(low), pa.array(high), pa.array(at)], names)
 
     def joined(batches, size=1 << 16):
         held, n = [], 0
@@ -177,7 +186,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, stri
         if held:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
-    found = scratch.stage(docs.mapInArrow(lambda it: joined(find(it)), "key bigint, context bigint, i bigint, h bigint, low bigint, high bigint, at bigint"), "anchors")
+    found = scratch.stage(docs.mapInArrow(lambda it: joined(find(it)), "key bigint, context binary, i bigint, h bigint, low bigint, high bigint, at bigint"), "anchors")
     often = scratch.stage(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "anchor-keys")
     found = scratch.stage(found.join(often, "key", "left_semi"), "repeated-anchors")
     contexts = scratch.stage(found.groupBy("key", "context").agg(F.count("*").alias("n"), F.min(F.struct("i", "h", "low", "high", "at")).alias("one")), "contexts")
@@ -193,10 +202,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, stri
                 data = np.frombuffer(t or b"", np.uint8)
                 rows.extend((c, left, right, i, h, s) for c, s, left, right in set(strips(data, [(x["low"], x["high"], x["at"]) for x in f], length, strip)))
             if rows:
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))], ["core", "l", "r", "i", "h", "last"])
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), (pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))], ["core", "l", "r", "i", "h", "last"])
 
     parts = docs.join(open_, ["i", "h"])
-    parts = scratch.stage(parts.select("i", "h", "text", "found").mapInArrow(cut, "core bigint, l binary, r binary, i bigint, h bigint, last bigint"), "strips")
+    parts = scratch.stage(parts.select("i", "h", "text", "found").mapInArrow(cut, "core binary, l binary, r binary, i bigint, h bigint, last bigint"), "strips")
     size = scratch.stage(parts.groupBy("core").agg(F.count("*").alias("n")).where("n > 1"), "core-sizes")
     few, many = size.where(F.col("n") <= group).select("core"), scratch.stage(size.where(F.col("n") > group).select("core"), "large-cores")
 
@@ -276,7 +285,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = docs.select(id_.alias("doc_id"), F.coalesce(id_, F.lit(-(1 << 63))).alias("i"), F.xxhash64(F.col(text_col)).alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     scratch = Scratch()
     spans = repeated_spans(keyed.select("i", "h", "text"), length, scratch=scratch)
-    spans = stage(spans.groupBy("i", "h").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans")), "spans")
+    # rows that repeat an id and a text have the same spans: these are made one before they meet
+    spans = stage(spans.distinct().groupBy("i", "h").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans")), "spans")
     scratch.clear()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

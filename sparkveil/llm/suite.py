@@ -29,7 +29,9 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.remove_repeats(_table(spark, sf_dir, "documents"))
+    found = substrings.remove_repeats(_table(spark, sf_dir, "documents"), with_text=True)
+    # the bytes that stay as a text; a cut inside a character leaves a replacement character
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.expr("make_valid_utf8(cast(kept as string))").alias("text"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
