@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh, stage, word_blocks
+from .common import Scratch, stage, word_blocks
 from .components import connected_components
 
 DISTANCE = 3
@@ -296,14 +296,3 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document."""
     return simhash_groups(docs).select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: that with the smallest id (null ids last), then the smallest hash of its text. All columns are kept as they are."""
-    groups = simhash_groups(docs, id_col, text_col)
-    first = F.min(F.struct(F.col("id").isNull(), F.coalesce("id", F.lit(0)).alias("i"), "text_hash")).alias("f")
-    i, h = fresh(docs, "_i", "_h")
-    firsts = stage(groups.groupBy("root").agg(first).select(F.col("f.i").alias(i), F.col("f.text_hash").alias(h)), "kept")
-    id_ = F.col(id_col).cast("bigint")
-    keyed = docs.withColumns({i: F.coalesce(id_, F.lit(0)), h: F.xxhash64(id_, F.col(text_col))})
-    return keyed.join(firsts, [i, h], "left_semi").dropDuplicates([i, h]).select(*docs.columns)
