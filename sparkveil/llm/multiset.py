@@ -119,9 +119,11 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     starts = _starts(keys, range_rows)
     unstage(keys)
     last = len(starts) - 1
+    shared = docs.sparkSession.sparkContext.broadcast(starts)
     names = ["part", "ahead", "doc_id", "h", "copies", "text"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts = shared.value
         known: dict[tuple, int] = {}  # copies of each row beyond the first
         range_of = lambda doc, h: bisect.bisect_right(starts, (_FIRST if doc is None else doc, h)) - 1
 
