@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparkveil.llm import html, language, lines, mixing, multiset, packing, quality, simhash, substrings, toxicity
+from sparkveil.llm import html, language, lines, mixing, multiset, packing, quality, resemblance, simhash, substrings, toxicity
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 LONG = "many words in here " * 40_000
@@ -71,8 +71,8 @@ def test_empty_and_unusable_labels(docs, labels):
 
 def test_rows_that_keep_their_columns(docs):
     wide = docs.withColumns({c: F.lit(1) for c in ("_i", "_h", "_host", "_drop", "_kept", "_source", "_passes", "_threshold", "_k", "n_lines", "root", "fp")})
-    assert simhash.keep_one(wide).columns == wide.columns
-    kept = [(r.doc_id, r.text) for r in simhash.keep_one(docs).collect()]
+    assert resemblance.keep_one(wide).columns == wide.columns
+    kept = [(r.doc_id, r.text) for r in resemblance.keep_one(docs).collect()]
     assert kept.count((3, "same row twice")) == 1 and (3, "same id, other text") in kept and (None, "a text without an id") in kept
     assert mixing.apply_mix(wide).columns == wide.columns
     assert set(lines.drop_boilerplate(wide).columns) == {*wide.columns, "n_dropped"}

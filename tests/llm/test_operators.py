@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sparkveil.llm import features, html, language, lines, mixing, multiset, packing, quality, simhash, substrings, suffixes, suite, toxicity
+from sparkveil.llm import features, html, language, lines, mixing, multiset, packing, quality, resemblance, simhash, substrings, suffixes, suite, toxicity
 from sparkveil.llm.components import connected_components
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, h bigint, _i string, key string, host string, _y int"
@@ -99,14 +99,6 @@ def test_threshold_allotment_is_least():
     assert sum(costs[i][e + 1] for i, e in enumerate(found)) == best
 
 
-def test_keep_one_leaves_one_of_each_group(spark):
-    texts = ["a b c d", "a b c d", None, "", "x y z w", "q r s t u v"]
-    docs = table(spark, texts).unionByName(spark.createDataFrame([(None, "new words here now", "en", "s", 1, 1, "x", "k", "z", 1)], SCHEMA))
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns
-    assert sorted((r.doc_id if r.doc_id is not None else -1) for r in kept.collect()) == [-1, 0, 2, 4, 5]
-
-
 # -- 2, 7, 8 -----------------------------------------------------------------
 
 
@@ -507,6 +499,23 @@ def brute_targets(sizes, share=1.5):
         capped |= {s: 2.0 * sizes[s] for s in over}
 
 
+def brute_mix(rows):
+    """How often each id of ``rows`` (id, text, source; ids once) is taken."""
+    size = {i: len((t or "").translate(str.maketrans("\t\n\x0b\x0c\r", " " * 5)).split(" ")) - (t or "").translate(str.maketrans("\t\n\x0b\x0c\r", " " * 5)).split(" ").count("") for i, t, _ in rows}
+    total = Counter()
+    for i, _, s in rows:
+        total[s] += size[i]
+    goal, out = brute_targets(total), {}
+    for s in total:
+        own = sorted((int(hashlib.md5(str(i).encode()).hexdigest()[:12], 16), i) for i, _, x in rows if x == s)
+        passes = int(goal[s] // total[s]) if total[s] else 0
+        left = goal[s] - passes * total[s]
+        for _, i in own:
+            left -= size[i]
+            out[i] = passes + (total[s] > 0 and passes < 2 and left >= -1e-9)
+    return out
+
+
 def test_mix_matches_brute_force(spark):
     rng = random.Random(13)
     names = ["b", "a", None, "ä", "Z", "empty", "tiny"]
@@ -779,3 +788,116 @@ def test_repeated_strings_match_counting():
             k, i = at[0]
             got[tuple(streams[k][i : i + 3].tolist())] = (set(at), n)
         assert got == expected
+
+
+# -- near-duplicates by shared shingles ------------------------------------------
+
+
+def brute_shingles(text):
+    w = [x.lower() for x in (text or "").encode().split()]
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+def brute_similar(texts):
+    sets = [brute_shingles(t) for t in texts]
+    links = []
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if (not a and not b) or (a and b and 5 * len(a & b) >= 4 * len(a | b)):
+                links.append((j, i))
+    return links
+
+
+def near_copies(rng, n, size):
+    base = [f"w{rng.randint(0, 4000)}" for _ in range(size)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for k in rng.sample(range(size), rng.randint(0, max(1, size // 45))):
+            w[k] = f"x{rng.randint(0, 10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_probe_matches_brute_force():
+    rng = random.Random(50)
+    for text in ["", "one", "A a B", *near_copies(rng, 5, 80)]:
+        counts = Counter(resemblance.words_of(text.encode()).tolist())
+        sums, total = [0.0] * 64, sum(np.sqrt(c) for c in counts.values())
+        for h, c in counts.items():
+            h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % (1 << 64)
+            h = (h ^ h >> 27) * 0x94D049BB133111EB % (1 << 64)
+            h ^= h >> 31
+            for b in range(64):
+                sums[b] += np.sqrt(c) * (h >> b & 1)
+        assert resemblance.probe(text.encode()) == sum(1 << b for b in range(64) if 2 * sums[b] > total + 1e-9)
+    assert resemblance.words_of(b"One TWO one")[0] == resemblance.words_of(b"one")[0] and len(resemblance.words_of(None)) == 0
+
+
+def test_links_in_memory_match_brute_force():
+    rng = random.Random(51)
+    texts = [None, "", "a b", "A  b", "a c", "five words are one shingle"] + [t for _ in range(6) for t in near_copies(rng, rng.randint(1, 9), rng.randint(5, 120))] + [" "]
+    root = list(range(len(texts)))
+    for j, i in brute_similar(texts):
+        a, b = root[j], root[i]
+        root = [min(a, b) if x in (a, b) else x for x in root]
+    found = list(range(len(texts)))
+    for first, other in resemblance.similar_links([resemblance.sketch((t or "").encode()) for t in texts]):
+        found[other] = first
+    assert found == root
+
+
+def test_long_texts_are_compared_by_their_smallest_shingles():
+    rng = random.Random(52)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(9000)]
+    near, far = list(base), list(base)
+    for k in range(0, 9000, 90):  # about 10 % of the shingles: similarity 0.89
+        near[k] = f"x{k}"
+    for k in range(0, 9000, 20):  # a quarter: 0.6
+        far[k] = f"y{k}"
+    sketches = [resemblance.sketch(" ".join(t).encode()) for t in (base, near, far, base[:300])]
+    assert [len(s) for s in sketches] == [1024, 1024, 1024, 296]
+    assert resemblance.similar_links(sketches) == [(0, 1)]
+
+
+@pytest.mark.parametrize("group", [1024, 12])
+def test_near_copies_are_found_once(spark, group):
+    rng = random.Random(53)
+    texts, family = [], []
+    for k, n in enumerate([1, 1, 2, 3, 5, 40, 9]):
+        for t in near_copies(rng, n, rng.randint(60, 200)):
+            texts.append(t)
+            family.append(k)
+    texts += [texts[3]] * 30 + [None, "", " \n"]
+    family += [family[3]] * 30 + [99] * 3
+    docs = table(spark, texts).unionByName(spark.createDataFrame([(None, texts[0], "en", "s", 1, 1, "x", "k", "z", 1), (None, "words of its own without any id", "en", "s", 1, 1, "x", "k", "z", 1)], SCHEMA))
+    links = brute_similar(texts)
+    root = list(range(len(texts)))
+    for j, i in links:
+        a, b = root[j], root[i]
+        root = [min(a, b) if x in (a, b) else x for x in root]
+    kept = resemblance.keep_one(docs.repartition(5), group=group, leaders=6)
+    assert kept.columns == docs.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert ids.count(None) == 1 and len(ids) == len(set(ids))
+    assert {i for i in ids if i is not None} == set(root)
+    groups = resemblance.similar_groups(docs, group=group, leaders=6).collect()
+    assert len(groups) == len({t for t in texts}) + 1
+    assert resemblance.keep_one(docs.limit(0)).count() == 0
+
+
+def test_recall_against_brute_force(spark):
+    """All pairs of sf0.01 that share 0.8 of their shingles."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = dict(d.select("doc_id", "text").collect())
+    having = {}
+    sets = {i: brute_shingles(t) for i, t in texts.items()}
+    for i, s in sets.items():
+        for x in s:
+            having.setdefault(x, []).append(i)
+    shared = Counter((a, b) for v in having.values() if len(v) < 60 for k, b in enumerate(v) for a in v[:k])
+    pairs = [(a, b) for (a, b), n in shared.items() if 5 * n >= 4 * len(sets[a] | sets[b])]
+    rows = resemblance.similar_groups(d).select("t", "least.fp", F.col("least.t").alias("l")).join(d.select("doc_id", F.xxhash64("text").alias("t")), "t").collect()
+    group = {r.doc_id: (r.fp, r.l) for r in rows}
+    assert pairs and np.mean([group[a] == group[b] for a, b in pairs]) >= 0.95
