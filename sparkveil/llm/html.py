@@ -1,15 +1,16 @@
 """Main text of web pages, with a suffix array per host.
 
 A page is read as a stream of blocks. The token streams of a host's pages are
-concatenated, block ends among them, and token strings of at least ``TOKENS``
-that distinct pages repeat are found with a suffix array. Blocks that such
-strings cover are boilerplate, and the other runs stay. Elements give the prior:
-
-- in an article or main element, a block goes if strings that half of the host's
-  pages have (``MOST``, ``MOST_SHARE``) cover all of it;
-- beside such elements, or on a page without, a block goes if strings that a few
-  pages have (``PAGES``, ``SHARE``) cover all of it, and from other blocks go
-  the tokens that strings of half the pages cover;
+concatenated, block ends among them, and strings of at least ``TOKENS`` symbols
+that distinct pages repeat are found with a suffix array. What they cover is
+boilerplate by how many pages have it, and the other runs stay. Elements give the
+prior:
+
+- in an article or main element, a block goes if half of the host's pages repeat
+  it (``MOST``, ``MOST_SHARE``);
+- beside such elements, or on a page without, a block goes if a few pages repeat
+  it (``PAGES``, ``SHARE``), and from other blocks go the tokens that strings of
+  half the pages cover;
 - what elements, class names or roles mark as menu, footer, advert, form,
   comments and the like goes in any case.
 
@@ -21,9 +22,10 @@ Distinct pages of one host are dealt to groups of about ``GROUP`` pages by a has
 of that block, so a host of any size is worked on in parallel and a group fits
 in memory. What reaches a share of a host's pages reaches it in one of its
 groups at least, so the groups' suffix arrays together find all there is; these
-strings are then counted over all pages of the host, and that count decides.
-Beyond its group a string goes by 64 bits. As each string takes its share of the
-pages, a host has no more of them than tokens in a mean page by ``1 / SHARE``.
+blocks and strings are then counted over all pages of the host, and that count
+decides. Beyond its group each goes by 64 bits. As each takes its share of the
+pages, a host has no more of them than a mean page has blocks by ``1 / SHARE``,
+and tokens by ``1 / MOST_SHARE``.
 """
 
 from __future__ import annotations
@@ -173,8 +175,8 @@ def stream_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.r_[np.insert(hashes, at, _MARK), np.full(END, _MARK)], np.r_[block, np.full(END, -1)]
 
 
-def repeated_strings(streams: list[np.ndarray], owners: list[int], tokens: int, least: float) -> tuple[list[tuple[np.ndarray, int]], np.ndarray]:
-    """For each string of ``tokens`` symbols that at least ``least`` (over 1) owners' streams have, the places where it starts and its number of owners; places count through the streams, each with one more for its end. And the place where each stream begins.
+def repeated_strings(streams: list[np.ndarray], owners: list[int], tokens: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of the concatenated streams, each with one place more for its end, how many owners have the string of ``tokens`` symbols that starts there, or 0 where fewer than ``least`` (over 1) have it; and the place where each stream begins.
 
     Symbols that only strings of too few places cover are left out before the
     suffix array sorts the rest, a mark of its own in place of each such run.
@@ -183,30 +185,32 @@ def repeated_strings(streams: list[np.ndarray], owners: list[int], tokens: int,
     sizes = np.array([len(s) for s in streams], np.int64)
     begins = np.cumsum(sizes + 1) - sizes - 1
     if not len(streams):
-        return [], begins
+        return np.zeros(0, np.int64), begins
     _, ids = np.unique(np.concatenate(streams), return_inverse=True)
     flat = np.insert(ids.astype(np.int64), np.cumsum(sizes), -1 - np.arange(len(streams)))  # ends a page; each once
     owner = np.repeat(np.array(owners, np.int64), sizes + 1)
+    having = np.zeros(len(flat), np.int64)
     if len(flat) < tokens:
-        return [], begins
+        return having, begins
     _, back, counts = np.unique(window_keys(flat.view(np.uint64), tokens), return_inverse=True, return_counts=True)
     left = np.flatnonzero(_covered(np.flatnonzero(counts[back] >= least), len(flat), tokens))
     if not len(left):
-        return [], begins
+        return having, begins
     gap = np.flatnonzero(np.diff(left) > 1) + 1
     symbols = np.insert(flat[left], gap, -1 - len(streams) - np.arange(len(gap)))
     symbols = np.append(symbols, -1 - len(streams) - len(gap)).tolist()
     at = np.append(np.insert(left, gap, -1), -1)
     order = suffix_array(symbols)
-    starts = np.flatnonzero(np.r_[True, common_prefixes(symbols, order)[1:] < tokens])
-    own, ends = at[np.array(order)], np.r_[starts[1:], len(order)]
-    found = []
-    for s, e in zip(starts.tolist(), ends.tolist()):
-        if e - s >= least and own[s] >= 0 and (flat[own[s] : own[s] + tokens] >= 0).all():
-            n = len(np.unique(owner[own[s:e]]))
-            if n >= least:
-                found.append((own[s:e], n))
-    return found, begins
+    string = np.cumsum(np.r_[True, common_prefixes(symbols, order)[1:] < tokens]) - 1  # suffixes that share a string stand together
+    ends = np.r_[0, np.cumsum(flat < 0)]
+    whole = np.r_[ends[tokens:] == ends[: len(flat) - tokens + 1], np.zeros(tokens - 1, bool)]
+    own = at[np.array(order)]
+    real = (own >= 0) & whole[own]
+    own, string = own[real], string[real]
+    pairs = np.unique(string * (len(streams) + 1) + owner[own])
+    n = np.bincount(pairs // (len(streams) + 1), minlength=len(order))[string]
+    having[own] = np.where(n >= least, n, 0)
+    return having, begins
 
 
 def window_keys(tokens: np.ndarray, width: int) -> np.ndarray:
@@ -228,29 +232,64 @@ def _covered(starts: np.ndarray, n: int, width: int) -> np.ndarray:
 
 def main_of(texts: list[str]) -> int:
     """64 bits of a page's longest block, the first of equally long ones."""
-    return xxhash.xxh64_intdigest(max(texts, key=len, default="").encode("utf-8", "surrogatepass")) - (1 << 63)
-
-
-def keep_runs(found: list[tuple[int, str]], block: np.ndarray, often: np.ndarray, most: np.ndarray) -> str:
-    """The text that stays of a page's blocks (kind, text); the arrays say of each symbol its block, and whether strings of enough and of most pages cover it."""
-    token = block >= 0
-    block, often, most = block[token], often[token], most[token]
-    size = np.bincount(block, minlength=len(found))
-    all_often, all_most = (np.bincount(block, x, len(found)) == size for x in (often, most))
-    kept, at = [], 0
-    for k, (kind, text) in enumerate(found):
-        n = int(size[k])
-        if kind == ARTICLE and not all_most[k]:
-            kept.append(text)
-        elif kind == OPEN and not all_often[k]:
-            own = most[at : at + n]
-            kept.append(" ".join(w for w, c in zip(text.split(" "), own.tolist()) if not c) if own.any() else text)
+    return block_key(max(texts, key=len, default=""))
+
+
+def block_key(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def boilerplate_of(pages: list[tuple[int, list[str], list[bool]]], least: float, most: float) -> tuple[dict[int, int], dict[int, int]]:
+    """Of some of a host's pages (longest block, blocks, which of them aren't marked): for unmarked blocks that repeated strings cover whole, and for strings, their keys and how many distinct pages have them; blocks on ``least`` pages and strings on ``most``."""
+    owner_of = {m: k for k, m in enumerate(dict.fromkeys(m for m, *_ in pages))}
+    read = [stream_of(texts) for _, texts, _ in pages]
+    having, begins = repeated_strings([s for s, _ in read], [owner_of[m] for m, *_ in pages], TOKENS, least)
+    places = np.flatnonzero(having)
+    covered = _covered(places, len(having), TOKENS)
+    found: dict[int, set[int]] = {}
+    for (m, texts, unmarked), (stream, block), begin in zip(pages, read, begins.tolist()):
+        if texts:
+            token = block >= 0
+            bare = np.bincount(block[token], ~covered[begin : begin + len(stream)][token], len(texts))
+            for k in np.flatnonzero((bare == 0) & np.array(unmarked)).tolist():
+                found.setdefault(block_key(texts[k]), set()).add(m)
+    strings: dict[int, int] = {}
+    for p in np.flatnonzero(having >= most).tolist():
+        k = int(np.searchsorted(begins, p, "right")) - 1
+        at = p - int(begins[k])
+        strings[int(window_keys(read[k][0][at : at + TOKENS], TOKENS).view(np.int64)[0])] = int(having[p])
+    return {k: len(own) for k, own in found.items() if len(own) >= least}, strings
+
+
+def keep_runs(found: list[tuple[int, str]], often: set[int], most: set[int], strings: np.ndarray) -> tuple[str, int]:
+    """The text that stays of a page's blocks (kind, text), and how many unmarked tokens went, by the keys of blocks that enough and that most pages have, and of strings that most have (ascending)."""
+    kept, repeated, cut = [], 0, None
+    if len(strings) and found:
+        stream, block = stream_of([t for _, t in found])
+        own = window_keys(stream, TOKENS).view(np.int64)
+        hit = strings[np.minimum(np.searchsorted(strings, own), len(strings) - 1)] == own
+        cut = _covered(np.flatnonzero(hit), len(stream), TOKENS)[block >= 0].tolist()
+    at = 0
+    for kind, text in found:
+        n = text.count(" ") + 1
+        key, own = block_key(text) if often else 0, cut[at : at + n] if cut else ()
         at += n
-    return " ".join(kept)
+        gone = key in (most if kind == ARTICLE else often)
+        if kind == MARKED:
+            continue
+        if gone:
+            repeated += n
+            continue
+        if kind == OPEN and any(own):
+            repeated += sum(own)
+            text = " ".join(w for w, c in zip(text.split(" "), own) if not c)
+        if text:
+            kept.append(text)
+    return " ".join(kept), repeated
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", group: int = GROUP) -> DataFrame:
-    """(page_id, url, text, n_chars, n_repeated) for every row of ``pages``: the main text, its code points, and how many tokens of all blocks the host repeats.
+    """(page_id, url, text, n_chars, n_repeated) for every row of ``pages``: the main text, its code points, and how many tokens went because the host repeats them.
 
     Null or empty html has empty text. Pages of a host with the same longest
     block count as one page. Pages whose url is null or has no host are one
@@ -269,82 +308,80 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         for b in batches:
             new = []
             for h, page, n in zip(*(b.column(i).to_pylist() for i in range(3))):
-                texts = [t for _, t in blocks(page)]
+                parts = blocks(page)
+                texts = [t for _, t in parts]
                 main = main_of(texts)
                 content = xxhash.xxh64_intdigest("\n".join(texts).encode("utf-8", "surrogatepass")) - (1 << 63)
                 if (h, content) not in seen:  # equal pages of a task go on once
                     seen.add((h, content))
                     many[h, main] += 1
                     # pages with one longest block meet, but a mass of them is spread
-                    new.append((h, (main if many[h, main] <= group else content) % n, n, main, content, texts))
+                    new.append((h, (main if many[h, main] <= group else content) % n, n, main, content, texts, [k != MARKED for k, _ in parts]))
             if new:
-                kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string()))
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*new), kinds)], ["host", "share", "groups", "main", "content", "texts"])
+                kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.bool_()))
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*new), kinds)], ["host", "share", "groups", "main", "content", "texts", "unmarked"])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(host: str, share: int, n_groups: int, held: dict[int, list[list[str]]]) -> pa.RecordBatch:
-            streams = [stream_of(texts)[0] for same in held.values() for texts in same]
-            owners = [k for k, same in enumerate(held.values()) for _ in same]
-            n, whole = sum(m % n_groups == share for m in held), n_groups == 1
+        def done(host: str, share: int, n_groups: int, held: list[tuple[int, list[str], list[bool]]]) -> pa.RecordBatch:
+            mains = {m for m, *_ in held}
+            n, whole = sum(m % n_groups == share for m in mains), n_groups == 1
             # what enough of a host's pages have, enough of the pages of one of its groups have
-            found, begins = repeated_strings(streams, owners, TOKENS, max(PAGES, SHARE * n) if whole else max(2, SHARE * n - 1e-9))
-            rows = [(host, whole, None, 0, n)]
-            for places, c in found:
-                k = int(np.searchsorted(begins, places[0], "right")) - 1
-                at = int(places[0] - begins[k])
-                rows.append((host, whole, int(window_keys(streams[k][at : at + TOKENS], TOKENS).view(np.int64)[0]), c, n))
-            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()))], ["host", "whole", "key", "c", "n"])
-
-        key, n_groups, last, held = None, 0, None, {}
+            sure = (max(PAGES, SHARE * n), max(MOST, MOST_SHARE * n)) if whole else (max(2, SHARE * n - 1e-9), max(2, MOST_SHARE * n - 1e-9))
+            found, strings = boilerplate_of(held, *sure)
+            rows = [(host, whole, None, None, 0, n)] + [(host, whole, kind, k, c, n) for kind, x in ((True, found), (False, strings)) for k, c in x.items()]
+            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()))], ["host", "whole", "block", "key", "c", "n"])
+
+        key, n_groups, last, held = None, 0, None, []
         for b in batches:
-            for h, s, n, m, content, texts in zip(*(b.column(i).to_pylist() for i in range(6))):
+            for h, s, n, m, content, texts, unmarked in zip(*(b.column(i).to_pylist() for i in range(7))):
                 if (h, s) != key:
                     if held:
                         yield done(*key, n_groups, held)
-                    key, n_groups, last, held = (h, s), n, None, {}
+                    key, n_groups, last, held = (h, s), n, None, []
                 if content != last:
-                    held.setdefault(m, []).append(texts)
+                    held.append((m, texts, unmarked))
                 last = content
         if held:
             yield done(*key, n_groups, held)
 
-    def hits(own: np.ndarray, keys: pa.Scalar) -> np.ndarray:
-        """Which of a page's strings are among ``keys`` (ascending)."""
-        wanted = keys.values.to_numpy() if keys.is_valid else np.zeros(0, np.int64)
-        return wanted[np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)] == own if len(wanted) else np.zeros(len(own), bool)
+    def asked_of(x: pa.Scalar) -> np.ndarray:
+        return x.values.to_numpy() if x.is_valid else np.zeros(0, np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            mains, found = [], []
-            for page, keys in zip(b.column(1).to_pylist(), b.column(2)):
-                texts = [t for _, t in blocks(page)]
-                own = window_keys(stream_of(texts)[0], TOKENS).view(np.int64)
+            mains, kinds, found = [], [], []
+            for page, keys, strings in zip(b.column(1).to_pylist(), b.column(2), b.column(3)):
+                texts, strings = [t for _, t in blocks(page)], asked_of(strings)
+                own = np.array(sorted({block_key(t) for t in texts}), np.int64)
+                has = [own[np.isin(own, asked_of(keys))]]
+                if len(strings):
+                    has.append(np.intersect1d(window_keys(stream_of(texts)[0], TOKENS).view(np.int64), strings))
                 mains.append(main_of(texts))
-                found.append(np.unique(own[hits(own, keys)]))
-            yield pa.record_batch([b.column(0), pa.array(mains, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["host", "main", "keys"])
+                kinds.append(np.repeat([True, False], [len(has[0]), len(has[-1]) if len(has) > 1 else 0]))
+                found.append(np.concatenate(has))
+            pairs = [[{"block": bool(k), "key": int(x)} for k, x in zip(*own)] for own in zip(kinds, found)]
+            yield pa.record_batch([b.column(0), pa.array(mains, pa.int64()), pa.array(pairs, pa.list_(pa.struct([("block", pa.bool_()), ("key", pa.int64())])))], ["host", "main", "found"])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, repeated = [], []
-            for page, keys, most_keys in zip(b.column(2).to_pylist(), b.column(3), b.column(4)):
-                found = blocks(page)
-                stream, block = stream_of([t for _, t in found])
-                own = window_keys(stream, TOKENS).view(np.int64)
-                often, most = (_covered(np.flatnonzero(hits(own, k)), len(stream), TOKENS) for k in (keys, most_keys))
-                texts.append(keep_runs(found, block, often, most))
-                repeated.append(int(often[block >= 0].sum()))
-            yield pa.record_batch([*b.columns[:2], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(repeated, pa.int64())], ["page_id", "url", "text", "n_chars", "n_repeated"])
-
-    dealt = rows.join(groups, "host").select("host", "html", "groups").mapInArrow(read, "host string, share int, groups int, main bigint, content bigint, texts array<string>")
+            made = [keep_runs(blocks(page), *(set(asked_of(x).tolist()) for x in (often, most)), asked_of(strings)) for page, often, most, strings in zip(b.column(2).to_pylist(), *(b.column(k) for k in (3, 4, 5)))]
+            texts = [t for t, _ in made]
+            yield pa.record_batch([*b.columns[:2], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([n for _, n in made], pa.int64())], ["page_id", "url", "text", "n_chars", "n_repeated"])
+
+    def keys_where(condition) -> F.Column:
+        return F.sort_array(F.collect_set(F.when(condition, F.col("key"))))
+
+    dealt = rows.join(groups, "host").select("host", "html", "groups").mapInArrow(read, "host string, share int, groups int, main bigint, content bigint, texts array<string>, unmarked array<boolean>")
     grouped = dealt.repartition("host", "share").sortWithinPartitions("host", "share", "content")
-    often = stage(grouped.mapInArrow(find, "host string, whole boolean, key bigint, c bigint, n bigint"), "repeats")
-    sizes = stage(often.where("key is null").groupBy("host").agg(F.sum("n").alias("n")), "host-sizes")
-    asked = stage(often.where("not whole and key is not null").groupBy("host").agg(F.sort_array(F.collect_set("key")).alias("keys")), "repeats-asked")
-    told = rows.join(asked, "host").select("host", "html", "keys").mapInArrow(count, "host string, main bigint, keys array<bigint>")
-    counts = told.select("host", "main", F.explode("keys").alias("key")).distinct().groupBy("host", "key").agg(F.count("*").alias("c")).join(sizes, "host")
-    known = often.where("whole and key is not null").select("host", "key", "c", "n").unionByName(counts.select("host", "key", "c", "n"))
+    local = stage(grouped.mapInArrow(find, "host string, whole boolean, block boolean, key bigint, c bigint, n bigint"), "repeats")
+    sizes = stage(local.where("key is null").groupBy("host").agg(F.sum("n").alias("n")), "host-sizes")
+    asked = stage(local.where("not whole and key is not null").groupBy("host").agg(keys_where(F.col("block")).alias("keys"), keys_where(~F.col("block")).alias("strings")), "repeats-asked")
+    told = rows.join(asked, "host").select("host", "html", "keys", "strings").mapInArrow(count, "host string, main bigint, found array<struct<block:boolean,key:bigint>>")
+    counts = told.select("host", "main", F.explode("found").alias("x")).select("host", "main", "x.block", "x.key").distinct().groupBy("host", "block", "key").agg(F.count("*").alias("c")).join(sizes, "host")
+    known = local.where("whole and key is not null").select("host", "block", "key", "c", "n").unionByName(counts.select("host", "block", "key", "c", "n"))
     enough = (F.col("c") >= PAGES) & (F.col("c") >= F.col("n") * F.lit(SHARE))
     most = (F.col("c") >= MOST) & (F.col("c") >= F.col("n") * F.lit(MOST_SHARE))
-    keys = [F.sort_array(F.collect_list("key")).alias("keys"), F.sort_array(F.collect_list(F.when(most, F.col("key")))).alias("most")]
+    block = F.col("block")
+    keys = [keys_where(block).alias("often"), keys_where(block & most).alias("most"), keys_where(~block & most).alias("strings")]
     found = stage(known.where(enough).groupBy("host").agg(*keys), "repeats-found")
-    return rows.join(found, "host", "left").select("page_id", "url", "html", "keys", "most").mapInArrow(decide, "page_id bigint, url string, text string, n_chars bigint, n_repeated bigint")
+    return rows.join(found, "host", "left").select("page_id", "url", "html", "often", "most", "strings").mapInArrow(decide, "page_id bigint, url string, text string, n_chars bigint, n_repeated bigint")
