@@ -700,39 +700,36 @@ def test_repeats_are_counted_over_the_whole_host(spark):
 
 
 def brute_extraction(rows):
-    """The rule over plain tuples of symbols, with no suffix array, hash or groups."""
+    """The rule over plain blocks and tuples of symbols, with no suffix array, hash or groups."""
     read = []
     for i, url, page in rows:
         found = html.blocks(page)
-        symbols = [html.END * ["|"]] if found else []
+        symbols = html.END * ["|"] if found else []
         for _, text in found:
-            symbols += [text.split(" "), html.END * ["|"]]
-        read.append((i, html.host_of(url), found, sum(symbols, [])))
+            symbols = symbols + text.split(" ") + html.END * ["|"]
+        read.append((i, html.host_of(url), found, symbols))
     pages, having = {}, {}
     for _, host, found, symbols in read:
         longest = max((t for _, t in found), key=len, default="")
         pages.setdefault(host, set()).add(longest)
-        for k in range(len(symbols) - html.TOKENS + 1):
-            having.setdefault((host, *symbols[k : k + html.TOKENS]), set()).add(longest)
+        for x in [(host, t) for _, t in found] + [(host, *symbols[k : k + html.TOKENS]) for k in range(len(symbols) - html.TOKENS + 1)]:
+            having.setdefault(x, set()).add(longest)
     out = {}
     for i, host, found, symbols in read:
         n = len(pages[host])
-        covered = []
-        for least in (max(html.PAGES, html.SHARE * n), max(html.MOST, html.MOST_SHARE * n)):
-            gone = set()
-            for k in range(len(symbols) - html.TOKENS + 1):
-                if len(having[(host, *symbols[k : k + html.TOKENS])]) >= least:
-                    gone |= set(range(k, k + html.TOKENS))
-            covered.append(gone)
-        often, most = covered
+        enough, most = max(html.PAGES, html.SHARE * n), max(html.MOST, html.MOST_SHARE * n)
+        cut = set()
+        for k in range(len(symbols) - html.TOKENS + 1):
+            if len(having[(host, *symbols[k : k + html.TOKENS])]) >= most:
+                cut |= set(range(k, k + html.TOKENS))
         kept, at = [], html.END
         for kind, text in found:
             own = range(at, at + len(text.split(" ")))
             at = own.stop + html.END
-            if kind == html.ARTICLE and not set(own) <= most:
+            if kind == html.ARTICLE and len(having[host, text]) < most:
                 kept.append(text)
-            if kind == html.OPEN and not set(own) <= often:
-                kept.append(" ".join(w for k, w in zip(own, text.split(" ")) if k not in most))
+            if kind == html.OPEN and len(having[host, text]) < enough:
+                kept.append(" ".join(w for k, w in zip(own, text.split(" ")) if k not in cut))
         out[i] = " ".join(x for x in kept if x)
     return out
 
@@ -772,22 +769,18 @@ def test_marks_and_names_can_be_hidden(spark):
 
 def test_repeated_strings_match_counting():
     rng = random.Random(16)
-    for _ in range(30):
+    for _ in range(60):
         streams = [np.array([rng.choice((5, 6, 7)) for _ in range(rng.randint(0, 12))], np.uint64) for _ in range(12)]
         owners = sorted(rng.randint(0, 8) for _ in streams)
         least = rng.choice((2, 3, 4.5))
-        places = {}
+        having = {}
         for k, s in enumerate(streams):
             for i in range(len(s) - 2):
-                places.setdefault(tuple(s[i : i + 3].tolist()), set()).add((k, i))
-        expected = {w: (p, len({owners[k] for k, _ in p})) for w, p in places.items() if len({owners[k] for k, _ in p}) >= least}
+                having.setdefault(tuple(s[i : i + 3].tolist()), set()).add(owners[k])
         found, begins = html.repeated_strings(streams, owners, 3, least)
-        got = {}
-        for starts, n in found:
-            at = [(int(k), int(s - begins[k])) for s in starts for k in [np.searchsorted(begins, s, "right") - 1]]
-            k, i = at[0]
-            got[tuple(streams[k][i : i + 3].tolist())] = (set(at), n)
-        assert got == expected
+        for k, (s, begin) in enumerate(zip(streams, begins.tolist())):
+            n = [len(having.get(tuple(s[i : i + 3].tolist()), ())) for i in range(len(s) + 1)]
+            assert found[begin : begin + len(s) + 1].tolist() == [x if x >= least else 0 for x in n]
 
 
 # -- near-duplicates by shared shingles ------------------------------------------
