@@ -240,25 +240,29 @@ def block_key(text: str) -> int:
 
 
 def boilerplate_of(pages: list[tuple[int, list[str], list[bool]]], least: float, most: float) -> tuple[dict[int, int], dict[int, int]]:
-    """Of some of a host's pages (longest block, blocks, which of them aren't marked): for unmarked blocks that repeated strings cover whole, and for strings, their keys and how many distinct pages have them; blocks on ``least`` pages and strings on ``most``."""
+    """Of some of a host's pages (longest block, blocks, which of them aren't marked): for blocks that repeated strings cover whole and that aren't marked on some page, and for strings, their keys and how many distinct pages have them; blocks on ``least`` pages and strings on ``most``."""
     owner_of = {m: k for k, m in enumerate(dict.fromkeys(m for m, *_ in pages))}
     read = [stream_of(texts) for _, texts, _ in pages]
     having, begins = repeated_strings([s for s, _ in read], [owner_of[m] for m, *_ in pages], TOKENS, least)
     places = np.flatnonzero(having)
     covered = _covered(places, len(having), TOKENS)
     found: dict[int, set[int]] = {}
+    asked: set[int] = set()
     for (m, texts, unmarked), (stream, block), begin in zip(pages, read, begins.tolist()):
         if texts:
             token = block >= 0
             bare = np.bincount(block[token], ~covered[begin : begin + len(stream)][token], len(texts))
-            for k in np.flatnonzero((bare == 0) & np.array(unmarked)).tolist():
-                found.setdefault(block_key(texts[k]), set()).add(m)
+            for k in np.flatnonzero(bare == 0).tolist():
+                key = block_key(texts[k])
+                found.setdefault(key, set()).add(m)
+                if unmarked[k]:
+                    asked.add(key)
     strings: dict[int, int] = {}
     for p in np.flatnonzero(having >= most).tolist():
         k = int(np.searchsorted(begins, p, "right")) - 1
         at = p - int(begins[k])
         strings[int(window_keys(read[k][0][at : at + TOKENS], TOKENS).view(np.int64)[0])] = int(having[p])
-    return {k: len(own) for k, own in found.items() if len(own) >= least}, strings
+    return {k: len(own) for k, own in found.items() if k in asked and len(own) >= least}, strings
 
 
 def keep_runs(found: list[tuple[int, str]], often: set[int], most: set[int], strings: np.ndarray) -> tuple[str, int]:
