@@ -219,8 +219,8 @@ def _block_links(distance: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            now = tuple(b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            now = (now[0], now[1], now[2].astype(np.int64).view(np.uint64))
+            m, x = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+            now = (m, m & x, x.view(np.uint64))
             if kept is not None:
                 now = tuple(np.concatenate(p) for p in zip(kept, now))
             m, v, x = now
@@ -248,23 +248,29 @@ def near_links(fps: DataFrame, distance: int = DISTANCE, parts: int = PARTS, blo
             options = F.array(*[F.lit(_signed(m)) for m in masks])
         else:
             options = F.element_at(F.create_map(*[y for m, s in mask_lists.items() for y in (F.lit(_signed(m)), F.array(*[F.lit(_signed(k)) for k in s]))]), F.col("mask"))
-        return rows.select("fp", F.explode(options).alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("val"), "fp")
+        return rows.select("fp", F.explode(options).alias("mask")).select("mask", "fp")
 
+    # rows travel as mask and fingerprint; what they share is worked out on either side
+    value = F.col("fp").bitwiseAND(F.col("mask"))
+    key = F.xxhash64("mask", value)
     rows, out, level = keyed(fps, None), None, masks
     while True:
-        large = scratch.stage(rows.groupBy("mask", "val").agg(F.count("*").alias("c")).where(F.col("c") > block).select("mask", "val"), "large-blocks")
-        open_masks = [r[0] for r in large.select("mask").distinct().collect()]
-        ready = rows.join(large, ["mask", "val"], "left_anti") if open_masks else rows
-        pairs = ready.repartition("mask", "val").sortWithinPartitions("mask", "val").select("mask", "val", "fp").mapInArrow(_block_links(distance), "u bigint, v bigint")
+        # blocks are counted by 64 bits of their key: one that shares these with a large block is split like it, which loses nothing
+        large = scratch.stage(rows.groupBy(key.alias("key")).agg(F.count("*").alias("c")).where(F.col("c") > block).select("key"), "large-blocks")
+        some = not large.isEmpty()
+        ready = rows.join(large, key == F.col("key"), "left_anti") if some else rows
+        pairs = ready.repartition("mask", value).sortWithinPartitions("mask", value).select("mask", "fp").mapInArrow(_block_links(distance), "u bigint, v bigint")
         out = pairs if out is None else out.union(pairs)
-        if not open_masks:
+        if not some:
             return out
-        hot = rows.join(large, ["mask", "val"], "left_semi")
+        hot = rows.join(large, key == F.col("key"), "left_semi")
+        open_masks = {r[0] for r in hot.select("mask").distinct().collect()}
         full = [m for m in level if 64 - m.bit_count() <= distance]
         if full:  # all members of such a block link by construction
             is_full = F.col("mask").isin([_signed(m) for m in full])
-            least = hot.where(is_full).groupBy("mask", "val").agg(F.min("fp").alias("u"))
-            out = out.union(hot.where(is_full).join(least, ["mask", "val"]).select("u", F.col("fp").alias("v")))
+            alike = hot.where(is_full).select("mask", value.alias("val"), "fp")
+            least = alike.groupBy("mask", "val").agg(F.min("fp").alias("u"))
+            out = out.union(alike.join(least, ["mask", "val"]).select("u", F.col("fp").alias("v")))
             hot = hot.where(~is_full)
         split = {m: split_mask(m, distance) for m in level if m not in full and _signed(m) in open_masks}
         if not split:
