@@ -33,7 +33,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -258,10 +258,11 @@ def boilerplate_of(pages: list[tuple[int, list[str], list[bool]]], least: float,
                 if unmarked[k]:
                     asked.add(key)
     strings: dict[int, int] = {}
-    for p in np.flatnonzero(having >= most).tolist():
-        k = int(np.searchsorted(begins, p, "right")) - 1
-        at = p - int(begins[k])
-        strings[int(window_keys(read[k][0][at : at + TOKENS], TOKENS).view(np.int64)[0])] = int(having[p])
+    for (stream, _), begin in zip(read, begins.tolist()):
+        own = having[begin : begin + len(stream)]
+        at = np.flatnonzero(own >= most)
+        if len(at):
+            strings.update(zip(window_keys(stream, TOKENS).view(np.int64)[at].tolist(), own[at].tolist()))
     return {k: len(own) for k, own in found.items() if k in asked and len(own) >= least}, strings
 
 
@@ -348,27 +349,36 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         if held:
             yield done(*key, n_groups, held)
 
-    def asked_of(x: pa.Scalar) -> np.ndarray:
-        return x.values.to_numpy() if x.is_valid else np.zeros(0, np.int64)
+    def kept_sets() -> Callable[..., tuple]:
+        """A function from a host and its key arrays to sets, made once for a host and task at a time."""
+        known: dict[str, tuple] = {}
+
+        def of(host: str, *keys: pa.Scalar) -> tuple:
+            if host not in known:
+                if len(known) >= 64:
+                    known.clear()
+                known[host] = tuple(x.values.to_numpy() if x.is_valid else np.zeros(0, np.int64) for x in keys[-1:])
+                known[host] = (*(frozenset(x.as_py() or ()) for x in keys[:-1]), *known[host])
+            return known[host]
+
+        return of
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = kept_sets()
         for b in batches:
-            mains, kinds, found = [], [], []
-            for page, keys, strings in zip(b.column(1).to_pylist(), b.column(2), b.column(3)):
-                texts, strings = [t for _, t in blocks(page)], asked_of(strings)
-                own = np.array(sorted({block_key(t) for t in texts}), np.int64)
-                has = [own[np.isin(own, asked_of(keys))]]
-                if len(strings):
-                    has.append(np.intersect1d(window_keys(stream_of(texts)[0], TOKENS).view(np.int64), strings))
+            mains, found, strings = [], [], []
+            for k, (host, page) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                texts = [t for _, t in blocks(page)]
+                asked, asked_strings = sets(host, b.column(2)[k], b.column(3)[k])
                 mains.append(main_of(texts))
-                kinds.append(np.repeat([True, False], [len(has[0]), len(has[-1]) if len(has) > 1 else 0]))
-                found.append(np.concatenate(has))
-            pairs = [[{"block": bool(k), "key": int(x)} for k, x in zip(*own)] for own in zip(kinds, found)]
-            yield pa.record_batch([b.column(0), pa.array(mains, pa.int64()), pa.array(pairs, pa.list_(pa.struct([("block", pa.bool_()), ("key", pa.int64())])))], ["host", "main", "found"])
+                found.append(list({key for t in texts if (key := block_key(t)) in asked}))
+                strings.append(np.intersect1d(window_keys(stream_of(texts)[0], TOKENS).view(np.int64), asked_strings).tolist() if len(asked_strings) else [])
+            yield pa.record_batch([b.column(0), pa.array(mains, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(strings, pa.list_(pa.int64()))], ["host", "main", "blocks", "strings"])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = kept_sets()
         for b in batches:
-            made = [keep_runs(blocks(page), *(set(asked_of(x).tolist()) for x in (often, most)), asked_of(strings)) for page, often, most, strings in zip(b.column(2).to_pylist(), *(b.column(k) for k in (3, 4, 5)))]
+            made = [keep_runs(blocks(page), *sets(host, *(b.column(c)[k] for c in (4, 5, 6)))) for k, (host, page) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist()))]
             texts = [t for t, _ in made]
             yield pa.record_batch([*b.columns[:2], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([n for _, n in made], pa.int64())], ["page_id", "url", "text", "n_chars", "n_repeated"])
 
@@ -380,12 +390,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     local = stage(grouped.mapInArrow(find, "host string, whole boolean, block boolean, key bigint, c bigint, n bigint"), "repeats")
     sizes = stage(local.where("key is null").groupBy("host").agg(F.sum("n").alias("n")), "host-sizes")
     asked = stage(local.where("not whole and key is not null").groupBy("host").agg(keys_where(F.col("block")).alias("keys"), keys_where(~F.col("block")).alias("strings")), "repeats-asked")
-    told = rows.join(asked, "host").select("host", "html", "keys", "strings").mapInArrow(count, "host string, main bigint, found array<struct<block:boolean,key:bigint>>")
-    counts = told.select("host", "main", F.explode("found").alias("x")).select("host", "main", "x.block", "x.key").distinct().groupBy("host", "block", "key").agg(F.count("*").alias("c")).join(sizes, "host")
+    told = rows.join(asked, "host").select("host", "html", "keys", "strings").mapInArrow(count, "host string, main bigint, blocks array<bigint>, strings array<bigint>")
+    of_blocks = F.transform("blocks", lambda k: F.struct(F.lit(True).alias("block"), k.alias("key")))
+    of_strings = F.transform("strings", lambda k: F.struct(F.lit(False).alias("block"), k.alias("key")))
+    counts = told.select("host", "main", F.explode(F.concat(of_blocks, of_strings)).alias("x")).select("host", "main", "x.block", "x.key").distinct().groupBy("host", "block", "key").agg(F.count("*").alias("c")).join(sizes, "host")
     known = local.where("whole and key is not null").select("host", "block", "key", "c", "n").unionByName(counts.select("host", "block", "key", "c", "n"))
     enough = (F.col("c") >= PAGES) & (F.col("c") >= F.col("n") * F.lit(SHARE))
     most = (F.col("c") >= MOST) & (F.col("c") >= F.col("n") * F.lit(MOST_SHARE))
     block = F.col("block")
     keys = [keys_where(block).alias("often"), keys_where(block & most).alias("most"), keys_where(~block & most).alias("strings")]
     found = stage(known.where(enough).groupBy("host").agg(*keys), "repeats-found")
-    return rows.join(found, "host", "left").select("page_id", "url", "html", "often", "most", "strings").mapInArrow(decide, "page_id bigint, url string, text string, n_chars bigint, n_repeated bigint")
+    return rows.join(found, "host", "left").select("page_id", "url", "host", "html", "often", "most", "strings").mapInArrow(decide, "page_id bigint, url string, text string, n_chars bigint, n_repeated bigint")
