@@ -48,26 +48,59 @@ def span(start: Column, end: Column, value: Column, label: Column, confidence: C
     )
 
 
+#: Elements that one step of a running fold copies at most: arrays are folded in chunks of so many, then the chunks.
+CHUNK = 128
+
+
+def chunks(array: Column, size: int = CHUNK) -> Column:
+    """``array`` (a column or lambda variable that costs nothing to name) cut into arrays of ``size`` elements; empty for an empty one."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(array), F.lit(1)), F.lit(size))
+    return F.transform(starts, lambda at: F.slice(array, at, F.lit(size)))
+
+
+def running(values: Column, kind: str, zero: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each element of ``values`` (of type ``kind``) what ``join`` makes of ``zero`` and all elements before it; ``join`` is associative.
+
+    A fold that appends to an array copies it at each step. Here chunks are
+    folded apart, then their totals, so the work grows with the length and not
+    with its square.
+    """
+
+    def folded(array: Column, value: Callable[[Column], Column]) -> Column:
+        start = F.struct(zero.cast(kind).alias("all"), F.array().cast(f"array<{kind}>").alias("before"))
+        step = lambda acc, x: F.struct(join(acc["all"], value(x)).cast(kind).alias("all"), F.concat(acc["before"], F.array(acc["all"])).alias("before"))
+        return F.aggregate(array, start, step)
+
+    def whole(array: Column) -> Column:
+        parts = F.transform(chunks(array), lambda c: folded(c, lambda x: x))
+        return let(parts, lambda p: F.flatten(F.zip_with(p, folded(p, lambda c: c["all"])["before"], lambda c, base: F.transform(c["before"], lambda x: join(base, x).cast(kind)))))
+
+    return let(values, lambda v: F.when(F.size(v) <= CHUNK, folded(v, lambda x: x)["before"]).otherwise(whole(v)))
+
+
+def runs(array: Column, fresh: Column) -> Column:
+    """``array`` cut before each element for which the array ``fresh`` says so; its first element is always fresh. Both are lambda variables or columns."""
+    at = F.filter(F.transform(fresh, lambda f, i: F.when(f, i + 1)), lambda i: i.isNotNull())
+    return let(at, lambda s: F.transform(s, lambda x, k: F.slice(array, x, F.coalesce(F.try_element_at(s, k + 2), F.size(array) + 1) - x)))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start,value>> of the matches of ``pattern``, which has no capturing group and never matches nothing.
 
     The gaps between matches come from split(), so a match starts after all
-    gaps and matches before it; one left-to-right fold adds them up.
+    gaps and matches before it.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("out"))
+    empty = F.array().cast("array<struct<start:int,value:string>>")
+
+    def placed(found: Column) -> Column:
+        def with_gaps(gaps: Column) -> Column:
+            sizes = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda h, g: F.length(g) + F.length(h))
+            ends = running(sizes, "int", F.lit(0), lambda a, x: a + x)
+            return let(ends, lambda e: F.transform(found, lambda h, i: F.struct((F.element_at(e, i + 1) + F.length(F.element_at(gaps, i + 1))).alias("start"), h.alias("value"))))
 
-    def step(acc: Column, pair: Column) -> Column:
-        at = acc["at"] + F.length(pair["gap"])
-        return F.struct(
-            (at + F.length(pair["hit"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(at.alias("start"), pair["hit"].alias("value")))).alias("out"),
-        )
+        return F.when(F.size(found) > 0, let(F.split(text, pattern, -1), with_gaps)).otherwise(empty)
 
-    pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
-    folded = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    return F.when(F.size(found) > 0, folded).otherwise(F.array().cast("array<struct<start:int,value:string>>"))
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
 def by_position(a: Column, b: Column) -> Column:
@@ -97,19 +130,35 @@ def by_label(a: Column, b: Column) -> Column:
     return F.when(a["label"] != b["label"], F.when(a["label"] < b["label"], -1).otherwise(1)).otherwise(by_position(a, b))
 
 
+REACH = "struct<label:string,end:int>"
+
+
+def islands(spans: Column, by_label: bool) -> Column:
+    """Spans in order (a lambda variable) as arrays of those that overlap in a chain, of one label only if ``by_label``. Touching spans don't overlap."""
+    label = (lambda x: x["label"]) if by_label else (lambda x: F.lit(""))
+    # labels only grow in this order, so the largest (label, end) so far has the furthest end of the label
+    ends = F.transform(spans, lambda x: F.struct(label(x).alias("label"), x["end"].alias("end")))
+    reach = running(ends, REACH, F.lit(None), lambda a, x: F.coalesce(F.greatest(a, x), a, x))
+    fresh = F.zip_with(spans, reach, lambda x, r: r.isNull() | (r["label"] != label(x)) | (x["start"] >= r["end"]))
+    return let(fresh, lambda f: runs(spans, f))
+
+
+def _spread(spans: Column, order: Callable[[Column, Column], Column], by_label: bool, one: Callable[[Column], Column]) -> Column:
+    """``spans`` sorted by ``order``, with what ``one`` makes of each island (a lambda variable) of more than one span in place of it."""
+    single = lambda s: F.flatten(F.transform(islands(s, by_label), lambda x: F.when(F.size(x) > 1, one(x)).otherwise(x)))
+    return let(spans, lambda given: F.when(F.size(given) > 1, let(F.array_sort(given, order), single)).otherwise(given))
+
+
 def merge_same_label(text: Column, spans: Column) -> Column:
     """Overlapping spans of one label become one, with the largest confidence and its source. Touching spans don't merge."""
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        end = F.greatest(last["end"], x["end"])
-        strong = F.when(x["confidence"] > last["confidence"], x).otherwise(last)
-        joined = span(last["start"], end, F.substring(text, last["start"] + 1, end - last["start"]), x["label"], strong["confidence"], strong["source"], strong["pattern"], last["merged"] + x["merged"])
-        meets = (F.size(acc) > 0) & (last["label"] == x["label"]) & (x["start"] < last["end"])
-        return F.when(meets, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(x)))
+    def joined(island: Column) -> Column:
+        best = F.aggregate(island, F.element_at(island, 1), lambda a, x: F.when(x["confidence"] > a["confidence"], x).otherwise(a))
+        start, end = F.element_at(island, 1)["start"], F.array_max(F.transform(island, lambda x: x["end"]))
+        merged = F.aggregate(island, F.lit(0), lambda a, x: a + x["merged"])
+        return let(best, lambda b: F.array(span(start, end, F.substring(text, start + 1, end - start), b["label"], b["confidence"], b["source"], b["pattern"], merged)))
 
-    folded = F.aggregate(F.array_sort(spans, by_label), empty_spans(), step)
-    return F.when(F.size(spans) > 1, folded).otherwise(spans)
+    return _spread(spans, by_label, True, joined)
 
 
 def resolve_overlaps(text: Column, spans: Column, policy: str = "winner") -> Column:
@@ -117,9 +166,10 @@ def resolve_overlaps(text: Column, spans: Column, policy: str = "winner") -> Col
 
     ``winner`` keeps its own bounds, so a loser's uncovered rest stays readable;
     ``union`` widens it to all that overlaps in a chain, which fails closed.
+    Spans that overlap in a chain are compared with each other only.
     """
-    if policy == "winner":
 
+    def greedy(island: Column) -> Column:
         def meets(x: Column, y: Column) -> Column:
             return (x["start"] < y["end"]) & (y["start"] < x["end"])
 
@@ -130,18 +180,15 @@ def resolve_overlaps(text: Column, spans: Column, policy: str = "winner") -> Col
         def keep(acc: Column, x: Column) -> Column:
             return F.when(F.exists(acc, lambda y: meets(x, y)), F.transform(acc, lambda y: won(y, x))).otherwise(F.concat(acc, F.array(x)))
 
-        chosen = F.aggregate(F.array_sort(spans, by_strength), empty_spans(), keep)
-    else:
+        return F.array_sort(F.aggregate(F.array_sort(island, by_strength), empty_spans(), keep), by_position)
 
-        def chain(acc: Column, x: Column) -> Column:
-            last = F.try_element_at(acc, F.lit(-1))
-            best = F.when(by_strength(x, last) < 0, x).otherwise(last)
-            end = F.greatest(last["end"], x["end"])
-            joined = span(last["start"], end, F.substring(text, last["start"] + 1, end - last["start"]), best["label"], best["confidence"], best["source"], best["pattern"], best["merged"], last["beaten"] + x["beaten"] + 1)
-            return F.when((F.size(acc) > 0) & (x["start"] < last["end"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(x)))
+    def chain(island: Column) -> Column:
+        best = F.aggregate(island, F.element_at(island, 1), lambda a, x: F.when(by_strength(x, a) < 0, x).otherwise(a))
+        start, end = F.element_at(island, 1)["start"], F.array_max(F.transform(island, lambda x: x["end"]))
+        beaten = F.aggregate(island, F.lit(-1), lambda a, x: a + x["beaten"] + 1)
+        return let(best, lambda b: F.array(span(start, end, F.substring(text, start + 1, end - start), b["label"], b["confidence"], b["source"], b["pattern"], b["merged"], beaten)))
 
-        chosen = F.aggregate(F.array_sort(spans, by_position), empty_spans(), chain)
-    return F.when(F.size(spans) > 1, F.array_sort(chosen, by_position)).otherwise(spans)
+    return _spread(spans, by_position, False, greedy if policy == "winner" else chain)
 
 
 def without_excluded(spans: Column, excluded: Column) -> Column:
@@ -151,15 +198,28 @@ def without_excluded(spans: Column, excluded: Column) -> Column:
 
 
 def splice(text: Column, spans: Column, replacement: Callable[[Column], Column]) -> Column:
-    """``text`` with each span (sorted, disjoint) replaced; a null replacement leaves nothing of it."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    """``text`` with each span (sorted, disjoint) replaced; a null replacement leaves nothing of it.
+
+    Counting characters starts at the front of a text, so the text is first cut
+    into stretches of ``CHUNK`` spans, and each stretch spliced by itself.
+    """
+
+    def stretch(part: Column, base: Column, own: Column) -> Column:
+        """``part``, which starts at ``base``, with its spans replaced, up to the last one's end."""
+        before = lambda k: F.coalesce(F.try_element_at(own, k)["end"], base)
+        pieces = F.transform(own, lambda x, i: F.concat(F.substring(part, F.when(i == 0, 1).otherwise(before(F.greatest(i, F.lit(1))) - base + 1), x["start"] - F.when(i == 0, base).otherwise(before(F.greatest(i, F.lit(1))))), F.coalesce(replacement(x), F.lit(""))))
+        return F.array_join(pieces, "")
+
+    def whole(parts: Column) -> Column:
+        def one(own: Column, k: Column) -> Column:
+            base = F.when(k == 0, 0).otherwise(F.element_at(F.element_at(parts, F.greatest(k, F.lit(1))), -1)["end"])
+            end = F.element_at(own, -1)["end"]
+            return let(F.struct(base.alias("base"), F.substring(text, base + 1, end - base).alias("part")), lambda z: stretch(z["part"], z["base"], own))
 
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, x["start"] - acc["at"])
-        return F.struct(F.concat(acc["out"], gap, F.coalesce(replacement(x), F.lit(""))).alias("out"), x["end"].alias("at"))
+        last = F.element_at(F.element_at(parts, -1), -1)["end"]
+        return F.concat(F.array_join(F.transform(parts, one), ""), F.substring(text, last + 1, F.length(text)))
 
-    folded = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, folded).otherwise(text)
+    return F.when(F.size(spans) > 0, let(spans, lambda s: let(chunks(s), whole))).otherwise(text)
 
 
 def luhn(value: Column) -> Column:
