@@ -112,7 +112,7 @@ class Engine:
             validate.override_authorities([o.policy_id for o in overrides], policies)
         catalog = compile_catalog(policies)
         secret = run_secret or (self.key_provider.key("pseudonym") if self.key_provider else hashlib.sha256(uuid.uuid4().bytes).digest())
-        return redact.redact_text(audit, policies, catalog, overrides, self.key_provider, secret, id_col, text_col, out, strict, vault_scope)
+        return redact.redact_text(audit, policies, catalog, overrides, self.key_provider, secret, id_col, text_col, out, strict, vault_scope, self.detection.span_policy == "cluster")
 
     def redact_pictures(self, pictures: DataFrame, policies: Sequence[Policy], params: AnalyzerParams = AnalyzerParams(), **options) -> DataFrame:
         """PNG contents under the policies' image operators, read by the configured OCR."""

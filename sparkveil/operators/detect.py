@@ -22,13 +22,20 @@ NO_ATTRIBUTION = "struct<kind:string,authority:string,citation:string,rationale:
 
 @dataclass(frozen=True)
 class Detection:
-    """What one request looks for."""
+    """What one request looks for, and how overlapping finds are settled.
+
+    ``union`` (the default) makes one entity of what overlaps in a chain: the
+    strongest's, over all that any of them covers, so nothing found stays
+    readable. ``cluster`` keeps every entity; what overlaps in a chain is
+    replaced as one, by the strongest's decision, which every member's event
+    records. ``winner`` keeps the strongest with its own bounds only.
+    """
 
     patterns: tuple[Pattern, ...] = PATTERNS
     dictionaries: tuple[Dictionary, ...] = ()
     recognizers: tuple[Recognizer, ...] = ()
     baseline: float = BASELINE
-    span_policy: str = "winner"
+    span_policy: str = "union"
 
     def pruned(self, catalog: Catalog | None, countries: Sequence[str]) -> Detection:
         keep = None if catalog is None or not len(catalog) else catalog
@@ -85,7 +92,8 @@ def reconcile(text: Column, found: Column, baseline: float = BASELINE, policy: s
     """Candidates in canonical order: exclusions, one label's overlaps merged, other overlaps resolved, the weak dropped, source order."""
     if excluded is not None:
         found = S.without_excluded(found, excluded)
-    found = S.resolve_overlaps(text, S.merge_same_label(text, found), policy)
+    found = S.merge_same_label(text, found)
+    found = S.let(found, lambda x: F.array_sort(x, S.by_position)) if policy == "cluster" else S.resolve_overlaps(text, found, policy)
     return F.filter(found, lambda x: x["confidence"] >= F.lit(baseline).cast("float"))
 
 
@@ -104,7 +112,7 @@ def with_candidates(df: DataFrame, text_col: str, detection: Detection, params:
     digit = F.col("_digit") if "_digit" in df.columns else None
     arrays = [pattern_spans(text, p, lang if p.languages else None, digit) for p in detection.patterns]
     large = [d for d in detection.dictionaries if len(d.terms) > ALTERNATION_TERMS]
-    arrays += [F.coalesce(dictionary_spans(text, d), S.empty_spans()) for d in detection.dictionaries if d not in large]
+    arrays += [F.coalesce(dictionary_spans(text, d), S.empty_spans()) for d in detection.dictionaries if d not in large]  # either way finds the same
     if params.inclusions:
         arrays.append(included(F.col(params.inclusions), text))
     extra = []

@@ -24,8 +24,10 @@ CONTEXT_REACH = 40
 CONTEXT_BOOST = 0.25
 #: Limits of all dictionaries together.
 TERM_LIMIT, BYTE_LIMIT = 100_000, 8 * 1024 * 1024
-#: Dictionaries up to this many terms are an alternation; larger ones run as one automaton in Arrow batches.
+#: Dictionaries up to this many terms are an alternation; larger ones run as one automaton in Arrow batches and find the same.
 ALTERNATION_TERMS = 200
+_WORD = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_")
+_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 @dataclass(frozen=True)
@@ -102,7 +104,13 @@ def pattern_spans(text: Column, p: Pattern, language: Column | None = None, has_
 
 @dataclass(frozen=True)
 class Dictionary:
-    """Terms of one label, found as whole words in any case of ASCII letters."""
+    """Terms of one label, in any case of ASCII letters.
+
+    A term that starts or ends with an ASCII letter, digit or underscore is found
+    only where no such character precedes or follows. Of terms that overlap, the
+    leftmost goes first, then the longest. However many terms there are, this is
+    what is found.
+    """
 
     name: str
     label: str
@@ -122,13 +130,15 @@ def check_dictionaries(dictionaries: Sequence[Dictionary]) -> None:
 def dictionary_spans(text: Column, d: Dictionary) -> Column:
     """Spans of a small dictionary: one alternation, longest terms first."""
     terms = sorted(set(d.terms), key=lambda t: (-len(t), t))
-    regex = r"(?i)\b(?:" + "|".join(re.escape(t) for t in terms) + r")\b"
+    edged = [("(?<![A-Za-z0-9_])" if t[0] in _WORD else "") + re.escape(t) + ("(?![A-Za-z0-9_])" if t[-1] in _WORD else "") for t in terms]
+    regex = "(?i)(?:" + "|".join(edged) + ")"
     return F.transform(S.matches(text, regex), lambda m: S.span(m["start"], m["start"] + F.length(m["value"]), m["value"], F.lit(d.label), F.lit(float(d.confidence)), F.lit("dictionary"), F.lit(d.name)))
 
 
 def with_automaton(df: DataFrame, text_col: str, out_col: str, dictionaries: Sequence[Dictionary]) -> DataFrame:
     """``df`` with an array of spans of all ``dictionaries``, found by one automaton in Arrow batches. The terms, within their limits, are broadcast."""
-    shared = df.sparkSession.sparkContext.broadcast([(t.lower(), d.label, d.name, d.confidence, len(t)) for d in dictionaries for t in d.terms])
+    shared = df.sparkSession.sparkContext.broadcast([(t.translate(_LOWER), k, len(t)) for k, d in enumerate(dictionaries) for t in d.terms])
+    named = [(d.label, d.name, d.confidence) for d in dictionaries]
     built: dict[int, object] = {}
 
     def find(texts: Iterable[str | None]) -> Iterator[list[dict]]:
@@ -137,7 +147,7 @@ def with_automaton(df: DataFrame, text_col: str, out_col: str, dictionaries: Seq
 
             a = ahocorasick.Automaton()
             by: dict[str, list[tuple]] = {}
-            for t, *rest in shared.value:
+            for t, *rest in dict.fromkeys(shared.value):
                 by.setdefault(t, []).append(tuple(rest))
             for t, rest in by.items():
                 a.add_word(t, rest)
@@ -148,13 +158,13 @@ def with_automaton(df: DataFrame, text_col: str, out_col: str, dictionaries: Seq
         for text in texts:
             rows = []
             if text and len(a):
-                low = "".join(c.lower() if c.isascii() or len(c.lower()) == 1 else c for c in text)
-                word = lambda i: 0 <= i < len(text) and (text[i].isalnum() or text[i] == "_")
-                for end, rest in a.iter(low):
-                    for label, name, confidence, size in rest:
-                        start = end - size + 1
-                        if not (word(start - 1) and word(start)) and not (word(end) and word(end + 1)):
-                            rows.append({"start": start, "end": end + 1, "value": text[start : end + 1], "label": label, "confidence": confidence, "source": "dictionary", "pattern": name, "merged": 1, "beaten": 0})
+                word = lambda i: 0 <= i < len(text) and text[i] in _WORD
+                hits = [(k, end - size + 1, end + 1) for end, rest in a.iter(text.translate(_LOWER)) for k, size in rest]
+                last = (-1, 0)
+                for k, start, end in sorted(hits, key=lambda x: (x[0], x[1], -x[2])):
+                    if not (word(start - 1) and word(start)) and not (word(end - 1) and word(end)) and (k != last[0] or start >= last[1]):
+                        last, d = (k, end), named[k]
+                        rows.append({"start": start, "end": end, "value": text[start:end], "label": d[0], "confidence": d[2], "source": "dictionary", "pattern": d[1], "merged": 1, "beaten": 0})
             yield rows
 
     return with_model_spans(df, text_col, out_col, lambda texts: list(find(texts)))

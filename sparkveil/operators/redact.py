@@ -18,7 +18,7 @@ from ..plans.decide import Override, Slot
 from ..plans.policy import ModalityRedactions, Policy, Redaction
 from .detect import NO_ATTRIBUTION, event
 
-#: Overrides given as a list are a literal map; more come as a table with doc_id.
+#: Overrides given as a list are a literal map; more come as a table with doc_id, with no more than so many different decisions.
 LITERAL_OVERRIDES = 1000
 
 
@@ -85,13 +85,29 @@ def decided(entities: Column, slots: Sequence[Slot], policies: Sequence[Policy],
     return F.transform(entities, one)
 
 
+def clusters(text: Column, entities: Column) -> Column:
+    """array<struct<start,end,slot,entity,members>> of decided entities that overlap in a chain: what they cover, the slot and entity of the strongest that has a slot, and all of them with that slot. In source order."""
+
+    def one(island: Column) -> Column:
+        ruled = F.filter(island, lambda x: x["slot"].isNotNull())
+        best = F.aggregate(ruled, F.try_element_at(ruled, F.lit(1)), lambda a, x: F.when(S.by_strength(x["entity"], a["entity"]) < 0, x).otherwise(a))
+        start, end = F.element_at(island, 1)["start"], F.array_max(F.transform(island, lambda x: x["end"]))
+        return S.let(best, lambda b: F.struct(start.alias("start"), end.alias("end"), b["slot"].alias("slot"), b["entity"].withField("value", F.substring(text, start + 1, end - start)).alias("entity"), F.transform(island, lambda x: F.struct(x["entity"].alias("entity"), b["slot"].alias("slot"))).alias("members")))
+
+    placed = F.transform(entities, lambda x: F.struct(x["entity"]["start"].alias("start"), x["entity"]["end"].alias("end"), x["entity"]["label"].alias("label"), x["entity"].alias("entity"), x["slot"].alias("slot")))
+    in_order = F.array_sort(placed, lambda a, b: S.by_position(a["entity"], b["entity"]))
+    return F.when(F.size(entities) > 0, S.let(in_order, lambda s: F.transform(S.islands(s, False), one)))
+
+
 def override_slots(overrides, policies: Sequence[Policy], modality: str, at: int, id_col: str) -> tuple[list[Slot], Column | None, DataFrame | None]:
     """Slots for the reviewers' distinct decisions, numbered from ``at``, and where a row finds its own: a literal map, or a table to join by document."""
     if overrides is None:
         return [], None, None
     if isinstance(overrides, DataFrame):
-        kinds = overrides.select("policy_id", "action").distinct().collect()  # distinct decisions, not entities
-        given = [(r.policy_id, r.action) for r in kinds]
+        kinds = overrides.select("policy_id", "action").distinct().limit(LITERAL_OVERRIDES + 1).collect()  # distinct decisions, not entities
+        if len(kinds) > LITERAL_OVERRIDES:
+            raise configuration(f"more than {LITERAL_OVERRIDES} different override decisions")
+        given = sorted((r.policy_id, r.action) for r in kinds)
     else:
         if len(overrides) > LITERAL_OVERRIDES:
             raise configuration(f"more than {LITERAL_OVERRIDES} overrides come as a table with {id_col}")
@@ -106,10 +122,8 @@ def override_slots(overrides, policies: Sequence[Policy], modality: str, at: int
     if not number:
         return [], None, None
     if isinstance(overrides, DataFrame):
-        pick = F.lit(None).cast("int")
-        for (policy, action), k in number.items():
-            pick = F.when((F.col("policy_id") == policy) & (F.col("action") == action), F.lit(k)).otherwise(pick)
-        table = overrides.select(id_col, "entity_id", pick.alias("k")).where("k is not null")
+        known = overrides.sparkSession.createDataFrame([(p, a, k) for (p, a), k in number.items()], "policy_id string, action string, k int")
+        table = overrides.join(F.broadcast(known), ["policy_id", "action"]).select(id_col, "entity_id", "k")
         table = table.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("entity_id", "k"))).alias("_overrides"))
         return slots, F.col("_overrides"), table
     pairs = {o.entity_id: number[o.policy_id, json.dumps(o.action.to_json(), sort_keys=True)] for o in reversed(overrides) if (o.policy_id, json.dumps(o.action.to_json(), sort_keys=True)) in number}
@@ -128,8 +142,14 @@ def redact_text(
     out: str = "redacted",
     strict: bool = False,
     vault_scope: str = "document",
+    clustered: bool = False,
 ) -> DataFrame:
-    """``df`` (with entities) with the redacted text, and entities that carry a redaction event for each operator that ran."""
+    """``df`` (with entities) with the redacted text, and entities that carry a redaction event for each operator that ran.
+
+    ``clustered`` says that entities may overlap: what overlaps in a chain is
+    replaced as one by the strongest member's decision, and every member's event
+    has that decision's attribution, whatever policy would have decided on it.
+    """
     ruled = decide.slots(policies, "text")
     own, override, table = override_slots(overrides, policies, "text", len(ruled), id_col)
     slots = ruled + own
@@ -148,7 +168,13 @@ def redact_text(
         m = Match(e["value"], e["label"], e["coref"], e["language"], F.coalesce(context, F.lit("")), F.col(crypto.KEYS) if keys else None)
         return F.struct(e["start"].alias("start"), e["end"].alias("end"), F.coalesce(replacement(slots, x["slot"], m, strict), F.lit("")).alias("text"))
 
-    active = F.filter("_decided", lambda x: x["slot"].isNotNull())
+    if clustered:
+        df = df.withColumn("_clusters", clusters(F.col(text_col), F.col("_decided")))
+        df = df.withColumn("_decided", F.coalesce(F.flatten(F.transform("_clusters", lambda c: F.transform(c["members"], lambda m: F.struct(m["entity"].alias("entity"), m["slot"].alias("slot"), c["entity"]["entity_id"].alias("by"))))), F.array()))
+        active = F.filter(F.coalesce("_clusters", F.array()), lambda x: x["slot"].isNotNull())
+        active = F.transform(active, lambda c: F.struct(c["entity"].withField("start", c["start"]).withField("end", c["end"]).alias("entity"), c["slot"].alias("slot")))
+    else:
+        active = F.filter("_decided", lambda x: x["slot"].isNotNull())
     df = df.withColumn("_replaced", F.transform(active, with_text))
     whys = F.array(*[decide.attribution_column(s.attribution) for s in slots])
     names = F.array(*[F.lit(s.operator.kind) for s in slots])
@@ -156,7 +182,7 @@ def redact_text(
     def stamped(x: Column) -> Column:
         e, k = x["entity"], x["slot"] + 1
         why = F.element_at(whys, k)
-        why = F.when(x["slot"] >= len(ruled), why.withField("source_id", e["entity_id"])).otherwise(why)
+        why = F.when(x["slot"] >= len(ruled), why.withField("source_id", x["by"] if clustered else e["entity_id"])).otherwise(why)
         done = event(F.lit("redaction"), F.lit("anonymizer"), F.lit(None), F.lit(None).cast("string"), F.element_at(names, k), why.cast(NO_ATTRIBUTION))
         return F.when(x["slot"].isNotNull(), e.withField("events", F.concat(e["events"], F.array(done)))).otherwise(e)
 

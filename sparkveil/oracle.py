@@ -48,16 +48,18 @@ def spans(patterns: Sequence[Pattern], table: str = "documents", key: str = "doc
     return " UNION ALL ".join(f"SELECT * FROM {matches(p, table, key, text)}" for p in patterns)
 
 
-def winners(patterns: Sequence[Pattern], table: str = "documents", key: str = "doc_id", text: str = "text", baseline: float = 0.35) -> str:
-    """CTEs ending in w: one span per cluster of overlaps, the strongest, at or over the baseline."""
+def winners(patterns: Sequence[Pattern], table: str = "documents", key: str = "doc_id", text: str = "text", baseline: float = 0.35, whole: bool = True) -> str:
+    """CTEs ending in w: one span per cluster of overlaps, the strongest, at or over the baseline; over all that the cluster covers, or with its own bounds."""
+    bounds = "s0, e0" if whole else 'start, "end"'
+    first, last = bounds.split(", ")
     return f"""raw AS ({spans(patterns, table, key, text)}),
 m0 AS (SELECT *, max("end") OVER (PARTITION BY {key}, label ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM raw),
 m1 AS (SELECT *, sum(CASE WHEN reach IS NULL OR start >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY {key}, label ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM m0),
 m2 AS (SELECT {key}, label, min(start) AS start, max("end") AS "end", max(conf) AS conf, arg_max(pattern, conf) AS pattern, count(*) AS merged FROM m1 GROUP BY {key}, label, island),
 c0 AS (SELECT *, max("end") OVER (PARTITION BY {key} ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM m2),
 c1 AS (SELECT *, sum(CASE WHEN reach IS NULL OR start >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY {key} ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM c0),
-c2 AS (SELECT *, row_number() OVER (PARTITION BY {key}, island ORDER BY conf DESC, "end" - start DESC, start, label) AS r, count(*) OVER (PARTITION BY {key}, island) - 1 AS beaten FROM c1),
-w AS (SELECT c2.{key}, c2.start, c2."end", substr(d.{text}, c2.start + 1, c2."end" - c2.start) AS value, c2.label, c2.conf, c2.pattern, c2.merged, c2.beaten FROM c2 JOIN {table} d ON d.{key} = c2.{key} WHERE r = 1 AND conf >= {baseline}::FLOAT)"""
+c2 AS (SELECT *, row_number() OVER (PARTITION BY {key}, island ORDER BY conf DESC, "end" - start DESC, start, label) AS r, count(*) OVER (PARTITION BY {key}, island) - 1 AS beaten, min(start) OVER (PARTITION BY {key}, island) AS s0, max("end") OVER (PARTITION BY {key}, island) AS e0 FROM c1),
+w AS (SELECT c2.{key}, c2.{first} AS start, c2.{last} AS "end", substr(d.{text}, c2.{first} + 1, c2.{last} - c2.{first}) AS value, c2.label, c2.conf, c2.pattern, c2.merged, c2.beaten FROM c2 JOIN {table} d ON d.{key} = c2.{key} WHERE r = 1 AND conf >= {baseline}::FLOAT)"""
 
 
 def redacted(patterns: Sequence[Pattern], replacement: str, keep: str = "true", table: str = "documents", key: str = "doc_id", text: str = "text", extra: str = "") -> str:

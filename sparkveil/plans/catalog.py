@@ -73,7 +73,7 @@ def builtin() -> Catalog:
 
 
 def compile_catalog(policies: Sequence[Policy]) -> Catalog:
-    """The union of what the policies name; a policy may use builtin labels and its own custom ones only.
+    """The union of what the policies' scopes name; a scope may use builtin labels and its policy's own custom ones only. A rule's table may have an entry for any other label: it never matches.
 
     Custom labels come first. One may be declared by several policies if the
     declarations agree, and none may take a builtin's id.
@@ -93,8 +93,4 @@ def compile_catalog(policies: Sequence[Policy]) -> Catalog:
                 if x not in own and x not in BUILTIN:
                     raise configuration(f"policy {p.name!r}: scope {scope.name!r} names unknown label {x!r}")
                 labels.setdefault(x, custom.get(x) or BUILTIN[x])
-        for rule in p.rules:
-            for entry in rule.table or ():
-                if entry.label not in own and entry.label not in BUILTIN:
-                    raise configuration(f"policy {p.name!r}: rule {rule.name!r} names unknown label {entry.label!r}")
     return Catalog(labels, frozenset(custom))

@@ -6,6 +6,7 @@ set aside.
 
 from __future__ import annotations
 
+import csv
 import io
 import posixpath
 import re
@@ -50,7 +51,7 @@ def docx_parts(data: bytes) -> list[tuple[str | None, str, str | None, bytes | N
         return out
 
 
-def docx_with_text(data: bytes, old: str, new: str) -> bytes:
+def docx_with_text(data: bytes, new: str) -> bytes:
     """The archive with its body's paragraphs replaced, line by line; every other part keeps its bytes."""
     source = zipfile.ZipFile(io.BytesIO(data))
     root = ElementTree.fromstring(source.read("word/document.xml"))
@@ -68,31 +69,58 @@ def docx_with_text(data: bytes, old: str, new: str) -> bytes:
     return out.getvalue()
 
 
-def xlsx_cells(data: bytes) -> list[tuple[str | None, int, str, str]]:
-    """(sheet, row from 1, column letters, value) of all sheets' cells that have a value, sheets in the workbook's order.
+def xlsx_sheets(z: zipfile.ZipFile) -> tuple[list[str], dict[str, str | None]]:
+    """Shared strings, and the sheets in the workbook's order: part and name.
 
     Sheets that the workbook doesn't name follow, under their part's name; a sheet alone without a workbook part has none.
     """
+    names, shared = set(z.namelist()), []
+    if "xl/sharedStrings.xml" in names:
+        shared = ["".join(t.text or "" for t in si.iter(f"{_S}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_S}si")]
+    sheets: dict[str, str | None] = {}
+    if {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= names:
+        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_S}sheet"):
+            sheets[posixpath.normpath(posixpath.join("/xl", targets[sheet.get(f"{_R}id")]))[1:]] = sheet.get("name")
+    parts = [n for n in names if re.fullmatch(r"xl/worksheets/[^/]+\.xml", n) and n not in sheets]
+    for n in sorted(parts, key=lambda n: (int((re.findall(r"\d+", n) or [0])[-1]), n)):
+        sheets[n] = posixpath.basename(n)[:-4] if len(parts) + len(sheets) > 1 else None
+    return shared, sheets
+
+
+def xlsx_value(c: ElementTree.Element, shared: list[str]) -> str | None:
+    v, inline = c.find(f"{_S}v"), c.find(f"{_S}is")
+    if inline is not None:
+        return "".join(t.text or "" for t in inline.iter(f"{_S}t"))
+    return None if v is None or v.text is None else shared[int(v.text)] if c.get("t") == "s" else v.text
+
+
+def column_letters(k: int) -> str:
+    """The letters of column ``k``, from 0."""
+    out, k = "", k + 1
+    while k:
+        k, r = divmod(k - 1, 26)
+        out = chr(65 + r) + out
+    return out
+
+
+def csv_cells(data: bytes) -> list[tuple[int, str, str]]:
+    """(row from 1, column letters, value) of all cells, those of a header too."""
+    rows = csv.reader(io.StringIO(data.decode("utf-8"), newline=""))
+    return [(k, column_letters(c), value) for k, row in enumerate(rows, 1) for c, value in enumerate(row)]
+
+
+def xlsx_cells(data: bytes) -> list[tuple[str | None, int, str, str]]:
+    """(sheet, row from 1, column letters, value) of all sheets' cells that have a value."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        names, shared = set(z.namelist()), []
-        if "xl/sharedStrings.xml" in names:
-            shared = ["".join(t.text or "" for t in si.iter(f"{_S}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_S}si")]
-        sheets: dict[str, str | None] = {}
-        if {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= names:
-            targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-            for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_S}sheet"):
-                sheets[posixpath.normpath(posixpath.join("/xl", targets[sheet.get(f"{_R}id")]))[1:]] = sheet.get("name")
-        parts = [n for n in names if re.fullmatch(r"xl/worksheets/[^/]+\.xml", n) and n not in sheets]
-        for n in sorted(parts, key=lambda n: (int((re.findall(r"\d+", n) or [0])[-1]), n)):
-            sheets[n] = posixpath.basename(n)[:-4] if len(parts) + len(sheets) > 1 else None
+        shared, sheets = xlsx_sheets(z)
         out = []
         for part, sheet in sheets.items():
             for c in ElementTree.fromstring(z.read(part)).iter(f"{_S}c"):
-                v, inline = c.find(f"{_S}v"), c.find(f"{_S}is")
-                text = "".join(t.text or "" for t in inline.iter(f"{_S}t")) if inline is not None else v.text if v is not None else None
+                text = xlsx_value(c, shared)
                 if text is not None:
                     column, row = re.fullmatch(r"([A-Z]+)(\d+)", c.get("r")).groups()
-                    out.append((sheet, int(row), column, shared[int(text)] if c.get("t") == "s" else text))
+                    out.append((sheet, int(row), column, text))
         return out
 
 
@@ -259,14 +287,6 @@ def picture_bytes(pages: list, like: bytes) -> bytes:
     return tiff_bytes(pages) if like[:2] in (b"II", b"MM") else png_bytes(pages[0])
 
 
-def html_text(html: str) -> str:
-    """Visible text of markup: without scripts, styles and tags, references decoded."""
-    import html as h
-
-    bare = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ", html)
-    return h.unescape(re.sub(r"(?s)<[^>]*>", " ", bare))
-
-
 def decode(data: bytes, extension: str | None) -> list[tuple[str | None, str, str | None, bytes | None]]:
     """(part, modality, text, bytes) of one file."""
     e = (extension or "").lower().lstrip(".")
@@ -288,6 +308,8 @@ def decode(data: bytes, extension: str | None) -> list[tuple[str | None, str, st
                 return [(None, kind, None, data)]
         if e == "xlsx":
             return [(f"{c}{r}" if sheet is None else f"{sheet}!{c}{r}", kind, v, None) for sheet, r, c, v in xlsx_cells(data)]
+        if e == "csv":
+            return [(f"{c}{r}", kind, v, None) for r, c, v in csv_cells(data)]
         return [(None, kind, data.decode("utf-8"), None)]
     except VeilError:
         raise

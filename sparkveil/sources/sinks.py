@@ -106,11 +106,18 @@ def write_json(audit: DataFrame, path: str) -> None:
     to_json(audit).select("audit").write.mode("overwrite").text(path)
 
 
-def usage(audit: DataFrame) -> DataFrame:
-    """(recognizer, documents): on how many documents each model-backed recognizer ran."""
-    return audit.select(F.explode("usage").alias("recognizer")).groupBy("recognizer").agg(F.count("*").alias("documents"))
+def usage(audit: DataFrame, text_col: str = "text") -> DataFrame:
+    """(recognizer, documents, characters): on how many documents each model-backed recognizer ran, and on how much text."""
+    used = audit.select(F.explode("usage").alias("recognizer"), F.length(text_col).alias("n"))
+    return used.groupBy("recognizer").agg(F.count("*").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("characters"))
 
 
-def write_redacted(df: DataFrame, path: str, text_col: str = "redacted") -> None:
-    """Redacted texts, with the documents' other columns, as Parquet."""
-    df.drop("entities", "context", "usage").withColumnRenamed(text_col, "text_redacted").write.mode("overwrite").parquet(path)
+def released(df: DataFrame, text_col: str = "text", redacted_col: str = "redacted") -> DataFrame:
+    """What may leave: the documents' columns with the redacted text in place of the source text, without entities (they hold source values) and what else the audit added."""
+    kept = [c for c in df.columns if c not in ("entities", "context", "usage", redacted_col)]
+    return df.select(*[F.col(redacted_col).alias(c) if c == text_col else F.col(c) for c in kept])
+
+
+def write_redacted(df: DataFrame, path: str, text_col: str = "text", redacted_col: str = "redacted") -> None:
+    """Redacted documents as Parquet; no column holds the source text."""
+    released(df, text_col, redacted_col).write.mode("overwrite").parquet(path)

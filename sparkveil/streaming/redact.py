@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..engine import Engine
+from ..errors import configuration
 from ..functions.spans import unnest
 from ..plans.policy import AnalyzerParams, Policy
 
@@ -22,8 +23,10 @@ def read_folder(spark: SparkSession, path: str, schema, files_per_trigger: int |
     return reader.parquet(path)
 
 
-def redact_stream(stream: DataFrame, policies: Sequence[Policy], engine: Engine = Engine(), id_col: str = "doc_id", text_col: str = "text", run_secret: bytes = b"stream", params: AnalyzerParams = AnalyzerParams()) -> DataFrame:
-    """``stream`` with entities and redacted text. ``run_secret`` keeps pseudonyms the same over restarts."""
+def redact_stream(stream: DataFrame, policies: Sequence[Policy], engine: Engine = Engine(), id_col: str = "doc_id", text_col: str = "text", *, run_secret: bytes, params: AnalyzerParams = AnalyzerParams()) -> DataFrame:
+    """``stream`` with entities and redacted text. ``run_secret`` keeps pseudonyms the same over restarts; whoever knows it can link them, so there is no default."""
+    if not run_secret:
+        raise configuration("a stream needs a run secret of its own")
     return engine.run(stream, policies, params, id_col=id_col, text_col=text_col, run_secret=run_secret)
 
 

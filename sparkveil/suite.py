@@ -20,7 +20,7 @@ from .operators.recognizers import PATTERNS, Dictionary, Pattern, dictionary_spa
 from .plans import templates
 from .plans.catalog import Catalog, builtin, compile_catalog
 from .plans.policy import AnalyzerParams, LabelEntry, ModalityRedactions, Policy, Predicate, Redaction, Rule, Scope, ScopeParams, text_op
-from .sources import files, sinks
+from .sources import files, rewrite, sinks
 from .streaming import redact as streaming
 
 BY_NAME = {p.name: p for p in PATTERNS}
@@ -110,6 +110,36 @@ def detect_context_boost(spark, sf_dir):
     return x.select("doc_id", F.col("x.start").cast("bigint").alias("start"), "x.value", F.format_string("%.3f", F.col("x.confidence").cast("double")).alias("confidence"))
 
 
+_MADE = """(SELECT c_custkey, c_custkey % 100 AS pair, lpad((c_custkey * 7919 % 1000)::VARCHAR, 3, '0') AS area, lpad((c_custkey % 10000)::VARCHAR, 4, '0') AS serial,
+  lpad((c_custkey * 104729)::VARCHAR, 18, '1') AS account FROM customer)"""
+_MADE_SQL = f"""WITH m AS (SELECT *, area || '-' || lpad(pair::VARCHAR, 2, '0') || '-' || serial AS ssn, 'DE' || lpad(pair::VARCHAR, 2, '0') || account AS iban,
+  '19' || lpad(pair::VARCHAR, 2, '0') || '-03-0' || (c_custkey % 9 + 1) AS born, (c_custkey % 90) || '.' || serial || '1, -' || (c_custkey % 180) || '.' || serial || '2' AS place, '9' || serial AS zip FROM {_MADE}),
+p AS (SELECT *, 'No. ' || c_custkey || ' social security ' AS a, ' at ' AS b, ' from account ' AS c, ' near CA ' AS d, ' born ' AS e FROM m),
+q AS (SELECT *, len(a) AS s1, len(a || ssn || b) AS s2, len(a || ssn || b || place || c) AS s3, len(a || ssn || b || place || c || iban || d) AS s4, len(a || ssn || b || place || c || iban || d || zip || e) AS s5 FROM p)
+SELECT c_custkey, 'government_id' AS label, ssn AS value, s1::BIGINT AS start, '1.000' AS confidence FROM q
+UNION ALL SELECT c_custkey, 'coordinates', place, s2, '0.600' FROM q
+UNION ALL SELECT c_custkey, 'iban', iban, s3, '0.950' FROM q WHERE (account || '1314' || lpad(pair::VARCHAR, 2, '0'))::HUGEINT % 97 = 1
+UNION ALL SELECT c_custkey, 'postal_code', zip, s4, '0.500' FROM q
+UNION ALL SELECT c_custkey, 'date_of_birth', born, s5, '0.850' FROM q"""
+MADE_PATTERNS = tuple(BY_NAME[k] for k in ("us-ssn", "coordinates", "iban", "us-zip", "birth-date"))
+
+
+@query(_MADE_SQL)
+def detect_made_identifiers(spark, sf_dir):
+    """Identifiers written into a text at places that arithmetic gives, some with wrong check digits."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    digits = lambda x, n: F.lpad(x.cast("string"), n, "0")
+    pair, serial = digits(k % 100, 2), digits(k % 10000, 4)
+    ssn = F.concat(digits(k * 7919 % 1000, 3), F.lit("-"), pair, F.lit("-"), serial)
+    place = F.concat((k % 90).cast("string"), F.lit("."), serial, F.lit("1, -"), (k % 180).cast("string"), F.lit("."), serial, F.lit("2"))
+    iban = F.concat(F.lit("DE"), pair, F.lpad((k * 104729).cast("string"), 18, "1"))
+    born = F.concat(F.lit("19"), pair, F.lit("-03-0"), (k % 9 + 1).cast("string"))
+    text = F.concat(F.lit("No. "), k.cast("string"), F.lit(" social security "), ssn, F.lit(" at "), place, F.lit(" from account "), iban, F.lit(" near CA "), F.concat(F.lit("9"), serial), F.lit(" born "), born)
+    found = Engine(detection=detect.Detection(patterns=MADE_PATTERNS)).analyze(c.select("c_custkey", text.alias("text")), id_col="c_custkey")
+    e = S.unnest(found, ["c_custkey"], "entities", "e")
+    return e.select("c_custkey", "e.label", "e.value", F.col("e.start").cast("bigint").alias("start"), F.format_string("%.3f", F.col("e.confidence").cast("double")).alias("confidence"))
+
+
 def _language_sql() -> str:
     counts = ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(map(O.quote, v))}))) AS n_{k}" for k, v in language.FUNCTION_WORDS.items())
     best = "greatest(" + ", ".join(f"n_{k}" for k in language.FUNCTION_WORDS) + ")"
@@ -180,7 +210,7 @@ def spans_merge_same_label(spark, sf_dir):
     return _longs(x.select("doc_id", "x.start", "x.end", "x.label", F.format_string("%.3f", F.col("x.confidence").cast("double")).alias("confidence")))
 
 
-@query(f'WITH {O.winners([CARD_SHAPE, OTHER_DIGITS, BY_NAME["phone-international"]])} SELECT doc_id, start::BIGINT AS start, "end"::BIGINT AS "end", value, label FROM w')
+@query(f'WITH {O.winners([CARD_SHAPE, OTHER_DIGITS, BY_NAME["phone-international"]], whole=False)} SELECT doc_id, start::BIGINT AS start, "end"::BIGINT AS "end", value, label FROM w')
 def spans_resolve_cross_label(spark, sf_dir):
     docs = _spans_of(table(spark, sf_dir, "documents"), [CARD_SHAPE, OTHER_DIGITS, BY_NAME["phone-international"]], merge=False)
     x = S.unnest(docs, ["doc_id"], detect.reconcile(F.col("text"), F.col("found")), "x")
@@ -285,22 +315,18 @@ def redact_hmac_sha256(spark, sf_dir):
     return _run(spark, sf_dir, [_one_op("hmac", ModalityRedactions.for_text("hmac_hash"))], KEYED)
 
 
-@query("SELECT c_custkey, true AS as_specified, 128::BIGINT AS digits FROM customer")
-def redact_hmac_sha512(spark, sf_dir):
-    import hashlib
-    import hmac
+#: A published test case of HMAC-SHA-512 (RFC 4231, case 2).
+RFC_KEY, RFC_TEXT = b"Jefe", "what do ya want for nothing?"
+RFC_DIGEST = "164b7a7bfcf819e2e395fbe73b56e0a387bd64222e831fd610270cd7ea2505549758bf75c05a994a6d034f65f8f0e6fdcaeab1a34d4a6b4b636e070a38bce737"
 
-    c = table(spark, sf_dir, "customer")
-    inner, outer = crypto.pads(KEY, "sha512")
-    keyed = c.crossJoin(F.broadcast(crypto.key_table(spark, {"sha512_inner": inner, "sha512_outer": outer})))
-    keys = F.col(crypto.KEYS)
 
-    @F.pandas_udf("string")
-    def reference(v):
-        return v.map(lambda x: hmac.new(KEY, x.encode(), hashlib.sha512).hexdigest())
-
-    digest = crypto.hmac(F.col("c_name"), keys["sha512_inner"], keys["sha512_outer"], "sha512")
-    return keyed.select("c_custkey", (digest == reference("c_name")).alias("as_specified"), F.length(digest).cast("bigint").alias("digits"))
+@query(f"SELECT c_custkey, '{RFC_DIGEST}' AS digest FROM customer")
+def redact_hmac_sha512(spark, sf_dir):
+    inner, outer = crypto.pads(RFC_KEY, "sha512")
+    keyed = table(spark, sf_dir, "customer").crossJoin(F.broadcast(crypto.key_table(spark, {"sha512_inner": inner, "sha512_outer": outer})))
+    keys = F.col(crypto.KEYS)
+    text = F.concat(F.lit(RFC_TEXT), F.substring("c_name", 1, 0))  # a column's value, so that nothing is folded
+    return keyed.select("c_custkey", crypto.hmac(text, keys["sha512_inner"], keys["sha512_outer"], "sha512").alias("digest"))
 
 
 @query("SELECT c_custkey, c_name AS opened, true AS sealed FROM customer")
@@ -432,6 +458,28 @@ def policy_override_first(spark, sf_dir):
     return out.select("doc_id", "redacted", F.size("entities").cast("bigint").alias("n_entities"))
 
 
+#: Overlapping finds on purpose: digits inside cards and telephone numbers.
+CLUSTERED = (CARD_SHAPE, OTHER_DIGITS, BY_NAME["phone-international"])
+P_CARDS = _policy("cards", ["payment_card", "phone_number"], [_rule("card", Predicate.label_one_of("payment_card"), "replace", template="[card]"), _rule("phone", Predicate.label_one_of("phone_number"), "replace", template="[phone]")])
+P_DIGITS = _policy("digits", ["internal_id"], [_rule("id", Predicate.label_one_of("internal_id"), "replace", template="[id]")])
+CLUSTER_ENGINE = Engine(detection=detect.Detection(patterns=CLUSTERED, span_policy="cluster"))
+_RULE_OF = f"CASE label WHEN 'payment_card' THEN {O.quote(P_CARDS.rules[0].id)} WHEN 'phone_number' THEN {O.quote(P_CARDS.rules[1].id)} ELSE {O.quote(P_DIGITS.rules[0].id)} END"
+
+
+@query(f"WITH {O.winners(CLUSTERED)} SELECT doc_id, label, start::BIGINT AS start, first_value({_RULE_OF}) OVER (PARTITION BY doc_id, island ORDER BY r) AS source_id, CASE WHEN first_value(label) OVER (PARTITION BY doc_id, island ORDER BY r) = 'internal_id' THEN 'digits' ELSE 'cards' END AS policy FROM c2")
+def policy_cluster_stamping(spark, sf_dir):
+    """Every member of a cluster records the winner's rule, whichever policy would have decided on it."""
+    out = CLUSTER_ENGINE.run(table(spark, sf_dir, "documents"), [P_CARDS, P_DIGITS])
+    e = S.unnest(out, ["doc_id"], "entities", "e").select("doc_id", "e.label", F.col("e.start").cast("bigint").alias("start"), F.element_at("e.events", -1).alias("x"))
+    return e.where("x.kind = 'redaction'").select("doc_id", "label", "start", F.col("x.attribution.source_id").alias("source_id"), F.col("x.attribution.name").alias("policy"))
+
+
+@query(O.redacted(CLUSTERED, "CASE label WHEN 'payment_card' THEN '[card]' WHEN 'phone_number' THEN '[phone]' ELSE '[id]' END").replace("n AS (SELECT doc_id, count(*) AS n FROM w", "n AS (SELECT doc_id, count(*) AS n FROM c2"))
+def policy_cluster_text(spark, sf_dir):
+    """A cluster is replaced as one, over all that its members cover."""
+    return _run(spark, sf_dir, [P_CARDS, P_DIGITS], CLUSTER_ENGINE)
+
+
 @query(f"WITH {O.winners(relevant(PATTERNS, compile_catalog([P_TABLE, P_COARSE])))} SELECT CASE WHEN label IN ('email_address', 'phone_number') THEN 'table' END AS name, CASE WHEN label IN ('email_address', 'phone_number') THEN {O.quote(P_TABLE.rules[0].id)} END AS source_id, CASE label WHEN 'email_address' THEN 'erase' WHEN 'phone_number' THEN 'replace' END AS operator, count(*) AS n FROM w WHERE label IN ('email_address', 'phone_number') GROUP BY ALL")
 def policy_attribution_counts(spark, sf_dir):
     out = Engine().run(table(spark, sf_dir, "documents"), [P_TABLE, P_COARSE])
@@ -594,7 +642,7 @@ def audit_rollup_label_source(spark, sf_dir):
     return e.rollup("label", "source").agg(F.count("*").alias("n"))
 
 
-@query("SELECT recognizer, count(*) AS documents FROM documents CROSS JOIN (VALUES ('names'), ('places')) v(recognizer) GROUP BY recognizer")
+@query("SELECT recognizer, count(*) AS documents, sum(len(text))::BIGINT AS characters FROM documents CROSS JOIN (VALUES ('names'), ('places')) v(recognizer) GROUP BY recognizer")
 def audit_usage(spark, sf_dir):
     from .operators.recognizers import Recognizer
 
@@ -637,20 +685,32 @@ def _pixel_sum(df: DataFrame) -> DataFrame:
     return df.select("n_nationkey", total("content").alias("total"))
 
 
-_FLAT = "8 * 8 * 3 * 10 * n_nationkey"
+#: Each pixel of an 8 x 8 picture, and what an operator makes of the region of 4 x 4 pixels at (2, 1): a block's rounded mean, or a weighted sum of neighbours that stops at the region's edges.
+_PIXELS = "SELECT n_nationkey, x, y, c, (n_nationkey * 3 + x * x + y * 11 + c * 5)::DOUBLE AS v FROM nation, range(8) a(x), range(8) b(y), range(3) d(c)"
+_GAUSS = "(SELECT d, exp(-0.5 * d * d) / sum(exp(-0.5 * d * d)) OVER () AS k FROM (SELECT unnest(range(-3, 4)) AS d))"
+_PICTURES = f"""WITH p AS ({_PIXELS}), r AS (SELECT * FROM p WHERE x BETWEEN 2 AND 5 AND y BETWEEN 1 AND 4),
+m AS (SELECT n_nationkey, (x - 2) // 2 AS i, (y - 1) // 2 AS j, c, round_even(avg(v), 0) * count(*) AS v FROM r GROUP BY ALL),
+h AS (SELECT r.n_nationkey, r.y, r.x, r.c, sum(g.k * q.v) AS v FROM r CROSS JOIN {_GAUSS} g JOIN r q ON q.n_nationkey = r.n_nationkey AND q.c = r.c AND q.x = r.x AND q.y = greatest(1, least(4, r.y + g.d)) GROUP BY ALL),
+b AS (SELECT h.n_nationkey, h.y, h.x, h.c, round(sum(g.k * q.v)) AS v FROM h CROSS JOIN {_GAUSS} g JOIN h q ON q.n_nationkey = h.n_nationkey AND q.c = h.c AND q.y = h.y AND q.x = greatest(2, least(5, h.x + g.d)) GROUP BY ALL),
+t AS (SELECT n_nationkey, sum(v) AS whole, sum(v) FILTER (NOT (x BETWEEN 2 AND 5 AND y BETWEEN 1 AND 4)) AS rest FROM p GROUP BY n_nationkey)
+SELECT t.n_nationkey, o.name AS operator, (CASE o.name WHEN 'erase' THEN rest + 16 * 3 * 255 WHEN 'blackbox' THEN rest WHEN 'keep' THEN whole
+  WHEN 'pixelate' THEN rest + (SELECT sum(v) FROM m WHERE m.n_nationkey = t.n_nationkey) ELSE rest + (SELECT sum(v) FROM b WHERE b.n_nationkey = t.n_nationkey) END)::BIGINT AS total
+FROM t CROSS JOIN (VALUES ('erase'), ('keep'), ('blur'), ('pixelate'), ('blackbox')) o(name)"""
 
 
-@query(f"SELECT n_nationkey, o.name AS operator, CASE o.name WHEN 'erase' THEN 58 * 3 * 10 * n_nationkey + 6 * 3 * 255 WHEN 'blackbox' THEN 58 * 3 * 10 * n_nationkey ELSE {_FLAT} END::BIGINT AS total FROM nation CROSS JOIN (VALUES ('erase'), ('keep'), ('blur'), ('pixelate'), ('blackbox')) o(name)")
+@query(_PICTURES)
 def image_operators(spark, sf_dir):
     import numpy as np
 
-    pictures = _made(spark, sf_dir, lambda k, _: files.png_bytes(np.full((8, 8, 3), 10 * k, np.uint8)))
-    pictures = pictures.withColumn("regions", F.array(F.struct(*[F.lit(v).alias(n) for n, v in (("x", 1), ("y", 2), ("w", 2), ("h", 3))])))
-    parts = [_pixel_sum(image.redact_images(pictures, Redaction.of("image", kind))).withColumn("operator", F.lit(kind)) for kind in ("erase", "keep", "blur", "pixelate", "blackbox")]
+    x, y, c = np.arange(8)[None, :, None], np.arange(8)[:, None, None], np.arange(3)[None, None, :]
+    pictures = _made(spark, sf_dir, lambda k, _: files.png_bytes((3 * k + x * x + 11 * y + 5 * c).astype(np.uint8)))
+    pictures = pictures.withColumn("regions", F.array(F.struct(*[F.lit(v).alias(n) for n, v in (("x", 2), ("y", 1), ("w", 4), ("h", 4))])))
+    settings = {"erase": {}, "keep": {}, "blur": {"sigma": 1.0}, "pixelate": {"block_size": 2}, "blackbox": {}}
+    parts = [_pixel_sum(image.redact_images(pictures, Redaction.of("image", kind, **more))).withColumn("operator", F.lit(kind)) for kind, more in settings.items()]
     return functools.reduce(DataFrame.unionByName, parts)
 
 
-@query("SELECT n_nationkey, o.name AS operator, CASE o.name WHEN 'erase' THEN 600 ELSE 800 END::BIGINT AS frames, CASE o.name WHEN 'erase' THEN 600 * n_nationkey WHEN 'silence' THEN 600 * n_nationkey WHEN 'keep' THEN 800 * n_nationkey END::BIGINT AS total FROM nation CROSS JOIN (VALUES ('erase'), ('keep'), ('silence'), ('beep')) o(name)")
+@query("SELECT n_nationkey, o.name AS operator, CASE o.name WHEN 'erase' THEN 600 ELSE 800 END::BIGINT AS frames, CASE o.name WHEN 'erase' THEN 600 * n_nationkey WHEN 'silence' THEN 600 * n_nationkey WHEN 'keep' THEN 800 * n_nationkey ELSE 600 * n_nationkey + (SELECT sum(round(32767 * 0.5 * sin(2 * pi() * 130 * t / 800))) FROM range(200) x(t)) END::BIGINT AS total FROM nation CROSS JOIN (VALUES ('erase'), ('keep'), ('silence'), ('beep')) o(name)")
 def audio_operators(spark, sf_dir):
     import io
     import wave
@@ -680,8 +740,9 @@ def audio_operators(spark, sf_dir):
     clips = _made(spark, sf_dir, clip).withColumn("intervals", F.array(F.struct(F.lit(0.25).alias("t_start"), F.lit(0.5).alias("t_end"))))
     parts = []
     for kind in ("erase", "keep", "silence", "beep"):
-        m = audio.redact_audio(clips, Redaction.of("audio", kind)).select("n_nationkey", measured("content").alias("m"))
-        parts.append(m.select("n_nationkey", F.lit(kind).alias("operator"), "m.frames", (F.lit(None) if kind == "beep" else F.col("m.total")).cast("bigint").alias("total")))
+        more = {"hz": 130.0, "amplitude": 0.5, "waveform": "sine"} if kind == "beep" else {}
+        m = audio.redact_audio(clips, Redaction.of("audio", kind, **more)).select("n_nationkey", measured("content").alias("m"))
+        parts.append(m.select("n_nationkey", F.lit(kind).alias("operator"), "m.frames", "m.total"))
     return functools.reduce(DataFrame.unionByName, parts)
 
 
@@ -704,6 +765,57 @@ def source_docx_parts(spark, sf_dir):
     return S.unnest(_made(spark, sf_dir, docx), ["n_nationkey"], parts("content"), "p").select("n_nationkey", "p.*")
 
 
+def _zip(members: dict[str, str | bytes]) -> bytes:
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, body in members.items():
+            z.writestr(name, body)
+    return out.getvalue()
+
+
+def _files_of(k: int, name: str) -> dict[str, bytes]:
+    """A letter, a workbook, a table and a note about one nation, each with an address."""
+    mail, sheet = f"{name.lower().replace(' ', '.')}@mail.example", "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    return {
+        "docx": _zip({"word/document.xml": f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:p><w:r><w:t>Write to {mail}</w:t></w:r><w:r><w:t> today</w:t></w:r></w:p><w:p><w:t>second</w:t></w:p></w:document>'}),
+        "xlsx": _zip({"xl/sharedStrings.xml": f'<sst xmlns="{sheet}"><si><t>{mail}</t></si></sst>', "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{sheet}"><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1"><v>{k}</v></c></row></sheetData></worksheet>'}),
+        "csv": f'name,"mail, if any"\n{name},{mail}\n'.encode(),
+        "rtf": f"{{\\rtf1 {{\\fonttbl x;}}To \\b {mail}\\b0\\par second}}".encode(),
+        "txt": f"To {mail}".encode(),
+    }
+
+
+@query(
+    """WITH m AS (SELECT n_nationkey, n_name, '[mail]' AS mail FROM nation)
+SELECT n_nationkey, 'docx' AS extension, NULL::VARCHAR AS part_id, 'Write to ' || mail || ' today' || chr(10) || 'second' AS text FROM m
+UNION ALL SELECT n_nationkey, 'xlsx', 'A1', mail FROM m UNION ALL SELECT n_nationkey, 'xlsx', 'C1', n_nationkey::VARCHAR FROM m
+UNION ALL SELECT n_nationkey, 'csv', 'A1', 'name' FROM m UNION ALL SELECT n_nationkey, 'csv', 'B1', 'mail, if any' FROM m UNION ALL SELECT n_nationkey, 'csv', 'A2', n_name FROM m UNION ALL SELECT n_nationkey, 'csv', 'B2', mail FROM m
+UNION ALL SELECT n_nationkey, 'rtf', NULL, 'To ' || mail || chr(10) || 'second' FROM m UNION ALL SELECT n_nationkey, 'txt', NULL, 'To ' || mail FROM m"""
+)
+def source_files_redacted(spark, sf_dir):
+    """Files of five formats read, redacted, written in their own format and read again; a file in which the address is left raises."""
+    kinds = ("docx", "xlsx", "csv", "rtf", "txt")
+    made = [_made(spark, sf_dir, lambda k, name, e=e: _files_of(k, name)[e]).withColumn("extension", F.lit(e)) for e in kinds]
+    sources = functools.reduce(DataFrame.unionByName, made).withColumn("file", F.concat("n_nationkey", F.lit("."), "extension"))
+
+    @F.pandas_udf("array<struct<part_id:string,text:string>>")
+    def parts(e, c):
+        return e.combine(c, lambda x, data: [{"part_id": p, "text": t} for p, _, t, _ in files.decode(bytes(data), x)])
+
+    def read(df: DataFrame) -> DataFrame:
+        return S.unnest(df.withColumn("found", parts("extension", "content")), ["file", "extension"], "found", "p").select("file", "extension", "p.part_id", "p.text")
+
+    policy = _one_op("files", ModalityRedactions.for_text("replace", template="[mail]"), ["email_address"])
+    redacted = Engine().run(read(sources).withColumn("doc_id", F.concat_ws("/", "file", "part_id")), [policy])
+    written = rewrite.redacted_files(sources, redacted.select("file", "part_id", "redacted", F.lit(None).cast("binary").alias("content")))
+    whole = F.when(F.contains("content", F.lit("@mail").cast("binary")), F.raise_error(F.lit("an address is left"))).otherwise(F.col("content"))
+    again = read(written.select("file", "extension", whole.alias("content")))
+    return again.select(F.split("file", "[.]")[0].cast("int").alias("n_nationkey"), "extension", "part_id", "text")
+
+
 # -- streams ------------------------------------------------------------------
 
 EVENT_KEY = Pattern("event-key", "internal_id", r"\"k\": ?[0-9]+", 0.9, inner=r"[0-9]+$")
@@ -718,7 +830,7 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""SELECT event_id, regexp_replace(props, '("k": ?)[0-9]+', '\1#', 'g') AS redacted FROM events""")
 def stream_redact_events(spark, sf_dir):
-    stream = streaming.redact_stream(_event_stream(spark, sf_dir), [EVENT_POLICY], EVENT_ENGINE, "event_id", "props")
+    stream = streaming.redact_stream(_event_stream(spark, sf_dir), [EVENT_POLICY], EVENT_ENGINE, "event_id", "props", run_secret=SECRET)
     return _drained(spark, stream.select("event_id", "redacted"))
 
 

@@ -17,7 +17,7 @@ from sparkveil.functions import crypto
 from sparkveil.functions.text import Match, build
 from sparkveil.operators import reconcile, tabular
 from sparkveil.operators.detect import Detection
-from sparkveil.operators.recognizers import PATTERNS, Pattern, check_dictionaries, load_prompt, pattern_spans, relevant
+from sparkveil.operators.recognizers import PATTERNS, Pattern, check_dictionaries, dictionary_spans, load_prompt, pattern_spans, relevant, with_automaton
 from sparkveil.plans import templates
 from sparkveil.plans.policy import text_op
 from sparkveil.sources import sinks
@@ -433,7 +433,7 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     p = templates.ccpa().policy
     batch = Engine().run(spark.read.parquet(f"{sf_dir}/documents.parquet"), [p])
     stream = streaming.read_folder(spark, sf_dir, spark.read.parquet(f"{sf_dir}/documents.parquet").schema, pattern="documents.parquet")
-    out = streaming.redact_stream(stream, [p]).select("doc_id", "redacted")
+    out = streaming.redact_stream(stream, [p], run_secret=b"tests").select("doc_id", "redacted")
     streaming.run_once(out, str(tmp_path / "o"), str(tmp_path / "c"))
     got = spark.read.parquet(str(tmp_path / "o"))
     assert got.exceptAll(batch.select("doc_id", "redacted")).count() == 0 and got.count() == batch.count()
@@ -443,3 +443,115 @@ def test_detection_stays_in_one_stage(spark, sf_dir):
     plan = Engine().run(spark.read.parquet(f"{sf_dir}/documents.parquet"), [templates.ccpa().policy]).select("doc_id", "redacted")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
     assert "lang" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+# -- overlaps, dictionaries, what may leave ----------------------------------------
+
+
+def long_spans(n):
+    """``n`` spans of two labels, neighbours overlapping in pairs."""
+    return [(4 * k + d, 4 * k + d + 3, "x" * 3, "ab"[d], 0.5 + d / 4, "pattern", "p", 1, 0) for k in range(n // 2) for d in (0, 1)]
+
+
+@pytest.mark.parametrize("n", [2 * S.CHUNK, 1001])
+def test_folds_over_many_spans_equal_plain_versions(spark, n):
+    spans = long_spans(n)
+    df = spans_frame(spark, [spans])
+    merged = S.merge_same_label(F.col("t"), F.col("s"))
+    r = df.select(merged.alias("m"), S.resolve_overlaps(F.col("t"), merged).alias("w"), S.resolve_overlaps(F.col("t"), merged, "union").alias("u")).first()
+    assert len(r.m) == len(spans) and [(x.start, x.end, x.label) for x in r.w] == [s[:3] for s in naive_winners([(x[0], x[1], x[3], x[4]) for x in spans])]
+    assert [(x.start, x.end, x.beaten) for x in r.u] == [(4 * k, 4 * k + 4, 1) for k in range(n // 2)]
+
+
+def test_running_values_over_chunks(spark):
+    values = [(k * 37) % 11 for k in range(3 * S.CHUNK + 5)]
+    df = spark.createDataFrame([(values,), ([],), ([4],)], "v array<int>")
+    got = [r.x for r in df.select(S.running(F.col("v"), "int", F.lit(0), lambda a, x: a + x).alias("x")).collect()]
+    assert got == [[sum(values[:k]) for k in range(len(values))], [], [0]]
+
+
+def test_a_text_with_many_matches(spark):
+    n = 5000
+    text = " ".join(f"u{i}@x.org" for i in range(n)) + " end"
+    p = policy("mail", ["email_address"], fallback=ModalityRedactions.for_text("replace", template="<{value}>"))
+    out = Engine().run(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), [p]).first()
+    assert len(out.entities) == n and out.redacted == " ".join(f"<u{i}@x.org>" for i in range(n)) + " end"
+
+
+OVERLAPPING = (Pattern("long", "payment_card", "[0-9]{4} [0-9]{4}", 0.6), Pattern("tail", "phone_number", "[0-9]{4}-[0-9]{3}", 0.5), Pattern("word", "city", "[A-Z][a-z]+", 0.7))
+
+
+def test_what_overlaps_is_covered_whole(spark):
+    d = spark.createDataFrame([(1, "a 1111 2222-333 Rome"), (2, None), (3, "none")], "doc_id bigint, text string")
+    p = policy("p", ["payment_card", "phone_number", "city"], fallback=ModalityRedactions.for_text("replace", template="[{label}]"))
+    out = {k: Engine(detection=Detection(patterns=OVERLAPPING, span_policy=k)).run(d, [p]) for k in ("union", "winner", "cluster")}
+    assert redacted(out["union"]) == redacted(out["cluster"]) == "a [payment_card] [city]"
+    assert redacted(out["winner"]) == "a [payment_card]-333 [city]"
+    assert redacted(Engine(detection=Detection(patterns=OVERLAPPING)).run(d, [p])) == redacted(out["union"])
+
+
+def test_a_cluster_records_the_winner_on_every_member(spark):
+    d = spark.createDataFrame([(1, "a 1111 2222-333 Rome"), (2, None)], "doc_id bigint, text string")
+    first = policy("first", ["phone_number", "city"], [rule(Predicate.label_one_of("phone_number"), "mask", "phones")])
+    second = policy("second", ["payment_card"], [rule(Predicate.label_one_of("payment_card"), "erase", "cards")])
+    engine = Engine(detection=Detection(patterns=OVERLAPPING, span_policy="cluster"))
+    audit = engine.analyze(d, [first, second])
+    out = engine.anonymize(audit, [first, second]).where("doc_id = 1").first()
+    assert out.redacted == "a  Rome"
+    events = {e.label: [x for x in e.events if x.kind == "redaction"] for e in out.entities}
+    assert {k: [(x.operator, x.attribution.source_id, x.attribution.name) for x in v] for k, v in events.items()} == {"payment_card": [("erase", "id-cards", "second")], "phone_number": [("erase", "id-cards", "second")], "city": []}
+    # a member with a decision stands in for a stronger one without
+    only = engine.anonymize(audit, [policy("first", ["phone_number", "payment_card"], [rule(Predicate.label_one_of("phone_number"), "mask", "phones")])]).where("doc_id = 1").first()
+    assert only.redacted == "a " + "*" * 13 + " Rome"
+    one = next(e for e in audit.where("doc_id = 1").first().entities if e.label == "payment_card")
+    given = engine.anonymize(audit, [first, second], [Override(one.entity_id, second.id, ModalityRedactions.for_text("keep"))]).where("doc_id = 1").first()
+    assert given.redacted == "a 1111 2222-333 Rome"
+    assert {x.attribution.source_id for e in given.entities for x in e.events if x.kind == "redaction"} == {one.entity_id}
+
+
+def test_dictionaries_find_the_same_at_any_size(spark):
+    terms = ("New York", "York", "new", "Österreich", "c++", "(x)", "a_b", "naïve", "K")
+    texts = ["new york newer New YORK, York", "ÖSTERREICH Österreich österreich", "c++ c+++ c++x xc++ (x)(X)a", "a_b a_bc _a_b a_B", "NAÏVE naïve naïvely", "k K K1 K", "yorkYork Yorké éYork", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    small = Dictionary("d", "city", terms)
+    large = Dictionary("d", "city", terms + tuple(f"filler{k}" for k in range(400)))
+    a = df.select("i", dictionary_spans(F.col("text"), small).alias("s")).orderBy("i").collect()
+    b = with_automaton(df, "text", "s", [large]).orderBy("i").collect()
+    key = lambda r: [(x.start, x.end, x.value) for x in r.s or []]
+    assert [key(r) for r in a] == [key(r) for r in b]
+    assert [[v for *_, v in key(r)] for r in a] == [["new york", "New YORK", "York"], ["ÖSTERREICH", "Österreich"], ["c++", "c++", "c++", "(x)", "(X)"], ["a_b", "a_B"], ["naïve"], ["k", "K"], ["York", "York"], [], []]
+
+
+def test_what_may_leave_holds_no_source_text(spark, tmp_path):
+    d = spark.createDataFrame([(1, "mail jane@x.org now", "en")], "doc_id bigint, text string, lang string")
+    out = Engine().run(d, [policy("mail", ["email_address"], fallback=ModalityRedactions.for_text("erase"))])
+    sinks.write_redacted(out, str(tmp_path / "r"))
+    back = spark.read.parquet(str(tmp_path / "r"))
+    assert back.columns == ["doc_id", "text", "lang"] and back.first().text == "mail  now"
+    assert not any(b"jane" in p.read_bytes() for p in (tmp_path / "r").rglob("*") if p.is_file())
+
+
+def test_streams_need_a_secret(docs):
+    with pytest.raises(TypeError):
+        streaming.redact_stream(docs, [])
+    with pytest.raises(VeilError, match="secret"):
+        streaming.redact_stream(docs, [], run_secret=b"")
+
+
+def test_override_decisions_are_bounded(docs, monkeypatch):
+    from sparkveil.operators import redact
+
+    p = policy("mail", ["email_address"], fallback=ModalityRedactions.for_text("erase"))
+    audit = Engine().analyze(docs, [p])
+    action = F.concat(F.lit('{"text": {"kind": "replace", "template": "'), F.col("e.start").cast("string"), F.lit('"}}'))
+    given = S.unnest(audit, ["doc_id"], "entities", "e").select("doc_id", "e.entity_id", F.lit(p.id).alias("policy_id"), action.alias("action"))
+    out = redacted(Engine().anonymize(audit, [p], given))
+    assert f"at {SAMPLE.index('jane')} or" in out and "example.com" not in out
+    monkeypatch.setattr(redact, "LITERAL_OVERRIDES", 1)
+    with pytest.raises(VeilError, match="different override"):
+        Engine().anonymize(audit, [p], given)
+
+
+def test_a_table_may_name_labels_that_never_match(docs):
+    p = Policy("id-t", "t", (Scope("t", ("email_address",)),), (Rule("id-r", "r", table=(LabelEntry("never_heard_of", ModalityRedactions.for_text("keep")), LabelEntry("email_address", ModalityRedactions.for_text("erase")))),))
+    assert "example.com" not in redacted(Engine().run(docs, [p]))

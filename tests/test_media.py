@@ -10,7 +10,7 @@ import pytest
 from sparkveil.errors import CAPABILITY_UNAVAILABLE, MALFORMED_INPUT, VeilError
 from sparkveil.operators import audio, image
 from sparkveil.plans.policy import Redaction
-from sparkveil.sources import files
+from sparkveil.sources import files, rewrite
 
 WORD = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 SHEET = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -148,7 +148,6 @@ def test_decoders():
     rtf = rb"{\rtf1{\fonttbl{\f0 Arial;}}Caf\'e9\par two " + b"\\u" + rb"8364? \{x\}}"
     assert files.decode(rtf, ".rtf")[0][2] == "Café\ntwo € {x}"
     assert files.decode(b"%PDF-1.4\n1 0 obj\n<< /Length 40 >>\nstream\nBT (Hello \\(you\\)) Tj T* [(a) 3 (b)] TJ ET\nendstream\n", "pdf")[0][2] == "Hello (you)\nab"
-    assert files.html_text("<p>a&amp;b</p><script>x</script>").split() == ["a&b"]
     for bad in ((b"x", "docx"), (b"\xff\xfe", "txt"), (b"x", "png"), (b"x", "wav"), (b"x", "rtf")):
         with pytest.raises(VeilError) as e:
             files.decode(*bad)
@@ -175,11 +174,11 @@ def test_every_sheet_is_read():
 
 
 def test_docx_keeps_other_parts():
-    out = files.docx_with_text(docx(), "Mail a@b.com now\nSecond", "Mail  now\nSecond")
+    out = files.docx_with_text(docx(), "Mail  now\nSecond")
     parts = files.docx_parts(out)
     assert parts[0][2] == "Mail  now\nSecond" and parts[1][3] == files.png_bytes(picture())
     with pytest.raises(VeilError):
-        files.docx_with_text(docx(), "x", "one line")
+        files.docx_with_text(docx(), "one line")
 
 
 def test_read_files(spark, tmp_path):
@@ -216,3 +215,28 @@ def test_pictures_and_sounds_under_policies(spark):
     after = samples(bytes(engine.redact_sounds(rows, [cut]).first().content))
     assert (after == np.delete(samples(clip()), [*range(2000, 4000), *range(6000, 8000)], axis=0)).all()
     assert bytes(Engine().redact_sounds(rows, [cut]).first().content) == clip()
+
+
+def test_files_are_written_back_in_their_format():
+    new = rewrite.rewrite(docx(), "docx", {None: "Mail  now\nSecond"}, {"word/media/image1.png": b"other"})
+    assert files.decode(new, "docx") == [(None, "text", "Mail  now\nSecond", None), ("word/media/image1.png", "image", None, b"other")]
+    new = rewrite.rewrite(xlsx(), "xlsx", {"A2": "[mail] & <more>"})
+    assert [c[0] for c in files.decode(new, "xlsx")] == ["A1", "A2", "B2"] and [c[2] for c in files.decode(new, "xlsx")] == ["name", "[mail] & <more>", "5"]
+    assert not any(b"a@b.com" in zipfile.ZipFile(io.BytesIO(new)).read(n) for n in zipfile.ZipFile(io.BytesIO(new)).namelist())
+    table = b'a,"b, c"\r\n"line\ntwo",x@y.org\r\n'
+    assert [(p, v) for p, _, v, _ in files.decode(table, "csv")] == [("A1", "a"), ("B1", "b, c"), ("A2", "line\ntwo"), ("B2", "x@y.org")]
+    assert files.csv_cells(rewrite.rewrite(table, "csv", {"B2": 'say "no"'})) == [(1, "A", "a"), (1, "B", "b, c"), (2, "A", "line\ntwo"), (2, "B", 'say "no"')]
+    assert files.rtf_text(rewrite.rewrite(b"{\\rtf1 old}", "rtf", {None: "né {w}\\ 漢\nend"})) == "né {w}\\ 漢\nend"
+    assert rewrite.rewrite(b"<p>old", "html", {None: "<p>new"}) == b"<p>new" and rewrite.rewrite(b"x", "txt", {}) == b"x"
+    assert [files.column_letters(k) for k in (0, 25, 26, 701, 702)] == ["A", "Z", "AA", "ZZ", "AAA"]
+    for bad in ((b"%PDF", "pdf", {None: "x"}), (docx(), "docx", {None: "one line"}), (b"no zip", "xlsx", {"A1": "x"})):
+        with pytest.raises(VeilError) as e:
+            rewrite.rewrite(*bad)
+        assert e.value.kind == "Redaction"
+
+
+def test_a_file_that_cant_be_written_has_no_content(spark):
+    sources = spark.createDataFrame([("a.txt", "txt", b"old"), ("b.pdf", "pdf", b"%PDF old"), ("c.txt", "txt", b"left out")], "file string, extension string, content binary")
+    parts = spark.createDataFrame([("a.txt", None, "new", None), ("b.pdf", None, "new", None)], "file string, part_id string, redacted string, content binary")
+    got = {r.file: r for r in rewrite.redacted_files(sources, parts).collect()}
+    assert set(got) == {"a.txt", "b.pdf"} and bytes(got["a.txt"].content) == b"new" and got["b.pdf"].content is None and "pdf" in got["b.pdf"].error
