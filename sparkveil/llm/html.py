@@ -333,8 +333,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             # what enough of a host's pages have, enough of the pages of one of its groups have
             sure = (max(PAGES, SHARE * n), max(MOST, MOST_SHARE * n)) if whole else (max(2, SHARE * n - 1e-9), max(2, MOST_SHARE * n - 1e-9))
             found, strings = boilerplate_of(held, *sure)
-            rows = [(host, whole, None, None, 0, n)] + [(host, whole, kind, k, c, n) for kind, x in ((True, found), (False, strings)) for k, c in x.items()]
-            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()))], ["host", "whole", "block", "key", "c", "n"])
+            rows = [(host, whole, "size", None, None, n, None, None)]
+            rows += [(host, whole, kind, k, c, n, None, None) for kind, x in (("block", found), ("string", strings)) for k, c in x.items()]
+            if not whole:  # what other groups find is counted here too
+                rows += [(host, whole, "page", None, None, None, m, list({block_key(t) for t in texts})) for m, texts, _ in held]
+            kinds = (pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["host", "whole", "kind", "key", "c", "n", "main", "keys"])
 
         key, n_groups, last, held = None, 0, None, []
         for b in batches:
@@ -366,14 +370,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = kept_sets()
         for b in batches:
-            mains, found, strings = [], [], []
+            mains, found = [], []
             for k, (host, page) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
                 texts = [t for _, t in blocks(page)]
-                asked, asked_strings = sets(host, b.column(2)[k], b.column(3)[k])
                 mains.append(main_of(texts))
-                found.append(list({key for t in texts if (key := block_key(t)) in asked}))
-                strings.append(np.intersect1d(window_keys(stream_of(texts)[0], TOKENS).view(np.int64), asked_strings).tolist() if len(asked_strings) else [])
-            yield pa.record_batch([b.column(0), pa.array(mains, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(strings, pa.list_(pa.int64()))], ["host", "main", "blocks", "strings"])
+                found.append(np.intersect1d(window_keys(stream_of(texts)[0], TOKENS).view(np.int64), *sets(host, b.column(2)[k])))
+            yield pa.record_batch([b.column(0), pa.array(mains, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["host", "main", "keys"])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = kept_sets()
@@ -387,17 +389,19 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     dealt = rows.join(groups, "host").select("host", "html", "groups").mapInArrow(read, "host string, share int, groups int, main bigint, content bigint, texts array<string>, unmarked array<boolean>")
     grouped = dealt.repartition("host", "share").sortWithinPartitions("host", "share", "content")
-    local = stage(grouped.mapInArrow(find, "host string, whole boolean, block boolean, key bigint, c bigint, n bigint"), "repeats")
-    sizes = stage(local.where("key is null").groupBy("host").agg(F.sum("n").alias("n")), "host-sizes")
-    asked = stage(local.where("not whole and key is not null").groupBy("host").agg(keys_where(F.col("block")).alias("keys"), keys_where(~F.col("block")).alias("strings")), "repeats-asked")
-    told = rows.join(asked, "host").select("host", "html", "keys", "strings").mapInArrow(count, "host string, main bigint, blocks array<bigint>, strings array<bigint>")
-    of_blocks = F.transform("blocks", lambda k: F.struct(F.lit(True).alias("block"), k.alias("key")))
-    of_strings = F.transform("strings", lambda k: F.struct(F.lit(False).alias("block"), k.alias("key")))
-    counts = told.select("host", "main", F.explode(F.concat(of_blocks, of_strings)).alias("x")).select("host", "main", "x.block", "x.key").distinct().groupBy("host", "block", "key").agg(F.count("*").alias("c")).join(sizes, "host")
-    known = local.where("whole and key is not null").select("host", "block", "key", "c", "n").unionByName(counts.select("host", "block", "key", "c", "n"))
+    local = stage(grouped.mapInArrow(find, "host string, whole boolean, kind string, key bigint, c bigint, n bigint, main bigint, keys array<bigint>"), "repeats")
+    sizes = stage(local.where("kind = 'size'").groupBy("host").agg(F.sum("n").alias("n")), "host-sizes")
+    asked = stage(local.where("not whole and kind in ('block', 'string')").select("host", "kind", "key").distinct(), "repeats-asked")
+    having = local.where("kind = 'page'").select("host", "main", F.lit("block").alias("kind"), F.explode("keys").alias("key")).join(asked, ["host", "kind", "key"], "left_semi")
+    if not (strings := asked.where("kind = 'string'")).isEmpty():  # pages are read again only on hosts that may have such strings
+        strings = stage(strings.groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("keys")), "strings-asked")
+        told = rows.join(strings, "host").select("host", "html", "keys").mapInArrow(count, "host string, main bigint, keys array<bigint>")
+        having = having.unionByName(told.select("host", "main", F.lit("string").alias("kind"), F.explode("keys").alias("key")))
+    counts = having.distinct().groupBy("host", "kind", "key").agg(F.count("*").alias("c")).join(sizes, "host")
+    known = local.where("whole and kind in ('block', 'string')").select("host", "kind", "key", "c", "n").unionByName(counts.select("host", "kind", "key", "c", "n"))
     enough = (F.col("c") >= PAGES) & (F.col("c") >= F.col("n") * F.lit(SHARE))
     most = (F.col("c") >= MOST) & (F.col("c") >= F.col("n") * F.lit(MOST_SHARE))
-    block = F.col("block")
+    block = F.col("kind") == "block"
     keys = [keys_where(block).alias("often"), keys_where(block & most).alias("most"), keys_where(~block & most).alias("strings")]
     found = stage(known.where(enough).groupBy("host").agg(*keys), "repeats-found")
     return rows.join(found, "host", "left").select("page_id", "url", "host", "html", "often", "most", "strings").mapInArrow(decide, "page_id bigint, url string, text string, n_chars bigint, n_repeated bigint")
