@@ -676,6 +676,15 @@ def test_host_decides_about_articles_and_what_is_beside_them(spark):
     assert {got[i].n_repeated for i in range(40)} == {12}
 
 
+@pytest.mark.parametrize("group", [1000, 20])
+def test_strings_of_most_pages_are_cut_beside_articles(spark, group):
+    rng = random.Random(44)
+    own = [prose(rng, 20) for _ in range(70)]
+    rows = [(i, "https://h.example/", f"<p>Read all about it on our site: {t}</p><article><p>Read all about it on our site: {t}</p></article>") for i, t in enumerate(own)]
+    got = {r.page_id: (r.text, r.n_repeated) for r in html.extract(pages_of(spark, rows).repartition(3), group=group).collect()}
+    assert got == {i: (f"{t} Read all about it on our site: {t}", 7) for i, t in enumerate(own)}
+
+
 def test_copied_articles_and_shared_passages_stay(spark):
     rng = random.Random(40)
     passage, copied = prose(rng, 60), prose(rng, 90)
