@@ -174,81 +174,97 @@ def split_mask(mask: int, distance: int = DISTANCE) -> list[int]:
 # -- blocks -----------------------------------------------------------------
 
 
-def _spanning(x: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """(root, member) for every row of ``x`` that links to another; rows linked over others have the same root."""
-    near = np.bitwise_count(x[:, None] ^ x[None, :]) <= distance
-    label, n = np.arange(len(x)), len(x)
+def _spanning(near: np.ndarray) -> list[tuple[int, int]]:
+    """(root, member) by place for every row that links to another, from the matrix of links; rows linked over others have the same root."""
+    n = len(near)
+    label = np.arange(n)
     while True:
         least = np.where(near, label[None, :], n).min(1)
         least = least[least]
         if (least == label).all():
             break
         label = least
-    own = np.flatnonzero(label != np.arange(n))
-    return [(int(x[label[i]]), int(x[i])) for i in own]
+    return [(int(label[i]), int(i)) for i in np.flatnonzero(label != np.arange(n))]
 
 
-def _block_links(distance: int):
+def _block_links(distance: int, more: int | None):
+    """Links of the blocks of (mask, fp) rows in order, as pairs of fingerprints; with ``more``, rows have a second fingerprint, which links must be within ``more`` bits of too."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        kept: list[np.ndarray] | None = None
+        width = 1 if more is None else 2
+
+        def near(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+            hit = np.bitwise_count(a[0] ^ b[0]) <= distance
+            return hit if more is None else hit & (np.bitwise_count(a[1] ^ b[1]) <= more)
 
-        def links(m, v, x) -> pa.RecordBatch:
+        def links(m: np.ndarray, *x: np.ndarray) -> pa.RecordBatch:
+            val = m & x[0].view(np.int64)
             u, w = [], []
-            cuts = np.flatnonzero(np.r_[True, (m[1:] != m[:-1]) | (v[1:] != v[:-1]), True])
+            cuts = np.flatnonzero(np.r_[True, (m[1:] != m[:-1]) | (val[1:] != val[:-1]), True])
             sizes = np.diff(cuts)
             block = np.repeat(np.arange(len(sizes)), sizes)
-            small = np.repeat(sizes <= 32, sizes)
-            xs, bs = x[small], block[small]
+            small = np.flatnonzero(np.repeat(sizes <= 32, sizes))
             for d in range(1, 32):
-                if len(xs) <= d:
-                    break
-                same = np.flatnonzero(bs[d:] == bs[:-d])
+                same = small[:-d][block[small[d:]] == block[small[:-d]]] if len(small) > d else small[:0]
                 if not len(same):
                     break
-                a, b = xs[same], xs[same + d]
-                hit = np.bitwise_count(a ^ b) <= distance
-                u.append(a[hit].view(np.int64))
-                w.append(b[hit].view(np.int64))
+                hit = same[near([k[same] for k in x], [k[same + d] for k in x])]
+                u.append(hit)
+                w.append(hit + d)
             for k in np.flatnonzero(sizes > 32):
-                if found := _spanning(x[cuts[k] : cuts[k + 1]], distance):
-                    f = np.array(found, np.uint64).view(np.int64)
+                own = [c[cuts[k] : cuts[k + 1]] for c in x]
+                if found := _spanning(near([c[:, None] for c in own], [c[None, :] for c in own])):
+                    f = np.array(found) + cuts[k]
                     u.append(f[:, 0])
                     w.append(f[:, 1])
-            return pa.record_batch([pa.array(np.concatenate(u) if u else np.zeros(0, np.int64)), pa.array(np.concatenate(w) if w else np.zeros(0, np.int64))], ["u", "v"])
+            u, w = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (u, w))
+            return pa.record_batch([pa.array(k[z].view(np.int64)) for z in (u, w) for k in x], [f"{z}{k}" for z in "uv" for k in range(width)])
 
         for b in batches:
             if not b.num_rows:
                 continue
-            m, x = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
-            now = (m, m & x, x.view(np.uint64))
+            now = [b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(1 + width)]
+            now[1:] = [k.view(np.uint64) for k in now[1:]]
             if kept is not None:
-                now = tuple(np.concatenate(p) for p in zip(kept, now))
-            m, v, x = now
-            changes = np.flatnonzero((m[1:] != m[:-1]) | (v[1:] != v[:-1]))
+                now = [np.concatenate(p) for p in zip(kept, now)]
+            m, val = now[0], now[0] & now[1].view(np.int64)
+            changes = np.flatnonzero((m[1:] != m[:-1]) | (val[1:] != val[:-1]))
             cut = changes[-1] + 1 if len(changes) else 0
             if cut:
-                yield links(m[:cut], v[:cut], x[:cut])
-            kept = (m[cut:], v[cut:], x[cut:])
+                yield links(*(k[:cut] for k in now))
+            kept = [k[cut:] for k in now]
         if kept is not None:
             yield links(*kept)
 
     return run
 
 
-def near_links(fps: DataFrame, distance: int = DISTANCE, parts: int = PARTS, block: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
+def near_links(fps: DataFrame, distance: int = DISTANCE, parts: int = PARTS, block: int = BLOCK, scratch: Scratch | None = None, more: int | None = None) -> DataFrame:
     """Links (u, v) between distinct fingerprints ``fps`` (fp) that connect exactly those a chain of steps of at most ``distance`` bits connects.
 
+    With ``more``, rows have a second fingerprint (aux), and a step must be of
+    at most ``more`` bits there too; u and v are then xxhash64(fp, aux). Only in
+    blocks of over ``block`` rows that no bit is left to split by, all link
+    whatever their second fingerprints are.
+
     In a block of over 32 members, links are thinned to a spanning forest of
     the block's own links, so the output never grows with the square of a group.
     """
     masks, scratch = plan(fps, distance, parts), scratch or Scratch()
+    own = ["fp"] if more is None else ["fp", "aux"]
+    names = [f"{z}{k}" for z in "uv" for k in range(len(own))]
+
+    def ends(rows: DataFrame) -> DataFrame:
+        return rows.select(*[F.col(f"{z}0").alias(z) if more is None else F.xxhash64(f"{z}0", f"{z}1").alias(z) for z in "uv"])
+
 
     def keyed(rows: DataFrame, mask_lists: dict[int, list[int]] | None) -> DataFrame:
         if mask_lists is None:
             options = F.array(*[F.lit(_signed(m)) for m in masks])
         else:
             options = F.element_at(F.create_map(*[y for m, s in mask_lists.items() for y in (F.lit(_signed(m)), F.array(*[F.lit(_signed(k)) for k in s]))]), F.col("mask"))
-        return rows.select("fp", F.explode(options).alias("mask")).select("mask", "fp")
+        return rows.select(*own, F.explode(options).alias("mask")).select("mask", *own)
 
     # rows travel as mask and fingerprint; what they share is worked out on either side
     value = F.col("fp").bitwiseAND(F.col("mask"))
@@ -259,8 +275,8 @@ def near_links(fps: DataFrame, distance: int = DISTANCE, parts: int = PARTS, blo
         large = scratch.stage(rows.groupBy(key.alias("key")).agg(F.count("*").alias("c")).where(F.col("c") > block).select("key"), "large-blocks")
         some = not large.isEmpty()
         ready = rows.join(large, key == F.col("key"), "left_anti") if some else rows
-        pairs = ready.repartition("mask", value).sortWithinPartitions("mask", value).select("mask", "fp").mapInArrow(_block_links(distance), "u bigint, v bigint")
-        out = pairs if out is None else out.union(pairs)
+        pairs = ready.repartition("mask", value).sortWithinPartitions("mask", value).select("mask", *own).mapInArrow(_block_links(distance, more), ", ".join(f"{k} bigint" for k in names))
+        out = ends(pairs) if out is None else out.union(ends(pairs))
         if not some:
             return out
         hot = rows.join(large, key == F.col("key"), "left_semi")
@@ -268,9 +284,9 @@ def near_links(fps: DataFrame, distance: int = DISTANCE, parts: int = PARTS, blo
         full = [m for m in level if 64 - m.bit_count() <= distance]
         if full:  # all members of such a block link by construction
             is_full = F.col("mask").isin([_signed(m) for m in full])
-            alike = hot.where(is_full).select("mask", value.alias("val"), "fp")
-            least = alike.groupBy("mask", "val").agg(F.min("fp").alias("u"))
-            out = out.union(alike.join(least, ["mask", "val"]).select("u", F.col("fp").alias("v")))
+            alike = hot.where(is_full).select("mask", value.alias("val"), F.struct(*own).alias("v"))
+            least = alike.groupBy("mask", "val").agg(F.min("v").alias("u"))
+            out = out.union(ends(alike.join(least, ["mask", "val"]).select(*[F.col(f"{z}.{c}").alias(f"{z}{k}") for z in "uv" for k, c in enumerate(own)])))
             hot = hot.where(~is_full)
         split = {m: split_mask(m, distance) for m in level if m not in full and _signed(m) in open_masks}
         if not split:
