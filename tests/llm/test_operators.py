@@ -91,6 +91,35 @@ def test_links_survive_splitting(spark, block):
     assert groups([label.get(x, x) for x in fps]) == groups([fps[i] for i in expected])
 
 
+@pytest.mark.parametrize("block", [2048, 40])
+def test_second_fingerprints_restrict_links(spark, block):
+    rng = random.Random(45)
+    pairs = set()
+    for _ in range(20):
+        x, y = rng.getrandbits(64), rng.getrandbits(64)
+        for _ in range(rng.randint(1, 50)):
+            a, b = x, y
+            for _ in range(rng.randint(0, 5)):
+                a ^= 1 << rng.randrange(64)
+            for _ in range(rng.choice([0, 3, 20])):
+                b ^= 1 << rng.randrange(64)
+            pairs.add((a, b))
+    pairs = sorted(pairs)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = spark.createDataFrame([(signed(a), signed(b)) for a, b in pairs], "fp bigint, aux bigint")
+    names = {r.n: r.k for r in rows.select(F.xxhash64("fp", "aux").alias("n"), F.struct("fp", "aux").alias("k")).collect()}
+    found = {tuple(names[r.node]): r.root for r in connected_components(simhash.near_links(rows, distance=7, block=block, more=14)).collect()}
+    root = list(range(len(pairs)))
+    for i, (a, b) in enumerate(pairs):
+        for j, (c, d) in enumerate(pairs[:i]):
+            if (a ^ c).bit_count() <= 7 and (b ^ d).bit_count() <= 14:
+                x, y = root[i], root[j]
+                root = [min(x, y) if k in (x, y) else k for k in root]
+    label = [found.get((signed(a), signed(b)), (a, b)) for a, b in pairs]
+    groups = lambda key: sorted(sorted(x for x, k in zip(pairs, key) if k == v) for v in set(key))
+    assert groups(label) == groups(root)
+
+
 def test_threshold_allotment_is_least():
     costs = [[0.0, 5, 50, 500, 5000], [0.0, 100, 110, 120, 130], [0.0, 1, 2, 90, 900], [0.0, 70, 700, 7000, 70000]]
     found = simhash.allot(costs, 3)
@@ -825,15 +854,19 @@ def near_copies(rng, n, size):
 def test_probe_matches_brute_force():
     rng = random.Random(50)
     for text in ["", "one", "A a B", *near_copies(rng, 5, 80)]:
-        counts = Counter(resemblance.words_of(text.encode()).tolist())
-        sums, total = [0.0] * 64, sum(np.sqrt(c) for c in counts.values())
-        for h, c in counts.items():
-            h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % (1 << 64)
-            h = (h ^ h >> 27) * 0x94D049BB133111EB % (1 << 64)
-            h ^= h >> 31
-            for b in range(64):
-                sums[b] += np.sqrt(c) * (h >> b & 1)
-        assert resemblance.probe(text.encode()) == sum(1 << b for b in range(64) if 2 * sums[b] > total + 1e-9)
+        words = resemblance.words_of(text.encode()).tolist()
+        a, b = resemblance._ODD[:2].tolist()
+        pairs = [(x * a + y * b) % (1 << 64) for x, y in zip(words, words[1:])] or words
+        for found, kinds in zip(resemblance.probe(text.encode()), (words, pairs)):
+            counts = Counter(kinds)
+            sums, total = [0.0] * 64, sum(np.sqrt(c) for c in counts.values())
+            for h, c in counts.items():
+                h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % (1 << 64)
+                h = (h ^ h >> 27) * 0x94D049BB133111EB % (1 << 64)
+                h ^= h >> 31
+                for k in range(64):
+                    sums[k] += np.sqrt(c) * (h >> k & 1)
+            assert found == sum(1 << k for k in range(64) if 2 * sums[k] > total + 1e-9)
     assert resemblance.words_of(b"One TWO one")[0] == resemblance.words_of(b"one")[0] and len(resemblance.words_of(None)) == 0
 
 
