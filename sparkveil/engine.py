@@ -70,7 +70,7 @@ class Engine:
         check_recognizers("llm", self.llm)
         check_dictionaries(self.dictionaries)
         validate.raster_mode(params.raster_mode, RENDERABLE)
-        whole = replace(self.detection, dictionaries=self.detection.dictionaries + self.dictionaries, recognizers=self.ner + self.llm)
+        whole = replace(self.detection, dictionaries=self.detection.dictionaries + self.dictionaries, recognizers=tuple(r.prepared() for r in self.ner + self.llm))
         return whole.pruned(catalog, params.scope.countries)
 
     def analyze(self, documents: DataFrame, policies: Sequence[Policy] = (), params: AnalyzerParams = AnalyzerParams(), id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -186,19 +186,28 @@ def with_model_spans(df: DataFrame, text_col: str, out_col: str, find: Callable[
 
 @dataclass(frozen=True)
 class Recognizer:
-    """A configured model-backed recognizer. ``find`` takes a list of texts and gives a list of (start, end, label, confidence) per text; a mock finds nothing."""
+    """A configured model-backed recognizer. ``find`` takes a list of texts, and with a ``prompt`` (a template, or where it is from) that of their prompts, and gives a list of (start, end, label, confidence) per text; a mock finds nothing."""
 
     name: str
     provider: str = "mock"
-    find: Callable[[list[str]], list[list[tuple[int, int, str, float]]]] | None = field(default=None, repr=False)
+    find: Callable[..., list[list[tuple[int, int, str, float]]]] | None = field(default=None, repr=False)
     modalities: tuple[str, ...] = ("text",)
     description: str | None = None
-    prompt: str | None = None
+    prompt: str | dict | None = None
+
+    def prepared(self) -> Recognizer:
+        """With its prompt read and checked, which happens on the driver when a request is planned."""
+        if self.prompt is None:
+            return self
+        text = self.prompt if isinstance(self.prompt, str) else load_prompt(self.prompt, DEFAULT_PROMPT)
+        fill_prompt(text, "")
+        return replace(self, prompt=text)
 
     def spans(self, texts: list[str | None]) -> list[list[dict]]:
         if self.find is None:
             return [[] for _ in texts]
-        found = self.find([t or "" for t in texts])
+        given = [t or "" for t in texts]
+        found = self.find(given) if self.prompt is None else self.find(given, [fill_prompt(self.prompt, t) for t in given])
         return [[{"start": s, "end": e, "value": (t or "")[s:e], "label": label, "confidence": c, "source": "model", "pattern": self.name, "merged": 1, "beaten": 0} for s, e, label, c in f] for t, f in zip(texts, found)]
 
 
@@ -208,6 +217,22 @@ def check_recognizers(kind: str, recognizers: Sequence[Recognizer]) -> None:
             raise configuration(f"LLM recognizer {r.name!r} lists no modality")
 
 
+DEFAULT_PROMPT = "List every span of personal or confidential data in the text below, each with its label and confidence.\n\n{{ text }}"
+
+
+def fill_prompt(template: str, text: str) -> str:
+    """``template`` with ``{{ text }}`` filled in; other names and statements are refused."""
+    if re.search(r"\{%|\{#", template):
+        raise configuration("a prompt may name values only, not statements")
+
+    def value(m: re.Match) -> str:
+        if m[1] != "text":
+            raise configuration(f"a prompt has no value {m[1]!r}")
+        return text
+
+    return re.sub(r"\{\{\s*(.*?)\s*\}\}", value, template)
+
+
 def load_prompt(source: dict | None, default: str) -> str:
     """A prompt from its configuration: ``default``, inline text, or a file that the driver reads when the request is planned."""
     kind = (source or {}).get("kind", "default")

@@ -555,3 +555,17 @@ def test_override_decisions_are_bounded(docs, monkeypatch):
 def test_a_table_may_name_labels_that_never_match(docs):
     p = Policy("id-t", "t", (Scope("t", ("email_address",)),), (Rule("id-r", "r", table=(LabelEntry("never_heard_of", ModalityRedactions.for_text("keep")), LabelEntry("email_address", ModalityRedactions.for_text("erase")))),))
     assert "example.com" not in redacted(Engine().run(docs, [p]))
+
+
+def test_prompts_reach_the_model(docs):
+
+    def find(texts, prompts):
+        assert [p.split("|")[1] for p in prompts] == texts and all(p.startswith("Find names in |") for p in prompts)
+        return [[(t.index("Jane"), t.index("Jane") + 4, "person_name", 0.9)] if "Jane" in t else [] for t in texts]
+
+    engine = Engine().with_llm(Recognizer("asked", "remote", find, prompt={"kind": "inline", "template": "Find names in |{{ text }}|"}))
+    assert "Jane" in [e.value for e in engine.analyze(docs).where("doc_id = 1").first().entities]
+    assert Recognizer("x", prompt={"kind": "default"}).prepared().prompt.endswith("{{ text }}")
+    for bad in ("{{ secret }}", "{% for x in y %}"):
+        with pytest.raises(VeilError):
+            Engine().with_llm(Recognizer("x", prompt=bad)).analyze(docs)
