@@ -19,7 +19,8 @@ from .plans import validate
 from .plans.catalog import compile_catalog
 from .plans.decide import Override
 from .plans.policy import AnalyzerParams, Policy
-from .sources.files import FORMATS, RENDERABLE
+from .sources.files import FORMATS, RENDERABLE, parts_of
+from .sources.rewrite import redacted_files
 
 
 @dataclass(frozen=True)
@@ -124,6 +125,24 @@ class Engine:
         d, reader = self._detection(policies, params), validate.at_most_one("STT", self.stt)
         return media.redact_sounds(clips, policies, reader or Reader("none"), detection=d, params=params, **options)
 
+    def redact_files(self, sources: DataFrame, policies: Sequence[Policy], params: AnalyzerParams = AnalyzerParams(), run_secret: bytes | None = None) -> DataFrame:
+        """(file, extension, content, error) of whole files (what ``list_files`` gives), each in its own format with all its parts redacted.
+
+        Texts and cells go through the policies' text operators, pictures and
+        sounds, those inside a document too, through theirs. A file that can't
+        be decoded or written has no content and says why. Files are decoded once
+        for each kind of part.
+        """
+        parts = parts_of(sources).withColumn("doc_id", F.concat_ws("/", "file", "part_id"))
+        none, shape = F.lit(None), ("file", "part_id", "redacted", "content")
+        texts = self.run(parts.where("modality in ('text', 'tabular')").drop("content"), policies, params, run_secret=run_secret).withColumn("content", none.cast("binary"))
+        media_ = [f(parts.where(F.col("modality") == kind).select("file", "part_id", "doc_id", "content"), policies, params).withColumn("redacted", none.cast("string")) for kind, f in (("image", self.redact_pictures), ("audio", self.redact_sounds))]
+        failed = parts.where("decode_error is not null").select("file", "part_id", none.cast("string").alias("redacted"), none.cast("binary").alias("content"))
+        whole = failed
+        for df in (texts, *media_):
+            whole = whole.unionByName(df.select(*shape))
+        return redacted_files(sources, whole)
+
     def run(self, documents: DataFrame, policies: Sequence[Policy], params: AnalyzerParams = AnalyzerParams(), **options) -> DataFrame:
         """Both steps in one plan."""
         names = {k: options[k] for k in ("id_col", "text_col") if k in options}

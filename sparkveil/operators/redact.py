@@ -104,6 +104,8 @@ def override_slots(overrides, policies: Sequence[Policy], modality: str, at: int
     if overrides is None:
         return [], None, None
     if isinstance(overrides, DataFrame):
+        if overrides.sparkSession.conf.get("spark.checkpoint.dir", None) and not overrides.isStreaming:
+            overrides = overrides.checkpoint()  # they are read twice, and often come from the audit itself
         kinds = overrides.select("policy_id", "action").distinct().limit(LITERAL_OVERRIDES + 1).collect()  # distinct decisions, not entities
         if len(kinds) > LITERAL_OVERRIDES:
             raise configuration(f"more than {LITERAL_OVERRIDES} different override decisions")

@@ -317,10 +317,19 @@ def decode(data: bytes, extension: str | None) -> list[tuple[str | None, str, st
         raise VeilError(MALFORMED_INPUT, f"{e}: {x}") from x
 
 
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, extension, modified, length, content) of each file under ``path``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.col("path").alias("file"), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("extension"), F.col("modificationTime").alias("modified"), "length", "content")
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """One row per part of each file under ``path``: file, extension, modified, length, part_id, modality, text, content, decode_error."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    files = files.select("path", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("extension"), "modificationTime", "length", "content")
+    return parts_of(list_files(spark, path))
+
+
+def parts_of(files: DataFrame) -> DataFrame:
+    """One row per part of each of ``files``, with the columns that ``read_files`` gives; a file that can't be decoded has one row, which says why."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -333,7 +342,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
             kinds = [pa.string(), pa.string(), b.schema.field(2).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.string()]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], ["file", "extension", "modified", "length", "part_id", "modality", "text", "content", "decode_error"])
 
-    return files.mapInArrow(run, "file string, extension string, modified timestamp, length bigint, part_id string, modality string, text string, content binary, decode_error string")
+    return files.select("file", "extension", "modified", "length", "content").mapInArrow(run, "file string, extension string, modified timestamp, length bigint, part_id string, modality string, text string, content binary, decode_error string")
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:

@@ -114,7 +114,10 @@ def redacted_files(sources: DataFrame, parts: DataFrame, text_col: str = "redact
             for e, data, given in zip(*(b.column(k).to_pylist() for k in (1, 2, 3))):
                 try:
                     texts = {p["part_id"]: p["text"] for p in given if p["text"] is not None}
-                    out.append(rewrite(data, e, texts, {p["part_id"]: p["content"] for p in given if p["content"] is not None}))
+                    contents = {p["part_id"]: p["content"] for p in given if p["content"] is not None}
+                    if not texts and not contents:
+                        raise VeilError(REDACTION, "no part of the file was redacted")
+                    out.append(rewrite(data, e, texts, contents))
                     errors.append(None)
                 except VeilError as x:
                     out.append(None)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import oracle as O
 from .engine import Engine
+from .errors import configuration
 from .functions import crypto
 from .functions import spans as S
 from .functions.text import SURROGATES, Match, build
@@ -20,7 +21,7 @@ from .operators.recognizers import PATTERNS, Dictionary, Pattern, dictionary_spa
 from .plans import templates
 from .plans.catalog import Catalog, builtin, compile_catalog
 from .plans.policy import AnalyzerParams, LabelEntry, ModalityRedactions, Policy, Predicate, Redaction, Rule, Scope, ScopeParams, text_op
-from .sources import files, rewrite, sinks
+from .sources import files, sinks
 from .streaming import redact as streaming
 
 BY_NAME = {p.name: p for p in PATTERNS}
@@ -242,7 +243,8 @@ def detect_dictionary_automaton(spark, sf_dir):
 
 @query("SELECT doc_id, 'person_name' AS label, substr(text, 3, 6) AS value, '1.000' AS confidence FROM documents WHERE len(text) >= 8")
 def detect_inclusions(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("length(text) >= 8").withColumn("given", F.array(F.struct(F.lit(2).alias("start"), F.lit(8).alias("end"), F.lit("person_name").alias("label"))))
+    given = F.array(F.struct(F.lit(2).alias("start"), F.lit(8).alias("end"), F.lit("person_name").alias("label")))
+    docs = table(spark, sf_dir, "documents").withColumn("given", F.when(F.length("text") >= 8, given))
     engine = Engine(detection=detect.Detection(patterns=()))
     audit = engine.analyze(docs, params=AnalyzerParams(inclusions="given"))
     return sinks.entities(audit).select("doc_id", "label", "confidence").join(S.unnest(audit, ["doc_id"], "entities", "e").select("doc_id", "e.value"), "doc_id")
@@ -805,18 +807,11 @@ def source_files_redacted(spark, sf_dir):
     made = [_made(spark, sf_dir, lambda k, name, e=e: _files_of(k, name)[e]).withColumn("extension", F.lit(e)) for e in kinds]
     sources = functools.reduce(DataFrame.unionByName, made).withColumn("file", F.concat("n_nationkey", F.lit("."), "extension"))
 
-    @F.pandas_udf("array<struct<part_id:string,text:string>>")
-    def parts(e, c):
-        return e.combine(c, lambda x, data: [{"part_id": p, "text": t} for p, _, t, _ in files.decode(bytes(data), x)])
-
-    def read(df: DataFrame) -> DataFrame:
-        return S.unnest(df.withColumn("found", parts("extension", "content")), ["file", "extension"], "found", "p").select("file", "extension", "p.part_id", "p.text")
-
+    made = sources.select("file", "extension", F.lit(None).cast("timestamp").alias("modified"), F.octet_length("content").cast("bigint").alias("length"), "content")
     policy = _one_op("files", ModalityRedactions.for_text("replace", template="[mail]"), ["email_address"])
-    redacted = Engine().run(read(sources).withColumn("doc_id", F.concat_ws("/", "file", "part_id")), [policy])
-    written = rewrite.redacted_files(sources, redacted.select("file", "part_id", "redacted", F.lit(None).cast("binary").alias("content")))
+    written = Engine().redact_files(made, [policy])
     whole = F.when(F.contains("content", F.lit("@mail").cast("binary")), F.raise_error(F.lit("an address is left"))).otherwise(F.col("content"))
-    again = read(written.select("file", "extension", whole.alias("content")))
+    again = files.parts_of(made.drop("content").join(written.select("file", whole.alias("content")), "file"))
     return again.select(F.split("file", "[.]")[0].cast("int").alias("n_nationkey"), "extension", "part_id", "text")
 
 
@@ -843,6 +838,8 @@ def _drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
     import uuid
 
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise configuration("spark.checkpoint.dir is unset: name a folder there that the driver and all executors share")
     base = f"{base.rstrip('/')}/streams-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="sparkveil-stream-")
     streaming.run_once(stream, f"{base}/out", f"{base}/checkpoint")
     return spark.read.schema(stream.schema).parquet(f"{base}/out")

@@ -9,7 +9,7 @@ import pytest
 
 from sparkveil.errors import CAPABILITY_UNAVAILABLE, MALFORMED_INPUT, VeilError
 from sparkveil.operators import audio, image
-from sparkveil.plans.policy import Redaction
+from sparkveil.plans.policy import Redaction, text_op
 from sparkveil.sources import files, rewrite
 
 WORD = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
@@ -240,3 +240,24 @@ def test_a_file_that_cant_be_written_has_no_content(spark):
     parts = spark.createDataFrame([("a.txt", None, "new", None), ("b.pdf", None, "new", None)], "file string, part_id string, redacted string, content binary")
     got = {r.file: r for r in rewrite.redacted_files(sources, parts).collect()}
     assert set(got) == {"a.txt", "b.pdf"} and bytes(got["a.txt"].content) == b"new" and got["b.pdf"].content is None and "pdf" in got["b.pdf"].error
+
+
+def test_whole_files_with_text_and_pictures(spark):
+    """One call: the letter's text, the picture inside it, a sound, and files that can't be read or written."""
+
+    from sparkveil import Engine, ModalityRedactions, Policy, Reader, Scope
+
+    def words(contents):
+        return [[("a@b.com", 3, 4, 3, 2)] for _ in contents]
+
+    actions = ModalityRedactions(text=text_op("replace", template="[mail]"), image=Redaction.of("image", "blackbox"))
+    mail = Policy("p", "p", (Scope("s", ("email_address",)),), fallback=actions)
+    rows = [("d.docx", "docx", docx()), ("n.txt", "txt", b"to a@b.com"), ("x.csv", "csv", b"k,a@b.com\n"), ("p.png", "png", files.png_bytes(picture())), ("s.wav", "wav", clip()), ("bad.txt", "txt", b"\xff\xfe a@b.com"), ("j.jpeg", "jpeg", b"x"), ("f.pdf", "pdf", b"%PDF\n1 0 obj\n<< /Length 30 >>\nstream\nBT (a@b.com) Tj ET\nendstream\n")]
+    sources = spark.createDataFrame([(f, e, None, len(c), bytearray(c)) for f, e, c in rows], "file string, extension string, modified timestamp, length bigint, content binary")
+    got = {r.file: r for r in Engine().with_ocr(Reader("ocr", words)).redact_files(sources, [mail]).collect()}
+    assert set(got) == {f for f, _, _ in rows}
+    parts = files.decode(bytes(got["d.docx"].content), "docx")
+    assert parts[0][2] == "Mail [mail] now\nSecond" and (files.png_pixels(parts[1][3])[4:6, 3:6] == 0).all()
+    assert bytes(got["n.txt"].content) == b"to [mail]" and bytes(got["x.csv"].content) == b"k,[mail]\n"
+    assert (files.png_pixels(bytes(got["p.png"].content))[4:6, 3:6] == 0).all() and bytes(got["s.wav"].content) == clip()
+    assert all(got[k].content is None and got[k].error for k in ("bad.txt", "j.jpeg", "f.pdf"))
