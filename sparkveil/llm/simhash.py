@@ -34,6 +34,8 @@ SHINGLE = 3
 SEED = 42
 #: Largest block that is compared in one piece: a bound on memory and time, not on links.
 BLOCK = 2048
+#: Rows of a large family that each of its parts is compared with.
+PIVOTS = 64
 #: Cost of one emitted key in units of one compared pair.
 KEY_COST = 50.0
 ALL = (1 << 64) - 1
@@ -240,13 +242,43 @@ def _block_links(distance: int, more: int | None):
     return run
 
 
+def _absorb(distance: int, more: int):
+    """Of parts of large blocks, (mask, part, fp, aux) rows in order: links that connect what links in a part, and, with their mask and no other end, the rows that link to nothing there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(m: int, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+            hit = (np.bitwise_count(x[:, None] ^ x[None, :]) <= distance) & (np.bitwise_count(y[:, None] ^ y[None, :]) <= more)
+            found = np.array(_spanning(hit), np.int64).reshape(-1, 2)
+            alone = np.flatnonzero(hit.sum(1) == 1)
+            first, second = np.r_[found[:, 0], alone], found[:, 1]
+            ends = [pa.array(k[first].view(np.int64)) for k in (x, y)]
+            ends += [pa.concat_arrays([pa.array(k[second].view(np.int64)), pa.nulls(len(alone), pa.int64())]) for k in (x, y)]
+            return pa.record_batch([*ends, pa.array([None] * len(found) + [m] * len(alone), pa.int64())], ["u0", "u1", "v0", "v1", "mask"])
+
+        key, held = None, []
+        for b in batches:
+            for m, part, x, y in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if (m, m & x, part) != key:
+                    if held:
+                        yield made(key[0], *np.array(held, np.int64).view(np.uint64).T.copy())
+                    key, held = (m, m & x, part), []
+                held.append((x, y))
+        if held:
+            yield made(key[0], *np.array(held, np.int64).view(np.uint64).T.copy())
+
+    return run
+
+
 def near_links(fps: DataFrame, distance: int = DISTANCE, parts: int = PARTS, block: int = BLOCK, scratch: Scratch | None = None, more: int | None = None) -> DataFrame:
     """Links (u, v) between distinct fingerprints ``fps`` (fp) that connect exactly those a chain of steps of at most ``distance`` bits connects.
 
     With ``more``, rows have a second fingerprint (aux), and a step must be of
-    at most ``more`` bits there too; u and v are then xxhash64(fp, aux). Only in
-    blocks of over ``block`` rows that no bit is left to split by, all link
-    whatever their second fingerprints are.
+    at most ``more`` bits there too; u and v are then xxhash64(fp, aux). A block of
+    over ``block`` rows may be one large family there, which no bits split: it is
+    dealt to parts of half that size, each beside the same ``PIVOTS`` or so of its
+    rows; what links in a part is done with, and only the rest is split on. So
+    two members of a family that link to others but only by each other connect
+    their groups may stay apart in that block; other masks see them too.
 
     In a block of over 32 members, links are thinned to a spanning forest of
     the block's own links, so the output never grows with the square of a group.
@@ -272,7 +304,7 @@ def near_links(fps: DataFrame, distance: int = DISTANCE, parts: int = PARTS, blo
     rows, out, level = keyed(fps, None), None, masks
     while True:
         # blocks are counted by 64 bits of their key: one that shares these with a large block is split like it, which loses nothing
-        large = scratch.stage(rows.groupBy(key.alias("key")).agg(F.count("*").alias("c")).where(F.col("c") > block).select("key"), "large-blocks")
+        large = scratch.stage(rows.groupBy(key.alias("key")).agg(F.count("*").alias("c")).where(F.col("c") > block), "large-blocks")
         some = not large.isEmpty()
         ready = rows.join(large, key == F.col("key"), "left_anti") if some else rows
         pairs = ready.repartition("mask", value).sortWithinPartitions("mask", value).select("mask", *own).mapInArrow(_block_links(distance, more), ", ".join(f"{k} bigint" for k in names))
@@ -281,13 +313,22 @@ def near_links(fps: DataFrame, distance: int = DISTANCE, parts: int = PARTS, blo
             return out
         hot = rows.join(large, key == F.col("key"), "left_semi")
         open_masks = {r[0] for r in hot.select("mask").distinct().collect()}
+        if more is not None:
+            parts_ = F.ceil(F.col("c") / (block // 2)).cast("int")
+            pivot = F.pmod(F.xxhash64("fp", "aux", "mask"), F.col("c")) < PIVOTS
+            places = F.when(pivot, F.sequence(F.lit(0), parts_ - 1)).otherwise(F.array(F.pmod(F.xxhash64("mask", "fp", "aux"), parts_).cast("int")))
+            sized = rows.join(large, key == F.col("key")).select("mask", *own, F.explode(places).alias("part"))
+            dealt = sized.repartition("mask", value, "part").sortWithinPartitions("mask", value, "part").select("mask", "part", *own)
+            done = scratch.stage(dealt.mapInArrow(_absorb(distance, more), ", ".join(f"{k} bigint" for k in (*names, "mask"))), "absorbed")
+            out = out.union(ends(done.where("mask is null")))
+            hot = done.where("mask is not null").select("mask", F.col("u0").alias("fp"), F.col("u1").alias("aux")).distinct()
+            open_masks = {r[0] for r in hot.select("mask").distinct().collect()}
         full = [m for m in level if 64 - m.bit_count() <= distance]
-        if full:  # all members of such a block link by construction
-            is_full = F.col("mask").isin([_signed(m) for m in full])
-            alike = hot.where(is_full).select("mask", value.alias("val"), F.struct(*own).alias("v"))
+        if full and more is None:  # all members of such a block link by construction
+            alike = hot.where(F.col("mask").isin([_signed(m) for m in full])).select("mask", value.alias("val"), F.struct(*own).alias("v"))
             least = alike.groupBy("mask", "val").agg(F.min("v").alias("u"))
             out = out.union(ends(alike.join(least, ["mask", "val"]).select(*[F.col(f"{z}.{c}").alias(f"{z}{k}") for z in "uv" for k, c in enumerate(own)])))
-            hot = hot.where(~is_full)
+        hot = hot.where(~F.col("mask").isin([_signed(m) for m in full])) if full else hot
         split = {m: split_mask(m, distance) for m in level if m not in full and _signed(m) in open_masks}
         if not split:
             return out
