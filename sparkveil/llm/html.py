@@ -10,7 +10,7 @@ prior:
   it (``MOST``, ``MOST_SHARE``);
 - beside such elements, or on a page without, a block goes if a few pages repeat
   it (``PAGES``, ``SHARE``), and from other blocks go the tokens that strings of
-  half the pages cover;
+  half the pages cover (with ``REAL`` tokens at least, beside ends of blocks);
 - what elements, class names or roles mark as menu, footer, advert, form,
   comments and the like goes in any case.
 
@@ -48,6 +48,8 @@ from .suffixes import common_prefixes, suffix_array
 GROUP = 256
 #: Tokens of a repeated string, and for how many of them the end of a block counts, so that a block of one word between two others is a string too.
 TOKENS, END = 6, 3
+#: Tokens, not ends of blocks, that a string has which cuts a part of a block.
+REAL = 4
 #: The distinct pages of a host that must have a string: this many, and this share; and so many for what goes from articles too.
 PAGES, SHARE = 3, 0.01
 MOST, MOST_SHARE = 5, 0.5
@@ -258,9 +260,11 @@ def boilerplate_of(pages: list[tuple[int, list[str], list[bool]]], least: float,
                 if unmarked[k]:
                     asked.add(key)
     strings: dict[int, int] = {}
-    for (stream, _), begin in zip(read, begins.tolist()):
+    for (stream, block), begin in zip(read, begins.tolist()):
         own = having[begin : begin + len(stream)]
-        at = np.flatnonzero(own >= most)
+        tokens = np.r_[0, np.cumsum(block >= 0)]
+        real = tokens[np.minimum(np.arange(len(stream)) + TOKENS, len(stream))] - tokens[:-1]
+        at = np.flatnonzero((own >= most) & (real >= REAL))
         if len(at):
             strings.update(zip(window_keys(stream, TOKENS).view(np.int64)[at].tolist(), own[at].tolist()))
     return {k: len(own) for k, own in found.items() if k in asked and len(own) >= least}, strings
