@@ -742,9 +742,9 @@ def brute_extraction(rows):
     read = []
     for i, url, page in rows:
         found = html.blocks(page)
-        symbols = html.END * ["|"] if found else []
+        symbols = html.END * ["\0"] if found else []
         for _, text in found:
-            symbols = symbols + text.split(" ") + html.END * ["|"]
+            symbols = symbols + text.split(" ") + html.END * ["\0"]
         read.append((i, html.host_of(url), found, symbols))
     pages, having = {}, {}
     for _, host, found, symbols in read:
@@ -758,7 +758,7 @@ def brute_extraction(rows):
         enough, most = max(html.PAGES, html.SHARE * n), max(html.MOST, html.MOST_SHARE * n)
         cut = set()
         for k in range(len(symbols) - html.TOKENS + 1):
-            if len(having[(host, *symbols[k : k + html.TOKENS])]) >= most:
+            if len(having[(host, *symbols[k : k + html.TOKENS])]) >= most and symbols[k : k + html.TOKENS].count("\0") <= 2:
                 cut |= set(range(k, k + html.TOKENS))
         kept, at = [], html.END
         for kind, text in found:
