@@ -120,6 +120,23 @@ def test_second_fingerprints_restrict_links(spark, block):
     assert groups(label) == groups(root)
 
 
+def test_large_families_are_one_group(spark):
+    """More near copies than a block holds, beside chance neighbours that share most bits but not the second fingerprint."""
+    rng = random.Random(46)
+    x, y = rng.getrandbits(64), rng.getrandbits(64)
+    flip = lambda v, n: v ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, n)))
+    family = {(flip(x, 3), flip(y, 6)) for _ in range(600)}
+    others = {(flip(x, 3), rng.getrandbits(64)) for _ in range(300)}
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    rows = spark.createDataFrame([(signed(a), signed(b)) for a, b in family | others], "fp bigint, aux bigint").repartition(4)
+    names = {r.n: tuple(v % (1 << 64) for v in r.k) for r in rows.select(F.xxhash64("fp", "aux").alias("n"), F.struct("fp", "aux").alias("k")).collect()}
+    links = simhash.near_links(rows, distance=7, block=300, more=14)
+    assert links.count() < 64 * 4 * len(family)
+    found = connected_components(links).collect()
+    assert len({r.root for r in found if names[r.node] in family}) == 1 and family <= {names[r.node] for r in found}
+    assert not {names[r.node] for r in found} & {o for o in others if all((o[1] ^ k[1]).bit_count() > 14 for k in family | others if k != o)}
+
+
 def test_threshold_allotment_is_least():
     costs = [[0.0, 5, 50, 500, 5000], [0.0, 100, 110, 120, 130], [0.0, 1, 2, 90, 900], [0.0, 70, 700, 7000, 70000]]
     found = simhash.allot(costs, 3)
