@@ -12,16 +12,18 @@ from pyspark.sql import functions as F
 
 from . import oracle as O
 from .engine import Engine
-from .errors import configuration
+from .errors import VeilError, configuration
 from .functions import crypto
 from .functions import spans as S
 from .functions.text import SURROGATES, Match, build
 from .operators import audio, detect, image, language, reconcile, tabular
-from .operators.recognizers import PATTERNS, Dictionary, Pattern, dictionary_spans, pattern_spans, relevant, with_automaton
+from .operators.media import Reader
+from .operators.recognizers import PATTERNS, Dictionary, Pattern, Recognizer, dictionary_spans, pattern_spans, relevant, with_automaton
 from .plans import templates
 from .plans.catalog import Catalog, builtin, compile_catalog
-from .plans.policy import AnalyzerParams, LabelEntry, ModalityRedactions, Policy, Predicate, Redaction, Rule, Scope, ScopeParams, text_op
-from .sources import files, sinks
+from .plans.decide import Override
+from .plans.policy import AnalyzerParams, Label, LabelEntry, ModalityRedactions, Policy, Predicate, RasterMode, Redaction, Rule, Scope, ScopeParams, text_op
+from .sources import files, rewrite, sinks
 from .streaming import redact as streaming
 
 BY_NAME = {p.name: p for p in PATTERNS}
@@ -667,8 +669,6 @@ def audit_rollup_label_source(spark, sf_dir):
 
 @query("SELECT recognizer, count(*) AS documents, sum(len(text))::BIGINT AS characters FROM documents CROSS JOIN (VALUES ('names'), ('places')) v(recognizer) GROUP BY recognizer")
 def audit_usage(spark, sf_dir):
-    from .operators.recognizers import Recognizer
-
     engine = Engine(ner=(Recognizer("names"), Recognizer("places")))
     return sinks.usage(engine.analyze(table(spark, sf_dir, "documents")))
 
@@ -687,6 +687,49 @@ def audit_json_roundtrip(spark, sf_dir):
     return back.select("id", F.size("entities").cast("bigint").alias("n_entities"), F.col("context.raster_mode").alias("raster_mode"))
 
 
+@query(
+    """SELECT * FROM (VALUES ('scope twice', 'Configuration'), ('unknown scope', 'Configuration'), ('scope of another policy', 'Configuration'), ('override of no policy', 'Configuration'),
+('unknown label', 'Configuration'), ('custom label shadows', 'Configuration'), ('custom labels conflict', 'Configuration'), ('ceiling without bucket', 'Configuration'), ('no key provider', 'Configuration'),
+('two OCR readers', 'Configuration'), ('two speech readers', 'Configuration'), ('model without modality', 'Configuration'), ('audit without body', 'Configuration'), ('format without codec', 'CapabilityUnavailable'),
+('pages without renderer', 'CapabilityUnavailable'), ('undecodable bytes', 'MalformedInput'), ('unwritable format', 'Redaction'), ('audit without context', 'Processing'), ('sound request', NULL)) v(request, refused)"""
+)
+def request_checks(spark, sf_dir):
+    """What a request is refused with, before any document is read."""
+    docs, mail = table(spark, sf_dir, "documents"), ["email_address"]
+    inside = Predicate.all_of(Predicate.negate(Predicate.label_in_scope("elsewhere")))
+    tag = lambda *tags: (Label("badge", tags),)
+    reader = Reader("r")
+    requests = {
+        "scope twice": lambda: Engine().analyze(docs, [Policy("i", "p", (Scope("s", ("email_address",)), Scope("s", ("url",))))]),
+        "unknown scope": lambda: Engine().analyze(docs, [_policy("p", mail, [_rule("r", inside, "erase")])]),
+        "scope of another policy": lambda: Engine().analyze(docs, [_policy("p", mail, [_rule("r", Predicate.label_in_scope("elsewhere"), "erase")]), _policy("elsewhere", mail)]),
+        "override of no policy": lambda: Engine().anonymize(Engine().analyze(docs, [CONTACT]), [CONTACT], [Override("e", "none", ModalityRedactions.for_text("keep"))]),
+        "unknown label": lambda: Engine().analyze(docs, [_policy("p", ["never_heard_of"])]),
+        "custom label shadows": lambda: Engine().analyze(docs, [_policy("p", mail, custom=(Label("email_address"),))]),
+        "custom labels conflict": lambda: Engine().analyze(docs, [_policy("p", mail, custom=tag()), _policy("q", mail, custom=tag("pii"))]),
+        "ceiling without bucket": lambda: text_op("clamp", ceiling=90.0),
+        "no key provider": lambda: _run(spark, sf_dir, [_one_op("p", ModalityRedactions.for_text("hmac_hash"))]),
+        "two OCR readers": lambda: Engine().with_ocr(reader, reader).analyze(docs),
+        "two speech readers": lambda: Engine().with_stt(reader, reader).analyze(docs),
+        "model without modality": lambda: Engine().with_llm(Recognizer("m", modalities=())).analyze(docs),
+        "audit without body": lambda: Engine().anonymize(docs.select("doc_id"), [CONTACT]),
+        "format without codec": lambda: files.modality("jpeg"),
+        "pages without renderer": lambda: Engine().analyze(docs, params=AnalyzerParams(raster_mode=RasterMode("force", 150))),
+        "undecodable bytes": lambda: files.decode(b"\xff\xfe", "txt"),
+        "unwritable format": lambda: rewrite.rewrite(b"%PDF", "pdf", {None: "x"}),
+        "audit without context": lambda: sinks.to_json(docs),
+        "sound request": lambda: Engine().analyze(docs, [CONTACT]),
+    }
+    rows = []
+    for name, ask in requests.items():
+        try:
+            ask()
+            rows.append((name, None))
+        except VeilError as e:
+            rows.append((name, e.kind))
+    return spark.createDataFrame(rows, "request string, refused string")
+
+
 # -- pictures, sounds and containers ------------------------------------------
 
 
