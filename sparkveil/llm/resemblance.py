@@ -13,9 +13,13 @@ group are compared by the ``SKETCH`` smallest hashes of their shingles, which ar
 all of them in most texts: then the similarity is exact, else its standard error
 is 0.0125 at 0.8. A group of up to ``GROUP`` different texts is compared whole.
 A larger one is dealt ``DEALS`` times to parts of about that size, each time
-beside the same ``LEADERS`` or so of its texts; links found in any part count, and
-near-duplicates are what chains of links connect. Equal texts are one text from
-the start. Nothing is gathered that grows with a group.
+beside the same ``LEADERS`` or so of its texts; texts are labelled by what links
+found in any part connect. A link that is still missing joins two labels, and its
+two texts share one of the smallest hashes of each (all but ``SIMILARITY`` of
+them). Texts that share such a hash with another label are compared, all outside
+their commonest label with all, tile by tile, so no link is lost. Near-duplicates
+are what chains of links connect. Equal texts are one text from the start.
+Nothing is gathered that grows with a group.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, fresh, stage
 from .components import connected_components
 from .features import LOWER, word_hashes
-from .simhash import near_links
+from .simhash import _mixed, near_links, tiles
 
 WORDS, SIMILARITY = 5, 0.8
 DISTANCE, PAIRS = 7, 14
@@ -166,6 +170,20 @@ def _dealt(texts: DataFrame, group: int, deals: int, leaders: int) -> DataFrame:
     return texts.select("root", "t", "sketch", F.explode(F.when(F.col("n") <= group, once).otherwise(many)).alias("x")).select("root", "x.deal", "x.part", "t", "sketch")
 
 
+def _first_hashes(sketched: DataFrame, similarity: float) -> DataFrame:
+    """(root, t, hash) of ``sketched`` (root, t, n, sketch): of two texts that are ``similarity`` alike, at least one hash is the same. Texts without a word have hash 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [s.values.to_numpy() for s in b.column(3)]
+            found = [s[: len(s) - int(np.ceil(similarity * len(s) - 1e-6)) + 1] if len(s) else np.zeros(1, np.int64) for s in found]
+            if found:
+                at = np.repeat(np.arange(len(found)), [len(s) for s in found])
+                yield pa.record_batch([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(np.concatenate(found))], ["root", "t", "hash"])
+
+    return sketched.mapInArrow(run, "root bigint, t bigint, hash bigint")
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, distance: int = DISTANCE, group: int = GROUP, deals: int = DEALS, leaders: int = LEADERS) -> DataFrame:
     """(fp, t, u, id, same, rows, least) for every different text of ``docs``: its probe and hashes, its smallest id (null if it has no other), how many rows have it with that id and at all, and ``least``, the struct (no_id, id, fp, t) of the first text of its group: with the smallest id, then the smallest hashes.
 
@@ -202,8 +220,25 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rooted = scratch.stage(texts.join(member, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node", "aux"), "probe-rooted")
     sizes = scratch.stage(rooted.groupBy("root").agg(F.count("*").alias("n")).where("n > 1"), "probe-sizes")
     wanted = scratch.stage(rooted.join(sizes, "root").select("root", "t", "id", "n"), "to-verify")
-    dealt = _dealt(_sketched(docs, wanted, id_col, text_col), group, deals, leaders)
-    links = dealt.repartition("root", "deal", "part").sortWithinPartitions("root", "deal", "part").mapInArrow(link, "u bigint, v bigint")
+
+    def linked(dealt: DataFrame) -> DataFrame:
+        ordered = dealt.repartition("root", "deal", "part").sortWithinPartitions("root", "deal", "part")
+        return scratch.stage(ordered.mapInArrow(link, "u bigint, v bigint"), "similar-links")
+
+    links = linked(_dealt(_sketched(docs, wanted, id_col, text_col), group, deals, leaders))
+    large = wanted.where(F.col("n") > group)
+    if not large.isEmpty():
+        label = connected_components(links).select(F.col("node").alias("t"), F.col("root").alias("label"))
+        labelled = scratch.stage(large.join(label, "t", "left").withColumn("label", F.coalesce("label", "t")), "labelled-texts")
+        first = _first_hashes(_sketched(docs, large, id_col, text_col), similarity).join(labelled.select("root", "t", "label"), ["root", "t"])
+        first = scratch.stage(first, "first-hashes")
+        asked = first.join(_mixed(first, "root", "hash").select("root", "hash"), ["root", "hash"], "left_semi").select("root", "t").distinct()
+        asked = scratch.stage(labelled.join(asked, ["root", "t"], "left_semi"), "asked-texts")
+        met = scratch.stage(asked.drop("n").join(_mixed(asked, "root"), "root"), "met-texts")
+        places = tiles(F.col("n"), F.col("rest"), F.col("label") != F.col("top"), max(1, group // 2), "root", "t")
+        parts = met.select("root", "t", F.explode(places).alias("part"))
+        again = _sketched(docs, met.select("root", "t", "id", "n"), id_col, text_col).join(parts, ["root", "t"])
+        links = links.union(linked(again.select("root", F.lit(0).alias("deal"), "part", "t", "sketch")))
     found = scratch.stage(connected_components(links), "similar").select(F.col("node").alias("t"), F.col("root").alias("c"))
     grouped = scratch.stage(rooted.join(found, "t", "left").withColumn("c", F.coalesce("c", "t")), "similar-texts")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "fp", "t")).alias("least")

@@ -242,43 +242,63 @@ def _block_links(distance: int, more: int | None):
     return run
 
 
-def _absorb(distance: int, more: int):
-    """Of parts of large blocks, (mask, part, fp, aux) rows in order: links that connect what links in a part, and, with their mask and no other end, the rows that link to nothing there."""
+def _part_links(distance: int, more: int):
+    """Links between labels (u, v) that connect those whose rows link in a part, of parts of large blocks as (key, part, label, fp, aux) rows in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(m: int, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-            hit = (np.bitwise_count(x[:, None] ^ x[None, :]) <= distance) & (np.bitwise_count(y[:, None] ^ y[None, :]) <= more)
-            found = np.array(_spanning(hit), np.int64).reshape(-1, 2)
-            alone = np.flatnonzero(hit.sum(1) == 1)
-            first, second = np.r_[found[:, 0], alone], found[:, 1]
-            ends = [pa.array(k[first].view(np.int64)) for k in (x, y)]
-            ends += [pa.concat_arrays([pa.array(k[second].view(np.int64)), pa.nulls(len(alone), pa.int64())]) for k in (x, y)]
-            return pa.record_batch([*ends, pa.array([None] * len(found) + [m] * len(alone), pa.int64())], ["u0", "u1", "v0", "v1", "mask"])
-
-        key, held = None, []
+        def links(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+            near = (np.bitwise_count(x[:, None] ^ x[None, :]) <= distance) & (np.bitwise_count(y[:, None] ^ y[None, :]) <= more)
+            kinds, kind = np.unique(label.view(np.int64), return_inverse=True)
+            i, j = np.nonzero(near)
+            near = np.zeros((len(kinds), len(kinds)), bool)
+            near[kind[i], kind[j]] = True
+            found = np.array(_spanning(near), np.int64).reshape(-1, 2)
+            return pa.record_batch([pa.array(kinds[found[:, z]]) for z in (0, 1)], ["u", "v"])
+
+        kept: list[np.ndarray] | None = None
         for b in batches:
-            for m, part, x, y in zip(*(b.column(i).to_pylist() for i in range(4))):
-                if (m, m & x, part) != key:
-                    if held:
-                        yield made(key[0], *np.array(held, np.int64).view(np.uint64).T.copy())
-                    key, held = (m, m & x, part), []
-                held.append((x, y))
-        if held:
-            yield made(key[0], *np.array(held, np.int64).view(np.uint64).T.copy())
+            now = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns]
+            if kept is not None:
+                now = [np.concatenate(p) for p in zip(kept, now)]
+            cuts = np.flatnonzero((now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])) + 1
+            for i, j in zip([0, *cuts.tolist()], cuts.tolist()):
+                if j - i > 1:
+                    yield links(*(k[i:j].view(np.uint64) for k in now[2:]))
+            kept = [k[cuts[-1] if len(cuts) else 0 :] for k in now]
+        if kept is not None and len(kept[0]) > 1:
+            yield links(*(k.view(np.uint64) for k in kept[2:]))
 
     return run
 
 
+def _mixed(rows: DataFrame, *by: str) -> DataFrame:
+    """Of each group of ``rows`` that has more than one label: n, its rows, top, the label most of them have, and rest, how many have others."""
+    each = rows.groupBy(*by, "label").agg(F.count("*").alias("c"))
+    sums = each.groupBy(*by).agg(F.sum("c").alias("n"), F.max(F.struct("c", "label")).alias("most"))
+    return sums.select(*by, "n", F.col("most.label").alias("top"), (F.col("n") - F.col("most.c")).alias("rest")).where("rest > 0")
+
+
+def tiles(n, rest, is_rest, size: int, *on) -> F.Column:
+    """The tiles of a row of a group of ``n`` rows: each of the ``rest`` rows marked ``is_rest`` meets each row of the group in some tile, of about ``2 * size`` rows; ``on`` are columns to deal by."""
+    across, down = (F.ceil(x / size).cast("bigint") for x in (n, rest))
+    home, turn = F.pmod(F.xxhash64(F.lit(1), *on), across), F.pmod(F.xxhash64(F.lit(2), *on), down)
+    column = F.transform(F.sequence(F.lit(0).cast("bigint"), down - 1), lambda k: k * across + home)
+    row = F.transform(F.sequence(F.lit(0).cast("bigint"), across - 1), lambda k: turn * across + k)
+    return F.when(is_rest, F.array_union(column, row)).otherwise(column)
+
+
 def near_links(fps: DataFrame, distance: int = DISTANCE, parts: int = PARTS, block: int = BLOCK, scratch: Scratch | None = None, more: int | None = None) -> DataFrame:
     """Links (u, v) between distinct fingerprints ``fps`` (fp) that connect exactly those a chain of steps of at most ``distance`` bits connects.
 
     With ``more``, rows have a second fingerprint (aux), and a step must be of
     at most ``more`` bits there too; u and v are then xxhash64(fp, aux). A block of
-    over ``block`` rows may be one large family there, which no bits split: it is
-    dealt to parts of half that size, each beside the same ``PIVOTS`` or so of its
-    rows; what links in a part is done with, and only the rest is split on. So
-    two members of a family that link to others but only by each other connect
-    their groups may stay apart in that block; other masks see them too.
+    over ``block`` rows may be one large family there, which no bits split. So it is
+    first dealt to parts of half that size, each beside the same ``PIVOTS`` or so of
+    its rows, and rows are labelled by what the links of the parts connect. A link
+    that is still missing joins two labels: a block with one label is done with;
+    in any other all rows outside its commonest label are compared with all rows,
+    tile by tile, or, where that leaves less to compare, the block is split on,
+    whole, into blocks of which those with one label are left out.
 
     In a block of over 32 members, links are thinned to a spanning forest of
     the block's own links, so the output never grows with the square of a group.
@@ -290,18 +310,21 @@ def near_links(fps: DataFrame, distance: int = DISTANCE, parts: int = PARTS, blo
     def ends(rows: DataFrame) -> DataFrame:
         return rows.select(*[F.col(f"{z}0").alias(z) if more is None else F.xxhash64(f"{z}0", f"{z}1").alias(z) for z in "uv"])
 
-
-    def keyed(rows: DataFrame, mask_lists: dict[int, list[int]] | None) -> DataFrame:
+    def keyed(rows: DataFrame, mask_lists: dict[int, list[int]] | None, *others: str) -> DataFrame:
         if mask_lists is None:
             options = F.array(*[F.lit(_signed(m)) for m in masks])
         else:
             options = F.element_at(F.create_map(*[y for m, s in mask_lists.items() for y in (F.lit(_signed(m)), F.array(*[F.lit(_signed(k)) for k in s]))]), F.col("mask"))
-        return rows.select(*own, F.explode(options).alias("mask")).select("mask", *own)
+        return rows.select(*others, *own, F.explode(options).alias("mask")).select(*others, "mask", *own)
+
+    def part_links(rows: DataFrame, places: F.Column) -> DataFrame:
+        dealt = rows.select("key", F.explode(places).alias("part"), "label", *own).repartition("key", "part").sortWithinPartitions("key", "part")
+        return scratch.stage(dealt.mapInArrow(_part_links(distance, more), "u bigint, v bigint"), "part-links")
 
     # rows travel as mask and fingerprint; what they share is worked out on either side
     value = F.col("fp").bitwiseAND(F.col("mask"))
     key = F.xxhash64("mask", value)
-    rows, out, level = keyed(fps, None), None, masks
+    rows, out, level, known = keyed(fps, None), None, masks, None
     while True:
         # blocks are counted by 64 bits of their key: one that shares these with a large block is split like it, which loses nothing
         large = scratch.stage(rows.groupBy(key.alias("key")).agg(F.count("*").alias("c")).where(F.col("c") > block), "large-blocks")
@@ -311,24 +334,46 @@ def near_links(fps: DataFrame, distance: int = DISTANCE, parts: int = PARTS, blo
         out = ends(pairs) if out is None else out.union(ends(pairs))
         if not some:
             return out
-        hot = rows.join(large, key == F.col("key"), "left_semi")
-        open_masks = {r[0] for r in hot.select("mask").distinct().collect()}
-        if more is not None:
-            parts_ = F.ceil(F.col("c") / (block // 2)).cast("int")
-            pivot = F.pmod(F.xxhash64("fp", "aux", "mask"), F.col("c")) < PIVOTS
-            places = F.when(pivot, F.sequence(F.lit(0), parts_ - 1)).otherwise(F.array(F.pmod(F.xxhash64("mask", "fp", "aux"), parts_).cast("int")))
-            sized = rows.join(large, key == F.col("key")).select("mask", *own, F.explode(places).alias("part"))
-            dealt = sized.repartition("mask", value, "part").sortWithinPartitions("mask", value, "part").select("mask", "part", *own)
-            done = scratch.stage(dealt.mapInArrow(_absorb(distance, more), ", ".join(f"{k} bigint" for k in (*names, "mask"))), "absorbed")
-            out = out.union(ends(done.where("mask is null")))
-            hot = done.where("mask is not null").select("mask", F.col("u0").alias("fp"), F.col("u1").alias("aux")).distinct()
-            open_masks = {r[0] for r in hot.select("mask").distinct().collect()}
         full = [m for m in level if 64 - m.bit_count() <= distance]
-        if full and more is None:  # all members of such a block link by construction
-            alike = hot.where(F.col("mask").isin([_signed(m) for m in full])).select("mask", value.alias("val"), F.struct(*own).alias("v"))
+        is_full = F.col("mask").isin([_signed(m) for m in full])
+        if more is None:
+            hot = rows.join(large, key == F.col("key"), "left_semi")
+        else:
+            hot = scratch.stage(rows.join(large, key == F.col("key")).select("key", "c", is_full.alias("full"), "mask", *own, F.xxhash64(*own).alias("label")), "hot")
+            count = F.ceil(F.col("c") / (block // 2)).cast("bigint")
+            pivot = F.pmod(F.xxhash64("fp", "aux", "mask"), F.col("c")) < PIVOTS
+            found = part_links(hot, F.when(pivot, F.sequence(F.lit(0).cast("bigint"), count - 1)).otherwise(F.array(F.pmod(F.xxhash64("mask", "fp", "aux"), count))))
+            out, known = out.union(found), found if known is None else known.union(found)
+            roots = connected_components(known).withColumnRenamed("node", "label")
+            hot = scratch.stage(hot.join(roots, "label", "left").select("key", "full", "mask", *own, F.coalesce("root", "label").alias("label")), "labelled")
+            mixed = scratch.stage(_mixed(hot, "key", "full"), "mixed-blocks")
+            # a block is split on where more pairs would be compared in it than in what it splits into, where each key counts as KEY_COST pairs
+            keys = (distance + 1) * KEY_COST
+            asked = hot.join(mixed.where((F.col("rest") > keys) & ~F.col("full")).select("key", "full"), ["key", "full"], "left_semi")
+            open_masks = {r[0] for r in asked.select("mask").distinct().collect()}
+            split = {m: split_mask(m, distance) for m in level if m not in full and _signed(m) in open_masks}
+            tiled = mixed
+            if split:
+                inner = keyed(asked, split, "key", "label").withColumn("inner", key)
+                within = scratch.stage(_mixed(inner, "key", "inner"), "mixed-splits")
+                left = within.groupBy("key").agg(F.sum(F.col("n").cast("double") * F.col("rest")).alias("pairs"))
+                worth = F.col("n").cast("double") * F.col("rest") > keys * F.col("n") + F.coalesce("pairs", F.lit(0.0))
+                apart = scratch.stage(mixed.where((F.col("rest") > keys) & ~F.col("full")).join(left, "key", "left").where(worth).select("key", "full"), "split-keys")
+                tiled = mixed.join(apart, ["key", "full"], "left_anti")
+            met = hot.join(tiled, ["key", "full"])
+            found = part_links(met, tiles(F.col("n"), F.col("rest"), F.col("label") != F.col("top"), max(1, block // 4), "key", *own))
+            out, known = out.union(found), known.union(found)
+            if not split:
+                return out
+            level = sorted({k for s in split.values() for k in s})
+            rows = scratch.stage(inner.join(apart, "key", "left_semi").join(within.select("key", "inner"), ["key", "inner"], "left_semi").select("mask", *own).distinct(), "split-blocks")
+            continue
+        open_masks = {r[0] for r in hot.select("mask").distinct().collect()}
+        if full:  # all members of such a block link by construction
+            alike = hot.where(is_full).select("mask", value.alias("val"), F.struct(*own).alias("v"))
             least = alike.groupBy("mask", "val").agg(F.min("v").alias("u"))
             out = out.union(ends(alike.join(least, ["mask", "val"]).select(*[F.col(f"{z}.{c}").alias(f"{z}{k}") for z in "uv" for k, c in enumerate(own)])))
-        hot = hot.where(~F.col("mask").isin([_signed(m) for m in full])) if full else hot
+        hot = hot.where(~is_full) if full else hot
         split = {m: split_mask(m, distance) for m in level if m not in full and _signed(m) in open_masks}
         if not split:
             return out

@@ -137,6 +137,47 @@ def test_large_families_are_one_group(spark):
     assert not {names[r.node] for r in found} & {o for o in others if all((o[1] ^ k[1]).bit_count() > 14 for k in family | others if k != o)}
 
 
+def near_components(x, y, distance, more):
+    """The place of the first row of each row's component, by comparing all pairs."""
+    root = np.arange(len(x))
+    near = (np.bitwise_count(x[:, None] ^ x[None, :]) <= distance) & (np.bitwise_count(y[:, None] ^ y[None, :]) <= more)
+    while True:
+        least = np.where(near, root[None, :], len(x)).min(1)
+        if (least == root).all():
+            return root.tolist()
+        root = least
+
+
+@pytest.mark.parametrize("spread", [False, True])
+def test_large_blocks_lose_no_link(spark, monkeypatch, spread):
+    """Families in one block that single links between their members connect; with ``spread``, their first fingerprints differ outside the block's bits and chance neighbours lie between them."""
+    rng = random.Random(47)
+    flip = lambda v, bits: v ^ sum(1 << b for b in bits)
+    pairs = set()
+    for _ in range(3):
+        x = rng.getrandbits(49) << 15
+        y, order = rng.getrandbits(64), rng.sample(range(64), 64)
+        z = flip(y, order[:32])
+        families = [(x, y), (x, z)] if spread else [(0, y), (0, z)]
+        # 10 bits from one family, 12 bits on, 10 bits from the other: no other rows connect them
+        pairs |= {(families[0][0], flip(y, order[:10])), (families[0][0], flip(y, order[:22]))}
+        pairs |= {(a, flip(b, rng.sample(order[32:], rng.randint(0, 3)))) for a, b in families for _ in range(200)}
+    if spread:
+        pairs |= {(rng.getrandbits(49) << 15, rng.getrandbits(64)) for _ in range(1500)}
+    pairs = sorted(pairs)
+    x, y = np.array(pairs, np.uint64).T.copy()
+    expected = near_components(x, y, 7, 14)
+    assert len(set(expected)) == 3 + (len(pairs) - len([k for k in expected if expected.count(k) > 9]))
+    signed = list(zip(x.view(np.int64).tolist(), y.view(np.int64).tolist()))
+    rows = spark.createDataFrame(signed, "fp bigint, aux bigint").repartition(4)
+    monkeypatch.setattr(simhash, "plan", lambda *_: [(1 << 15) - 1])
+    names = {r.n: tuple(r.k) for r in rows.select(F.xxhash64("fp", "aux").alias("n"), F.struct("fp", "aux").alias("k")).collect()}
+    found = {names[r.node]: r.root for r in connected_components(simhash.near_links(rows, distance=7, block=200, more=14)).collect()}
+    label = [found.get(k, k) for k in signed]
+    groups = lambda key: sorted(sorted(p for p, k in zip(signed, key) if k == v) for v in set(key))
+    assert groups(label) == groups(expected)
+
+
 def test_threshold_allotment_is_least():
     costs = [[0.0, 5, 50, 500, 5000], [0.0, 100, 110, 120, 130], [0.0, 1, 2, 90, 900], [0.0, 70, 700, 7000, 70000]]
     found = simhash.allot(costs, 3)
@@ -939,6 +980,32 @@ def test_near_copies_are_found_once(spark, group):
     assert resemblance.keep_one(docs.limit(0)).count() == 0
 
 
+def test_large_candidate_groups_lose_no_link(spark):
+    """Families whose centres only a chain of single links connects, in groups of many times the size compared whole."""
+    rng = random.Random(54)
+    distance = lambda a, b: [(x ^ y).bit_count() for x, y in zip(resemblance.probe(a.encode()), resemblance.probe(b.encode()))]
+    texts = []
+    while len(texts) < 4 * 64:
+        words = [[f"w{rng.randint(0, 4000)}" for _ in range(200)]]
+        for k in range(3):  # four words on, 20 of 196 shingles: similarity 0.81
+            words.append([f"x{rng.randint(0, 10**6)}" if i % 50 == 7 + 6 * k else w for i, w in enumerate(words[-1])])
+        chain = [" ".join(w) for w in words]
+        if any(a > 7 or b > 14 for a, b in map(distance, chain, chain[1:])):  # candidates are found by probes
+            continue
+        texts += chain
+        for centre in (words[0], words[3]):
+            for k in rng.sample(range(195), 30):
+                texts.append(" ".join([*centre[:k], "changed", *centre[k + 1 :]]))
+    root = list(range(len(texts)))
+    for j, i in brute_similar(texts):
+        a, b = root[j], root[i]
+        root = [min(a, b) if x in (a, b) else x for x in root]
+    assert set(root) == {0, 64, 128, 192}
+    docs = table(spark, texts + ["", *(" " * k for k in range(1, 30))])
+    kept = resemblance.keep_one(docs.repartition(5), group=12, leaders=1).collect()
+    assert sorted(r.doc_id for r in kept) == [0, 64, 128, 192, 256]
+
+
 def test_recall_against_brute_force(spark):
     """All pairs of sf0.01 that share 0.8 of their shingles."""
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
