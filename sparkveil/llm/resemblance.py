@@ -225,19 +225,23 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         ordered = dealt.repartition("root", "deal", "part").sortWithinPartitions("root", "deal", "part")
         return scratch.stage(ordered.mapInArrow(link, "u bigint, v bigint"), "similar-links")
 
-    links = linked(_dealt(_sketched(docs, wanted, id_col, text_col), group, deals, leaders))
-    large = wanted.where(F.col("n") > group)
-    if not large.isEmpty():
+    large, sketched = wanted.where(F.col("n") > group), _sketched(docs, wanted, id_col, text_col)
+    some = not large.isEmpty()
+    if some:  # sketches of large groups are read again: texts meet what is wanted of them once only
+        sketched = scratch.stage(sketched, "sketches")
+    links = linked(_dealt(sketched, group, deals, leaders))
+    if some:
+        sketched = sketched.where(F.col("n") > group)
         label = connected_components(links).select(F.col("node").alias("t"), F.col("root").alias("label"))
         labelled = scratch.stage(large.join(label, "t", "left").withColumn("label", F.coalesce("label", "t")), "labelled-texts")
-        first = _first_hashes(_sketched(docs, large, id_col, text_col), similarity).join(labelled.select("root", "t", "label"), ["root", "t"])
+        first = _first_hashes(sketched, similarity).join(labelled.select("root", "t", "label"), ["root", "t"])
         first = scratch.stage(first, "first-hashes")
         asked = first.join(_mixed(first, "root", "hash").select("root", "hash"), ["root", "hash"], "left_semi").select("root", "t").distinct()
         asked = scratch.stage(labelled.join(asked, ["root", "t"], "left_semi"), "asked-texts")
         met = scratch.stage(asked.drop("n").join(_mixed(asked, "root"), "root"), "met-texts")
         places = tiles(F.col("n"), F.col("rest"), F.col("label") != F.col("top"), max(1, group // 2), "root", "t")
         parts = met.select("root", "t", F.explode(places).alias("part"))
-        again = _sketched(docs, met.select("root", "t", "id", "n"), id_col, text_col).join(parts, ["root", "t"])
+        again = sketched.join(parts, ["root", "t"])
         links = links.union(linked(again.select("root", F.lit(0).alias("deal"), "part", "t", "sketch")))
     found = scratch.stage(connected_components(links), "similar").select(F.col("node").alias("t"), F.col("root").alias("c"))
     grouped = scratch.stage(rooted.join(found, "t", "left").withColumn("c", F.coalesce("c", "t")), "similar-texts")

@@ -1006,6 +1006,28 @@ def test_large_candidate_groups_lose_no_link(spark):
     assert sorted(r.doc_id for r in kept) == [0, 64, 128, 192, 256]
 
 
+def test_texts_of_large_candidate_groups_are_shuffled_once(spark, tmp_path):
+    """A group over the size compared whole moves sketches again, not its texts."""
+    rng = random.Random(55)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(30000)]
+    docs = table(spark, [" ".join([*words[: 600 * k], "changed", *words[600 * k + 1 :]]) for k in range(40)]).repartition(4)
+    docs.write.parquet(path := f"{tmp_path}/docs")
+    docs = spark.read.parquet(path)
+
+    def shuffled(group):
+        sc = spark.sparkContext._jsc.sc()
+        written = []
+        for run in (False, True):
+            if run:
+                groups = resemblance.similar_groups(docs, group=group, leaders=6)
+                assert groups.count() == 40 and groups.select("least").distinct().count() == 1
+            sc.listenerBus().waitUntilEmpty(30_000)
+            written.append(sc.statusStore().executorSummary("driver").totalShuffleWrite())
+        return written[1] - written[0]
+
+    assert shuffled(12) < 1.5 * shuffled(1024)
+
+
 def test_recall_against_brute_force(spark):
     """All pairs of sf0.01 that share 0.8 of their shingles."""
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
