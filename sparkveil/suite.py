@@ -125,12 +125,19 @@ UNION ALL SELECT c_custkey, 'iban', iban, s3, '0.950' FROM q WHERE (account || '
 UNION ALL SELECT c_custkey, 'postal_code', zip, s4, '0.500' FROM q
 UNION ALL SELECT c_custkey, 'date_of_birth', born, s5, '0.850' FROM q"""
 MADE_PATTERNS = tuple(BY_NAME[k] for k in ("us-ssn", "coordinates", "iban", "us-zip", "birth-date"))
+#: Rows of a task that makes a text of each and searches it.
+MADE_ROWS = 4096
+
+
+def _dealt(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` dealt evenly to tasks of at most about ``rows`` rows. Reads are cut by bytes and row groups, so a million keys are one task, however much is made of each."""
+    return df.repartition(max(1, -(-df.count() // rows)))
 
 
 @query(_MADE_SQL)
 def detect_made_identifiers(spark, sf_dir):
     """Identifiers written into a text at places that arithmetic gives, some with wrong check digits."""
-    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    c, k = _dealt(table(spark, sf_dir, "customer").select("c_custkey"), MADE_ROWS), F.col("c_custkey")
     digits = lambda x, n: F.lpad(x.cast("string"), n, "0")
     pair, serial = digits(k % 100, 2), digits(k % 10000, 4)
     ssn = F.concat(digits(k * 7919 % 1000, 3), F.lit("-"), pair, F.lit("-"), serial)

@@ -35,6 +35,20 @@ def test_query_matches_sql(spark, sf_dir, duck, name):
     assert key(map(tuple, got.select(*[f"`{c}`" for c in columns]).collect())) == key(result.fetchall())
 
 
+def test_made_texts_are_dealt_to_tasks(spark, sf_dir, tmp_path):
+    """A file of keys in one row group is one task when read; the texts made of them are searched in several, with the same result."""
+    path = f"{tmp_path}/customer.parquet"
+    con = duckdb.connect()
+    con.execute(f"copy (select c_custkey + k * 1000 as c_custkey from '{sf_dir}/customer.parquet', range(60) r(k)) to '{path}' (row_group_size 1000000)")
+    con.execute(f"create view customer as select * from '{path}'")
+    assert spark.read.parquet(path).rdd.getNumPartitions() == 1
+    got = suite.queries()["detect_made_identifiers"](spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() == -(-9000 // suite.MADE_ROWS) > 1
+    result = con.execute(suite.oracle_sql()["detect_made_identifiers"])
+    columns = [c[0] for c in result.description]
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(result.fetchall())
+
+
 def test_entry_has_rows(spark):
     import __spark_entry__
 
